@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import decontamination, language_id, mixing, near_dedup, quality_model, quality_rules, secrets, sharding
+from pagequarry.llm import decontamination, html_text, language_id, mixing, near_dedup, quality_model, quality_rules, secrets, sharding, token_ids
 from pagequarry.llm.common import read_table
 
 
@@ -44,6 +44,14 @@ def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op7_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op8_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op9_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     dictionaries = language_id.learn(docs.where(remainder("doc_id", 5) != 0))
@@ -56,7 +64,7 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ring_shards, op2_divergence_rules, op3_ftrl_quality, op4_hyperminhash, op5_randomness_secrets, op6_entropy_mixing, op9_zstd_language, op10_template_decontamination)}
+    return {f.__name__: f for f in (op1_ring_shards, op2_divergence_rules, op3_ftrl_quality, op4_hyperminhash, op5_randomness_secrets, op6_entropy_mixing, op7_html_layout, op8_huffman_ids, op9_zstd_language, op10_template_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
