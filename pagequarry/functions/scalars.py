@@ -93,10 +93,7 @@ def author_category(value: Column) -> Column:
     """Category that an author's free wording means; empty if none."""
     low = F.lower(value)
     rules = [("syntax", V.SYNTAX), ("usage", V.USAGE), ("return", V.RETURN_OBJECT), ("configuration", V.CONFIGURATION), ("command", V.OTHER_COMMAND)]
-    out = None
-    for word, category in rules:
-        out = (out or F).when(low.contains(word), category)
-    return F.coalesce(out.otherwise(""), F.lit(""))
+    return F.coalesce(*[F.when(low.contains(word), category) for word, category in rules], F.lit(""))
 
 
 def _any(column: Column, words: tuple[str, ...], how: str) -> Column:
