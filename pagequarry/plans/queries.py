@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import scalars as S
 from pagequarry.functions import vocabulary as V
-from pagequarry.operators import catalog, cdc, deps, events, graph, paths, updates
+from pagequarry.operators import catalog, cdc, deps, events, graph, ingest, paths, updates
 from pagequarry.plans import fixtures as X
 from pagequarry.sources import sinks
 
@@ -443,3 +443,44 @@ def page_chars(spark, sf_dir):
 def line_category_language(spark, sf_dir):
     lines = X.table(spark, sf_dir, "lineitem").where("l_shipdate >= DATE '1995-01-01'")
     return lines.groupBy(F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("language")).agg(F.count(F.lit(1)).alias("count"), F.countDistinct("l_orderkey").alias("pages"))
+
+
+# --- ingest --------------------------------------------------------------------------------------------------------
+
+
+@query(NODES + ", u AS (SELECT page_id, sha_256_hash, count(*) AS n FROM nodes GROUP BY ALL) SELECT page_id, CAST(count(*) AS BIGINT) AS unique_nodes, CAST(sum(n) AS BIGINT) AS code_nodes_total FROM u GROUP BY 1")
+def new_pages(spark, sf_dir):
+    rows = X.nodes(spark, sf_dir).select("page_id", "sha_256_hash", "code", "language")
+    made = ingest.new_pages(rows, rows.select("page_id").distinct(), F.lit(X.AS_OF).cast("date"))
+    return made.select("page_id", F.size("nodes").cast("long").alias("unique_nodes"), "code_nodes_total")
+
+
+@query(NODES + f", h AS (SELECT page_id, CASE WHEN language IN ('en', 'de', 'undefined', 'xx') THEN language ELSE 'undefined' END AS language, sum({INST}) AS total FROM nodes GROUP BY ALL) " + HISTOGRAM)
+def languages_arrays(spark, sf_dir):
+    made = ingest.languages_array(X.nodes(spark, sf_dir), ["en", "de", "undefined", "xx"])
+    return catalog.language_rows(made.withColumn("collection", F.lit(""))).select("page_id", "language", "total")
+
+
+@query("SELECT event_type AS kind, 'user ' || (user_id % 10) AS project, CAST(sum(event_id % 4) AS BIGINT) AS total, CAST(count(DISTINCT user_id) AS BIGINT) AS pages FROM events GROUP BY ALL")
+def run_counters(spark, sf_dir):
+    rows = X.table(spark, sf_dir, "events").select(F.concat(F.lit("user "), F.col("user_id") % 10).alias("project"), F.col("event_type").alias("kind"), F.col("user_id").alias("page_id"), (F.col("event_id") % 4).alias("count"))
+    return ingest.run_counters(rows)
+
+
+@query("SELECT 'p' || (p_partkey % 3) AS project, 'old|x' || p_partkey AS old_id, 'new|x' || p_partkey AS new_id FROM part")
+def log_moves(spark, sf_dir):
+    part = X.table(spark, sf_dir, "part")
+    side = lambda name: part.select(F.concat(F.lit("p"), F.col("p_partkey") % 3).alias("project"), F.concat(F.lit(f"{name}|x"), "p_partkey").alias("page_id"), F.col("p_size").alias("count"))
+    return ingest.log_moves(side("old"), side("new"))
+
+
+@query(NODES + " SELECT 'language' AS kind, language AS key, CAST(count(*) AS BIGINT) AS count FROM nodes GROUP BY 2 UNION ALL SELECT 'directive', category, count(*) FROM nodes GROUP BY 2 UNION ALL SELECT 'file', page_id, count(*) FROM nodes GROUP BY 2")
+def extraction_report(spark, sf_dir):
+    return ingest.extraction_report(X.nodes(spark, sf_dir).select("language", F.col("category").alias("directive"), F.col("page_id").alias("path")))
+
+
+@query("SELECT CASE WHEN starts_with(p_name, 'p') THEN 'package.json' ELSE 'pom.xml' END AS filename, CASE WHEN starts_with(p_name, 'p') THEN 'npm' ELSE 'maven' END AS type, CAST(count(*) AS BIGINT) AS count FROM part WHERE p_partkey % 4 <> 0 GROUP BY ALL")
+def manifests(spark, sf_dir):
+    name = F.when(F.col("p_name").startswith("p"), "package.json").otherwise("pom.xml")
+    files = X.table(spark, sf_dir, "part").select(F.concat(F.lit("d/"), F.when(F.col("p_partkey") % 4 == 0, "node_modules/").otherwise(""), F.col("p_partkey").cast("string"), F.lit("/"), name).alias("path"))
+    return deps.manifests(files).groupBy("filename", "type").agg(F.count(F.lit(1)).alias("count"))
