@@ -18,10 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import chunks, mix, ngram_hashes, word_hashes
+from pagequarry.llm.common import chunks, mix, ngram_hashes, stage, word_hashes
 
 BITS = 18
-MAX_TRAIN, MAX_TRAIN_CHARS = 10_000, 40_000
+MAX_TRAIN, MAX_TRAIN_CHARS = 5000, 40_000
 EPOCHS = 3
 THRESHOLD = 0.7
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.002, 0.01
@@ -34,8 +34,9 @@ def features(words: np.ndarray) -> np.ndarray:
     return np.concatenate((mix(words ^ _SALT) & _MASK, ngram_hashes(words, 2) & _MASK)).astype(np.int64)
 
 
-def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights of the features, and the intercept as the last. The rows' order counts."""
+def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> np.ndarray:
+    """Weights of the features, and the intercept as the last, from (indexes as unsigned 32-bit integers, label). The
+    rows' order counts."""
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
 
@@ -43,13 +44,10 @@ def train(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarra
         zi = z[i]
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    prepared = []
-    for idx, label in rows:
-        i, count = np.unique(idx, return_counts=True)
-        x = count / np.sqrt(max(1, count.sum()))
-        prepared.append((np.append(i, size - 1), np.append(x, 1.0), label))
     for _ in range(epochs):
-        for i, x, label in prepared:
+        for idx, label in rows:  # counted anew each time, which spares the driver's memory
+            i, count = np.unique(np.frombuffer(idx, dtype=np.uint32), return_counts=True)
+            i, x = np.append(i.astype(np.int64), size - 1), np.append(count / np.sqrt(max(1, count.sum())), 1.0)
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - label) * x
@@ -78,9 +76,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_char
     """Train on labels (doc_id, quality) and the texts of docs, whatever rows labels holds."""
     chosen = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     texts = docs.select("doc_id", "text").where(F.length("text") <= max_chars)
-    # Rather more than needed are drawn by hash, as texts may be missing or too long; then the first max_train with a text.
-    drawn = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * max_train)
-    rows = texts.join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_train)
+    # Ids first, so that no text but the chosen ones leaves its executor, and those only as features.
+    drawn = stage(texts.select("doc_id").distinct().join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train), "quality-sample")
+    rows = texts.join(F.broadcast(drawn), "doc_id")
 
     def extract(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -88,11 +86,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_char
             h, off = word_hashes(listed, lower=False)
             yield pd.DataFrame({"doc_id": part["doc_id"], "quality": part["quality"], "idx": [features(h[off[i] : off[i + 1]]).astype(np.uint32).tobytes() for i in range(len(listed))]})
 
-    found = rows.mapInPandas(extract, "doc_id long, quality int, idx binary").toPandas()
-    if not len(found):
+    found = [tuple(r) for r in rows.mapInPandas(extract, "doc_id long, quality int, idx binary").groupBy("doc_id").agg(F.max("quality"), F.min("idx")).collect()]  # max_train rows at most
+    if not found:
         return np.zeros((1 << BITS) + 1)
-    found = found.assign(order=pd.util.hash_array(found["doc_id"].to_numpy())).sort_values(["order", "idx"])
-    return train([(np.frombuffer(x, dtype=np.uint32).astype(np.int64), int(q)) for x, q in zip(found["idx"], found["quality"], strict=True)])
+    mixed = mix(np.array([r[0] for r in found], dtype=np.int64).astype(np.uint64))
+    order = sorted(range(len(found)), key=lambda k: (int(mixed[k]), found[k][2]))
+    return train([(bytes(found[k][2]), int(found[k][1])) for k in order])
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", into: str = "score") -> DataFrame:
