@@ -14,9 +14,9 @@ element, and without words the set is empty and linked with nothing. Elements ar
 4. Pairs whose registers estimate a similarity (corrected for registers that agree by chance) below the limit by more
    than four standard errors are dropped; the others are verified on whole sets.
 5. Verified links are closed to components by contraction (each round every node takes the smallest label around it).
-6. Buckets of more than NEAR + 1 rows that still touch several components are searched exhaustively, in blocks whose rows
-   are compared by their registers in numpy; only pairs of different components that pass the estimate leave a block, to
-   be verified as before. Thus no link between different components is lost to step 3's shortcuts.
+6. Buckets of more than NEAR + 1 rows that still touch several components are searched exhaustively, in pairs of blocks
+   whose rows are compared by their registers and then by their whole sets; only links that join components leave a
+   pair of blocks. Thus no link between different components is lost to step 3's shortcuts.
 
 Null doc_ids aren't linked. Rows that repeat a doc_id share its class if their sets agree. Empty tables give no rows.
 """
@@ -153,9 +153,8 @@ def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInPandas(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are as similar as percent. Only texts of documents in a pair are looked at."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def shingle_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, s) for the documents of needed (doc_id): the whole sorted set as 64-bit integers."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -165,7 +164,12 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
                 yield pd.DataFrame({"doc_id": part["doc_id"].iloc[i:j], "s": [shingle_set(h[off[k] : off[k + 1]], shingle).astype(np.int64) for k in range(j - i)]})
 
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(needed, "doc_id", "left_semi")
-    sets = stage(texts.mapInPandas(run, "doc_id long, s array<long>"), "dedup-sets")
+    return stage(texts.mapInPandas(run, "doc_id long, s array<long>"), "dedup-sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs whose whole sets are as similar as percent. Only texts of documents in a pair are looked at."""
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), shingle)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("t")).where(100 * F.col("c") >= percent * (F.col("t") - F.col("c"))).select("a", "b").distinct()
@@ -199,33 +203,51 @@ def unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
     return known.join(keys, "key", "left_semi")
 
 
-def exhaustive(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components within a bucket whose registers pass, compared block by block.
+def exhaustive(rows: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) that join different components within a bucket, compared block by block.
 
-    Rows of a bucket are ordered by component, the largest first, and cut into blocks; two blocks of one and the same
-    component aren't compared.
+    A bucket's rows are ordered by whether they belong to its largest component, then by set size, and cut into blocks.
+    Two blocks aren't compared if both lie in that component, or if no two of their sizes are within the limit. In a pair
+    of blocks, registers sift the pairs, whole sets decide, and what has been linked there isn't tried again: at most one
+    link fewer than the blocks have rows comes out.
     """
-    sized = rows.join(rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many")), ["key", "comp"])
-    w = Window.partitionBy("key").orderBy(F.desc("many"), "comp", "id")
-    blocked = sized.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int")).join(reps.select("id", "n", "regs"), "id")
-    about = blocked.groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    sized = rows.join(reps.select("id", "n", "regs"), "id")
+    major = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(F.max_by("comp", F.struct("many", "comp")).alias("major"))
+    w = Window.partitionBy("key").orderBy(F.desc("is_major"), "n", "id")
+    marked = sized.join(major, "key").withColumn("is_major", F.col("comp") == F.col("major"))
+    blocked = stage(marked.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int")).drop("major"), "dedup-blocks")
+    about = blocked.groupBy("key", "block").agg(F.min("is_major").alias("all_major"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     pairs = about.alias("p").join(about.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.block") <= F.col("q.block")))
-    pairs = pairs.where(~((F.col("p.lo") == F.col("p.hi")) & (F.col("q.lo") == F.col("q.hi")) & (F.col("p.lo") == F.col("q.lo"))))
-    pairs = pairs.select(F.col("p.key").alias("key"), F.col("p.block").alias("i"), F.col("q.block").alias("j"))
+    near = (100 * F.col("p.hi") >= percent * F.col("q.lo")) & (100 * F.col("q.hi") >= percent * F.col("p.lo"))
+    pairs = pairs.where(near & ~(F.col("p.all_major") & F.col("q.all_major"))).select(F.col("p.key").alias("key"), F.col("p.block").alias("i"), F.col("q.block").alias("j"))
     ends = pairs.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    dealt = ends.join(blocked, ["key", "block"]).select("key", "i", "j", "block", "id", "comp", "n", "regs")
+    sets = shingle_sets(docs, blocked.select(F.col("id").alias("doc_id")).distinct(), shingle).groupBy("doc_id").agg(F.first("s").alias("s"))
+    dealt = ends.join(blocked.join(sets.withColumnRenamed("doc_id", "id"), "id"), ["key", "block"]).select("key", "i", "j", "block", "id", "comp", "n", "regs", "s")
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         i, j = p["i"].iloc[0], p["j"].iloc[0]
         x, y = p[p["block"] == i], p[p["block"] == j]
         rx, ry = (np.frombuffer(b"".join(t["regs"]), dtype=np.uint16).reshape(len(t), K) for t in (x, y))
-        nx, ny, cx, cy, ix, iy = (t[c].to_numpy() for c in ("n", "comp", "id") for t in (x, y))
+        nx, ny, cx, cy, ix, iy, sx, sy = (t[c].to_numpy() for c in ("n", "comp", "id", "s") for t in (x, y))
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                c = up
+            return c
+
         out = []
         for k in range(len(x)):
+            fits = 100 * np.minimum(ny, nx[k]) >= percent * np.maximum(ny, nx[k])
             est = estimate((ry == rx[k]).sum(axis=1), float(nx[k]), ny.astype(float))
-            ok = (est >= least_estimate(percent)) & (cy != cx[k]) & (100 * np.minimum(ny, nx[k]) >= percent * np.maximum(ny, nx[k]))
-            out.append(pd.DataFrame({"x": ix[k], "y": iy[ok]}))
-        return pd.concat(out)
+            for m in np.flatnonzero(fits & (cy != cx[k]) & (est >= least_estimate(percent))):
+                a, b = root(cx[k]), root(cy[m])
+                if a != b:
+                    common = len(np.intersect1d(sx[k], sy[m], assume_unique=True))
+                    if 100 * common >= percent * (len(sx[k]) + len(sy[m]) - common):
+                        parent[max(a, b)] = min(a, b)
+                        out.append((ix[k], iy[m]))
+        return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
 
     return ordered(dealt.groupBy("key", "i", "j").applyInPandas(run, "x long, y long"))
 
@@ -242,15 +264,10 @@ def find(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     tried = stage(agreeing(bucket_pairs(members), reps, percent), "dedup-pairs")
     links = stage(verified(tried, docs, shingle, percent), "dedup-links")
     comps = components(links)
-    while True:
-        open_rows = stage(unresolved(members, comps), "dedup-open")
-        more = stage(exhaustive(open_rows, reps, percent).join(tried, ["a", "b"], "left_anti"), "dedup-more")
-        if not more.limit(1).count():
-            break
-        new_links = verified(more, docs, shingle, percent)
-        links = stage(links.unionByName(new_links), "dedup-links")
-        comps = components(links)
-        break  # every pair of different components has been compared now
+    open_rows = stage(unresolved(members, comps), "dedup-open")
+    more = stage(exhaustive(open_rows, reps, docs, shingle, percent), "dedup-more")
+    if more.limit(1).count():
+        comps = components(links.unionByName(more))
     whole = reps.select("sig", "id").join(comps, "id", "left").select("sig", F.coalesce("comp", "id").alias("comp"))
     out = rows.join(whole, "sig", "left")
     component = F.coalesce("comp", "doc_id")
