@@ -86,10 +86,18 @@ def _power_table(n: int) -> np.ndarray:
     return _powers
 
 
-def word_hashes(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+#: Shape of each byte: letters, capitals and digits by class (bytes beyond ASCII count as letters), signs as they are.
+_SHAPE = np.arange(256, dtype=np.uint8)
+_SHAPE[97:123] = _SHAPE[128:] = 97
+_SHAPE[65:91] = 65
+_SHAPE[48:58] = 48
+
+
+def word_hashes(texts: list[str | None], lower: bool, shape: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, and len(texts)+1 offsets: text i has words offsets[i]:offsets[i+1].
 
-    lower: A-Z count as a-z. A null text has no words.
+    lower: A-Z count as a-z. shape: words are told apart by their shapes only, runs of one class being one. A null text
+    has no words.
     """
     blobs = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.fromiter((len(b) + 1 for b in blobs), dtype=np.int64, count=len(blobs))
@@ -104,11 +112,15 @@ def word_hashes(texts: list[str | None], lower: bool) -> tuple[np.ndarray, np.nd
         return np.empty(0, dtype=np.uint64), np.zeros(len(blobs) + 1, dtype=np.int64)
     if lower:
         buf = np.where((buf >= 65) & (buf <= 90), buf | 32, buf)
-    lengths = ends - starts
+    lengths, kept = ends - starts, ~blank
+    if shape:
+        buf = _SHAPE[buf]
+        kept[1:] &= buf[1:] != buf[:-1]
+        lengths = np.add.reduceat(kept.astype(np.int64), starts)
     powers = _power_table(int(lengths.max()))
     first = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
-    values = (buf[~blank].astype(np.uint64) + np.uint64(1)) * powers[place]
+    values = (buf[kept].astype(np.uint64) + np.uint64(1)) * powers[place]
     hashes = mix(np.add.reduceat(values, first))
     offsets = np.concatenate(([0], np.searchsorted(starts, ends_of_texts, side="left"))).astype(np.int64)
     return hashes, offsets

@@ -1,7 +1,8 @@
 """Quality classifier: hashed word n-gram logistic regression, trained by follow-the-regularised-leader.
 
-Features are words and pairs of words as written, hashed into 2^BITS weights; each occurrence counts 1 / sqrt(number of
-occurrences in the text), so a text's margin is a sparse dot product. Training goes over at most MAX_TRAIN labelled
+Features are words and pairs of words as written, the shapes of words (runs of letters, capitals and digits as one sign
+each), and pairs of equal words, hashed into 2^BITS weights; each occurrence counts 1 / sqrt(number of occurrences in the
+text), so a text's margin is a sparse dot product. Training goes over at most MAX_TRAIN labelled
 rows (those of the smallest hash of their doc_id, of texts up to MAX_TRAIN_CHARS characters) on the driver; scoring
 reads every whole text on the executors and needs only the weights, whose size is fixed.
 
@@ -26,12 +27,21 @@ EPOCHS = 3
 THRESHOLD = 0.7
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.002, 0.01
 _MASK = np.uint64((1 << BITS) - 1)
-_SALT = np.uint64(0x2545F4914F6CDD1D)
+_SALT, _SHAPES = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
+#: Index of the feature "a word, then the same word".
+SAME = 12_345
 
 
-def features(words: np.ndarray) -> np.ndarray:
-    """Indexes of all words and pairs of one text, repeats included."""
-    return np.concatenate((mix(words ^ _SALT) & _MASK, ngram_hashes(words, 2) & _MASK)).astype(np.int64)
+def indexes(words: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weight indexes by word, by its shape, by pair of neighbours, and where a pair is twice the same word."""
+    index = lambda h: (h & _MASK).astype(np.int64)
+    return index(mix(words ^ _SALT)), index(mix(shapes ^ _SHAPES)), index(ngram_hashes(words, 2)), words[1:] == words[:-1]
+
+
+def features(words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    """Indexes of all features of one text, repeats included."""
+    one, shape, two, same = indexes(words, shapes)
+    return np.concatenate((one, shape, two, np.full(int(same.sum()), SAME)))
 
 
 def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> np.ndarray:
@@ -63,12 +73,15 @@ def margins(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
         h, off = word_hashes(texts[a:b], lower=False)
         if not len(h):
             continue
-        one = np.concatenate(([0.0], np.cumsum(weights[(mix(h ^ _SALT) & _MASK).astype(np.int64)])))
-        two = np.concatenate(([0.0], np.cumsum(weights[(ngram_hashes(h, 2) & _MASK).astype(np.int64)]), [0.0]))
+        one, shape, two, same = indexes(h, word_hashes(texts[a:b], lower=False, shape=True)[0])
+        words = np.concatenate(([0.0], np.cumsum(weights[one] + weights[shape])))
+        pairs = np.concatenate(([0.0], np.cumsum(weights[two] + weights[SAME] * same), [0.0]))
+        equal = np.concatenate(([0], np.cumsum(same), [0]))
         begin, end = off[:-1], off[1:]
-        n = end - begin
-        total = one[end] - one[begin] + np.where(n > 1, two[np.maximum(end - 1, begin)] - two[begin], 0.0)
-        out[a:b] += total / np.sqrt(np.maximum(1, n + np.maximum(0, n - 1)))
+        n, last = end - begin, np.maximum(end - 1, begin)
+        total = words[end] - words[begin] + np.where(n > 1, pairs[last] - pairs[begin], 0.0)
+        count = 3 * n - 1 + np.where(n > 1, equal[last] - equal[begin], 0)
+        out[a:b] += total / np.sqrt(np.maximum(1, count))
     return out
 
 
@@ -84,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_char
         for part in parts:
             listed = part["text"].tolist()
             h, off = word_hashes(listed, lower=False)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "quality": part["quality"], "idx": [features(h[off[i] : off[i + 1]]).astype(np.uint32).tobytes() for i in range(len(listed))]})
+            shapes = word_hashes(listed, lower=False, shape=True)[0]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "quality": part["quality"], "idx": [features(h[off[i] : off[i + 1]], shapes[off[i] : off[i + 1]]).astype(np.uint32).tobytes() for i in range(len(listed))]})
 
     found = [tuple(r) for r in rows.mapInPandas(extract, "doc_id long, quality int, idx binary").groupBy("doc_id").agg(F.max("quality"), F.min("idx")).collect()]  # max_train rows at most
     if not found:
