@@ -5,7 +5,7 @@ Names of products and of their tools are the caller's: dimension tables and pref
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Canonical languages and their file extensions.
 EXTENSION = {
@@ -54,4 +54,3 @@ class RuleWords:
     command_strings: tuple[str, ...] = ("cmake ",)
     head_bytes: int = 50
     stage_pattern: str = r"(?s)\$[a-zA-Z]{2,}: ?(.*?<.+?>)?"
-    extra: dict = field(default_factory=dict)
