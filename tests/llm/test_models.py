@@ -37,9 +37,24 @@ def test_margin_is_a_plain_dot_product():
     texts = ["a b c a b", "one", "", None, "x  y\nz", "long " * 3000]
     for t, m in zip(texts, Q.margins(texts, w), strict=True):
         h, _ = word_hashes([t], lower=False)
-        one = [int(x) for x in mix(h ^ Q._SALT) & Q._MASK]
-        two = [int(x) for x in ngram_hashes(h, 2) & Q._MASK]
-        assert m == pytest.approx(w[-1] + sum(w[i] for i in one + two) / max(1, len(one) + len(two)) ** 0.5, rel=1e-9)
+        shapes, _ = word_hashes([t], lower=False, shape=True)
+        found = [int(x) for x in mix(h ^ Q._SALT) & Q._MASK] + [int(x) for x in mix(shapes ^ Q._SHAPES) & Q._MASK] + [int(x) for x in ngram_hashes(h, 2) & Q._MASK]
+        found += [Q.SAME for a, b in zip(h, h[1:], strict=False) if a == b]
+        assert m == pytest.approx(w[-1] + sum(w[i] for i in found) / max(1, len(found)) ** 0.5, rel=1e-9)
+        assert sorted(Q.features(h, shapes)) == sorted(found)
+
+
+def test_shapes_of_words():
+    def plain(word):
+        classes = ["a" if c.islower() or ord(c) > 127 else "A" if c.isupper() else "0" if c.isdigit() else c for c in word]
+        return "".join(c for i, c in enumerate(classes) if not i or classes[i - 1] != c)
+
+    texts = ["The cat### 12a", None, "Xy dog### é\tB9 !!", " z", "", "aB aB A a1 1a ab-cd ef-g"]
+    h, off = word_hashes(texts, lower=False, shape=True)
+    words = [w for t in texts for w in (t or "").split()]
+    assert len(h) == len(words) and off.tolist() == word_hashes(texts, lower=False)[1].tolist()
+    for i, a in enumerate(words):
+        assert [h[i] == x for x in h] == [plain(a) == plain(b) for b in words]
 
 
 def test_quality_edges(spark):
