@@ -7,10 +7,9 @@ element, and without words the set is empty and linked with nothing. Elements ar
    it. So exact copies, however many, cost one row from here on.
 2. Each representative has K registers. A register is the minimum of one hash function over the set in 16 bits: the
    count of leading zeros (6 bits) and the MANTISSA bits behind the leading one.
-3. ROWS registers make a band. At similarity 0.8 one of BANDS bands agrees with probability 1 - 3e-6. Within a bucket each
-   row is paired with the NEAR rows before it in an order that differs by band, and with the bucket's first row: linear in
-   the bucket, and all pairs for buckets up to NEAR + 1 rows. Buckets above HOT rows are dealt to sub-buckets for that,
-   whose first rows are tied to the bucket's first row.
+3. ROWS registers make a band. At similarity 0.8 one of BANDS bands agrees with probability 1 - 3e-6. Buckets up to
+   NEAR + 1 rows give all their pairs; in larger ones each row is paired with the one before it and with the smallest.
+   Buckets above HOT rows are dealt to sub-buckets for that, whose first rows are tied to the bucket's first row.
 4. Pairs whose registers estimate a similarity (corrected for registers that agree by chance) below the limit by more
    than four standard errors are dropped; the others are verified on whole sets.
 5. Verified links are closed to components by contraction (each round every node takes the smallest label around it).
@@ -37,6 +36,8 @@ from pagequarry.llm.common import chunks, mix, ngram_hashes, stage, word_hashes
 ROWS, BANDS, MANTISSA = 5, 32, 10
 K = ROWS * BANDS
 NEAR, HOT, BLOCK = 6, 4000, 256
+#: Lists of ids up to this length, counted first, are broadcast (8 bytes each); longer ones are joined by shuffling.
+MAX_BROADCAST_IDS = 1_000_000
 SHINGLE, PERCENT = 5, 80
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,13 +121,15 @@ def bands(reps: DataFrame) -> DataFrame:
 
 
 def bucket_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of (key, id, size): neighbours in each bucket's own order, and the bucket's first row with each."""
-    salt = F.when(F.col("size") > HOT, F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("size") / (HOT // 2)))).otherwise(F.lit(0))
+    """Pairs (a, b) of (key, id, size): all pairs of buckets up to NEAR + 1 rows; else each row with the one before it and
+    with the bucket's smallest. As buckets of one group of copies order their rows alike, those pairs repeat from band to
+    band, so a large group gives a few pairs a row."""
+    salt = F.when(F.col("size") > HOT, F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / (HOT // 2)))).otherwise(F.lit(0))
     dealt = members.withColumn("salt", salt).repartition("key", "salt")
-    w = Window.partitionBy("key", "salt").orderBy(F.xxhash64("key", "id"), "id")
-    others = F.array(*[F.lag("id", i).over(w) for i in range(1, NEAR + 1)], F.first("id").over(w))
-    near = dealt.select("id", F.array_distinct(F.filter(others, lambda x: x.isNotNull())).alias("others"))
-    pairs = near.select(F.col("id").alias("x"), F.explode("others").alias("y"))
+    w = Window.partitionBy("key", "salt").orderBy("id")
+    near = [F.lag("id", 1).over(w), F.first("id").over(w), *[F.when(F.col("size") <= NEAR + 1, F.lag("id", i).over(w)) for i in range(2, NEAR + 1)]]
+    others = dealt.select("id", F.array_distinct(F.array_compact(F.array(*near))).alias("others"))
+    pairs = others.select(F.col("id").alias("x"), F.explode("others").alias("y"))
     firsts = dealt.where(F.col("size") > HOT).groupBy("key", "salt").agg(F.min("id").alias("id"))
     tied = firsts.withColumn("y", F.min("id").over(Window.partitionBy("key"))).select(F.col("id").alias("x"), "y")
     return ordered(pairs.unionByName(tied))
@@ -163,7 +166,9 @@ def shingle_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
                 h, off = word_hashes(texts[i:j], lower=True)
                 yield pd.DataFrame({"doc_id": part["doc_id"].iloc[i:j], "s": [shingle_set(h[off[k] : off[k + 1]], shingle).astype(np.int64) for k in range(j - i)]})
 
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(needed, "doc_id", "left_semi")
+    ids = stage(needed, "dedup-ids")
+    few = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(few, "doc_id", "left_semi")
     return stage(texts.mapInPandas(run, "doc_id long, s array<long>"), "dedup-sets")
 
 
