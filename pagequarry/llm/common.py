@@ -67,7 +67,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.cumprod(np.full(64, _P, dtype=np.uint64))
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
