@@ -30,7 +30,10 @@ from pyspark.sql.window import Window
 from pagequarry.llm.common import shared_dir, stage
 
 END, MAX_BITS, STEP, BLOCK_TOKENS = 2, 16, 256, 65_536
-MAX_CACHED = 300_000
+#: Words remembered in each of two generations of a worker's cache, about 150 bytes each.
+MAX_CACHED = 600_000
+#: A character that stands between words encoded together; words that hold it are encoded alone.
+BETWEEN, TOGETHER = "\x7f", 64
 #: Python's blanks that the tokenizer's pattern doesn't take for blanks.
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 _tokenizers: dict[str, tuple] = {}
@@ -54,19 +57,41 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        mark = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def learn(self, words: list[str]) -> None:
+        """Encode words that aren't known, many at once: a call costs more than a word does."""
         kind = f"<u{self.width}"
-        end = np.array([END], dtype=kind).tobytes()
+        alone = [w for w in words if self.mark is None or BETWEEN in w]
+        rest = [w for w in words if not (self.mark is None or BETWEEN in w)]
+        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, dtype=kind).tobytes()
+        groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
+        for i in range(0, len(groups), 256):
+            some = groups[i : i + 256]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, dtype=kind)
+                cuts = np.flatnonzero(ids == self.mark)
+                data, begin = ids.tobytes(), 0
+                for w, end in zip(group, [*(int(c) for c in cuts), len(ids)], strict=True):
+                    self.known[w] = data[begin * self.width : end * self.width]
+                    begin = end + 1
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        end = np.array([END], dtype=f"<u{self.width}").tobytes()
         split = [[] if not t else [t] if any(c in t for c in ODD_BLANKS) else t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(new) > MAX_CACHED:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype=kind).tobytes()
+        if len(self.known) > MAX_CACHED:
+            self.known, self.older = {}, self.known
+        new = []
+        for w in {w for words in split for w in words}:
+            if w not in self.known:
+                if (e := self.older.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.known[w] = e
+        self.learn(new)
         known = self.known
         return [b"".join([known[w] for w in words]) + end for words in split]
 
