@@ -426,6 +426,20 @@ def rule_categories(spark, sf_dir):
     return docs.select("doc_id", S.rule_category(F.col("text"), F.col("lang"), words).alias("category"))
 
 
+#: The head: the longest prefix of whole characters within 50 bytes. Then the stage rule, anywhere in the text.
+HEAD_SQL = "substr(text, 1, len(list_filter(range(1, 51), lambda i: i <= length(text) AND strlen(substr(text, 1, i)) <= 50)))"
+STAGE_SQL = r"(?s)\$[a-zA-Z]{2,}: ?(.*?<.+?>)?"
+
+
+@query(rf"""WITH h AS (SELECT doc_id, coalesce(text, '') AS text, coalesce({HEAD_SQL}, '') AS head FROM documents)
+SELECT doc_id, CASE WHEN starts_with(text, 'import ') OR starts_with(text, 'from ') OR contains(head, 'License') THEN 'Usage example' WHEN contains(head, 'warning') OR contains(head, 'deprecated') OR contains(head, '_id') THEN 'Example return object'
+ WHEN regexp_extract(text, '{STAGE_SQL}', 1) <> '' THEN 'Syntax example' WHEN regexp_matches(text, '{STAGE_SQL}') THEN 'Usage example' ELSE 'Uncategorized' END AS category FROM h""")
+def rule_categories_of_all(spark, sf_dir):
+    """rule_categories over every document: heads of several bytes a character, and the stage rule."""
+    words = V.RuleWords(usage_prefixes=("import ", "from "), command_prefixes=(), usage_strings=("License",), command_strings=())
+    return X.table(spark, sf_dir, "documents").select("doc_id", S.rule_category(F.col("text"), F.col("lang"), words).alias("category"))
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_field(spark, sf_dir):
     return X.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
