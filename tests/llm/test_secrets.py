@@ -59,3 +59,27 @@ def test_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "token=abcdefg")] * 3, "doc_id long, text string")
     assert X.digest(X.scan(df)).select("spans").distinct().count() == 1
     assert not re.search("Python|Pandas|Arrow", X.digest(X.scan(df))._jdf.queryExecution().toString())
+
+
+B62, B32 = string.ascii_letters + string.digits, string.ascii_uppercase + "234567"
+WRITTEN = ["usr/share/doc/python3/html/library", "content/current/source/tutorials", "get_connection_string_for_cluster", "MAX_NUMBER_OF_OPEN_CONNECTIONS", "AbstractSingletonProxyFactoryBean", "antidisestablishmentarianism", "testGroupByExtensionWithoutSort2", "----------------------------------------", "2024-01-31-release-notes-for-all", "index/page/view?".rstrip("?") + "/articles/2019"]
+
+
+@pytest.mark.parametrize(("alphabet", "length", "others", "least"), [(B62, 20, 0, 0.9), (B62, 32, 0, 0.97), (B62, 32, 10, 0.97), (B62, 40, 50, 0.97), (B32, 24, 0, 0.95), (string.ascii_letters, 32, 0, 0.95), (string.ascii_lowercase, 40, 0, 0.9), (string.ascii_letters, 32, 10, 0.95)])
+def test_recall_by_length_and_other_candidates(spark, alphabet, length, others, least):
+    rng = random.Random(length * 100 + others)
+    rows = []
+    for i in range(150):
+        key = "".join(rng.choice(alphabet) for _ in range(length))
+        words = [WRITTEN[j % len(WRITTEN)] for j in range(others)]
+        words.insert(rng.randint(0, others), key)
+        text = " and ".join(words)
+        rows.append((i, "lead " + text, 5 + text.index(key)))
+    got = {r["doc_id"]: [(x["s"], x["e"]) for x in r["random"]] for r in X.scan(spark.createDataFrame([r[:2] for r in rows], SCHEMA)).collect()}
+    assert sum((at, at + length) in got[i] for i, _, at in rows) >= least * len(rows)
+    assert sum(len(x) for x in got.values()) <= len(rows)
+
+
+def test_written_runs_are_not_found(spark):
+    got = X.digest(X.scan(spark.createDataFrame([(i, t) for i, t in enumerate([*WRITTEN, " ".join(WRITTEN)])], SCHEMA)))
+    assert got.where("n_random > 0").count() == 0
