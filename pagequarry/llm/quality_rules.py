@@ -2,9 +2,12 @@
 
 For every document: its counts of character classes and of common words, held by Jensen-Shannon distance against the
 same histograms of each language. A language's reference is the sum over all documents of that language in the table
-itself, so it follows the corpus; languages with under a hundredth of the rows make no reference, which bounds their
-number by a hundred. A document passes if some one language has both distances within the limits. Documents below the
-minimum lengths aren't judged by the test in question.
+itself, so it follows the corpus. Languages with a hundredth of the rows or more, at most a hundred, are held against
+every document. All others with MIN_REFERENCE_ROWS documents and MIN_REFERENCE_CHARS characters have a reference too: it
+is joined to their own documents, and documents that nothing has accepted are held against each of them. A document
+passes if some one language has both distances within the limits. Documents of a language with less evidence than that
+can't be judged by distance: the base rule alone decides. Documents below the minimum lengths aren't judged by the test
+in question.
 
 A null or blank text has no words, fails the base rule and isn't kept. Rows are judged one by one, so repeated rows get
 equal verdicts. A table without any language makes no reference; then only the base rule counts.
@@ -17,6 +20,9 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.common import BLANK_RUN, let, stage, words_of
 
+#: References up to this number, counted first, are broadcast for the join by language.
+MAX_BROADCAST = 10_000
+
 # Frequent function words of English, French, German and Spanish.
 COMMON_WORDS = [
     "the", "of", "and", "to", "in", "is", "that", "for", "with", "on", "was", "by", "this", "be", "are", "as", "from", "at", "it", "an", "a", "he",
@@ -29,6 +35,8 @@ CLASSES = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "blank": r"[\x2
 MIN_WORDS, MIN_CHARS = 50, 200
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.24, 0.38
 LEAST_SHARE = 0.01
+#: Evidence that makes a reference of a language below LEAST_SHARE.
+MIN_REFERENCE_ROWS, MIN_REFERENCE_CHARS = 10, 5_000
 LN2 = 0.6931471805599453
 
 
@@ -73,15 +81,20 @@ def base_measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def references(measured: DataFrame) -> list[dict]:
-    """Shares of each class and each common word by language; at most 1/LEAST_SHARE languages."""
-    sums = measured.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_chars").alias("chars"), F.sum("n_words").alias("words"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)])
-    least = (measured.count() or 1) * LEAST_SHARE
-    sums = [r for r in sums.where((F.col("rows") >= least) & (F.col("chars") > 0) & (F.col("words") > 0)).orderBy("lang").collect()]
-    langs = [r["lang"] for r in sums]
-    words = measured.where(F.col("lang").isin(langs)).select("lang", F.explode("hist").alias("e")).groupBy("lang", F.col("e.id").alias("id")).agg(F.sum("e.n").alias("n")).collect() if langs else []
-    of = {(r["lang"], r["id"]): r["n"] for r in words}
-    return [{"lang": r["lang"], "classes": [r[f"c{i}"] / r["chars"] for i in range(len(CLASSES) + 1)], "words": [of.get((r["lang"], i), 0) / r["words"] for i in range(len(COMMON_WORDS))]} for r in sums]
+def reference_table(measured: DataFrame) -> DataFrame:
+    """lang, rows, chars, and the shares of each class and each common word, of every language with words."""
+    known = measured.where(F.col("lang").isNotNull())
+    sums = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_chars").alias("chars"), F.sum("n_words").alias("words"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)])
+    counts = known.select("lang", F.explode("hist").alias("e")).groupBy("lang", F.col("e.id").alias("id")).agg(F.sum("e.n").alias("n"))
+    counts = counts.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("id", "n"))).alias("of"))  # at most one entry for each common word
+    shares = F.transform(F.sequence(F.lit(0), F.lit(len(COMMON_WORDS) - 1)), lambda i: F.coalesce(F.try_element_at(F.col("of"), i), F.lit(0)) / F.col("words"))
+    return sums.where((F.col("chars") > 0) & (F.col("words") > 0)).join(counts, "lang", "left").select("lang", "rows", "chars", F.array(*[F.col(f"c{i}") / F.col("chars") for i in range(len(CLASSES) + 1)]).alias("classes"), F.coalesce(shares, F.array_repeat(F.lit(0.0), len(COMMON_WORDS))).alias("words"))
+
+
+def references(measured: DataFrame, table: DataFrame | None = None) -> list[dict]:
+    """Shares of each class and each common word by language, from its table; at most 1/LEAST_SHARE languages."""
+    table = reference_table(measured) if table is None else table
+    return [r.asDict() for r in table.where(F.col("rows") >= (measured.count() or 1) * LEAST_SHARE).orderBy("lang").collect()]
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -90,37 +103,52 @@ def _term(p: Column, q: Column) -> Column:
     return p * F.log(p / m) + F.when(q > 0, q * F.log(F.greatest(q, F.lit(1e-300)) / m)).otherwise(0.0)
 
 
-def js_distance_words(hist: Column, n_words: Column, shares: list[float]) -> Column:
+def js_distance_words(hist: Column, n_words: Column, shares: list[float] | Column) -> Column:
     """Square root of the divergence (base 2) of the common words and all others together; bins that the document lacks add q ln 2."""
-    ref = F.array(*[F.lit(float(x)) for x in shares])
+    listed = isinstance(shares, Column)
+    ref = shares if listed else F.array(*[F.lit(float(x)) for x in shares])
     n = F.greatest(n_words, F.lit(1)).cast("double")
     start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
     step = lambda a, e: F.struct((a["d"] + _term(e["n"] / n, F.get(ref, e["id"]))).alias("d"), (a["p"] + e["n"] / n).alias("p"), (a["q"] + F.get(ref, e["id"])).alias("q"))
-    rest = max(0.0, 1 - sum(shares))
-    other = lambda p: F.when(p < 1, _term(F.greatest(1 - p, F.lit(1e-12)), F.lit(rest))).otherwise(F.lit(rest * LN2))
-    return let(F.aggregate(hist, start, step), lambda a: F.sqrt(F.greatest(F.lit(0.0), (a["d"] + other(a["p"]) + F.greatest(F.lit(0.0), F.lit(sum(shares)) - a["q"]) * LN2) / (2 * LN2))))
+    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x) if listed else F.lit(sum(shares))
+    rest = F.greatest(F.lit(0.0), 1 - total) if listed else F.lit(max(0.0, 1 - sum(shares)))
+    other = lambda p: F.when(p < 1, _term(F.greatest(1 - p, F.lit(1e-12)), rest)).otherwise(rest * LN2)
+    return let(F.aggregate(hist, start, step), lambda a: F.sqrt(F.greatest(F.lit(0.0), (a["d"] + other(a["p"]) + F.greatest(F.lit(0.0), total - a["q"]) * LN2) / (2 * LN2))))
 
 
-def js_distance_classes(classes: Column, n_chars: Column, shares: list[float]) -> Column:
+def js_distance_classes(classes: Column, n_chars: Column, shares: list[float] | Column) -> Column:
     n = F.greatest(n_chars, F.lit(1)).cast("double")
-    bins = [F.when(F.get(classes, F.lit(i)) > 0, _term(F.greatest(F.get(classes, F.lit(i)) / n, F.lit(1e-12)), F.lit(float(q)))).otherwise(F.lit(q * LN2)) for i, q in enumerate(shares)]
+    refs = [F.get(shares, F.lit(i)) for i in range(len(CLASSES) + 1)] if isinstance(shares, Column) else [F.lit(float(q)) for q in shares]
+    bins = [F.when(F.get(classes, F.lit(i)) > 0, _term(F.greatest(F.get(classes, F.lit(i)) / n, F.lit(1e-12)), q)).otherwise(q * LN2) for i, q in enumerate(refs)]
     return F.sqrt(F.greatest(F.lit(0.0), sum(bins) / (2 * LN2)))
 
 
 def judge(docs: DataFrame, max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The measures of every row of docs, distances to the nearest language, and whether the row is kept."""
     measured = stage(base_measures(docs), "quality-measures")
-    refs = references(measured)
+    table = stage(reference_table(measured), "quality-references")
+    refs = references(measured, table)
+    frequent = [r["lang"] for r in refs]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = measured.withColumn("base_failed", failed)
-    if refs:
-        pairs = F.array(*[F.struct(js_distance_words(F.col("hist"), F.col("n_words"), r["words"]).alias("w"), js_distance_classes(F.col("classes"), F.col("n_chars"), r["classes"]).alias("c"), F.lit(r["lang"]).alias("lang")) for r in refs])
-        # The nearest language by both distances, each as a part of its limit.
-        near = F.array_min(F.transform(pairs, lambda x: F.struct(F.greatest(x["w"] / max_word_distance, x["c"] / max_class_distance).alias("far"), x["w"].alias("w"), x["c"].alias("c"), x["lang"].alias("lang"))))
-        out = out.withColumn("near", near)
+    # Distances to a reference, and the greater of both as parts of their limits.
+    measure = lambda w, c, lang: let(F.struct(js_distance_words(F.col("hist"), F.col("n_words"), w).alias("w"), js_distance_classes(F.col("classes"), F.col("n_chars"), c).alias("c")), lambda x: F.struct(F.greatest(x["w"] / max_word_distance, x["c"] / max_class_distance).alias("far"), x["w"].alias("w"), x["c"].alias("c"), lang.alias("lang")))
+    accepts = lambda near: ((F.col("n_words") < min_words) | (near["w"] <= max_word_distance)) & ((F.col("n_chars") < min_chars) | (near["c"] <= max_class_distance))
+    nearest = F.array_min(F.array(*[measure(r["words"], r["classes"], F.lit(r["lang"])) for r in refs])) if refs else F.lit(None).cast("struct<far:double,w:double,c:double,lang:string>")
+    out = out.withColumn("near", nearest)
+    rare = table.where(~F.col("lang").isin(frequent) & (F.col("rows") >= MIN_REFERENCE_ROWS) & (F.col("chars") >= MIN_REFERENCE_CHARS)).select("lang", F.col("words").alias("rw"), F.col("classes").alias("rc"))
+    n_rare = rare.count()
+    known = F.col("lang").isNull() | F.col("lang").isin(frequent)
+    if n_rare:
+        # Their own documents first; each of these languages has few of the rows, so the join has no hot key.
+        own = out.where(~known).join(F.broadcast(rare) if n_rare <= MAX_BROADCAST else rare, "lang", "left")
+        own = own.withColumn("near", F.when(F.col("rw").isNotNull(), F.array_min(F.array_compact(F.array("near", measure(F.col("rw"), F.col("rc"), F.col("lang")))))).otherwise(F.col("near"))).withColumn("judged", F.col("rw").isNotNull()).select(*out.columns, "judged")
+        out = out.where(known).withColumn("judged", F.lit(True)).unionByName(own)
+        # Then what nothing has accepted: all references in one row.
+        out = out.crossJoin(F.broadcast(rare.agg(F.collect_list(F.struct("lang", "rw", "rc")).alias("rare"))))
+        every = F.array_min(F.array_append(F.transform("rare", lambda r: measure(r["rw"], r["rc"], r["lang"])), F.col("near")))
+        out = out.withColumn("near", F.when(F.col("judged") & ~F.col("base_failed") & ~F.coalesce(accepts(F.col("near")), F.lit(False)), every).otherwise(F.col("near")))
     else:
-        out = out.withColumn("near", F.lit(None).cast("struct<far:double,w:double,c:double,lang:string>"))
-    ok_words = (F.col("n_words") < min_words) | (F.col("near.w") <= max_word_distance)
-    ok_chars = (F.col("n_chars") < min_chars) | (F.col("near.c") <= max_class_distance)
-    verdict = F.coalesce(ok_words & ok_chars, F.lit(True))
+        out = out.withColumn("judged", known)
+    verdict = F.coalesce(~F.col("judged") | accepts(F.col("near")), F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & verdict).alias("kept"), F.col("near.w").alias("word_distance"), F.col("near.c").alias("class_distance"), F.col("near.lang").alias("nearest_lang"))

@@ -81,3 +81,42 @@ def test_empty_table_and_no_language(spark):
 def test_stays_in_the_engine(spark, rows):
     plan = Q.judge(spark.createDataFrame(rows, SCHEMA).withColumn("words", F.lit(1)))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+GREEK = "αυτο ειναι ενα κειμενο για την πολη και το σπιτι με τον κηπο που ειχε δεντρα στην ακρη του δρομου οπως παντα τοτε".split()
+
+
+def greek(seed):
+    rng = random.Random(seed)
+    return " ".join(w for _ in range(3) for w in rng.sample(GREEK, len(GREEK)))
+
+
+@pytest.fixture(scope="module")
+def mixed():
+    """English documents and, below a hundredth of the rows, Greek ones, one of them junk, and some of languages with less."""
+    rows = [(-1 - i, " ".join(shuffled(i)), "en") for i in range(3500)]
+    rows += [(3000 + i, greek(i), "el") for i in range(30)] + [(3100, greek(100), None), (3101, greek(101), "en")]
+    junk = " ".join(f"q{i}### x{i}$$$" for i in range(40))
+    return [*rows, (3200, junk, "el"), (3201, junk, None), (3300, greek(200).replace("α", "ж"), "ru"), (3301, "ж " * 80, "ru")]
+
+
+def test_languages_of_few_rows_have_references(spark, mixed):
+    got = {r["doc_id"]: r for r in Q.judge(spark.createDataFrame(mixed, SCHEMA)).collect()}
+    assert len(got) == len(mixed)
+    assert all(got[3000 + i]["kept"] and got[3000 + i]["nearest_lang"] == "el" for i in range(30))
+    assert got[3100]["kept"] and got[3101]["kept"]  # unlabelled and mislabelled
+    assert not got[3200]["kept"] and not got[3201]["kept"]
+    assert got[3300]["kept"] and not got[3301]["kept"]  # too little Russian to judge: the base rule decides
+
+
+def test_shuffled_join_of_references(spark, mixed, monkeypatch):
+    df = spark.createDataFrame([r for r in mixed if r[0] % 40 == 0 or r[0] >= 3000] + [(5000 + i, " ".join(shuffled(i)), "en") for i in range(3400)], SCHEMA)
+    want = sorted(map(str, Q.judge(df).collect()))
+    monkeypatch.setattr(Q, "MAX_BROADCAST", 0)
+    assert sorted(map(str, Q.judge(df).collect())) == want
+
+
+def test_languages_without_evidence_alone(spark, mixed):
+    """No language has enough rows beside the frequent one: others aren't rejected by it."""
+    got = {r["doc_id"]: r["kept"] for r in Q.judge(spark.createDataFrame([r for r in mixed if r[2] != "el"], SCHEMA)).collect()}
+    assert got[3300] and not got[3301] and not got[3201]
