@@ -4,8 +4,10 @@ A text becomes a template: numbers, units and names turn into typed placeholders
 windows of WINDOW template words of the benchmark are hash-joined with those of all documents. A document and an item
 match where at least MIN_COVERAGE of the item's windows are found at about one shift between item and document (SLACK
 words either way, so that small insertions don't break a match), and where the values behind the placeholders are
-consistent: each value of the item stands for one value in the document. So a re-parameterised question is found, and
-text that only shares the shape is not.
+consistent. Only places within matched windows count, each at the shift that agrees best around it. Values that stand
+there once can't tell; of the places of repeated ones, half or more must hold the item's own value or the same new value
+as another place of it, unless SAME_SHARE of all places hold the item's own. So a re-parameterised question and an edited
+copy are found, and text that only shares the shape is not.
 
 The values are only looked at in documents that passed the count, in a second look at those texts.
 
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pagequarry.llm.common import let, stage
 
 WINDOW, MIN_COVERAGE, SLACK = 5, 0.5, 8
+SAME_SHARE = 0.75
 MAX_BROADCAST = 500_000
 # Unit words that a number may stand before.
 UNITS = [
@@ -56,12 +59,15 @@ def window_hashes(words: Column, n: int = WINDOW) -> Column:
     return let(words, lambda w: F.when(F.size(w) < n, none).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(n)]))))
 
 
+def _cells(shift: Column) -> Column:
+    return F.array(F.floor(shift / (2 * SLACK)) * 2, F.floor((shift + SLACK) / (2 * SLACK)) * 2 + 1)
+
+
 def _hits(docs: DataFrame, items: DataFrame, window: int, few: bool) -> DataFrame:
     found = docs.select("doc_id", F.posexplode(window_hashes(template_words(F.col("text")), window)).alias("i", "h"))
     hits = found.join(F.broadcast(items) if few else items, "h")
     # Cells of the shift overlap by half, so a match that wanders by SLACK words lies in one of two neighbours whole.
-    shift = F.col("i") - F.col("at")
-    cell = F.explode(F.array(F.floor(shift / (2 * SLACK)) * 2, F.floor((shift + SLACK) / (2 * SLACK)) * 2 + 1))
+    cell = F.explode(_cells(F.col("i") - F.col("at")))
     return hits.select("doc_id", "item_id", "n_windows", "at", cell.alias("cell")).distinct()
 
 
@@ -78,30 +84,42 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cov
     ids = stage(pairs, "bench-pairs")
     small = ids.count() <= MAX_BROADCAST // 10
     texts = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id").select("doc_id", "item_id", "iw", template_words(F.col("text"), values=True).alias("dw"))
-    judged = texts.select("doc_id", "item_id", let(F.struct("iw", "dw"), lambda x: _slots(x["iw"], x["dw"], window)).alias("s")).groupBy("doc_id", "item_id").agg(F.max("s.consistent").alias("consistent"), F.min("s.changed").alias("changed"))
+    judged = texts.select("doc_id", "item_id", let(F.struct("iw", "dw"), lambda x: _slots(x["iw"], x["dw"], window, min_coverage)).alias("s")).groupBy("doc_id", "item_id").agg(F.max("s.consistent").alias("consistent"), F.min("s.changed").alias("changed"))
     out = best.join(judged, ["doc_id", "item_id"], "left").where(F.coalesce("consistent", F.lit(True)))
     return out.select("doc_id", "item_id", "matched", F.col("n_windows").cast("long").alias("n_windows"), (F.col("matched") / F.col("n_windows")).alias("coverage"), F.coalesce("changed", F.lit(False)).alias("reparameterised"))
 
 
-def _slots(item: Column, doc: Column, window: int) -> Column:
-    """Struct of whether the item's placeholder values stand for one value each at some shift, and whether they changed.
+def _slots(item: Column, doc: Column, window: int, min_coverage: float) -> Column:
+    """Struct of whether the item's placeholder values are consistent with the document's in some cell, and whether they changed.
 
-    A shift is tried for each window of the item that the document holds; at each, the placeholders of both that face
-    each other with equal marks are compared.
+    A cell of shifts is tried if it holds enough of the item's windows. The placeholders of both that face each other
+    within matched windows are compared, each place of the item at the shift with the most equal values around it.
     """
-    mark = lambda w: F.when(F.rlike(w, F.lit(f"^[{NAME}{NUMBER}{UNIT}]")), F.substring(w, 1, 1)).otherwise(w)
-    marks = lambda ws: F.transform(ws, mark)
+    valued = lambda w: F.substring(w, 1, 1).isin(NAME, NUMBER, UNIT)
+    marks = lambda ws: F.transform(ws, lambda w: F.when(valued(w), F.substring(w, 1, 1)).otherwise(w))
+    count = lambda xs, f: F.size(F.filter(xs, f))
+
+    def facing(near: Column) -> Column:
+        words = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda o: F.struct((x["j"] + o).alias("p"), x["s"].alias("s"), F.get(item, x["j"] + o).alias("a"), F.get(doc, x["j"] + o + x["s"]).alias("b")))))
+        return F.array_distinct(F.filter(words, lambda x: valued(x["a"])))
+
+    def chosen(faced: Column) -> Column:
+        equal = lambda x: -count(faced, lambda y: (y["s"] == x["s"]) & (F.abs(y["p"] - x["p"]) < window) & (y["a"] == y["b"]))
+        ranked = F.array_sort(F.transform(faced, lambda x: F.struct(x["p"].alias("p"), equal(x).alias("equal"), (-count(faced, lambda y: y["s"] == x["s"])).alias("n"), x["a"].alias("a"), x["b"].alias("b"))))
+        return let(ranked, lambda r: F.filter(r, lambda x, k: ~F.get(r, k - 1)["p"].eqNullSafe(x["p"])))
 
-    def at_shift(s: Column) -> Column:
-        faced = F.transform(item, lambda w, i: F.struct(w.alias("a"), F.get(doc, i + s).alias("b")))
-        slots = F.array_distinct(F.filter(faced, lambda p: F.rlike(p["a"], F.lit(f"^[{NAME}{NUMBER}{UNIT}]")) & (F.substring(p["a"], 1, 1) == F.substring(p["b"], 1, 1))))
-        return let(slots, lambda ps: F.struct((F.size(F.array_distinct(F.transform(ps, lambda p: p["a"]))) == F.size(ps)).alias("consistent"), F.exists(ps, lambda p: p["a"] != p["b"]).alias("changed")))
+    def verdict(places: Column) -> Column:
+        again = F.filter(places, lambda x: count(places, lambda y: y["a"] == x["a"]) > 1)
+        held = lambda x: (x["a"] == x["b"]) | (count(places, lambda y: (y["a"] == x["a"]) & (y["b"] == x["b"])) > 1)
+        same = count(places, lambda x: x["a"] == x["b"])
+        return F.struct(((2 * count(again, held) >= F.size(again)) | (same >= SAME_SHARE * F.size(places))).alias("consistent"), (same < F.size(places)).alias("changed"))
 
     def judged(hs: Column) -> Column:
-        at = F.flatten(F.transform(hs["d"], lambda h, i: F.transform(F.filter(F.transform(hs["i"], lambda g, j: F.when(g == h, i - j)), lambda x: x.isNotNull()), lambda x: x)))
-        results = F.transform(F.array_distinct(at), at_shift)
-        good = F.filter(results, lambda r: r["consistent"])
-        return let(F.struct(F.size(good).alias("n"), F.exists(good, lambda r: ~r["changed"]).alias("same")), lambda g: F.struct((g["n"] > 0).alias("consistent"), (~g["same"]).alias("changed")))
+        found = F.flatten(F.transform(hs["d"], lambda h, i: F.filter(F.transform(hs["i"], lambda g, j: F.when(g == h, F.struct(j.alias("j"), (i - j).alias("s")))), lambda x: x.isNotNull())))
+        enough = lambda near: F.size(F.array_distinct(F.transform(near, lambda x: x["j"]))) >= F.ceil(F.size(hs["i"]) * F.lit(min_coverage))
+        groups = lambda pairs: F.transform(F.array_distinct(F.flatten(F.transform(pairs, lambda x: _cells(x["s"])))), lambda c: F.filter(pairs, lambda x: F.array_contains(_cells(x["s"]), c)))
+        results = F.transform(F.filter(let(found, groups), enough), lambda near: let(let(facing(near), chosen), verdict))
+        return let(F.filter(results, lambda r: r["consistent"]), lambda good: F.struct((F.size(good) > 0).alias("consistent"), (~F.exists(good, lambda r: ~r["changed"])).alias("changed")))
 
     # Only the document's windows that the item has are compared with its places.
     hashes = let(F.struct(window_hashes(marks(item), window).alias("i"), window_hashes(marks(doc), window).alias("d")), lambda x: F.struct(x["i"].alias("i"), F.transform(x["d"], lambda h: F.when(F.array_contains(x["i"], h), h)).alias("d")))

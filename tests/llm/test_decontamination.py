@@ -69,3 +69,22 @@ def test_empty_tables_and_shuffled_join(spark, tables, monkeypatch):
     monkeypatch.setattr(D, "MAX_BROADCAST", 0)
     assert sorted(map(tuple, D.matches(docs, items).collect())) == want
     assert not re.search("Python|Pandas|Arrow", D.matches(docs, items)._jdf.queryExecution().toString())
+
+
+def test_edited_copies_are_found(spark):
+    head, numbers = filler(14, 21), "start 11 42 37 58 64 91 23 75 88 16 29 53 71 34 end"
+    half = head + " Q 12 x 7 y and 12 of 9 were 30 then 12 or 5 made"
+    items = [(1, QUESTION), (2, half), (3, numbers)]
+    docs = [
+        (1, QUESTION[::-1].replace("21", "31", 1)[::-1]),  # the second 12 alone
+        (2, filler(20, 22) + " " + QUESTION[::-1].replace("21", "31", 1)[::-1].replace("Mary", "Mary")),
+        (3, half[: half.index(" then")] + " 4 30 99 " + filler(10, 23) + " 44 12 17"),  # the rest faces other numbers
+        (4, numbers.replace("23 75", "23 new 75")),
+        (5, numbers.replace(" 91 ", " ")),
+        (7, "A farmer named Anna has 40 apples and sells 5 kg of pears to Mary, then Zoe buys 77 more apples for 3 euros " + filler(30, 24) + " more apples for 3 euros"),
+    ]
+    assert docs[0][1] == QUESTION.replace("12 more", "13 more")
+    got = {(r["doc_id"], r["item_id"]): r for r in D.matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert {(1, 1), (2, 1), (3, 2), (4, 3), (5, 3)} <= set(got), sorted(got)
+    assert got[1, 1]["coverage"] == 1.0 and got[1, 1]["reparameterised"]
+    assert (7, 1) not in got
