@@ -1,12 +1,13 @@
 """Language identification by compression: each text is compressed with every language's raw-content dictionary.
 
-A dictionary is DICT_BYTES of text of that language, drawn from at most SAMPLE_ROWS training documents (those of the
-smallest hash of their doc_id). A text is compressed whole, in pieces of PIECE bytes so that the dictionary counts for
+Every language of the training documents has a dictionary: DICT_BYTES of its text, drawn from at most SAMPLE_ROWS documents
+(those of the smallest hash of their doc_id). Texts of MIN_SAMPLE_CHARS to MAX_SAMPLE_CHARS come first, then the beginnings
+of longer ones, then shorter ones, of which up to SHORT_ROWS are taken. A text is compressed whole, in pieces of PIECE bytes so that the dictionary counts for
 all of it, and the language of the smallest total is chosen. Where the runner-up is within MIN_MARGIN of it, the result
 is marked as rejected; the choice itself stays visible.
 
 Null texts, and texts without any letter, are `und` with score 0. Ties go to the more frequent language, then the one that sorts first. Repeated
-rows are judged alike. Languages are at most MAX_LANGS, the most frequent ones, which bounds what the driver holds.
+rows are judged alike. What the driver holds is bounded for each language, and grows with their number.
 """
 
 from __future__ import annotations
@@ -23,33 +24,33 @@ from pyspark.sql.window import Window
 SAMPLE_ROWS, DICT_BYTES, PIECE = 120, 65_536, 16_384
 #: Levels of compression, for all texts and for those below SHORT bytes, of which a few bytes decide.
 LEVEL, SHORT_LEVEL, SHORT = 5, 12, 1_000
-MAX_LANGS, MIN_MARGIN = 200, 0.01
+MIN_MARGIN = 0.01
 LETTER = re.compile(r"[^\W\d_]")
 SIGNS = re.compile(r"[^\w\s]+|[\d_]+")
-MAX_SAMPLE_CHARS = 20_000
+MIN_SAMPLE_CHARS, MAX_SAMPLE_CHARS, SHORT_ROWS = 200, 20_000, 2_000
+#: Up to this number of languages, the ids drawn are broadcast.
+BROADCAST_LANGS = 200
 
 
 def learn(training: DataFrame, sample_rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionaries by language from rows of (doc_id, text, lang)."""
     known = training.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    light = known.where((F.length("text") >= 200) & (F.length("text") <= MAX_SAMPLE_CHARS) & F.col("lang").isin(langs)).select("doc_id", "lang")
-    # Spark keeps the first sample_rows of each group on the map side already.
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    drawn = light.withColumn("nth", nth).where(F.col("nth") <= sample_rows).select("doc_id", "nth")
-    rows = known.join(F.broadcast(drawn), "doc_id").select("lang", "nth", "text").collect()  # sample_rows * MAX_LANGS texts of MAX_SAMPLE_CHARS at most
+    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    n = F.length("text")
+    light = known.select("doc_id", "lang", F.when(n < MIN_SAMPLE_CHARS, 2).when(n > MAX_SAMPLE_CHARS, 1).otherwise(0).alias("kind"))
+    # Spark keeps the first rows of each group on the map side already.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("kind", F.xxhash64("doc_id"), "doc_id"))
+    drawn = light.withColumn("nth", nth).where(F.col("nth") <= max(sample_rows, SHORT_ROWS)).where((F.col("nth") <= sample_rows) | (F.col("kind") == 2)).select("doc_id", "lang", "nth")
+    texts_of = known.select("doc_id", "lang", F.substring("text", 1, MAX_SAMPLE_CHARS).alias("text"))
+    rows = texts_of.join(F.broadcast(drawn) if len(langs) <= BROADCAST_LANGS else drawn, ["doc_id", "lang"]).select("lang", "nth", "text").collect()  # for each language, sample_rows texts of MAX_SAMPLE_CHARS and SHORT_ROWS short ones at most
+    by_lang: dict[str, list] = {}
+    for r in rows:
+        by_lang.setdefault(r["lang"], []).append((r["nth"], r["text"]))
     out: dict[str, bytes] = {}
     for lang in langs:
-        texts = [r["text"] for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["nth"], r["text"]))]
-        data = plain("\n".join(dict.fromkeys(texts)))
+        data = plain("\n".join(dict.fromkeys(t for _, t in sorted(by_lang.get(lang, [])))))
         if data:
             out[lang] = data[:dict_bytes]
-    if not out and langs:  # short texts only
-        rows = known.join(F.broadcast(known.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(sample_rows)), "doc_id").select("lang", "text").collect()
-        for lang in langs:
-            data = plain("\n".join(sorted({r["text"] for r in rows if r["lang"] == lang})))[:dict_bytes]
-            if data:
-                out[lang] = data
     return out
 
 

@@ -88,3 +88,17 @@ def test_language_edges(spark, spoken):
     assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and got[4]["lang_pred"] in found and got[5]["lang_pred"] == "zz"
     assert L.learn(odd) == {}
     assert {r["lang_pred"] for r in L.predict(odd, {}).collect()} == {"und"}
+
+
+def test_every_language_has_a_dictionary(spark, spoken):
+    """Languages of short texts only, of long ones only, and more than 200 of them."""
+    rng = random.Random(12)
+    rows = [(i, (t + " ") * 10, lang) for i, t, lang in spoken]
+    rows += [(1000 + i, " ".join(rng.choice("kivi talo metsä järvi yö".split()) for _ in range(4)), "fi") for i in range(30)]
+    rows += [(2000 + i, " ".join(rng.choice("pohon rumah jalan sungai malam".split()) for _ in range(5000)), "id") for i in range(5)]
+    rows += [(3000 + i, "".join(rng.choice("bcdfgaeiou") for _ in range(250)), f"l{i}") for i in range(210)]
+    found = L.learn(spark.createDataFrame(rows, SCHEMA))
+    assert set(found) == {r[2] for r in rows}
+    assert list(found)[:3] == sorted(list(found)[:3], key=lambda x: (-sum(r[2] == x for r in rows), x))
+    sizer = L.Sizer({x: found[x] for x in ("xx", "yy", "zz", "fi", "id")})
+    assert sizer.predict("metsä talo yö järvi")[0] == "fi" and sizer.predict("sungai malam rumah pohon")[0] == "id"
