@@ -23,13 +23,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
+    """This application's folder below spark.checkpoint.dir, which driver and executors share; deleted when the driver ends.
+
+    Where the session names none, a temporary folder serves in local mode; on a cluster that is an error.
+    """
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="pagequarry-")
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{named.rstrip('/')}/pagequarry-{app}" if named else "file://" + tempfile.mkdtemp(prefix="pagequarry-")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _own_dirs[app] = folder
     return _own_dirs[app]
 
 
@@ -44,6 +50,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, many: str, total: int, how: str = "inner", hot: int = 1000) -> DataFrame:
+    """left joined with right, which has a row a key and in `many` the number of rows that left has of it, of `total`.
+
+    Keys with total / hot rows or more, of which there can be `hot` at most, are broadcast, so none lands in one task.
+    how: inner or left.
+    """
+    is_hot = F.col(many) * hot >= max(1, total)
+    few, rest = right.where(is_hot).drop(many), right.where(~is_hot).drop(many)
+    with_hot = left.join(F.broadcast(few), key)
+    without = left.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key, how)
+    return with_hot.unionByName(without)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, however often body uses it."""
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)

@@ -3,8 +3,8 @@
 A document's set holds the distinct runs of `shingle` words (A-Z as a-z); with fewer words the whole sequence is its one
 element, and without words the set is empty and linked with nothing. Elements are 64-bit hashes.
 
-1. Documents of one set are one class, told apart by a 128-bit digest of the sorted set; the smallest doc_id stands for
-   it. So exact copies, however many, cost one row from here on.
+1. Rows of one set are one class, told apart by a 128-bit digest of the sorted set; one row, of the smallest doc_id,
+   represents it. So exact copies, however many, cost one row from here on.
 2. Each representative has K registers. A register is the minimum of one hash function over the set in 16 bits: the
    count of leading zeros (6 bits) and the MANTISSA bits behind the leading one.
 3. ROWS registers make a band. At similarity 0.8 one of BANDS bands agrees with probability 1 - 3e-6. Buckets up to
@@ -14,10 +14,13 @@ element, and without words the set is empty and linked with nothing. Elements ar
    than four standard errors are dropped; the others are verified on whole sets.
 5. Verified links are closed to components by contraction (each round every node takes the smallest label around it).
 6. Buckets of more than NEAR + 1 rows that still touch several components are searched exhaustively, in pairs of blocks
-   whose rows are compared by their registers and then by their whole sets; only links that join components leave a
-   pair of blocks. Thus no link between different components is lost to step 3's shortcuts.
+   whose rows are compared by their registers; whole sets go only with rows that come near another component's there, and
+   only links that join components leave a pair of blocks. Thus no link between different components is lost to step 3's
+   shortcuts.
 
-Null doc_ids aren't linked. Rows that repeat a doc_id share its class if their sets agree. Empty tables give no rows.
+Documents are rows: a doc_id that repeats with another text doesn't tie the two texts. Rows with a null doc_id are linked
+like others, but a component takes its name from its smallest doc_id that isn't null; a component of null ids alone has
+the name null. `kept` is true where doc_id and component_id are equal or both null. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,11 +34,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagequarry.llm.common import chunks, mix, ngram_hashes, stage, word_hashes
+from pagequarry.llm.common import chunks, join_hot, mix, ngram_hashes, stage, word_hashes
 
 ROWS, BANDS, MANTISSA = 5, 32, 10
 K = ROWS * BANDS
-NEAR, HOT, BLOCK = 6, 4000, 256
+NEAR, HOT, BLOCK = 6, 1000, 256
 #: Lists of ids up to this length, counted first, are broadcast (8 bytes each); longer ones are joined by shuffling.
 MAX_BROADCAST_IDS = 1_000_000
 SHINGLE, PERCENT = 5, 80
@@ -51,6 +54,15 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(ngram_hashes(words, min(n, len(words))))
 
 
+def digest(elements: np.ndarray) -> bytes:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
+
+
+def text_hash(docs: DataFrame) -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(docs["text"]).alias("text_hash")
+
+
 def registers(elements: np.ndarray) -> np.ndarray:
     """K compressed minima of a set as uint16."""
     least = np.full(K, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -79,7 +91,7 @@ def least_estimate(percent: int = PERCENT) -> float:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n (set size), sig (digest of the set; null if empty) and regs for every row of docs."""
+    """doc_id, text_hash, n (set size), sig (digest of the set; null if empty) and regs for every row of docs."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -92,14 +104,15 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 for i in range(b - a):
                     s = shingle_set(h[off[i] : off[i + 1]], shingle)
                     ns.append(len(s))
-                    sig = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                    sig = digest(s) if len(s) else None
                     if sig is not None and sig not in seen:
                         seen[sig] = registers(s).tobytes()
                     sigs.append(sig)
                     regs.append(seen.get(sig))
-                yield pd.DataFrame({"doc_id": ids.iloc[a:b], "n": ns, "sig": sigs, "regs": regs})
+                yield pd.DataFrame({"doc_id": ids.iloc[a:b], "text_hash": part["text_hash"].iloc[a:b], "n": ns, "sig": sigs, "regs": regs})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, sig binary, regs binary")
+    found = docs.select(F.col("doc_id").cast("string"), text_hash(docs), "text").mapInPandas(run, "doc_id string, text_hash long, n long, sig binary, regs binary")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))  # a null among numbers would make pandas round them
 
 
 def bands(reps: DataFrame) -> DataFrame:
@@ -156,32 +169,37 @@ def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ra", "rb").mapInPandas(run, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, s) for the documents of needed (doc_id): the whole sorted set as 64-bit integers."""
+def shingle_sets(docs: DataFrame, needed: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """(id, s) for the representatives of needed (id): the whole sorted set as 64-bit integers."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set[int] = set()  # rows that repeat id and text
         for part in parts:
+            part = part[~part["id"].isin(done) & ~part["id"].duplicated()]
+            done.update(part["id"].tolist())
             texts = part["text"].tolist()
             for i, j in chunks(texts):
                 h, off = word_hashes(texts[i:j], lower=True)
-                yield pd.DataFrame({"doc_id": part["doc_id"].iloc[i:j], "s": [shingle_set(h[off[k] : off[k + 1]], shingle).astype(np.int64) for k in range(j - i)]})
+                yield pd.DataFrame({"id": part["id"].iloc[i:j], "s": [shingle_set(h[off[k] : off[k + 1]], shingle).astype(np.int64) for k in range(j - i)]})
 
-    ids = stage(needed, "dedup-ids")
-    few = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(few, "doc_id", "left_semi")
-    return stage(texts.mapInPandas(run, "doc_id long, s array<long>"), "dedup-sets")
+    ids = stage(needed.join(reps.select("id", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("t")), "id"), "dedup-ids")
+    n = ids.count()
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", text_hash(docs), "text")
+    wanted = texts.join(F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
+    sets = stage(wanted.select("id", "text").mapInPandas(run, "id long, s array<long>"), "dedup-sets")
+    return sets if sets.count() == n else stage(sets.groupBy("id").agg(F.first("s").alias("s")), "dedup-sets")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs whose whole sets are as similar as percent. Only texts of documents in a pair are looked at."""
-    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), shingle)
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), reps, shingle)
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("t")).where(100 * F.col("c") >= percent * (F.col("t") - F.col("c"))).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp) of all nodes of links (a, b): comp is the smallest id that can be reached.
+    """(id, comp) of all nodes of links (a, b) but the smallest of each component: comp is the smallest that can be reached.
 
     Alternates two contractions until nothing changes: every node's larger neighbours, then all its smaller neighbours,
     are tied to the smallest node around it. Rounds grow with the logarithm of the longest path.
@@ -203,37 +221,60 @@ def components(links: DataFrame) -> DataFrame:
 
 def unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
     """(key, id, comp) of buckets above NEAR + 1 rows that touch several components."""
-    known = members.where(F.col("size") > NEAR + 1).join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    return known.join(keys, "key", "left_semi")
+    known = stage(members.where(F.col("size") > NEAR + 1).join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "dedup-known")
+    keys = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("many")).where("lo != hi").select("key", "many")
+    return join_hot(known, keys, "key", "many", known.count())
 
 
 def exhaustive(rows: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links (a, b) that join different components within a bucket, compared block by block.
 
-    A bucket's rows are ordered by whether they belong to its largest component, then by set size, and cut into blocks.
-    Two blocks aren't compared if both lie in that component, or if no two of their sizes are within the limit. In a pair
-    of blocks, registers sift the pairs, whole sets decide, and what has been linked there isn't tried again: at most one
-    link fewer than the blocks have rows comes out.
+    A bucket's rows are split by whether they belong to its largest component and by the step of their set size on a scale
+    of ratio 100 / percent, and dealt to blocks within. Rows of steps further apart than one can't be near each other, nor
+    are rows of the largest component compared among themselves. In a pair of blocks, registers sift the pairs, whole sets
+    decide, and what has been linked there isn't tried again: at most one link fewer than the blocks have rows comes out.
     """
     sized = rows.join(reps.select("id", "n", "regs"), "id")
-    major = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(F.max_by("comp", F.struct("many", "comp")).alias("major"))
-    w = Window.partitionBy("key").orderBy(F.desc("is_major"), "n", "id")
-    marked = sized.join(major, "key").withColumn("is_major", F.col("comp") == F.col("major"))
-    blocked = stage(marked.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int")).drop("major"), "dedup-blocks")
-    about = blocked.groupBy("key", "block").agg(F.min("is_major").alias("all_major"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    pairs = about.alias("p").join(about.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.block") <= F.col("q.block")))
-    near = (100 * F.col("p.hi") >= percent * F.col("q.lo")) & (100 * F.col("q.hi") >= percent * F.col("p.lo"))
-    pairs = pairs.where(near & ~(F.col("p.all_major") & F.col("q.all_major"))).select(F.col("p.key").alias("key"), F.col("p.block").alias("i"), F.col("q.block").alias("j"))
-    ends = pairs.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    sets = shingle_sets(docs, blocked.select(F.col("id").alias("doc_id")).distinct(), shingle).groupBy("doc_id").agg(F.first("s").alias("s"))
-    dealt = ends.join(blocked.join(sets.withColumnRenamed("doc_id", "id"), "id"), ["key", "block"]).select("key", "i", "j", "block", "id", "comp", "n", "regs", "s")
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        i, j = p["i"].iloc[0], p["j"].iloc[0]
-        x, y = p[p["block"] == i], p[p["block"] == j]
+    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_part"))
+    major = parts.groupBy("key").agg(F.max_by("comp", F.struct("n_part", "comp")).alias("major"), F.sum("n_part").alias("many"))
+    marked = join_hot(sized, major, "key", "many", rows.count()).withColumn("is_major", (F.col("comp") == F.col("major")).cast("int")).drop("major")
+    marked = stage(marked.withColumn("step", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")), "dedup-sized")
+    groups = marked.groupBy("key", "is_major", "step").agg(F.count(F.lit(1)).alias("many")).withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int"))
+    groups = stage(groups.withColumn("group", F.xxhash64("key", "is_major", "step")), "dedup-groups")
+    dealt = join_hot(marked.withColumn("group", F.xxhash64("key", "is_major", "step")), groups.select("group", "blocks", "many"), "group", "many", rows.count())
+    blocked = stage(dealt.withColumn("block", F.xxhash64("group", F.pmod(F.xxhash64("id"), F.col("blocks")))).select("block", "id", "comp", "n", "regs"), "dedup-blocks")
+
+    named = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "is_major", "step", F.xxhash64("group", F.col("block").cast("long")).alias("block"))
+    p, q = named.alias("p"), named.alias("q")
+    apart = F.struct("p.is_major", "p.step", "p.block") <= F.struct("q.is_major", "q.step", "q.block")
+    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & apart & (F.abs(F.col("p.step") - F.col("q.step")) <= 1) & (F.col("p.is_major") + F.col("q.is_major") < 2))
+    pairs = pairs.select(F.col("p.block").alias("i"), F.col("q.block").alias("j")).distinct()
+    ends = stage(pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")), "dedup-block-pairs")
+
+    def sift(x: pd.DataFrame, y: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row of x, the rows of y in another component whose sizes and registers come near."""
         rx, ry = (np.frombuffer(b"".join(t["regs"]), dtype=np.uint16).reshape(len(t), K) for t in (x, y))
-        nx, ny, cx, cy, ix, iy, sx, sy = (t[c].to_numpy() for c in ("n", "comp", "id", "s") for t in (x, y))
+        nx, ny, cx, cy = x["n"].to_numpy(), y["n"].to_numpy(), x["comp"].to_numpy(), y["comp"].to_numpy()
+        for k in range(len(x)):
+            fits = 100 * np.minimum(ny, nx[k]) >= percent * np.maximum(ny, nx[k])
+            est = estimate((ry == rx[k]).sum(axis=1), float(nx[k]), ny.astype(float))
+            yield k, np.flatnonzero(fits & (cy != cx[k]) & (est >= least_estimate(percent)))
+
+    def near(part: pd.DataFrame) -> pd.DataFrame:
+        i, j = part["i"].iloc[0], part["j"].iloc[0]
+        x, y = part[part["block"] == i], part[part["block"] == j]
+        ix, iy = x["id"].to_numpy(), y["id"].to_numpy()
+        found = set()
+        for k, at in sift(x, y):
+            if len(at):
+                found.add((i, ix[k]))
+                found.update((j, v) for v in iy[at])
+        return pd.DataFrame([(i, j, block, v) for block, v in found], columns=["i", "j", "block", "id"], dtype="int64")
+
+    def link(part: pd.DataFrame) -> pd.DataFrame:
+        i, j = part["i"].iloc[0], part["j"].iloc[0]
+        x, y = part[part["block"] == i], part[part["block"] == j]
+        cx, cy, ix, iy, sx, sy = (t[c].to_numpy() for c in ("comp", "id", "s") for t in (x, y))
         parent: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -242,10 +283,8 @@ def exhaustive(rows: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int,
             return c
 
         out = []
-        for k in range(len(x)):
-            fits = 100 * np.minimum(ny, nx[k]) >= percent * np.maximum(ny, nx[k])
-            est = estimate((ry == rx[k]).sum(axis=1), float(nx[k]), ny.astype(float))
-            for m in np.flatnonzero(fits & (cy != cx[k]) & (est >= least_estimate(percent))):
+        for k, at in sift(x, y):
+            for m in at:
                 a, b = root(cx[k]), root(cy[m])
                 if a != b:
                     common = len(np.intersect1d(sx[k], sy[m], assume_unique=True))
@@ -254,26 +293,61 @@ def exhaustive(rows: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int,
                         out.append((ix[k], iy[m]))
         return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
 
-    return ordered(dealt.groupBy("key", "i", "j").applyInPandas(run, "x long, y long"))
+    close = stage(ends.join(blocked, "block").groupBy("i", "j").applyInPandas(near, "i long, j long, block long, id long"), "dedup-close")
+    sets = shingle_sets(docs, close.select("id").distinct(), reps, shingle)
+    again = close.join(blocked, ["block", "id"]).join(sets, "id").select("i", "j", "block", "id", "comp", "n", "regs", "s")
+    return ordered(again.groupBy("i", "j").applyInPandas(link, "x long, y long"))
 
 
-def find(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs."""
+def classified(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n and keeper for every row of docs: the row (doc_id, text_hash) that stands for its component.
+
+    keeper is null for an empty set. A null doc_id is a keeper's only where its component has no other.
+    """
     rows = stage(sketches(docs, shingle), "dedup-sketches")
-    classes = rows.where(F.col("sig").isNotNull() & F.col("doc_id").isNotNull()).groupBy("sig").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("regs").alias("regs"))
-    # An id that repeats with other texts stands for no class but its smallest, so that ids of representatives are unique.
-    reps = stage(classes.groupBy("id").agg(F.min_by(F.struct("sig", "n", "regs"), "sig").alias("x")).select("id", "x.sig", "x.n", "x.regs"), "dedup-reps")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    classes = rows.where(F.col("sig").isNotNull()).groupBy("sig").agg(F.min(row).alias("row"), F.count(F.lit(1)).alias("many"), F.min("n").alias("n"), F.min("regs").alias("regs"))
+    reps = stage(classes.withColumn("id", F.monotonically_increasing_id()), "dedup-reps")
     banded = stage(bands(reps), "dedup-bands")
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stage(banded.join(sizes, "key"), "dedup-buckets")
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("many", F.col("size"))
+    members = stage(join_hot(banded, sizes, "key", "many", banded.count()), "dedup-buckets")
     tried = stage(agreeing(bucket_pairs(members), reps, percent), "dedup-pairs")
-    links = stage(verified(tried, docs, shingle, percent), "dedup-links")
+    links = stage(verified(tried, docs, reps, shingle, percent), "dedup-links")
     comps = components(links)
     open_rows = stage(unresolved(members, comps), "dedup-open")
-    more = stage(exhaustive(open_rows, reps, docs, shingle, percent), "dedup-more")
-    if more.limit(1).count():
-        comps = components(links.unionByName(more))
-    whole = reps.select("sig", "id").join(comps, "id", "left").select("sig", F.coalesce("comp", "id").alias("comp"))
-    out = rows.join(whole, "sig", "left")
-    component = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    if open_rows.limit(1).count():
+        more = stage(exhaustive(open_rows, reps, docs, shingle, percent), "dedup-more")
+        if more.limit(1).count():
+            comps = components(links.unionByName(more))
+    nodes = comps.unionByName(comps.select(F.col("comp").alias("id"), "comp").distinct())
+    linked = stage(nodes.join(reps.select("id", "row"), "id"), "dedup-linked")
+    names = linked.groupBy("comp").agg(F.min("row").alias("keeper"), F.count(F.lit(1)).alias("many"))
+    keepers = join_hot(linked.select("id", "comp"), names, "comp", "many", linked.count()).select("id", "keeper")
+    whole = stage(reps.select("sig", "id", "row", "many").join(keepers, "id", "left").select("sig", "many", F.coalesce("keeper", "row").alias("keeper")), "dedup-classes")
+    out = join_hot(rows.select("sig", "doc_id", "text_hash", "n"), whole, "sig", "many", rows.count(), "left")
+    return out.select("doc_id", "text_hash", "n", F.when(F.col("keeper").isNotNull(), F.struct("keeper.doc_id", "keeper.text_hash")).alias("keeper"))
+
+
+def find(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs."""
+    component = F.when(F.col("keeper").isNull(), F.col("doc_id")).otherwise(F.col("keeper.doc_id"))
+    return classified(docs, shingle, percent).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs with one row left of each component, that of the smallest doc_id; rows without words all stay.
+
+    Rows are told apart by doc_id and text, so no text goes because another one has its id. Of rows equal in both, one
+    stays, whichever if they differ in other columns.
+    """
+    found = stage(classified(docs, shingle, percent).where(F.col("keeper").isNotNull()), "dedup-found")
+    is_keeper = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_hash") == F.col("keeper.text_hash"))
+    dropped = stage(found.where(~is_keeper).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "dedup-dropped")
+    repeated = stage(found.where(is_keeper).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).count().where("count > 1").drop("count"), "dedup-repeated")
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    few = lambda keys: F.broadcast(keys) if keys.count() <= MAX_BROADCAST_IDS else keys
+    left = docs.join(few(dropped), same, "left_anti")
+    if not repeated.limit(1).count():
+        return left
+    once = docs.join(few(repeated), same).dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    return left.join(few(repeated), same, "left_anti").unionByName(once)

@@ -97,7 +97,57 @@ def test_word_hashes_tell_words_apart():
     assert h[0] == h[3] == h[4] and h[1] == h[2] and h[0] != h[1]
 
 
+def row_components(rows, n, percent=80):
+    """Names by row, of rows (doc_id, text) that may repeat ids: the smallest id of the rows that can be reached."""
+    comps = plain_components(list(enumerate(t for _, t in rows)), n, percent)
+    sets = plain_sets(list(enumerate(t for _, t in rows)), n)
+    members = {}
+    for k, c in comps.items():
+        members.setdefault(c, []).append(rows[k][0])
+    names = {c: min((i for i in ids if i is not None), default=None) for c, ids in members.items()}
+    return [rows[k][0] if not sets[k] else names[comps[k]] for k in range(len(rows))]
+
+
+def test_repeated_and_null_ids_agree_with_all_pairs(spark, rows):
+    rng = random.Random(8)
+    odd = [(rng.choice([None, i, i % 7, 2**60 + i % 5]), t) for i, t in rows]
+    want = sorted((str(r[0]), str(w), r[0] == w) for r, w in zip(odd, row_components(odd, 5)))
+    got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in N.find(spark.createDataFrame(odd, SCHEMA)).collect())
+    assert got == want
+
+
+def test_deduplicate_keeps_one_row_of_every_component(spark, rows):
+    rng = random.Random(9)
+    odd = [(rng.choice([None, i, i % 7]), t) for i, t in rows]
+    odd += odd[:30]
+    left = [tuple(r) for r in N.deduplicate(spark.createDataFrame([(i, t, "x") for i, t in odd], SCHEMA + ", text_hash string")).select("doc_id", "text").collect()]
+    sets = plain_sets(list(enumerate(t for _, t in odd)), 5)
+    comps = plain_components(list(enumerate(t for _, t in odd)), 5)
+    assert sum(1 for _, t in left if (t or "").strip()) == len({comps[k] for k in sets if sets[k]})
+    assert sum(1 for _, t in left if not (t or "").strip()) == sum(1 for k in sets if not sets[k])
+    smallest = {}
+    for k, (i, _) in enumerate(odd):
+        if sets[k] and i is not None:
+            smallest[comps[k]] = min(i, smallest.get(comps[k], i))
+    assert sorted(i for i, t in left if (t or "").strip() and i is not None) == sorted(smallest.values())
+
+
+def test_texts_under_one_id_stay_apart(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (2, c)], SCHEMA)
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in N.find(df).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False), (2, 2, True), (3, 1, False)]
+    assert sorted(tuple(r) for r in N.deduplicate(df).collect()) == sorted([(1, a), (1, b), (2, c)])
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    got = {r["doc_id"]: r["component_id"] for r in N.find(spark.createDataFrame([(1, long), (2, long.upper()), (3, long + " end"), (4, long[: len(long) // 2])], SCHEMA)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_empty_table_repeats_and_null_ids(spark):
-    assert N.find(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert N.find(spark.createDataFrame([], SCHEMA)).count() == 0 and N.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = N.find(spark.createDataFrame([(7, "a b c d e f")] * 4 + [(9, "a b c d e f"), (None, "a b c d e f")], SCHEMA)).collect()
-    assert len(rows) == 6 and {r["component_id"] for r in rows} == {7}
+    assert len(rows) == 6 and {r["component_id"] for r in rows} == {7} and sorted(r["kept"] for r in rows) == [False, False, True, True, True, True]
+    nameless = N.find(spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e g"), (None, "")], SCHEMA)).collect()
+    assert all(r["component_id"] is None and r["kept"] for r in nameless)
