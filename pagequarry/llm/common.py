@@ -63,6 +63,21 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, many: str, total: int,
     return with_hot.unionByName(without)
 
 
+def numbered(df: DataFrame, order: list[str], into: str) -> DataFrame:
+    """df with a gapless number from 0 in the order of its columns `order`.
+
+    Rows are dealt to ranges and numbered there; only the rows counted in each range, a row a task, reach the driver.
+    """
+    sort = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, counts, before = F.shiftright("__at", 33), [], 0
+    for r in sort.groupBy(part.alias("part")).count().orderBy("part").collect():
+        counts.append((r["part"], before))
+        before += r["count"]
+    starts = df.sparkSession.createDataFrame(counts, "__part long, __before long")
+    inside = F.col("__at") - F.shiftleft(part, 33)
+    return sort.join(F.broadcast(starts), part == F.col("__part")).withColumn(into, F.col("__before") + inside).drop("__at", "__part", "__before")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, however often body uses it."""
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)

@@ -3,82 +3,93 @@
 Each source s has a target of T_s words. Of all rates w_i in [0, MAX_COPIES] for the documents that meet the targets, the
 ones nearest to 1 in relative entropy are w_i = min(MAX_COPIES, exp(lambda_s * z_i)), where z_i is the document's size
 over its source's mean size in words, cut at Z_MAX: an exponential tilt. The dual is concave in one lambda a source and
-is solved by Newton steps (kept inside a shrinking bracket, since the cap bends it) whose sums over all documents are
-aggregated on the executors; only a row a source comes back.
+is solved by distributed Newton steps (kept inside a shrinking bracket, since the cap bends it). Targets, duals and
+brackets are tables with a row a source, so the number of sources isn't bounded; the driver sees scalars only.
 
-The rates are then rounded into whole copies. Documents above 1/GRAIN of their source, of which there can be GRAIN a
-source at most, are rounded on the driver so that they come as near to their part of the target as they can. For all
-others a hash of the document decides who gets the copy that rounding leaves open: those whose hash over their open part
-is smallest, up to the place where the source's target is met; that place is found by two passes over fixed-size
-histograms. So the words taken differ from the target by about one small document, and reruns agree.
+The rates are then rounded into whole copies. Documents above 1/GRAIN of their source, of which there are fewer than GRAIN
+a source, are rounded together so that they come as near to their part of the target as they can. For all others a hash
+of the document decides who gets the copy that rounding leaves open: those whose hash over their open part is smallest,
+up to the place where the source's target is met; PASSES passes narrow that place down, each by a histogram of BINS bins
+a source. So the words taken differ from the target by about one small document, and reruns agree.
 
-Null and blank texts have size 0 and add nothing. A null source is a source of its own. Sources are at most MAX_SOURCES,
-else an error is raised. Equal rows share a hash, hence get copies together.
+Null and blank texts have size 0 and add nothing. A null source is a source of its own. Null ids are told apart by their
+texts. Rows of one doc_id and text share a hash, hence get copies together. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagequarry.llm.common import n_words_of, stage
+from pagequarry.llm.common import join_hot, n_words_of, numbered, stage
 
-MAX_COPIES, GRAIN, BINS, Z_MAX, STEPS = 3, 1000, 2048, 8.0, 12
-MAX_SOURCES = 20_000
+MAX_COPIES, GRAIN, BINS, PASSES, Z_MAX, MAX_STEPS = 3, 1000, 2048, 4, 8.0, 200
+#: Relative error of a source's words at which its dual counts as solved.
+TOLERANCE = 1e-4
+#: Tables of sources up to this length, counted first, are broadcast; of longer ones only the hot sources are.
+BROADCAST_SOURCES = 100_000
 WEIGHTS = (1, 2, 3)
 
 
-def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> dict[str | None, float]:
-    """Target by source: weights repeat over the sources in order of code points, null last; none above most times its size."""
-    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    total = float(sum(sizes.values()))
-    capped: set = set()
+def attach(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows joined by skey with a table that has a row a source and its number of rows as `many`."""
+    counted = table.agg(F.count(F.lit(1)).alias("n"), F.sum("many").alias("rows")).first()
+    if counted["n"] <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(table.drop("many")), "skey")
+    return join_hot(rows, table, "skey", "many", counted["rows"])
+
+
+def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
+    """sums (skey, total, ...) with weight and target: weights repeat over the sources by code point, null last.
+
+    No target is above `most` times its source's size; what such a source leaves is shared by the others' weights. That
+    is the least of most * total and level * weight, for the level at which the targets add up to all words.
+    """
+    listed = F.array(*[F.lit(float(w)) for w in weights])
+    weighed = stage(numbered(sums, ["skey"], "rank").withColumn("weight", F.get(listed, F.pmod("rank", F.lit(len(weights))).cast("int"))).drop("rank"), "mix-weights")
+    room = F.col("total") * float(most)
+    words = weighed.agg(F.sum("total")).first()[0] or 0
+    level, capped = 0.0, -1
     while True:
-        free = [s for s in order if s not in capped]
-        left = total - sum(float(most * sizes[s]) for s in capped)
-        share = sum(weight[s] for s in free)
-        at = {s: left * weight[s] / share for s in free}
-        over = [s for s in free if at[s] > most * sizes[s]]
-        if not over:
-            return {s: at[s] if s in at else float(most * sizes[s]) for s in order}
-        capped.update(over)
-
-
-def solve(rows: DataFrame, sources: pd.DataFrame, steps: int = STEPS) -> dict[int, float]:
-    """lambda by source number. rows: (sid, size, n), the number of documents of each size; sources: sid, mean, target, total."""
-    spark = rows.sparkSession
-    state = {int(r.sid): {"lo": -60.0, "hi": 60.0, "x": 0.0, "t": float(r.target), "mean": float(r.mean), "all": float(r.total)} for r in sources.itertuples()}
-    live = {s for s, v in state.items() if 0 < v["t"] < MAX_COPIES * v["all"]}
-    for s in set(state) - live:
-        state[s]["x"] = 60.0 if state[s]["t"] > 0 else -60.0
-    for _ in range(steps):
-        if not live:
-            break
-        now = spark.createDataFrame([(s, state[s]["x"], state[s]["mean"]) for s in sorted(live)], "sid int, x double, mean double")
+        full = room < level * F.col("weight")
+        r = weighed.agg(F.sum(F.when(full, room).otherwise(0.0)).alias("room"), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("weight"), F.sum(full.cast("long")).alias("n")).first()
+        if not r["weight"] or r["n"] == capped:
+            return weighed.withColumn("target", F.least(room, F.lit(level) * F.col("weight")))
+        level, capped = (words - r["room"]) / r["weight"], r["n"]
+
+
+def solve(by_size: DataFrame, sources: DataFrame, tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS) -> DataFrame:
+    """sources (skey, many, total, mean, target) with the dual x. by_size: (skey, size, n), the documents of each size.
+
+    Every step sums the words taken at x and their derivative over all sizes and moves the x of each source that isn't
+    solved yet, by Newton or, where that leaves its bracket, to the bracket's middle.
+    """
+    none, all_ = F.col("target") <= 0, F.col("target") >= MAX_COPIES * F.col("total")
+    x = F.when(none, -60.0).when(all_, 60.0).otherwise(0.0)
+    state = stage(sources.withColumns({"x": x, "lo": F.lit(-60.0), "hi": F.lit(60.0), "solved": none | all_}), "mix-duals")
+    for _ in range(max_steps):
+        if not state.where(~F.col("solved")).limit(1).count():
+            return state
         z = F.least(F.col("size") / F.col("mean"), F.lit(Z_MAX))
         w = F.exp(F.col("x") * z)
-        sums = rows.join(F.broadcast(now), "sid").groupBy("sid").agg(F.sum(F.col("n") * F.col("size") * F.least(w, F.lit(float(MAX_COPIES)))).alias("g"), F.sum(F.when(w < MAX_COPIES, F.col("n") * F.col("size") * z * w).otherwise(0.0)).alias("h")).collect()
-        for r in sums:
-            v = state[r["sid"]]
-            off = r["g"] - v["t"]
-            if abs(off) <= 1e-4 * v["t"]:
-                live.discard(r["sid"])
-                continue
-            v["hi" if off > 0 else "lo"] = v["x"]
-            step = v["x"] - off / r["h"] if r["h"] > 0 else math.inf
-            v["x"] = step if v["lo"] < step < v["hi"] else (v["lo"] + v["hi"]) / 2
-    return {s: v["x"] for s, v in state.items()}
-
-
-def hashed(key: Column) -> Column:
+        at = attach(by_size, state.where(~F.col("solved")).select("skey", "many", "mean", "x"))
+        words = F.col("n") * F.col("size")
+        sums = at.groupBy("skey").agg(F.sum(words * F.least(w, F.lit(float(MAX_COPIES)))).alias("g"), F.sum(F.when(w < MAX_COPIES, words * z * w).otherwise(0.0)).alias("h"))
+        off = F.col("g") - F.col("target")
+        joined = state.join(sums, "skey", "left").withColumn("near", F.col("solved") | F.coalesce(F.abs(off) <= tolerance * F.col("target"), F.lit(True)))
+        moved = joined.withColumn("hi", F.when(off > 0, F.col("x")).otherwise(F.col("hi"))).withColumn("lo", F.when(off > 0, F.col("lo")).otherwise(F.col("x")))
+        newton = F.when(F.col("h") > 0, F.col("x") - off / F.col("h"))
+        step = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
+        state = stage(moved.withColumn("x", F.when(F.col("near"), F.col("x")).otherwise(step)).withColumn("solved", F.col("near")).select(*state.columns), "mix-duals")
+    raise ArithmeticError(f"duals unsolved after {max_steps} steps")
+
+
+def hashed(*key: Column) -> Column:
     """A number in (0, 1) from a key."""
-    return (F.xxhash64(key, F.lit(0xB1E4D)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
+    return (F.xxhash64(*key, F.lit(0xB1E4D)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
 
 
 def round_large(rates: np.ndarray, sizes: np.ndarray, target: float, order: np.ndarray) -> np.ndarray:
@@ -96,75 +107,60 @@ def round_large(rates: np.ndarray, sizes: np.ndarray, target: float, order: np.n
     return copies
 
 
+def rounded_large(large: DataFrame) -> DataFrame:
+    """large (skey, doc_id, size, rate, u, ...) with copies; fewer than GRAIN rows a source."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["size", "u", "doc_id"], ascending=[False, True, True])
+        sizes = part["size"].to_numpy(dtype=float)
+        return part.assign(copies=round_large(part["rate"].to_numpy(), sizes, float((part["rate"] * sizes).sum()), part["u"].to_numpy()).astype(np.int32))
+
+    kind = large.schema["doc_id"].dataType
+    named = large.withColumn("doc_id", F.col("doc_id").cast("string"))  # a null among numbers would make pandas round them
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema) + ", copies int"
+    return named.groupBy("skey").applyInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def edges(small: DataFrame, need: DataFrame) -> DataFrame:
+    """skey, many, edge: the priority p up to which the rows of small (skey, size, p) fit into need (skey, many, need) words."""
+    state = stage(need.withColumns({"lo": F.lit(0.0), "width": F.lit(64.0), "got": F.lit(0.0)}), "mix-edges")
+    for _ in range(PASSES):  # each narrows the place BINS-fold
+        at = attach(small.where((F.col("size") > 0) & F.col("p").isNotNull()).select("skey", "size", "p"), state.where("width > 1e-12").select("skey", "many", "lo", "width"))
+        place = F.floor((F.col("p") - F.col("lo")) / F.col("width") * BINS)
+        inside = at.where((F.col("p") >= F.col("lo")) & (F.col("p") < F.col("lo") + F.col("width")))
+        bins = inside.groupBy("skey", F.least(place, F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.sum("size").alias("s"))
+        upto = F.col("got") + F.sum("s").over(Window.partitionBy("skey").orderBy("bin"))  # BINS rows a source at most
+        found = bins.join(state, "skey").withColumn("upto", upto).groupBy("skey").agg(F.min(F.when(F.col("upto") > F.col("need"), F.col("bin"))).alias("bin"), F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))).alias("upto"))
+        joined = state.join(found.withColumn("seen", F.lit(True)), "skey", "left")
+        beyond = F.col("seen") & F.col("bin").isNull()
+        lo = F.when(beyond, F.col("lo") + F.col("width")).otherwise(F.col("lo") + F.coalesce(F.col("width") * F.col("bin") / BINS, F.lit(0.0)))
+        width = F.when(beyond, 0.0).when(F.col("seen"), F.col("width") / BINS).otherwise(F.col("width"))
+        state = stage(joined.select("skey", "many", "need", lo.alias("lo"), width.alias("width"), F.coalesce("upto", "got").alias("got")), "mix-edges")
+    return state.select("skey", "many", F.col("lo").alias("edge"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies and taken for every row of docs."""
-    spark = docs.sparkSession
-    rows = stage(docs.select("doc_id", "source", n_words_of(F.col("text")).alias("size")), "mix-sizes")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("total"), F.sum((F.col("size") > 0).cast("long")).alias("n"), F.sum(F.col("size").cast("double") * F.col("size")).alias("sq")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    target = targets({r["source"]: r["total"] for r in sums}, weights) if sums else {}
-    listed = sorted(sums, key=lambda r: (r["source"] is None, r["source"] or ""))
-    sources = pd.DataFrame([(i, r["source"], float(target[r["source"]]), int(r["total"]), r["total"] / max(1, r["n"])) for i, r in enumerate(listed)], columns=["sid", "source", "target", "total", "mean"])
-    known = "sid int, source string, target double, total long, mean double"
-    as_rows = [tuple(x) for x in sources.astype(object).itertuples(index=False)]
-    table = spark.createDataFrame([(int(a), b if isinstance(b, str) else None, float(c), int(d), float(e)) for a, b, c, d, e in as_rows], known)
-    numbered = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["source"])).select(rows["doc_id"], rows["source"], "size", "sid", "target", "total", "mean")
-    by_size = stage(numbered.where(F.col("size") > 0).groupBy("sid", "size").agg(F.count(F.lit(1)).alias("n")), "mix-by-size")
-    x = solve(by_size, sources)
-
-    tilt = spark.createDataFrame([(s, float(v)) for s, v in sorted(x.items())], "sid int, x double")
+    """doc_id, text_hash, source, size, source_size, target, rate, copies and taken for every row of docs."""
+    key = F.when(F.col("source").isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
+    rows = stage(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", key.alias("skey"), n_words_of(F.col("text")).alias("size")), "mix-sizes")
+    by_size = stage(rows.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n")), "mix-by-size")
+    sums = by_size.groupBy("skey").agg(F.sum("n").alias("many"), F.sum(F.col("n") * F.col("size")).alias("total"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("filled"))
+    sources = targets(sums, weights).withColumn("mean", F.col("total") / F.greatest("filled", F.lit(1)))
+    duals = solve(by_size.where("size > 0"), sources.select("skey", "many", "total", "mean", "target"))
+
     rate = F.least(F.lit(float(MAX_COPIES)), F.exp(F.col("x") * F.least(F.col("size") / F.greatest("mean", F.lit(1e-9)), F.lit(Z_MAX))))
-    rated = numbered.join(F.broadcast(tilt), "sid").withColumn("rate", F.when(F.col("target") <= 0, 0.0).when(F.col("target") >= MAX_COPIES * F.col("total"), float(MAX_COPIES)).otherwise(rate))
-    key = F.col("doc_id")
-    rated = rated.withColumn("u", hashed(key)).withColumn("is_large", F.col("size") * GRAIN > F.col("total"))
-
-    large = rated.where("is_large").select("sid", "doc_id", "size", "rate", "u").toPandas()  # GRAIN rows a source at most
-    goal: dict[int, float] = {int(r.sid): r.target for r in sources.itertuples()}
-    picked = []
-    for sid, part in large.groupby("sid"):
-        part = part.sort_values(["size", "u", "doc_id"], ascending=[False, True, True])
-        copies = round_large(part["rate"].to_numpy(), part["size"].to_numpy(dtype=float), float((part["rate"] * part["size"]).sum()), part["u"].to_numpy())
-        goal[int(sid)] -= float((copies * part["size"].to_numpy()).sum())
-        for k in range(len(part)):
-            picked.append((int(sid), None if pd.isna(part["doc_id"].iloc[k]) else int(part["doc_id"].iloc[k]), int(part["size"].iloc[k]), int(copies[k]), k))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    rated = attach(rows, duals.select("skey", "many", "total", "mean", "target", "x")).withColumn("rate", F.when(F.col("target") <= 0, 0.0).when(F.col("target") >= MAX_COPIES * F.col("total"), float(MAX_COPIES)).otherwise(rate))
+    rated = rated.withColumn("u", hashed(F.col("doc_id"), F.col("text_hash"))).drop("mean", "x")
+    is_large = F.col("size") * GRAIN > F.col("total")
+    large = stage(rounded_large(rated.where(is_large)), "mix-large")
 
     # Small documents: floor(rate) copies each, and one more for the smallest priorities u / open part.
-    small = rated.where(~F.col("is_large")).withColumn("base", F.floor("rate").cast("int")).withColumn("open", F.col("rate") - F.floor("rate"))
+    small = rated.where(~is_large).withColumn("base", F.floor("rate").cast("int")).withColumn("open", F.col("rate") - F.floor("rate"))
     priority = F.when(F.col("open") > 0, F.col("u") / F.col("open")).otherwise(F.lit(1e18) * F.col("u"))
-    small = small.withColumn("p", F.when(F.col("base") >= MAX_COPIES, F.lit(None).cast("double")).otherwise(F.log1p(priority)))
-    based = {r["sid"]: (r["b"] or 0) for r in small.groupBy("sid").agg(F.sum(F.col("base") * F.col("size")).alias("b")).collect()}
-    need = {s: goal[s] - based.get(s, 0) for s in goal}
-    lo, width = dict.fromkeys(goal, 0.0), dict.fromkeys(goal, 64.0)
-    got = dict.fromkeys(goal, 0.0)
-    for _ in range(4):  # each pass narrows the place BINS-fold
-        edges = spark.createDataFrame([(s, lo[s], width[s]) for s in goal], "sid int, lo double, width double")
-        bins = F.least(F.floor((F.col("p") - F.col("lo")) / F.col("width") * BINS), F.lit(BINS - 1)).cast("int")
-        inside = small.where(F.col("size") > 0).join(F.broadcast(edges), "sid").where((F.col("p") >= F.col("lo")) & (F.col("p") < F.col("lo") + F.col("width"))).withColumn("bin", bins)
-        hist = inside.groupBy("sid", "bin").agg(F.sum("size").alias("s")).toPandas().sort_values(["sid", "bin"])  # BINS rows a source at most
-        parts = dict(list(hist.groupby("sid")))
-        for s in goal:
-            if s not in parts:
-                continue
-            upto = got[s] + np.cumsum(parts[s]["s"].to_numpy())
-            k = int(np.searchsorted(upto, need[s], side="right"))
-            if k < len(upto):
-                got[s] = float(upto[k - 1]) if k else got[s]
-                lo[s], width[s] = lo[s] + width[s] * float(parts[s]["bin"].iloc[k]) / BINS, width[s] / BINS
-            else:
-                got[s] = float(upto[-1])
-                lo[s], width[s] = lo[s] + width[s], 0.0
-        if all(w <= 1e-12 for w in width.values()):
-            break
-        width = {s: max(w, 1e-13) for s, w in width.items()}
-    edges = spark.createDataFrame([(s, lo[s]) for s in goal], "sid int, edge double")
-    small_out = small.join(F.broadcast(edges), "sid").withColumn("copies", F.col("base") + F.when(F.col("p") < F.col("edge"), 1).otherwise(0))
-
-    plan = spark.createDataFrame(picked, f"sid int, doc_id {kind}, size long, copies int, nth int").groupBy("sid", "doc_id", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("all"))
-    large_rows = rated.where("is_large").withColumn("nth", F.row_number().over(Window.partitionBy("sid", "doc_id", "size").orderBy("u")))
-    joined = large_rows.join(F.broadcast(plan), (large_rows["sid"] == plan["sid"]) & large_rows["doc_id"].eqNullSafe(plan["doc_id"]) & (large_rows["size"] == plan["size"]))
-    large_out = joined.select(large_rows["doc_id"], large_rows["source"], large_rows["size"], large_rows["total"], large_rows["target"], large_rows["rate"], F.get("all", F.col("nth") - 1).alias("copies"))
-    cols = ["doc_id", "source", "size", F.col("total").alias("source_size"), "target", "rate", F.col("copies").cast("int").alias("copies")]
-    out = large_out.select(*cols).unionByName(small_out.select(*cols))
-    return out.withColumn("taken", F.col("copies").cast("long") * F.col("size"))
+    small = stage(small.withColumn("p", F.when(F.col("base") >= MAX_COPIES, F.lit(None).cast("double")).otherwise(F.log1p(priority))).drop("u", "open"), "mix-small")
+    sure = large.select("skey", (F.col("copies") * F.col("size")).alias("s")).unionByName(small.select("skey", (F.col("base") * F.col("size")).alias("s"))).groupBy("skey").agg(F.sum("s").alias("sure"))
+    need = duals.select("skey", "many", "target").join(sure, "skey", "left").select("skey", "many", (F.col("target") - F.coalesce("sure", F.lit(0))).alias("need"))
+    chosen = attach(small, edges(small, need)).withColumn("copies", F.col("base") + F.when(F.col("p") < F.col("edge"), 1).otherwise(0))
+
+    cols = ["doc_id", "text_hash", "source", "size", F.col("total").alias("source_size"), "target", "rate", F.col("copies").cast("int").alias("copies")]
+    return large.select(*cols).unionByName(chosen.select(*cols)).withColumn("taken", F.col("copies").cast("long") * F.col("size"))

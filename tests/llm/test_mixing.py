@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -14,13 +15,68 @@ def make(spark, n=4000, seed=2):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def test_targets():
-    t = M.targets({"a": 100, "b": 100, "c": 100, None: 100})
-    assert sum(t.values()) == pytest.approx(400)
-    assert t["b"] == pytest.approx(2 * t["a"]) and t["c"] == pytest.approx(3 * t["a"]) and t[None] == pytest.approx(t["a"])
-    t = M.targets({"a": 10, "b": 10, "c": 980})
-    assert t["a"] == 30 and t["b"] == 30 and t["c"] == pytest.approx(940)
-    assert M.targets({"a": 0, "b": 0}) == {"a": 0, "b": 0}
+def plain_targets(sizes, weights=(1, 2, 3), most=3):
+    """Round by round: share what is left by weight, fix the sources above their limit."""
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    capped = {}
+    while True:
+        free = [s for s in order if s not in capped]
+        left = sum(sizes.values()) - sum(capped.values())
+        at = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = [s for s in free if at[s] > most * sizes[s]]
+        if not over:
+            return at | capped
+        capped |= {s: most * sizes[s] for s in over}
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 100, "c": 100, None: 100}, {"a": 10, "b": 10, "c": 980}, {"a": 0, "b": 0}, {"é": 5, "z": 7, "Z": 900, "": 1, None: 3}, {f"s{i}": i * i for i in range(60)}])
+def test_targets(spark, sizes):
+    sums = spark.createDataFrame([("t" if s is None else "s" + s, n) for s, n in sizes.items()], "skey string, total long")
+    got = {None if r["skey"] == "t" else r["skey"][1:]: r["target"] for r in M.targets(sums).collect()}
+    assert got == pytest.approx(plain_targets(sizes))
+
+
+def plain_dual(sizes, target):
+    """By bisection: x at which the capped tilt takes the target's words."""
+    mean = sum(sizes) / len(sizes)
+    lo, hi = -60.0, 60.0
+    for _ in range(200):
+        x = (lo + hi) / 2
+        lo, hi = (lo, x) if sum(n * min(3, math.exp(x * min(n / mean, 8))) for n in sizes) > target else (x, hi)
+    return x
+
+
+def test_duals_agree_with_bisection(spark):
+    rng = random.Random(4)
+    by_source = {f"s{k}": [1 + int(rng.paretovariate(1.1) * 4) for _ in range(200)] for k in range(12)}
+    want = {k: plain_dual(v, sum(v) * (0.05 + 0.24 * i)) for i, (k, v) in enumerate(by_source.items())}
+    by_size = spark.createDataFrame([(k, n) for k, v in by_source.items() for n in v], "skey string, size long").groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n"))
+    table = spark.createDataFrame([(k, len(v), sum(v), sum(v) / len(v), sum(v) * (0.05 + 0.24 * i)) for i, (k, v) in enumerate(by_source.items())], "skey string, many long, total long, mean double, target double")
+    got = {r["skey"]: r["x"] for r in M.solve(by_size, table, tolerance=1e-9).collect()}
+    assert got == pytest.approx(want, rel=1e-4, abs=1e-6)
+
+
+def test_more_sources_than_are_broadcast(spark, monkeypatch):
+    df = make(spark)
+    want = sorted(map(str, M.mix(df).select("doc_id", "copies").collect()))
+    monkeypatch.setattr(M, "BROADCAST_SOURCES", 1)
+    assert sorted(map(str, M.mix(df).select("doc_id", "copies").collect())) == want
+
+
+def test_many_sources_meet_the_targets(spark):
+    rows = M.mix(spark.range(30000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 3000).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text")))
+    per = rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.min("size").alias("least")).toPandas()
+    assert len(per) == 3000 and ((per["taken"] - per["target"]).abs() <= per["least"]).mean() > 0.99
+
+
+def test_repeated_ids_of_other_texts_and_null_ids(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, i % 50, 2**60 + i]), " ".join(["w"] * rng.randint(1, 40)) + f" {i}", "a" if i % 3 else "b") for i in range(600)]
+    got = M.mix(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    assert len(got) == 600
+    for _, part in got.groupby("source"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 45
 
 
 def test_taken_words_meet_the_targets(spark):
