@@ -39,11 +39,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows without an id once."""
-    copies = mixing.mix(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("copies").alias("__copies"))
+    """Each row as often as the mix takes it."""
+    copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.max("copies").alias("__copies"))
     copies = stage(copies.where("__copies <> 1"), "pipeline-copies")
-    joined = docs.join(F.broadcast(copies) if copies.count() <= MAX_BROADCAST_IDS else copies, "doc_id", "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
-    return joined.where(F.col("__copies") > 0).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    joined = docs.join(F.broadcast(copies) if copies.count() <= MAX_BROADCAST_IDS else copies, same, "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
+    return joined.where(F.col("__copies") > 0).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
