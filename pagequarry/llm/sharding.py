@@ -4,13 +4,14 @@ Every shard owns some virtual nodes on a ring of 2^63 points; a row belongs to t
 own hash. No shard may hold more than (1 + epsilon) times the mean of the sizes: what a full shard can't take goes on
 clockwise to the next shard that has room.
 
-How it is spread out: the arcs of the ring are few and their number doesn't depend on the data, so their total sizes
-are summed on the executors and only those sums reach the driver, which decides for each arc what ranges of its
-cumulative size go to which shard. Rows above 1/GRAIN of a shard's mean, of which there can be n_shards * GRAIN at most
-whatever the input, are placed one by one; every other row is so small that a range's ragged end can't matter. The
+How it is spread out: rows are sorted by arc of the ring and position over many tasks, each task sums up its part of each
+arc, and only those sums (one a task, and one more for each arc) reach the driver, which decides for each arc what ranges
+of its cumulative size go to which shard. Rows above 1/GRAIN of a shard's mean, of which there can be n_shards * GRAIN at
+most whatever the input, are placed one by one; every other row is so small that a range's ragged end can't matter. The
 law kept is `bytes`: no shard is above (1 + epsilon) of the mean while any row fits, and hence none is far below.
 
-Null texts have size 8 and crc32 0. Equal rows are rows of their own: each gets a slot. An empty table gives no rows.
+Null texts have size 8 and crc32 0. A null key has the place of its text, so that such rows don't meet in one arc. Equal
+rows are rows of their own: each gets a slot. An empty table gives no rows. Carried columns keep their values.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ def ring(n_shards: int, vnodes: int = VNODES) -> tuple[list[int], list[int]]:
     return [p for p, _ in nodes], [s for _, s in nodes]
 
 
-def ring_position(key: Column) -> Column:
-    return F.xxhash64(key, F.lit(0x5EED)).bitwiseAND(F.lit(RING_MASK))
+def ring_position(key: Column, text: Column) -> Column:
+    return F.coalesce(F.when(key.isNotNull(), F.xxhash64(key, F.lit(0x5EED))), F.xxhash64(text, F.lit(0x5EED))).bitwiseAND(F.lit(RING_MASK))
 
 
 def arc_of(position: Column, points: list[int]) -> Column:
@@ -102,7 +103,7 @@ def place(docs: DataFrame, n_shards: int = 24, vnodes: int = VNODES, epsilon: fl
     spark = docs.sparkSession
     points, owners = ring(n_shards, vnodes)
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 8
-    rows = docs.select(F.col(key).alias("k"), size.alias("size"), F.coalesce(F.crc32(F.col(text)), F.lit(0)).cast("long").alias("crc"), ring_position(F.col(key)).alias("pos"), *[F.col(c).alias(f"c_{c}") for c in carry])
+    rows = docs.select(F.col(key).alias("k"), size.alias("size"), F.coalesce(F.crc32(F.col(text)), F.lit(0)).cast("long").alias("crc"), ring_position(F.col(key), F.col(text)).alias("pos"), *[F.col(c).alias(f"c_{c}") for c in carry])
     rows = stage(rows.withColumn("arc", arc_of(F.col("pos"), points)), "shard-rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     plan = Plan(owners, n_shards, total, epsilon, grain)
@@ -122,20 +123,31 @@ def place(docs: DataFrame, n_shards: int = 24, vnodes: int = VNODES, epsilon: fl
     same = [large[c].eqNullSafe(by_plan[c]) for c in ("k", "size", "crc", "nth")]
     large_out = large.join(F.broadcast(by_plan), on=same).select(large["k"], large["size"], large["crc"], *[large[f"c_{c}"] for c in carry], "shard", "slot")
 
-    small = rows.where(F.col("size") <= plan.small)
-    sums = {r["arc"]: r["s"] for r in small.groupBy("arc").agg(F.sum("size").alias("s")).collect()}  # a row an arc
-    ranges = [(arc, lo, hi, s, i) for arc in sorted(sums) for i, (lo, hi, s) in enumerate(plan.pour(arc, sums[arc]))]
-    by_range = spark.createDataFrame(ranges, "arc int, lo long, hi long, shard int, nth int")
-    w = Window.partitionBy("arc").orderBy(*order)
-    at = small.withColumn("at", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("rank", F.row_number().over(w))
-    at = stage(at.join(F.broadcast(by_range), "arc").where((F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).drop("pos", "lo", "hi", "at"), "shard-ranks")
-    spans = at.groupBy("arc", "nth", "shard").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).collect()  # a row a range
+    sort = ["arc", *order]
+    small = rows.where(F.col("size") <= plan.small).repartitionByRange(*sort).sortWithinPartitions(*sort)
+    small = stage(small.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33).cast("int")).drop("pos"), "shard-sorted")
+    w = Window.partitionBy("part", "arc").orderBy("at")
+    summed = small.withColumn("inside", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("rank", F.row_number().over(w))
+    parts: dict[int, list[tuple[int, int]]] = {}
+    for r in small.groupBy("arc", "part").agg(F.sum("size").alias("s")).collect():  # a row a task, and one more for each arc
+        parts.setdefault(r["arc"], []).append((r["part"], r["s"]))
+    pieces = []
+    for arc in sorted(parts):
+        begins, total_of_arc = [], 0
+        for part, n in sorted(parts[arc]):
+            begins.append((part, total_of_arc, total_of_arc + n))
+            total_of_arc += n
+        for i, (lo, hi, s) in enumerate(plan.pour(arc, total_of_arc)):
+            pieces += [(arc, part, lo - begin, hi - begin, s, i) for part, begin, end in begins if lo < end and hi > begin]
+    by_piece = spark.createDataFrame(pieces, "arc int, part int, lo long, hi long, shard int, nth int")
+    at = stage(summed.join(F.broadcast(by_piece), ["arc", "part"]).where((F.col("inside") >= F.col("lo")) & (F.col("inside") < F.col("hi"))).drop("at", "lo", "hi", "inside"), "shard-ranks")
+    spans = at.groupBy("arc", "nth", "part", "shard").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).collect()  # a row a piece
     offsets = []
-    for r in sorted(spans, key=lambda r: (r["arc"], r["nth"])):
-        offsets.append((r["arc"], r["nth"], counts[r["shard"]] - r["first"]))
+    for r in sorted(spans, key=lambda r: (r["arc"], r["nth"], r["part"])):
+        offsets.append((r["arc"], r["nth"], r["part"], counts[r["shard"]] - r["first"]))
         counts[r["shard"]] += r["n"]
-    by_offset = spark.createDataFrame(offsets, "arc int, nth int, off long")
-    small_out = at.join(F.broadcast(by_offset), ["arc", "nth"]).select("k", "size", "crc", *[f"c_{c}" for c in carry], "shard", (F.col("off") + F.col("rank")).alias("slot"))
+    by_offset = spark.createDataFrame(offsets, "arc int, nth int, part int, off long")
+    small_out = at.join(F.broadcast(by_offset), ["arc", "nth", "part"]).select("k", "size", "crc", *[f"c_{c}" for c in carry], "shard", (F.col("off") + F.col("rank")).alias("slot"))
     out = large_out.unionByName(small_out)
     return out.select(F.col("k").alias(key), "size", F.col("crc").alias("text_crc32"), *[F.col(f"c_{c}").alias(c) for c in carry], "shard", F.col("slot").cast("long").alias("slot"))
 
