@@ -1,12 +1,18 @@
 """Text of web pages by layout-aware rendering: a tree with implied tags, rules of visibility, and a renderer of blocks.
 
 All visible text comes out, in the order of the page: paragraphs and headings with a blank line between, lists with
-markers and indentation, table cells in aligned columns, preformatted text as it stands. What a browser doesn't show is
-left out: head, scripts, styles, templates, comments, and elements hidden by attribute or inline style.
+markers and indentation, table cells in aligned columns (spanned rows and columns included), preformatted text as it
+stands, formulas and the text of drawings, values of form fields. What a browser doesn't show is left out: head, scripts,
+styles, templates, comments, and elements hidden by attribute, inline style or the page's style sheets. Of those, rules
+whose selectors are made of tags, classes, ids, attributes, descendants and children count, in the order of their weight;
+`visibility` is inherited, so a visible child of an invisible element comes out. Content of `details` counts as opened.
+What stands in a table outside of its cells comes before the table, as in a browser.
 
 Broken markup never fails: unknown and unclosed tags are taken as they come, stray end tags are dropped, and elements
 nested deeper than MAX_DEPTH join the element at that depth. A null page renders to null, an empty one to an empty text.
-Pages are rendered one by one on the executors; repeated pages render alike.
+Pages are rendered one by one on the executors; repeated pages render alike. Null page ids and extra columns don't matter.
+Columns of a table are as wide as their widest cell; only where blanks would outgrow PAD_FACTOR times the table's text are
+the widest ones aligned to less, which keeps memory in proportion to the page.
 """
 
 from __future__ import annotations
@@ -17,12 +23,18 @@ from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-MAX_DEPTH, MAX_SPAN, MAX_PAD = 200, 50, 40
+MAX_DEPTH, PAD_FACTOR = 200, 8
+# The largest spans that HTML allows.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65_534
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title meta link base param source track".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp plaintext".split())
+READ = frozenset("textarea title xmp plaintext style".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes audio video canvas datalist title meta link base param source track annotation annotation-xml desc metadata defs".split())
+#: Types of input whose value isn't shown as text.
+WORDLESS = frozenset("hidden password checkbox radio file color range".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre table figure fieldset hr".split())
 CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot li dd dt caption option optgroup legend".split())
@@ -46,14 +58,18 @@ SCOPE = frozenset("table td th caption html template".split())
 TAG = re.compile(r"""<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>)""")
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 BLANK = re.compile(r"[ \t\n\r\f]+")
-CONCEALED = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+PROPERTY = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+COMMENT = re.compile(r"/\*.*?\*/", re.S)
+STEP = re.compile(r"\s*([>\s])\s*(?=[^>\s])|\s*$")
+SIMPLE = re.compile(r"""\*|([.#]?)([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*["']?([^"'\]]*)["']?\s*)?\]""")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "name")
+    __slots__ = ("attrs", "children", "display", "name", "visible")
 
     def __init__(self, name: str, attrs: dict[str, str]):
         self.name, self.attrs, self.children = name, attrs, []
+        self.display, self.visible = "", True
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -125,10 +141,10 @@ def parse(html: str) -> Node:
         if name in VOID:
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}[\s/>]", re.I).search(html, at)
+            end = re.compile(rf"</{name}[\s/>]", re.I).search(html, at) if name != "plaintext" else None
             stop = end.start() if end else len(html)
-            if name in ("textarea", "title"):
-                node.children.append(unescape(html[at:stop]))
+            if name in READ:
+                node.children.append(unescape(html[at:stop]) if name in ("textarea", "title") else html[at:stop])
             close = html.find(">", stop) if end else -1
             at = len(html) if close < 0 else close + 1
             continue
@@ -138,9 +154,147 @@ def parse(html: str) -> Node:
     return root
 
 
+# --- style sheets -------------------------------------------------------------------------------------------------
+
+
+def rules(sheet: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of a sheet, with those of media rules for screens."""
+    at = 0
+    while True:
+        begin = sheet.find("{", at)
+        if begin < 0:
+            return
+        head, depth, end = sheet[at:begin].rpartition(";")[2].strip() if "@" in sheet[at:begin] else sheet[at:begin].strip(), 1, begin + 1
+        while depth and end < len(sheet):
+            depth += {"{": 1, "}": -1}.get(sheet[end], 0)
+            end += 1
+        body = sheet[begin + 1 : end - (depth == 0)]
+        if not head.startswith("@"):
+            yield head, body
+        elif re.fullmatch(r"@media\s+(?:only\s+)?(?:all|screen)", head, re.I):
+            yield from rules(body)
+        at = end
+
+
+class Selector:
+    """Compound selectors from right to left, with what ties each to the next: a blank or ">"."""
+
+    def __init__(self, text: str):
+        self.steps: list[tuple[str, list[tuple[str, str, str | None]]]] = []
+        at, tie, weight = 0, " ", [0, 0, 0]
+        while at < len(text):
+            parts = []
+            while m := SIMPLE.match(text, at):
+                kind = m[1] or ("[" if m[3] else "" if m[2] else "*")
+                parts.append((kind, (m[2] or m[3] or "").lower() if kind in ("", "[") else m[2] or "", m[4]))
+                weight[{"#": 0, ".": 1, "[": 1, "": 2}.get(kind, 2)] += kind != "*"
+                at = m.end()
+            step = STEP.match(text, at)
+            if not parts or not step:
+                raise ValueError(text)
+            self.steps.insert(0, (tie, parts))
+            tie = ">" if step[1] == ">" else " "
+            at = step.end()
+        if not self.steps:
+            raise ValueError(text)
+        self.weight = tuple(weight)
+
+    @staticmethod
+    def fits(parts: list, node: Node) -> bool:
+        a = node.attrs
+        for kind, name, value in parts:
+            if kind == "#":
+                ok = a.get("id") == name
+            elif kind == ".":
+                ok = name in a.get("class", "").split()
+            elif kind == "[":
+                ok = name in a and (value is None or a[name] == value)
+            else:
+                ok = kind == "*" or node.name == name
+            if not ok:
+                return False
+        return True
+
+    def matches(self, node: Node, above: list[Node]) -> bool:
+        def rest(i: int, k: int) -> bool:
+            """Whether steps i on match at ancestors below k, given what ties step i - 1 to them."""
+            if i == len(self.steps):
+                return True
+            if self.steps[i - 1][0] == ">":
+                return k > 0 and self.fits(self.steps[i][1], above[k - 1]) and rest(i + 1, k - 1)
+            return any(self.fits(self.steps[i][1], above[j]) and rest(i + 1, j) for j in range(k - 1, -1, -1))
+
+        return self.fits(self.steps[0][1], node) and rest(1, len(above))
+
+
+class Sheet:
+    """Rules on display and visibility, found by the id, class or tag of the element that they are about."""
+
+    def __init__(self, texts: list[str]):
+        self.by_key: dict[str, list] = {}
+        n = 0
+        for text in texts:
+            for heads, body in rules(COMMENT.sub("", text)):
+                said = [(m[1].lower(), m[2].lower(), bool(m[3])) for m in PROPERTY.finditer(body)]
+                for head in heads.split(",") if said else ():
+                    try:
+                        selector = Selector(head.strip())
+                    except ValueError:  # a kind of selector that isn't covered
+                        continue
+                    n += 1
+                    parts = sorted((p for p in selector.steps[0][1] if p[0] in ("#", ".", "")), key=lambda p: ("#", ".", "").index(p[0]))
+                    key = parts[0][0] + parts[0][1] if parts else "*"
+                    self.by_key.setdefault(key, []).append((selector, n, said))
+
+    def about(self, node: Node, above: list[Node]) -> dict[str, str]:
+        """The values that win, inline style included."""
+        keys = ["*", node.name]
+        if "id" in node.attrs:
+            keys.append("#" + node.attrs["id"])
+        keys += ["." + c for c in dict.fromkeys(node.attrs.get("class", "").split())]
+        found = [(important, s.weight, n, p, v) for k in keys for s, n, said in self.by_key.get(k, ()) if s.matches(node, above) for p, v, important in said]
+        if "style" in node.attrs:
+            found += [(bool(m[3]), (9, 9, 9), 0, m[1].lower(), m[2].lower()) for m in PROPERTY.finditer(node.attrs["style"])]
+        return {p: v for _, _, _, p, v in sorted(found)}
+
+
+def apply_styles(root: Node) -> None:
+    """Set display and visible of every element."""
+    sheets: list[str] = []
+
+    def collect(node: Node) -> None:
+        for c in node.children:
+            if isinstance(c, Node):
+                if c.name == "style":
+                    sheets.extend(x for x in c.children if isinstance(x, str))
+                collect(c)
+
+    collect(root)
+    sheet = Sheet(sheets)
+
+    def walk(node: Node, above: list[Node], visible: bool) -> None:
+        for c in node.children:
+            if isinstance(c, str):
+                continue
+            a = c.attrs
+            hidden = "hidden" in a or (c.name == "input" and a.get("type", "").lower() == "hidden") or (c.name == "dialog" and "open" not in a) or (c.name == "object" and bool(a.get("data")))
+            said = sheet.about(c, above)
+            c.display = "none" if c.name in HIDDEN else said.get("display") or ("none" if hidden else "")
+            c.visible = {"visible": True, "hidden": False, "collapse": False}.get(said.get("visibility", ""), visible)
+            if c.display != "none":
+                walk(c, [*above, c], c.visible)
+
+    walk(root, [], True)
+
+
 def is_hidden(node: Node) -> bool:
-    a = node.attrs
-    return node.name in HIDDEN or "hidden" in a or ("style" in a and bool(CONCEALED.search(a["style"]))) or (node.name == "input" and a.get("type", "").lower() == "hidden")
+    return node.display == "none"
+
+
+def is_block(node: Node) -> bool:
+    if node.display:
+        return not node.display.startswith(("inline", "contents")) and node.name not in ("br",)
+    return node.name in BLOCK or node.name == "text"  # of a drawing
 
 
 class Writer:
@@ -178,66 +332,136 @@ class Writer:
         self.gap = max(self.gap, gap)
 
 
+def span(cell: Node, name: str, most: int) -> int:
+    n = cell.attrs.get(name, "1").strip()
+    return min(max(1, int(n[:6])), most) if n.isascii() and n.isdigit() else 1
+
+
+def column_widths(rows: list[list[str]]) -> list[int]:
+    """Width of the widest cell of each column; less for the widest where the blanks would outgrow the text."""
+    widths = [0] * max(map(len, rows), default=0)
+    text = 0
+    for r in rows:
+        for i, c in enumerate(r):
+            widths[i] = max(widths[i], len(c))
+            text += len(c)
+    limit = PAD_FACTOR * text + 10_000
+    while widths and sum(widths) * len(rows) > limit and max(widths) > 1:
+        most = max(widths) // 2
+        widths = [min(w, most) for w in widths]
+    return widths
+
+
 def render_table(table: Node, w: Writer) -> None:
     rows: list[list[str]] = []
+    spanned: dict[int, int] = {}  # columns taken by cells from above, and for how many more rows
+
+    def loose(nodes: list) -> None:
+        if nodes:
+            holder = Node("div", {})
+            holder.children, holder.visible = nodes, table.visible
+            render(holder, w)
+            w.block(1)
 
-    def cells(row: Node) -> list[str]:
-        found = []
+    def has_cells(node: Node) -> bool:
+        return any(isinstance(c, Node) and c.name != "table" and (c.name in ("td", "th") or has_cells(c)) for c in node.children)
+
+    def cells_of(row: Node, found: list[Node]) -> list[Node]:
+        """Cells of a row, also those inside other elements; all else goes before the table."""
+        other = []
         for c in row.children:
-            if isinstance(c, Node) and c.name in ("td", "th") and not is_hidden(c):
-                inner = Writer()
-                render(c, inner)
-                inner.flush()
-                found.append(BLANK.sub(" ", "".join(inner.out)).strip())
-                span = c.attrs.get("colspan", "1").strip()
-                found += [""] * (min(int(span), MAX_SPAN) - 1 if span.isascii() and span.isdigit() and int(span[:6]) > 1 else 0)
+            if isinstance(c, Node) and c.name in ("td", "th"):
+                if not is_hidden(c):
+                    found.append(c)
+            elif isinstance(c, Node) and c.name != "table" and has_cells(c):
+                if not is_hidden(c):
+                    cells_of(c, found)
+            else:
+                other.append(c)
+        loose(other)
         return found
 
+    def add_row(cells: list[Node]) -> None:
+        line: list[str] = []
+        begun: dict[int, int] = {}
+
+        def skip() -> None:
+            while spanned.get(len(line), 0) > 0:
+                line.append("")
+
+        for c in cells:
+            skip()
+            inner = Writer()
+            render(c, inner)
+            inner.flush()
+            across, down = span(c, "colspan", MAX_COLSPAN), span(c, "rowspan", MAX_ROWSPAN)
+            for i in range(across):
+                if down > 1:
+                    begun[len(line)] = down - 1
+                line.append("" if i else BLANK.sub(" ", "".join(inner.out)).strip())
+        for i in list(spanned):
+            spanned[i] -= 1
+            if spanned[i] <= 0:
+                del spanned[i]
+        spanned.update(begun)
+        while line and not line[-1]:
+            line.pop()
+        rows.append(line)
+
     def walk(node: Node) -> None:
-        loose = Node("div", {})
+        other, bare = [], []
         for c in node.children:
-            if isinstance(c, str) or (c.name not in ("tr", "tbody", "thead", "tfoot", "caption", "td", "th", "colgroup", "col")):
-                loose.children.append(c)
+            if isinstance(c, Node) and c.name in ("td", "th"):  # cells without a row
+                bare.append(c)
+                continue
+            if bare:
+                add_row([x for x in bare if not is_hidden(x)])
+                bare = []
+            if isinstance(c, str) or c.name not in ("tr", "tbody", "thead", "tfoot", "caption", "colgroup", "col"):
+                if isinstance(c, Node) and c.name != "table" and not is_hidden(c) and has_cells(c):
+                    walk(c)
+                else:
+                    other.append(c)
                 continue
             if is_hidden(c):
                 continue
             if c.name == "tr":
-                rows.append(cells(c))
-            elif c.name in ("td", "th"):
-                rows.append(cells(_row_of(c)))
+                add_row(cells_of(c, []))
             elif c.name == "caption":
                 render(c, w)
                 w.block(1)
             else:
                 walk(c)
-        if loose.children:
-            render(loose, w)
-            w.block(1)
+                if c.name in ("tbody", "thead", "tfoot"):
+                    spanned.clear()
+        if bare:
+            add_row([x for x in bare if not is_hidden(x)])
+        loose(other)
 
     walk(table)
-    width: list[int] = []
-    for r in rows:
-        for i, c in enumerate(r):
-            if i == len(width):
-                width.append(0)
-            width[i] = max(width[i], min(len(c), MAX_PAD))
+    widths = column_widths(rows)
     for r in rows:
-        line = "  ".join(c.ljust(width[i]) if i < len(r) - 1 else c for i, c in enumerate(r)).rstrip()
+        line = "  ".join(c.ljust(widths[i]) if i < len(r) - 1 else c for i, c in enumerate(r)).rstrip()
         if line:
             w.put(line)
 
 
-def _row_of(cell: Node) -> Node:
-    row = Node("tr", {})
-    row.children.append(cell)
-    return row
+def field_text(node: Node) -> str:
+    """What an input or an empty text area shows."""
+    kind = node.attrs.get("type", "text").lower() if node.name == "input" else "text"
+    if kind in WORDLESS:
+        return ""
+    if kind == "image":
+        return node.attrs.get("alt", "")
+    return node.attrs.get("value", "") or node.attrs.get("placeholder", "")
 
 
 def render(node: Node, w: Writer, ordered: list | None = None) -> None:
     """Write the visible text of a node's children."""
     for c in node.children:
         if isinstance(c, str):
-            w.text(c)
+            if node.visible:
+                w.text(c)
             continue
         if is_hidden(c):
             continue
@@ -250,10 +474,10 @@ def render(node: Node, w: Writer, ordered: list | None = None) -> None:
         elif name == "hr":
             w.block(2)
         elif name == "img":
-            w.text(c.attrs.get("alt", ""))
-        elif name == "input":
-            w.text(c.attrs.get("value", "") if c.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text") else "")
-        elif name == "pre":
+            w.text(c.attrs.get("alt", "") if c.visible else "")
+        elif name == "input" or (name == "textarea" and not "".join(x for x in c.children if isinstance(x, str)).strip()):
+            w.text(field_text(c) if c.visible else "")
+        elif name in ("pre", "xmp", "plaintext", "listing"):
             w.block(2)
             for i, line in enumerate(raw_text(c).strip("\n").split("\n")):
                 if line.strip():
@@ -283,7 +507,7 @@ def render(node: Node, w: Writer, ordered: list | None = None) -> None:
             w.flush()
             w.indent, w.marker = before, ""
             w.block(1)
-        elif name in BLOCK:
+        elif is_block(c):
             gap = 2 if name in SPACED else 1
             w.block(gap)
             if name in ("blockquote", "dd"):
@@ -299,14 +523,15 @@ def render(node: Node, w: Writer, ordered: list | None = None) -> None:
 
 
 def raw_text(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "" if is_hidden(c) else "\n" if c.name == "br" else raw_text(c) for c in node.children)
+    return "".join((c if node.visible else "") if isinstance(c, str) else "" if is_hidden(c) else "\n" if c.name == "br" else raw_text(c) for c in node.children)
 
 
 def to_text(html: str | None) -> str | None:
     if html is None:
         return None
-    w = Writer()
-    render(parse(html), w)
+    w, root = Writer(), parse(html)
+    apply_styles(root)
+    render(root, w)
     w.flush()
     return "".join(w.out)
 
@@ -320,4 +545,6 @@ def extract(pages: DataFrame) -> DataFrame:
                 some = part.iloc[i : i + 200]
                 yield pd.DataFrame({"page_id": some["page_id"], "url": some["url"], "text": [to_text(h if isinstance(h, str) else None) for h in some["html"].tolist()]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string")
+    kind = pages.schema["page_id"].dataType
+    found = pages.select(F.col("page_id").cast("string"), "url", "html").mapInPandas(run, "page_id string, url string, text string")
+    return found.withColumn("page_id", F.col("page_id").cast(kind))  # a null among numbers would make pandas round them

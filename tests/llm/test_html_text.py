@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from pagequarry.llm import html_text as H
@@ -22,6 +25,23 @@ CASES = {
     "1 < 2 and 3 > 2": "1 < 2 and 3 > 2",
     "<p>a <b>b</b><i>c</i>": "a bc",
     "": "",
+    "<math><mi>x</mi><mo>=</mo><mn>2</mn></math>": "x=2",
+    "<svg><title>t</title><text>a</text><text>b</text></svg>": "a\nb",
+    "<object>shown</object><object data=x>kept back</object>": "shown",
+    "<xmp><b>&amp;</b></xmp>c": "<b>&amp;</b>\n\nc",
+    "a<plaintext>b<c>d": "a\n\nb<c>d",
+    "<input type=number value=5> <input type=email value=a@b.c> <input type=password value=no> <input placeholder=name> <textarea placeholder=here></textarea>": "5 a@b.c name here",
+    "<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>": "b",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a  b\n   c",
+    "<table><tr><td>a<td rowspan=3>b<td>x<tr><td>c<td>y<tr><td colspan=2>d<td>z</table>": "a  b  x\nc     y\nd     z",
+    "<table><tr><form action=x><td>a</td><td>b</td></form></tr></table>": "a  b",
+    "<table><tr><a href=x><td>a</td></a></tr></table>": "a",
+    "<table><tr>loose text</tr><tr><td>a</table>": "loose text\na",
+    "<table><tr><table><tr><td>in</table></tr></table>": "in",
+    "<style>.x,p>i{display:none} #k{visibility:hidden} b.y{display:none} @media print{em{display:none}} @media screen{u{display:none}}</style><p>a<i>b</i><span><i>c</i></span><b class='y z'>d</b><b>e</b><em>f</em><u>g</u><s id=k>h</s><s class=x>i</s>": "acef",
+    "<style>p{display:none} .on{display:block}</style><p>a<p class=on>b<p style='display:inline'>c": "b\n\nc",
+    "<style>i{display:none!important}</style><i style='display:inline'>a</i>b<span hidden style='display:inline'>c</span>": "bc",
+    "<span style='display:block'>a</span><span style='display:block'>b</span>": "a\nb",
 }
 
 
@@ -43,3 +63,48 @@ def test_table_of_pages(spark):
     got = sorted(((r["page_id"], r["text"]) for r in H.extract(df).collect()), key=str)
     assert got == [(1, "a"), (1, "a"), (2, None), (3, "")]
     assert H.extract(df.limit(0)).count() == 0
+
+
+def test_wide_columns_are_aligned_and_blanks_stay_in_proportion():
+    lines = H.to_text("<table><tr><td>" + "x" * 90 + "<td>b<tr><td>y<td>c</table>").split("\n")
+    assert lines[0].index("b") == lines[1].index("c") == 92
+    out = H.to_text("<table><tr><td>" + "x" * 100_000 + "<td>b" + "<tr><td>y<td>c" * 5000 + "</table>")
+    assert out.count("y") == 5000 and len(out) < 20 * 110_000
+
+
+def test_long_page_and_clashing_columns(spark):
+    html = "<p>word " + "<b>x</b> y " * 50_000
+    df = spark.createDataFrame([(2**60 + 1, "u", html, "z"), (None, "u", "<p>a", "z")], "page_id long, url string, html string, text string")
+    got = {r["page_id"]: r["text"] for r in H.extract(df).collect()}
+    assert set(got) == {2**60 + 1, None} and got[None] == "a" and got[2**60 + 1].split() == ["word"] + ["x", "y"] * 50_000
+
+
+BLOCKS, INLINE, NOT_SHOWN = ["p", "div", "section", "h2", "blockquote", "ul", "li", "dl", "dd"], ["b", "i", "span", "a", "math", "custom-tag"], ["<script>{}</script>", "<style>.{} {{color:red}}</style>", "<template>{}</template>", "<div hidden>{}</div>", "<span style='display:none'>{}</span>", "<b class=off>{}</b>", "<!-- {} -->", "<i style='visibility:hidden'>{}</i>"]
+
+
+def make_page(rng, words, depth=0):
+    """Markup, and the words of it that are seen, in order."""
+    html, seen = "", []
+    for _ in range(rng.randint(1, 4)):
+        k = rng.random()
+        if depth > 4 or k < 0.4:
+            word = next(words)
+            html, seen = html + f" {word} ", [*seen, word]
+        elif k < 0.55:
+            html += rng.choice(NOT_SHOWN).format(next(words))
+        elif k < 0.65:
+            rows = [[make_page(rng, words, 5) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 3))]
+            html += "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c, _ in r) for r in rows) + "</table>"
+            seen += [w for r in rows for _, s in r for w in s]
+        else:
+            tag = rng.choice(BLOCKS if k < 0.85 else INLINE)
+            inner, more = make_page(rng, words, depth + 1)
+            html, seen = html + f"<{tag}>{inner}</{tag}>", seen + more
+    return html, seen
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_all_visible_words_come_out_in_order(seed):
+    words = (f"w{i}" for i in range(10**6))
+    html, seen = make_page(random.Random(seed), words)
+    assert re.findall(r"w\d+", H.to_text("<style>.off{display:none}</style>" + html)) == seen
