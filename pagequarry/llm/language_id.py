@@ -6,27 +6,29 @@ of longer ones, then shorter ones, of which up to SHORT_ROWS are taken. A text i
 all of it, and the language of the smallest total is chosen. Where the runner-up is within MIN_MARGIN of it, the result
 is marked as rejected; the choice itself stays visible.
 
-Null texts, and texts without any letter, are `und` with score 0. Ties go to the more frequent language, then the one that sorts first. Repeated
-rows are judged alike. What the driver holds is bounded for each language, and grows with their number.
+Null texts, and texts without any letter (marks and numerals aren't letters), are `und` with score 0. Ties go to the more
+frequent language, then the one that sorts first. Repeated rows are judged alike. Rows without an id are judged like all
+others, but not learned from; a doc_id that repeats within a language is learned from once. Without training rows all is
+`und`. What the driver holds is bounded for each language, and grows with their number.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SAMPLE_ROWS, DICT_BYTES, PIECE = 120, 65_536, 16_384
-#: Levels of compression, for all texts and for those below SHORT bytes, of which a few bytes decide.
-LEVEL, SHORT_LEVEL, SHORT = 5, 12, 1_000
+#: Level of compression: high, as of short texts a few bytes decide.
+LEVEL = 12
 MIN_MARGIN = 0.01
-LETTER = re.compile(r"[^\W\d_]")
-SIGNS = re.compile(r"[^\w\s]+|[\d_]+")
+SIGNS = regex.compile(r"[^\p{L}\p{M}\s]+")
 MIN_SAMPLE_CHARS, MAX_SAMPLE_CHARS, SHORT_ROWS = 200, 20_000, 2_000
 #: Up to this number of languages, the ids drawn are broadcast.
 BROADCAST_LANGS = 200
@@ -42,7 +44,8 @@ def learn(training: DataFrame, sample_rows: int = SAMPLE_ROWS, dict_bytes: int =
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("kind", F.xxhash64("doc_id"), "doc_id"))
     drawn = light.withColumn("nth", nth).where(F.col("nth") <= max(sample_rows, SHORT_ROWS)).where((F.col("nth") <= sample_rows) | (F.col("kind") == 2)).select("doc_id", "lang", "nth")
     texts_of = known.select("doc_id", "lang", F.substring("text", 1, MAX_SAMPLE_CHARS).alias("text"))
-    rows = texts_of.join(F.broadcast(drawn) if len(langs) <= BROADCAST_LANGS else drawn, ["doc_id", "lang"]).select("lang", "nth", "text").collect()  # for each language, sample_rows texts of MAX_SAMPLE_CHARS and SHORT_ROWS short ones at most
+    joined = texts_of.join(F.broadcast(drawn) if len(langs) <= BROADCAST_LANGS else drawn, ["doc_id", "lang"])
+    rows = joined.groupBy("lang", "doc_id").agg(F.min("nth").alias("nth"), F.min("text").alias("text")).select("lang", "nth", "text").collect()  # for each language, sample_rows texts of MAX_SAMPLE_CHARS and SHORT_ROWS short ones at most
     by_lang: dict[str, list] = {}
     for r in rows:
         by_lang.setdefault(r["lang"], []).append((r["nth"], r["text"]))
@@ -64,23 +67,18 @@ class Sizer:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = list(dictionaries)
-        self.long, self.short = (self.compressors(dictionaries, level) for level in (LEVEL, SHORT_LEVEL))
-
-    def compressors(self, dictionaries: dict[str, bytes], level: int) -> list:
-        import zstandard
-
         made = [zstandard.ZstdCompressionDict(dictionaries[x], dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x in self.langs]
         for d in made:
-            d.precompute_compress(level=level)
-        return [zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False) for d in made]
+            d.precompute_compress(level=LEVEL)
+        self.compressors = [zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False) for d in made]
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score from 0 to 1, and the margin of the runner-up."""
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0
         data = plain(text)
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-        sizes = [sum(len(c.compress(p)) for p in pieces) for c in (self.short if len(data) < SHORT else self.long)]
+        sizes = [sum(len(c.compress(p)) for p in pieces) for c in self.compressors]
         least = min(sizes)
         best = sizes.index(least)
         if len(sizes) == 1:
@@ -99,4 +97,6 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float =
             found = [sizer.predict(t if isinstance(t, str) else None) for t in part["text"].tolist()]
             yield pd.DataFrame({"doc_id": part["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "margin": [x[2] for x in found], "rejected": [x[0] == "und" or x[2] < min_margin for x in found]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
+    kind = docs.schema["doc_id"].dataType
+    found = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, lang_pred string, score double, margin double, rejected boolean")
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))  # a null among numbers would make pandas round them

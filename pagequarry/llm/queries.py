@@ -12,8 +12,8 @@ from pagequarry.llm.common import read_table
 
 
 def remainder(key: str, by: int) -> Column:
-    """crc32 of a key as text, modulo by: the folds of the contracts."""
-    return F.crc32(F.col(key).cast("string")) % by
+    """crc32 of a key as text, modulo by: the folds of the contracts. 0 for a null key."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % by, F.lit(0))
 
 
 def op1_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
