@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages: quality, near duplicates, benchmark leaks, mixing, shards.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
-of docs, in their order; extra columns pass through. Null ids are kept as rows of their own.
+of docs, in their order; extra columns pass through. Rows are told apart by doc_id and text, so neither a repeated nor a
+null id drags other texts along.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from pagequarry.llm.common import read_table, stage
 MAX_BROADCAST_IDS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in ids."""
-    ids = stage(ids.select("doc_id").distinct(), "pipeline-ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id and hash of the text are in rows (doc_id, text_hash)."""
+    gone = stage(rows.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "pipeline-gone")
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    return docs.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone, same, "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
