@@ -7,7 +7,9 @@ rows (those of the smallest hash of their doc_id, of texts up to MAX_TRAIN_CHARS
 reads every whole text on the executors and needs only the weights, whose size is fixed.
 
 A null, empty or blank text has the intercept's score. Rows are scored one by one, so repeated rows score alike. Several
-labels of one document count by their largest. Without labelled rows every score is 0.5.
+labels of one document count by their largest; null labels and labels of null ids are left out. Of texts that repeat a
+doc_id, one counts. Without labelled rows every score is 0.5. Rows without an id are scored like all others. score()
+raises an error where the table has a column of the score's name already; other extra columns stay.
 """
 
 from __future__ import annotations
@@ -110,6 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_char
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", into: str = "score") -> DataFrame:
     """docs with one more column, the probability that a text's label is 1."""
+    if into in docs.columns:
+        raise ValueError(f"column {into} exists")
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
 
     @F.pandas_udf("double")

@@ -17,10 +17,11 @@ runs of digits alone have no such evidence. Candidates with a digit have a secon
 has a divergence of at least DELTA a character, so its chi-squared is non-central with n * DELTA; the chance that text of
 this length comes out as even as the candidate. The lesser of the two counts, doubled. Benjamini-Hochberg over the
 candidates of the document holds the false-discovery rate at FDR, and a discovery must not fail the two order tests (each
-at ORDER_LEVEL).
+at ORDER_LEVEL) nor be less even than uniform draws are (chi-squared, at ORDER_LEVEL).
 
 All of it is column expressions over one row's text; nothing is shuffled. Positions are code points, end exclusive.
-A null text counts as empty: no spans, and the digest of the empty string.
+A null text counts as empty: no spans, and the digest of the empty string. Rows are scanned one by one: repeated rows alike,
+null ids like others; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ ALPHABETS = [
     "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/=_-",
 ]
 DELTA = 1.2
+#: Matches whose places are summed up at a time.
+PIECE = 128
 FDR, ORDER_LEVEL = 0.01, 0.001
 # Half bits (A is 0) of a letter alone, and after each letter of a to z; of prose in four languages and of source code.
 LETTERS = "HMJJFLMKIQPJLHILOOIIHJOONN"
@@ -110,24 +113,31 @@ def normal_tail(z: Column) -> Column:
 def spans_of(text: Column, pattern: str, least: Column | None = None) -> Column:
     """Array of (start, end, match) of all leftmost non-overlapping matches of a pattern that never matches nothing.
 
-    What lies between the matches comes from split, the matches themselves from regexp_extract_all; a running sum of
-    their lengths gives the places.
+    What lies between the matches comes from split, the matches themselves from regexp_extract_all. Places are running sums
+    of their lengths, taken within pieces of PIECE matches first and then over the pieces, as appending to an array copies it.
     """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    pairs = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), found, lambda g, m: F.struct(F.length(g).alias("g"), m.alias("m")))
 
     def step(a, x):
-        s = a["at"] + F.length(x["g"])
+        s = a["at"] + x["g"]
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.array_append(a["out"], F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(pairs, start, step)["out"]).otherwise(empty)
+    def in_pieces(all_):
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / PIECE).cast("int")), lambda k: F.slice(all_, k * PIECE + 1, PIECE))
+        return F.transform(pieces, lambda piece: F.aggregate(piece, F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
+
+    def joined(pieces):
+        begins = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda a, p: F.struct((a["at"] + p["at"]).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))["out"]
+        return F.flatten(F.zip_with(pieces, begins, lambda p, b: F.transform(p["out"], lambda x: F.struct((x["s"] + b).alias("s"), (x["e"] + b).alias("e"), x["m"].alias("m")))))
+
+    return F.when(F.rlike(text, F.lit(pattern)), let(let(pairs, in_pieces), joined)).otherwise(empty)
 
 
 def battery(token: Column) -> Column:
-    """Struct of a candidate: n, p_text (evidence against written text), p_runs and p_serial (evidence against order)."""
+    """Struct of a candidate: n, p_text (evidence against written text), p_even, p_runs and p_serial (against uniform draws)."""
     alphabet = F.coalesce(*[F.when(F.rlike(token, F.lit(f"^[{a.replace('-', '')}{'-' if '-' in a else ''}]+$")), F.lit(a)) for a in ALPHABETS])
 
     def tests(x):
@@ -164,7 +174,7 @@ def discoveries(candidates: Column, fdr: float = FDR, level: float = ORDER_LEVEL
         ranked = F.array_sort(F.transform(all_, lambda x: x["b"]["p_text"]))
         m = F.size(all_).cast("double")
         cut = F.aggregate(F.transform(ranked, lambda p, i: F.when(p <= (i + 1) * F.lit(fdr) / m, p).otherwise(F.lit(-1.0))), F.lit(-1.0), lambda a, p: F.greatest(a, p))
-        return let(cut, lambda c: F.filter(all_, lambda x: (x["b"]["p_text"] <= c) & (x["b"]["p_runs"] >= level) & (x["b"]["p_serial"] >= level)))
+        return let(cut, lambda c: F.filter(all_, lambda x: (x["b"]["p_text"] <= c) & (x["b"]["p_even"] >= level) & (x["b"]["p_runs"] >= level) & (x["b"]["p_serial"] >= level)))
 
     return F.when(F.size(candidates) == 0, F.array().cast("array<struct<s:int,e:int,b:struct<n:double,p_text:double,p_even:double,p_runs:double,p_serial:double>>>")).otherwise(let(tested, select))
 

@@ -1,7 +1,9 @@
+import math
 import random
 
 import numpy as np
 import pytest
+import zstandard
 
 from pagequarry.llm import language_id as L
 from pagequarry.llm import quality_model as Q
@@ -57,6 +59,49 @@ def test_shapes_of_words():
         assert [h[i] == x for x in h] == [plain(a) == plain(b) for b in words]
 
 
+def plain_ftrl(rows, epochs):
+    """Follow the regularised leader, weight by weight, as published: per-coordinate rates, L1 and L2."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= Q.L1 else -(zi - math.copysign(Q.L1, zi)) / ((Q.BETA + n.get(i, 0.0) ** 0.5) / Q.ALPHA + Q.L2)
+
+    for _ in range(epochs):
+        for idx, label in rows:
+            x = {}
+            for i in idx:
+                x[i] = x.get(i, 0.0) + 1 / len(idx) ** 0.5
+            x["intercept"] = 1.0
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - label) * v
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / Q.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_training_agrees_with_a_plain_version():
+    rng = random.Random(2)
+    rows = [([rng.choice((rng.randrange(40), rng.randrange(1 << Q.BITS))) for _ in range(rng.randint(1, 30))], rng.randint(0, 1)) for _ in range(80)]
+    got = Q.train([(np.array(i, dtype=np.uint32).tobytes(), y) for i, y in rows], epochs=3)
+    want = plain_ftrl(rows, 3)
+    assert got[-1] == pytest.approx(want.pop("intercept"))
+    assert {int(i): got[i] for i in np.flatnonzero(got[:-1])} == pytest.approx({i: v for i, v in want.items() if v})
+
+
+def test_quality_null_ids_long_texts_and_clashing_columns(spark):
+    rows = good_and_bad(60)
+    docs = spark.createDataFrame([(i, t, 5.0, "x") for i, t, _ in rows] + [(None, "the of ###", 5.0, "x"), (7, "house " * 300_000, 5.0, "x")], "doc_id long, text string, quality double, idx string")
+    w = Q.fit(docs, spark.createDataFrame([(i, q) for i, _, q in rows] + [(None, 0), (3, None)], "doc_id long, quality int"))
+    scored = Q.score(docs, w)
+    assert scored.columns == [*docs.columns, "score"] and scored.count() == 62 and scored.where("score between 0 and 1").count() == 62
+    with pytest.raises(ValueError):
+        Q.score(scored, w)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (2, "")], "doc_id long, text string")
     w = Q.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
@@ -102,3 +147,37 @@ def test_every_language_has_a_dictionary(spark, spoken):
     assert list(found)[:3] == sorted(list(found)[:3], key=lambda x: (-sum(r[2] == x for r in rows), x))
     sizer = L.Sizer({x: found[x] for x in ("xx", "yy", "zz", "fi", "id")})
     assert sizer.predict("metsä talo yö järvi")[0] == "fi" and sizer.predict("sungai malam rumah pohon")[0] == "id"
+
+
+def test_verdicts_agree_with_plain_compression(spark, spoken):
+    found = L.learn(spark.createDataFrame(spoken, SCHEMA))
+    texts = [t for _, t, _ in spoken[:60]] + ["the " * 30_000, "Straße! 12 the", "नमस्ते दुनिया के लोग", "x"]
+    got = {r["doc_id"]: r for r in L.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), found).collect()}
+    for i, t in enumerate(texts):
+        data = L.plain(t)
+        sizes = {}
+        for lang, d in found.items():
+            made = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=L.LEVEL, dict_data=made, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(data[k : k + L.PIECE])) for k in range(0, len(data), L.PIECE))
+        order = sorted(sizes.values())
+        assert sizes[got[i]["lang_pred"]] == order[0]
+        assert got[i]["margin"] == pytest.approx((order[1] - order[0]) / order[0])
+        assert got[i]["rejected"] == (got[i]["margin"] < L.MIN_MARGIN)
+
+
+def test_letters_and_marks(spark, spoken):
+    found = L.learn(spark.createDataFrame(spoken, SCHEMA))
+    got = {r["doc_id"]: r["lang_pred"] for r in L.predict(spark.createDataFrame([(1, "² ½ Ⅷ"), (2, "\u0301"), (3, "ª"), (4, "中")], "doc_id long, text string"), found).collect()}
+    assert got[1] == got[2] == "und" and got[3] != "und" and got[4] != "und"
+    assert L.plain("नमस्ते, ไทยนี้ ½ A1") == "नमस्ते ไทยนี้ a".encode()
+
+
+def test_language_ties_repeats_null_ids_and_clashing_columns(spark):
+    ties = {"bb": b"same words here", "aa": b"same words here"}
+    df = spark.createDataFrame([(2**60 + 1, "same", "z", 1)] * 3 + [(None, "same", "z", 1)], "doc_id long, text string, lang_pred string, margin int")
+    rows = L.predict(df, ties).collect()
+    assert len(rows) == 4 and {r["lang_pred"] for r in rows} == {"bb"} and all(r["rejected"] for r in rows)
+    assert sorted({r["doc_id"] for r in rows}, key=str) == [2**60 + 1, None]
+    assert L.predict(df.limit(0), ties).count() == 0
+    assert L.learn(spark.createDataFrame([(1, "a b c", "x")] * 500 + [(1, "d e f", "x"), (None, "g", "x")], SCHEMA)) == {"x": b"a b c"}

@@ -1,9 +1,11 @@
 import hashlib
+import math
 import random
 import re
 import string
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagequarry.llm import secrets as X
 
@@ -83,3 +85,63 @@ def test_recall_by_length_and_other_candidates(spark, alphabet, length, others,
 def test_written_runs_are_not_found(spark):
     got = X.digest(X.scan(spark.createDataFrame([(i, t) for i, t in enumerate([*WRITTEN, " ".join(WRITTEN)])], SCHEMA)))
     assert got.where("n_random > 0").count() == 0
+
+
+def plain_battery(t):
+    """p-values of a candidate, from the textbook: chi-squared and runs and serial correlation as normal tails."""
+    a = next(a for a in X.ALPHABETS if set(t) <= set(a))
+    n, k = len(t), len(a)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = sum(t.count(c) ** 2 for c in a) * k / n - n
+    p_even = tail((chi - (k - 1)) / math.sqrt(2 * (k - 1)))
+    high = [a.index(c) >= k // 2 for c in t]
+    ones = sum(high)
+    runs = 1 + sum(x != y for x, y in zip(high, high[1:], strict=False))
+    if ones in (0, n):
+        p_runs = 0.0
+    else:
+        want = 2 * ones * (n - ones) / n + 1
+        p_runs = 2 * tail(abs(runs - want) / math.sqrt(max((want - 1) * (want - 2) / (n - 1), 1e-9)))
+    values = [a.index(c) - (k - 1) / 2 for c in t]
+    serial = sum(x * y for x, y in zip(values, values[1:], strict=False)) / (math.sqrt(n - 1) * (k * k - 1) / 12)
+    bits = []
+    for pairs in (True, False):
+        costs = X.text_costs(pairs)
+        big = X.ALPHABETS[-1]
+        bits.append(sum(costs[big.index(x) * len(big) + big.index(y)] for x, y in zip(t, t[1:], strict=False)) / 16 - (n - 1) * math.log2(k))
+    evidence = 1.0 if k == 10 else min(1.0, 2 * len(X.ALPHABETS) * 2 ** -min(bits))
+    mean, var = k - 1 + n * X.DELTA, 2 * (k - 1) + 4 * n * X.DELTA
+    flat = tail((mean - chi) / math.sqrt(var)) if any(c.isdigit() for c in t) else 1.0
+    return {"n": n, "p_text": min(1.0, 2 * min(flat, evidence)), "p_even": p_even, "p_runs": p_runs, "p_serial": 2 * tail(abs(serial))}
+
+
+def plain_discoveries(tests):
+    ranked = sorted(b["p_text"] for b in tests)
+    cut = max((p for i, p in enumerate(ranked) if p <= (i + 1) * X.FDR / len(ranked)), default=-1)
+    return [b["p_text"] <= cut and min(b["p_even"], b["p_runs"], b["p_serial"]) >= X.ORDER_LEVEL for b in tests]
+
+
+def test_battery_and_selection_agree_with_a_plain_version(spark):
+    rng = random.Random(17)
+    draw = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    tokens = [draw(rng.choice(X.ALPHABETS), rng.randint(20, 90)) for _ in range(150)] + WRITTEN + ["a" * 30, "ab" * 20, "0123456789" * 5, "aaaabbbbccccdddd1111" * 3]
+    tokens = [t for t in tokens if re.fullmatch(X.CANDIDATE, t)]
+    got = [r["b"] for r in spark.createDataFrame(list(enumerate(tokens)), "i int, t string").repartition(1).sortWithinPartitions("i").select(X.battery(F.col("t")).alias("b")).collect()]
+    for t, b in zip(tokens, got, strict=True):
+        assert b.asDict() == pytest.approx(plain_battery(t), rel=1e-4, abs=1e-6), t
+    spans = [X.scan(spark.createDataFrame([(1, " ".join(tokens))], SCHEMA)).first()["random"]]
+    at, want = 0, []
+    for t, found in zip(tokens, plain_discoveries([plain_battery(t) for t in tokens]), strict=True):
+        if found:
+            want.append((at, at + len(t)))
+        at += len(t) + 1
+    assert [(x["s"], x["e"]) for x in spans[0]] == want
+
+
+def test_many_matches_in_a_long_text_null_ids_and_extra_columns(spark):
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["é secret=abcdef12", "word", "f" * 24]) for _ in range(5000))
+    df = spark.createDataFrame([(None, text, "x", 1), (2, text, "x", 1)], SCHEMA + ", hex string, spans int")
+    rows = X.digest(X.scan(df)).collect()
+    want = ",".join(f"{k}:{s}:{e}" for s, _, k, e in plain_spans(text))
+    assert {r["doc_id"] for r in rows} == {None, 2} and {r["base_sha256"] for r in rows} == {hashlib.sha256(want.encode()).hexdigest()}
