@@ -1,13 +1,13 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 For every document: its counts of character classes and of common words, held by Jensen-Shannon distance against the
-same histograms of each language. A language's reference is the sum over all documents of that language in the table
-itself, so it follows the corpus. Languages with a hundredth of the rows or more, at most a hundred, are held against
-every document. All others with MIN_REFERENCE_ROWS documents and MIN_REFERENCE_CHARS characters have a reference too: it
-is joined to their own documents, and documents that nothing has accepted are held against each of them. A document
-passes if some one language has both distances within the limits. Documents of a language with less evidence than that
-can't be judged by distance: the base rule alone decides. Documents below the minimum lengths aren't judged by the test
-in question.
+same histograms of each language. Both the references and what words are common (a language's TOP_WORDS most frequent
+ones) are learned from all documents of the table itself. Languages with a hundredth of the rows or more, at most a
+hundred, are held against every document. All others with MIN_REFERENCE_ROWS documents and MIN_REFERENCE_CHARS characters
+have a reference too: it is joined to their own documents, and documents that nothing has accepted are held against each
+of them. A document passes if some one language has both distances within the limits. Documents of a language with less
+evidence than that can't be judged by distance: the base rule alone decides. Documents below the minimum lengths aren't
+judged by the test in question.
 
 A null or blank text has no words, fails the base rule and isn't kept. Rows are judged one by one, so repeated rows get
 equal verdicts. A table without any language makes no reference; then only the base rule counts.
@@ -17,19 +17,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from pagequarry.llm.common import BLANK_RUN, let, stage, words_of
+from pagequarry.llm.common import BLANK_RUN, let, numbered, stage, words_of
 
 #: References up to this number, counted first, are broadcast for the join by language.
 MAX_BROADCAST = 10_000
 
-# Frequent function words of English, French, German and Spanish.
-COMMON_WORDS = [
-    "the", "of", "and", "to", "in", "is", "that", "for", "with", "on", "was", "by", "this", "be", "are", "as", "from", "at", "it", "an", "a", "he",
-    "de", "la", "le", "les", "et", "des", "un", "une", "du", "dans", "est", "pour", "que", "qui", "sur", "par", "pas", "au", "avec",
-    "der", "die", "und", "den", "das", "von", "mit", "dem", "ein", "eine", "nicht", "ist", "im", "für", "auf", "sich", "als", "zu", "auch",
-    "el", "los", "las", "y", "del", "se", "por", "con", "para", "su", "al", "lo", "como", "en", "no",
-]
+#: Common words of a language, and how many lists of words share the lookup table.
+TOP_WORDS, BUCKETS = 60, 256
 #: Character classes by pattern; what matches none counts as "other".
 CLASSES = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "blank": r"[\x20\x09-\x0D]", "point": "[.,;:'()?-]", "symbol": r"[#*$%&|<>!\[\]{}=+_/\\^~@`\"]", "accented": r"[^\x00-\x7F]"}
 MIN_WORDS, MIN_CHARS = 50, 200
@@ -41,59 +37,82 @@ LN2 = 0.6931471805599453
 
 
 def n_matching(text: Column, pattern: str) -> Column:
-    """Code points of text that match a pattern of one character."""
-    negated = "[^" + pattern[1:] if pattern[1] != "^" else "[" + pattern[2:]
-    return F.length(F.regexp_replace(text, negated.replace("]", "]+") if negated.count("]") == 1 else negated[:-1] + "]+", ""))
+    """Code points of text that match a pattern of one character; cheapest for texts of few characters that do."""
+    return F.length(text) - F.length(F.regexp_replace(text, pattern + "+", ""))
 
 
 def repeated_words(words: Column, n: int = 3) -> Column:
     """Number of words that lie in a window of n words found twice or more in the array, the first find included.
 
-    Windows are told apart by 64-bit hashes. They are sorted with their places; neighbours that are equal are repeats.
+    Windows are told apart by 64-bit hashes. Only where some repeat are they sorted with their places, which brings equal
+    ones together.
     """
-    windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(F.xxhash64(*[F.get(w, i + j) for j in range(n)]).alias("h"), i.alias("i")))
+    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(n)]))
+    placed = lambda hs: F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     twice = lambda s: F.filter(s, lambda x, j: (F.get(s, j - 1)["h"].eqNullSafe(x["h"])) | (F.get(s, j + 1)["h"].eqNullSafe(x["h"])))
     places = lambda s: F.array_sort(F.transform(twice(s), lambda x: x["i"]))
     covered = lambda p: F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-n).alias("last")), lambda a, x: F.struct((a["n"] + F.least(F.lit(n), x - a["last"])).alias("n"), x.alias("last")))["n"]
-    return F.when(F.size(words) < n, F.lit(0)).otherwise(let(let(F.array_sort(windows(words)), places), covered))
+    counted = lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(let(let(placed(hs), places), covered))
+    return F.when(F.size(words) < n, F.lit(0)).otherwise(let(hashes(words), counted))
 
 
-def base_measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, and the measures of the base rules and histograms of every text."""
+def common_words(docs: DataFrame, top: int = TOP_WORDS) -> DataFrame:
+    """lang, word, n and id of the most frequent words of every language; a word has the same id in all languages."""
+    counts = docs.where(F.col("lang").isNotNull()).select("lang", F.explode(words_of(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    # Spark keeps the first rows of each language on the map side already.
+    best = counts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("nth") <= top).drop("nth")
+    best = stage(best, "quality-words")
+    ids = numbered(best.select("word").distinct(), ["word"], "id").select("word", F.col("id").cast("int").alias("id"))
+    return stage(best.join(ids, "word"), "quality-word-ids")
+
+
+def lookup(words: DataFrame) -> Column | None:
+    """Array of BUCKETS arrays of (w, id): where the common words' ids are found by hash."""
+    listed: list[list[Column]] = [[] for _ in range(BUCKETS)]
+    for r in words.select("word", "id", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("at")).distinct().orderBy("id").collect():  # TOP_WORDS rows a language at most
+        listed[r["at"]].append(F.struct(F.lit(r["word"]).alias("w"), F.lit(r["id"]).alias("id")))
+    none = F.array().cast("array<struct<w:string,id:int>>")
+    return F.array(*[F.array(*x) if x else none for x in listed]) if any(listed) else None
+
+
+def base_measures(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """doc_id, lang, and the measures of the base rules and histograms of every text. words: from common_words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
-    common = lambda w: F.filter(w, lambda x: x.isin(COMMON_WORDS))
-    listed = F.array(*[F.lit(w) for w in COMMON_WORDS])
-    hist = lambda f: F.transform(F.array_distinct(f), lambda x: F.struct((F.array_position(listed, x) - 1).cast("int").alias("id"), (F.size(f) - F.size(F.array_remove(f, x))).alias("n")))
-    whole = docs.select("doc_id", "lang", text.alias("text"))
+    table, listed = lookup(words), [r["word"] for r in words.select("word").distinct().collect()]
+    common = lambda w: F.filter(w, lambda x: x.isin(listed))
+    id_of = lambda x: F.get(F.filter(F.get(table, F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")), lambda e: e["w"] == x), F.lit(0))["id"]
+    hist = lambda f: F.transform(F.array_distinct(f), lambda x: F.struct(id_of(x).alias("id"), (F.size(f) - F.size(F.array_remove(f, x))).alias("n")))
+    # Small letters and blanks are most of a text; the other classes are counted in what is left without them.
+    whole = docs.select("doc_id", "lang", text.alias("text"), F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "").alias("rest"))
+    few = {c: p for c, p in CLASSES.items() if c not in ("lower", "blank")}
     split = whole.select(
-        "doc_id", "lang", words_of(F.col("text")).alias("words"), F.length("text").alias("n_chars"),
+        "doc_id", "lang", words_of(F.col("text")).alias("words"), F.length("text").alias("n_chars"), F.length("rest").alias("n_rest"),
         F.length(F.regexp_replace("text", BLANK_RUN, "")).alias("word_chars"),
-        (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]+", ""))).alias("n_symbols"),
+        n_matching(F.col("rest"), "[#*$%&|<>]").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"),
-        *[n_matching(F.col("text"), p).alias(f"c_{c}") for c, p in CLASSES.items()],
+        *[n_matching(F.col("rest"), p).alias(f"c_{c}") for c, p in few.items()],
     )
+    split = split.withColumn("c_blank", F.col("n_chars") - F.col("word_chars")).withColumn("c_lower", F.col("word_chars") - F.col("n_rest"))
     return split.select(
         "doc_id", "lang", "n_chars", F.size("words").cast("long").alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"), F.col("n_symbols").cast("long").alias("n_symbols"), F.col("n_dup_lines").cast("long").alias("n_dup_lines"),
         let(F.col("words"), lambda w: repeated_words(w)).cast("long").alias("n_repeat_words"),
-        let(let(F.col("words"), common), hist).alias("hist"),
+        (F.array().cast("array<struct<id:int,n:int>>") if table is None else let(let(F.col("words"), common), hist)).alias("hist"),
         F.array(*[F.col(f"c_{c}") for c in CLASSES], F.greatest(F.lit(0), F.col("n_chars") - sum(F.col(f"c_{c}") for c in CLASSES))).alias("classes"),
     )
 
 
-def reference_table(measured: DataFrame) -> DataFrame:
-    """lang, rows, chars, and the shares of each class and each common word, of every language with words."""
+def reference_table(measured: DataFrame, words: DataFrame) -> DataFrame:
+    """lang, rows, chars, the shares of each class, and those of the language's common words by id, of every language with words."""
     known = measured.where(F.col("lang").isNotNull())
-    sums = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_chars").alias("chars"), F.sum("n_words").alias("words"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)])
-    counts = known.select("lang", F.explode("hist").alias("e")).groupBy("lang", F.col("e.id").alias("id")).agg(F.sum("e.n").alias("n"))
-    counts = counts.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("id", "n"))).alias("of"))  # at most one entry for each common word
-    shares = F.transform(F.sequence(F.lit(0), F.lit(len(COMMON_WORDS) - 1)), lambda i: F.coalesce(F.try_element_at(F.col("of"), i), F.lit(0)) / F.col("words"))
-    return sums.where((F.col("chars") > 0) & (F.col("words") > 0)).join(counts, "lang", "left").select("lang", "rows", "chars", F.array(*[F.col(f"c{i}") / F.col("chars") for i in range(len(CLASSES) + 1)]).alias("classes"), F.coalesce(shares, F.array_repeat(F.lit(0.0), len(COMMON_WORDS))).alias("words"))
+    sums = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_chars").alias("chars"), F.sum("n_words").alias("n_words"), *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)])
+    counts = words.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("id", "n"))).alias("of"))  # TOP_WORDS entries at most
+    shares = F.transform_values("of", lambda _, n: n / F.col("n_words"))
+    return sums.where((F.col("chars") > 0) & (F.col("n_words") > 0)).join(counts, "lang").select("lang", "rows", "chars", F.array(*[F.col(f"c{i}") / F.col("chars") for i in range(len(CLASSES) + 1)]).alias("classes"), shares.alias("words"))
 
 
-def references(measured: DataFrame, table: DataFrame | None = None) -> list[dict]:
+def references(measured: DataFrame, table: DataFrame) -> list[dict]:
     """Shares of each class and each common word by language, from its table; at most 1/LEAST_SHARE languages."""
-    table = reference_table(measured) if table is None else table
     return [r.asDict() for r in table.where(F.col("rows") >= (measured.count() or 1) * LEAST_SHARE).orderBy("lang").collect()]
 
 
@@ -103,15 +122,23 @@ def _term(p: Column, q: Column) -> Column:
     return p * F.log(p / m) + F.when(q > 0, q * F.log(F.greatest(q, F.lit(1e-300)) / m)).otherwise(0.0)
 
 
-def js_distance_words(hist: Column, n_words: Column, shares: list[float] | Column) -> Column:
-    """Square root of the divergence (base 2) of the common words and all others together; bins that the document lacks add q ln 2."""
-    listed = isinstance(shares, Column)
-    ref = shares if listed else F.array(*[F.lit(float(x)) for x in shares])
+def js_distance_words(hist: Column, n_words: Column, shares: dict[int, float] | Column) -> Column:
+    """Square root of the divergence (base 2) over a language's common words and all others together.
+
+    shares: by id of the word. Words that the document lacks add q ln 2; those common elsewhere only are among the others.
+    """
+    if isinstance(shares, Column):
+        ref, total = shares, F.aggregate(F.map_values(shares), F.lit(0.0), lambda a, x: a + x)
+    else:
+        ref, total = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair]), F.lit(sum(shares.values()))
     n = F.greatest(n_words, F.lit(1)).cast("double")
     start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
-    step = lambda a, e: F.struct((a["d"] + _term(e["n"] / n, F.get(ref, e["id"]))).alias("d"), (a["p"] + e["n"] / n).alias("p"), (a["q"] + F.get(ref, e["id"])).alias("q"))
-    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x) if listed else F.lit(sum(shares))
-    rest = F.greatest(F.lit(0.0), 1 - total) if listed else F.lit(max(0.0, 1 - sum(shares)))
+
+    def step(a, e):
+        add = lambda q: F.struct((a["d"] + F.coalesce(_term(e["n"] / n, q), F.lit(0.0))).alias("d"), (a["p"] + F.when(q.isNotNull(), e["n"] / n).otherwise(0.0)).alias("p"), (a["q"] + F.coalesce(q, F.lit(0.0))).alias("q"))
+        return let(F.try_element_at(ref, e["id"]), add)
+
+    rest = F.greatest(F.lit(0.0), 1 - total)
     other = lambda p: F.when(p < 1, _term(F.greatest(1 - p, F.lit(1e-12)), rest)).otherwise(rest * LN2)
     return let(F.aggregate(hist, start, step), lambda a: F.sqrt(F.greatest(F.lit(0.0), (a["d"] + other(a["p"]) + F.greatest(F.lit(0.0), total - a["q"]) * LN2) / (2 * LN2))))
 
@@ -125,8 +152,9 @@ def js_distance_classes(classes: Column, n_chars: Column, shares: list[float] |
 
 def judge(docs: DataFrame, max_class_distance: float = MAX_CLASS_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The measures of every row of docs, distances to the nearest language, and whether the row is kept."""
-    measured = stage(base_measures(docs), "quality-measures")
-    table = stage(reference_table(measured), "quality-references")
+    words = common_words(docs)
+    measured = stage(base_measures(docs, words), "quality-measures")
+    table = stage(reference_table(measured, words), "quality-references")
     refs = references(measured, table)
     frequent = [r["lang"] for r in refs]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

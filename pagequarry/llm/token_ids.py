@@ -7,7 +7,8 @@ and the ids are written in ascending order of doc_id. The format is a folder of
 * `blocks`: part, seq (blocks in ascending order of both hold the documents in order), doc_ids, doc_lens, n_tokens,
   checkpoints (bit offset of every STEP-th token, unsigned 32 bits) and payload (codes, highest bit first).
 
-Every block decodes on its own. Decoding is driven by one table of 2^MAX_BITS entries and runs all stretches between
+Every block decodes on its own. Decoding is driven by one table of 2^MAX_BITS entries (or more, up to 2^25, where the ids in
+use are more than that) and runs all stretches between
 checkpoints of many blocks in step. Code lengths come from the counts of all ids of the corpus, at most MAX_BITS long
 by package-merge.
 
@@ -113,18 +114,19 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
                 ids = e.encode(texts[i : i + 256])
                 yield pd.DataFrame({"doc_id": part["doc_id"].iloc[i : i + 256], "n": [len(x) // e.width for x in ids], "ids": ids})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, ids binary")
+    found = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, n long, ids binary")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))  # a null among numbers would make pandas round them
 
 
 # --- the code -----------------------------------------------------------------------------------------------------
 
 
 def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
-    """Length of each symbol's code, 0 where its count is 0; optimal among codes of at most `most` bits."""
+    """Length of each symbol's code, 0 where its count is 0; optimal among codes of at most `most` bits, or of as many as
+    the number of symbols takes, if that is more."""
     used = np.flatnonzero(counts)
     out = np.zeros(len(counts), dtype=np.uint8)
-    if len(used) > 1 << most:
-        raise ValueError("too many symbols for the code length")
+    most = max(most, int(max(1, len(used) - 1)).bit_length())
     if len(used) < 2:
         out[used] = 1
         return out
@@ -151,15 +153,16 @@ def code_lengths(counts: np.ndarray, most: int = MAX_BITS) -> np.ndarray:
 class Codebook:
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths.astype(np.int64)
+        most = self.most = max(MAX_BITS, int(self.lengths.max(initial=0)))
         symbols = np.flatnonzero(self.lengths)
         symbols = symbols[np.lexsort((symbols, self.lengths[symbols]))]
         self.codes = np.zeros(len(lengths), dtype=np.uint32)
-        spans = np.int64(1) << (MAX_BITS - self.lengths[symbols])
+        spans = np.int64(1) << (most - self.lengths[symbols])
         firsts = np.cumsum(spans) - spans
-        self.codes[symbols] = (firsts >> (MAX_BITS - self.lengths[symbols])).astype(np.uint32)
-        self.table = np.zeros(1 << MAX_BITS, dtype=np.uint32)
+        self.codes[symbols] = (firsts >> (most - self.lengths[symbols])).astype(np.uint32)
+        self.table = np.zeros(1 << most, dtype=np.uint32)
         self.table[: int(spans.sum())] = np.repeat(symbols, spans)
-        self.bits = np.ones(1 << MAX_BITS, dtype=np.int64)
+        self.bits = np.ones(1 << most, dtype=np.int64)
         self.bits[: int(spans.sum())] = np.repeat(self.lengths[symbols], spans)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
@@ -169,8 +172,8 @@ class Codebook:
         at = ends - n
         value = self.codes[ids] << (32 - n - (at & 7)).astype(np.uint32)
         size = int(ends[-1] + 7) >> 3 if len(ids) else 0
-        total = np.zeros(size + 3)
-        for k, shift in enumerate((24, 16, 8)):
+        total = np.zeros(size + 4)
+        for k, shift in enumerate((24, 16, 8, 0) if self.most > 17 else (24, 16, 8)):
             total[k : k + size] += np.bincount(at >> 3, weights=(value >> np.uint32(shift)) & np.uint32(255), minlength=size)[:size]
         return at[::STEP].astype("<u4").tobytes(), total[:size].astype(np.uint8).tobytes()
 
@@ -178,13 +181,14 @@ class Codebook:
         """Ids of blocks (n_tokens, checkpoints, payload)."""
         if not blocks:
             return []
-        data = np.frombuffer(b"".join(b[2] for b in blocks) + bytes(STEP * MAX_BITS // 8 + 8), dtype=np.uint8).astype(np.uint32)
-        window = data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]
+        data = np.frombuffer(b"".join(b[2] for b in blocks) + bytes(STEP * self.most // 8 + 8), dtype=np.uint8).astype(np.uint32)
+        window = data[:-3] << np.uint32(24) | data[1:-2] << np.uint32(16) | data[2:-1] << np.uint32(8) | data[3:]
+        spare, mask = 32 - self.most, np.uint32((1 << self.most) - 1)
         starts = np.cumsum([0] + [8 * len(b[2]) for b in blocks[:-1]])
         pos = np.concatenate([np.frombuffer(b[1], dtype="<u4").astype(np.int64) + s for b, s in zip(blocks, starts, strict=True)])
         out = np.empty((len(pos), STEP), dtype=np.uint32)
         for k in range(STEP):
-            v = (window[pos >> 3] >> (8 - (pos & 7)).astype(np.uint32)) & np.uint32(0xFFFF)
+            v = (window[pos >> 3] >> (spare - (pos & 7)).astype(np.uint32)) & mask
             out[:, k] = self.table[v]
             pos += self.bits[v]
         ids, row = [], 0
@@ -254,7 +258,7 @@ def write(tokens: DataFrame, path: str, width: int = 2, vocabulary: int = 1 << 1
 
     tie = F.xxhash64("ids")
     ordered = tokens.withColumn("tie", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
-    ordered.withColumn("part", F.spark_partition_id()).select("part", "doc_id", "n", "ids").mapInPandas(pack, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.withColumn("part", F.spark_partition_id()).select("part", F.col("doc_id").cast("string"), "n", "ids").mapInPandas(pack, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

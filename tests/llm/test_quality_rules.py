@@ -60,19 +60,45 @@ def test_distances_agree_with_a_plain_version(spark, rows):
         return math.sqrt(max(0, total / 2))
 
     df = spark.createDataFrame(rows, SCHEMA)
-    measured = Q.base_measures(df)
-    refs = {r["lang"]: r for r in Q.references(measured)}
-    ref = refs["en"]
+    words = Q.common_words(df)
+    measured = Q.base_measures(df, words)
+    ref = {r["lang"]: r for r in Q.references(measured, Q.reference_table(measured, words))}["en"]
     texts = {i: t for i, t, _ in rows}
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    counts = Counter(w for _, t, lang in rows if lang == "en" for w in split(t))
+    listed = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: Q.TOP_WORDS]]
+    shares = [counts[w] / sum(counts.values()) for w in listed]
+    assert {r["word"]: r["n"] for r in words.collect()} == {w: counts[w] for w in listed}
     for r in Q.judge(df).where("n_words > 50").collect():
-        w = re.findall(r"[^\x20\x09-\x0D]+", texts[r["doc_id"]])
-        p = [w.count(x) / len(w) for x in Q.COMMON_WORDS]
-        assert r["word_distance"] == pytest.approx(jsd([*p, 1 - sum(p)], [*ref["words"], 1 - sum(ref["words"])]), abs=1e-5)
+        w = split(texts[r["doc_id"]])
+        p = [w.count(x) / len(w) for x in listed]
+        assert r["word_distance"] == pytest.approx(jsd([*p, 1 - sum(p)], [*shares, 1 - sum(shares)]), abs=1e-5)
         t = texts[r["doc_id"]]
         c = [len(re.findall(x, t)) / len(t) for x in Q.CLASSES.values()]
         assert r["class_distance"] == pytest.approx(jsd([*c, max(0, 1 - sum(c))], ref["classes"]), abs=1e-5)
 
 
+def test_words_of_many_languages(spark):
+    """Ids are found by hash whatever the number of words, and words common to several languages count in each."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"{rng.choice('abc')}{rng.randrange(40)}x{i % 30}" if rng.random() < 0.8 else "both" for _ in range(120)), f"l{i % 30}") for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    words = Q.common_words(df)
+    assert words.groupBy("word").agg(F.count_distinct("id").alias("n")).where("n > 1").count() == 0 and words.where("word = 'both'").count() == 30
+    ids = {r["id"]: r["word"] for r in words.collect()}
+    for r in Q.base_measures(df, words).collect():
+        w = rows[r["doc_id"]][1].split()
+        assert {ids[e["id"]]: e["n"] for e in r["hist"]} == {x: w.count(x) for x in set(w) & set(ids.values())}
+
+
+def test_long_texts_null_ids_and_clashing_columns(spark):
+    text = " ".join(shuffled(1) * 400)
+    df = spark.createDataFrame([(None, text, "en", "x", 1), (2, text + " # é", "en", "x", 1)], SCHEMA + ", words string, kept int")
+    got = {r["doc_id"]: r for r in Q.judge(df).collect()}
+    for i, t in ((None, text), (2, text + " # é")):
+        assert (got[i]["n_words"], got[i]["word_chars"], got[i]["n_symbols"], got[i]["n_dup_lines"], got[i]["n_repeat_words"]) == plain_measures(t)
+
+
 def test_empty_table_and_no_language(spark):
     assert Q.judge(spark.createDataFrame([], SCHEMA)).count() == 0
     assert Q.judge(spark.createDataFrame([(1, CLEAN * 2, None)], SCHEMA)).first()["nearest_lang"] is None

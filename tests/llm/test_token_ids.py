@@ -21,6 +21,17 @@ def test_code_round_trip(ids):
     assert np.array_equal(one, ids) and np.array_equal(two, ids)
 
 
+def test_more_ids_than_short_codes():
+    """Vocabularies of more than 2^16 ids in use."""
+    rng = np.random.default_rng(5)
+    ids = np.concatenate((np.arange(150_000), rng.integers(0, 150_000, 20_000), np.full(500_000, 7)))
+    lengths = K.code_lengths(np.bincount(ids))
+    assert lengths.max() == 18 and sum(2.0 ** -lengths.astype(float)) == 1.0
+    book = K.Codebook(lengths)
+    marks, payload = book.encode(ids)
+    assert np.array_equal(book.decode([(len(ids), marks, payload)])[0], ids)
+
+
 def test_lengths_are_a_full_code_of_bounded_length():
     counts = np.array([2**min(i, 40) for i in range(60)] + [0] * 5)
     n = K.code_lengths(counts).astype(int)
@@ -63,5 +74,5 @@ def test_files_hold_the_tokenizers_ids(spark, monkeypatch):
 
 def test_empty_table_and_null_ids(spark):
     assert K.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
-    rows = K.round_trip(spark.createDataFrame([(None, "a"), (1, "b")], SCHEMA)).orderBy("start").collect()
-    assert [r["doc_id"] for r in rows] == [None, 1]
+    rows = K.round_trip(spark.createDataFrame([(None, "a", 1), (2**60 + 1, "b", 1)], SCHEMA + ", n int")).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None, 2**60 + 1]
