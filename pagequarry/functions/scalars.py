@@ -28,6 +28,11 @@ def code_hash(code: Column) -> Column:
     return F.sha2(trim_space(code).cast("binary"), 256)
 
 
+def json_field(text: Column, name: str, kind: str) -> Column:
+    """A field of a JSON text as a type; null where there is none."""
+    return F.from_json(text, f"`{name}` {kind}")[name]
+
+
 def page_key(page_id: Column) -> Column:
     """Path-like page id without its first three parts, joined by '|'; empty with no more parts."""
     return F.array_join(F.slice(F.split(page_id, "/"), 4, 1_000_000), "|")
@@ -81,6 +86,12 @@ def include_language(option: Column, path: Column, child: Column) -> Column:
     return F.coalesce(known(catalogue_language(option)), known(language_of_path(path)), known(catalogue_language(child)), F.lit("undefined"))
 
 
+def io_language(option: Column, child: Column, path: Column) -> Column:
+    """Language of an input or output block: its option, else its nested code's, else its file's."""
+    known = lambda c: F.nullif(c, F.lit("undefined"))
+    return F.coalesce(known(catalogue_language(option)), known(catalogue_language(child)), known(language_of_path(path)), F.lit("undefined"))
+
+
 def keywords(meta: Column) -> Column:
     return F.transform(F.split(meta, ","), lambda x: trim_space(x))
 

@@ -244,6 +244,11 @@ def string_in_code(nodes: DataFrame, part: str) -> DataFrame:
     return nodes.groupBy("collection").agg(F.count_if(F.rlike(F.col("code"), F.lit("(?i)" + part))).alias("count"))
 
 
+def counts_and_pages(nodes: DataFrame, *keys: str) -> DataFrame:
+    """Nodes, and the pages that they stand on, by keys."""
+    return nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.countDistinct("page_id").alias("pages"))
+
+
 def feedback_counts(feedback: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
     """(docs_property, count) of comments with any word of include and none of exclude, whatever the case."""
     text = F.col("comment")

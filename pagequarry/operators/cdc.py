@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import difflib
+import os
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagequarry.functions.scalars import key_url
+from pagequarry.operators.ranks import kept, ranked
+
 MAX_CHANGE = 0.30
 
 
@@ -35,70 +40,74 @@ def name_words(page_id: Column, parent: bool = True) -> Column:
 def page_moves(removed: DataFrame, new: DataFrame, parent: bool = True) -> DataFrame:
     """(old_id, new_id) of pages of equal, non-zero counts whose names share a word; one to one.
 
-    Both: page_id, code_count, literal_count, io_count. Candidates come from an equi-join on the counts and on each word,
-    so no pair is made that shares neither. Pairs are taken from the smallest on, in rounds: a pair that comes first for
-    both its pages is fixed, then those pages leave; rounds end when no pair is left.
+    Both: page_id, code_count, literal_count, io_count.
     """
     counts = ["code_count", "literal_count", "io_count"]
-    words = lambda df, name: df.where(F.col("code_count") != 0).select(F.col("page_id").alias(name), *counts, F.explode(name_words(F.col("page_id"), parent)).alias("word"))
-    pairs = words(removed, "old_id").join(words(new, "new_id"), [*counts, "word"]).groupBy("old_id", "new_id").agg(F.count(F.lit(1)).alias("shared"))
-    order = F.struct(-F.col("shared"), "old_id", "new_id")
-    return one_to_one(pairs.withColumn("rank", order), "old_id", "new_id").select("old_id", "new_id")
+    words = lambda df: df.where(F.col("code_count") != 0).select("page_id", *counts, F.explode(name_words(F.col("page_id"), parent)).alias("word"))
+    return matched_by_word(words(removed), words(new), "page_id", counts).select("old_id", "new_id")
+
 
+def matched_by_word(old: DataFrame, new: DataFrame, key: str, same: list[str]) -> DataFrame:
+    """(*same, old_id, new_id): a one-to-one matching of rows of old and new that agree in `same` and share a word.
 
-def one_to_one(pairs: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
-    """A greedy matching of pairs by ascending `rank`: pairs that are first on both sides are fixed round by round."""
-    spark = pairs.sparkSession
-    left, done = _kept(pairs), None
-    for _ in range(rounds):
+    Both: key, *same, word; a row a word. No pairs are made but those of the result's size: in each round every item takes
+    the word that the fewest items of both sides share (rare words say more; then the first word), and the items of both
+    sides that took the same word are matched in the order of their keys. The rarest word of all is taken by all who have
+    it, so each round settles some word, and rounds end when no word is left on both sides.
+    """
+    group = [*same, "word"]
+    a, b = (kept(df.select(F.col(key).alias(name), *group).distinct()) for df, name in ((old, "old_id"), (new, "new_id")))
+    done = None
+    while True:
+        live = a.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).join(b.groupBy(*group).agg(F.count(F.lit(1)).alias("m")), group)
+        live = kept(live.select(*group, F.struct(F.col("n") * F.col("m"), "word").alias("best")))
+        if not live.limit(1).count():
+            return done if done is not None else a.join(b, group).select(*same, "old_id", "new_id").limit(0)
+        taken = lambda df, name: ranked(df.join(live, group).groupBy(name, *same).agg(F.min("best").alias("best")).select(name, *same, F.col("best.word").alias("word")), group, [name])  # noqa: E731, B023
+        pairs = kept(taken(a, "old_id").join(taken(b, "new_id"), [*group, "rank"]).select(*same, "old_id", "new_id"))
+        done = pairs if done is None else done.unionByName(pairs)
+        a = kept(a.join(pairs.select("old_id", *same), ["old_id", *same], "left_anti"))
+        b = kept(b.join(pairs.select("new_id", *same), ["new_id", *same], "left_anti"))
+
+
+def one_to_one(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """A greedy matching of pairs by ascending `rank`: pairs that are first on both sides are fixed, then their sides leave.
+
+    Each round fixes the least pair left at least, and about all but a fraction of them where ranks are in random order;
+    give ties a hash of the pair as the second part of the rank.
+    """
+    left, done = kept(pairs), None
+    while True:
         first_a, first_b = (left.groupBy(k).agg(F.min("rank").alias("rank")) for k in (a, b))
-        fixed = _kept(left.join(first_a, [a, "rank"], "left_semi").join(first_b, [b, "rank"], "left_semi"))
+        fixed = kept(left.join(first_a, [a, "rank"], "left_semi").join(first_b, [b, "rank"], "left_semi"))
         if not fixed.limit(1).count():
             return done if done is not None else fixed
         done = fixed if done is None else done.unionByName(fixed)
-        left = _kept(left.join(fixed.select(a), a, "left_anti").join(fixed.select(b), b, "left_anti"))
-    raise RuntimeError(f"matching didn't end in {rounds} rounds on {spark.sparkContext.applicationId}")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, by a checkpoint in the shared folder if the session names one."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pagequarry-"))
-    return df.checkpoint()
-
-
-def change_share(old: Column, new: Column) -> Column:
-    """Share of the old text's bytes that changed, where the lengths differ: their difference over the old length.
-
-    Null for equal lengths and for texts without a common character; `edit_share` tells those.
-    """
-    common = F.size(F.array_intersect(F.split(old, ""), F.split(new, ""))) > 0
-    a, b = F.octet_length(old), F.octet_length(new)
-    return F.when((a != b) & (a > 0) & common, F.abs(b - a) / a)
+        left = kept(left.join(fixed.select(a), a, "left_anti").join(fixed.select(b), b, "left_anti"))
 
 
 @F.pandas_udf(T.DoubleType())
 def edit_share(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Share of the old text's bytes that a least edit script deletes; 1 if it deletes all."""
+    """Share of the old text's bytes that an edit script to the new one deletes; 1 if it deletes all.
+
+    For texts of equal length. Equal ends are taken off first. Where even the bytes that both have, in whatever order,
+    leave MAX_CHANGE or more of the text, that bound stands for the share.
+    """
 
     def one(a: str, b: str) -> float:
         x, y = a.encode(), b.encode()
-        kept = sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
-        return 1.0 if kept == 0 else (len(x) - kept) / len(x)
-
-    return pd.Series([one(a, b) if a and b is not None else 1.0 for a, b in zip(old, new, strict=True)])
+        n, head, tail = len(x), 0, 0
+        head = len(os.path.commonprefix([x, y]))
+        x, y = x[head:], y[head:]
+        tail = len(os.path.commonprefix([x[::-1], y[::-1]]))
+        x, y = x[: len(x) - tail], y[: len(y) - tail]
+        most = head + tail + (Counter(x) & Counter(y)).total()
+        if most == 0 or (n - most) / n >= MAX_CHANGE:
+            return 1.0 if most == 0 else (n - most) / n
+        same = head + tail + sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+        return 1.0 if same == 0 else (n - same) / n
 
-
-def similar(pairs: DataFrame, old: str = "old_code", new: str = "new_code", limit: float = MAX_CHANGE) -> DataFrame:
-    """Pairs whose change is below the limit, with the share; only pairs of equal length reach Python."""
-    quick = pairs.withColumn("change", change_share(F.col(old), F.col(new)))
-    equal = F.octet_length(old) == F.octet_length(new)
-    by_length = quick.where(~equal & F.col("change").isNotNull())
-    by_edit = quick.where(equal).withColumn("change", edit_share(F.col(old), F.col(new)))
-    return by_length.unionByName(by_edit).where(F.col("change") < limit)
+    return pd.Series([one(a, b) if a and b else 1.0 for a, b in zip(old, new, strict=True)])
 
 
 def classify_nodes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -113,24 +122,107 @@ def classify_nodes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def diff_nodes(stored: DataFrame, incoming: DataFrame, limit: float = MAX_CHANGE) -> DataFrame:
-    """(page_id, old_hash, new_hash, status): unchanged, updated, new or removed, one row a hash or pair.
+    """(page_id, old_hash, new_hash, old_count, new_count, status): unchanged, updated, new or removed, a row a hash or pair.
 
-    What hashes don't settle is paired on its page by similarity, most similar first, one to one.
+    Both: page_id, sha_256_hash, code; a row an instance. What hashes don't settle is paired on its page by similarity,
+    most similar first, one to one: two texts are similar if they have a character in common and the share of the old
+    one's bytes that changed is below limit. That share is the difference of lengths; for equal lengths, `edit_share`.
+    Pairs are made of lengths and characters, and only equal lengths bring the texts themselves together.
     """
-    by_hash = classify_nodes(stored, incoming)
-    texts = lambda df: df.groupBy("page_id", "sha_256_hash").agg(F.min("code").alias("code"))
-    old = by_hash.where("status = 'removed'").join(texts(stored), ["page_id", "sha_256_hash"]).select("page_id", F.col("sha_256_hash").alias("old_hash"), F.col("code").alias("old_code"))
-    new = by_hash.where("status = 'new'").join(texts(incoming), ["page_id", "sha_256_hash"]).select("page_id", F.col("sha_256_hash").alias("new_hash"), F.col("code").alias("new_code"))
+    by_hash = kept(classify_nodes(stored, incoming))
+    key = ["page_id", "sha_256_hash"]
+    texts = lambda df, status: df.join(by_hash.where(F.col("status") == status), key, "left_semi").groupBy(*key).agg(F.min("code").alias("code"))
+    old_texts, new_texts = texts(stored, "removed"), texts(incoming, "new")
+    facts = lambda df, name: df.select("page_id", F.col("sha_256_hash").alias(f"{name}_hash"), F.octet_length("code").alias(f"{name}_bytes"), F.array_distinct(F.split("code", "")).alias(f"{name}_chars"))
     # Lengths that differ by the limit or more can't be similar: the join looks at neighbouring length classes only.
-    size = lambda c: F.floor(F.log(F.greatest(F.octet_length(c), F.lit(1))) / F.log(F.lit(1 + limit)))
-    near = new.withColumn("class", F.explode(F.array(*[size(F.col("new_code")) + i for i in (-1, 0, 1, 2)])))
-    pairs = old.withColumn("class", size(F.col("old_code"))).join(near, ["page_id", "class"]).drop("class")
-    found = similar(pairs, limit=limit).select("page_id", "old_hash", "new_hash", F.struct("change", "old_hash", "new_hash").alias("rank"), F.concat_ws(" ", "page_id", "old_hash").alias("a"), F.concat_ws(" ", "page_id", "new_hash").alias("b"))
-    updated = one_to_one(found, "a", "b").select("page_id", "old_hash", "new_hash", F.lit("updated").alias("status"))
-    rest_old = old.join(updated, ["page_id", "old_hash"], "left_anti").select("page_id", "old_hash", F.lit(None).cast("string").alias("new_hash"), F.lit("removed").alias("status"))
-    rest_new = new.join(updated, ["page_id", "new_hash"], "left_anti").select("page_id", F.lit(None).cast("string").alias("old_hash"), "new_hash", F.lit("new").alias("status"))
-    same = by_hash.where("status = 'unchanged'").select("page_id", F.col("sha_256_hash").alias("old_hash"), F.col("sha_256_hash").alias("new_hash"), "status")
-    return same.unionByName(updated).unionByName(rest_old).unionByName(rest_new)
+    size = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1)).cast("double")) / F.log(F.lit(1 + limit)))
+    near = facts(new_texts, "new").withColumn("class", F.explode(F.array(*[size("new_bytes") + i for i in (-1, 0, 1, 2)])))
+    pairs = facts(old_texts, "old").withColumn("class", size("old_bytes")).join(near, ["page_id", "class"])
+    pairs = pairs.where(F.arrays_overlap("old_chars", "new_chars") & (F.col("old_bytes") > 0))
+    change = F.abs(F.col("new_bytes") - F.col("old_bytes")) / F.col("old_bytes")
+    pairs = pairs.where(change < limit).select("page_id", "old_hash", "new_hash", change.alias("change"))
+    side = lambda df, name: df.select("page_id", F.col("sha_256_hash").alias(f"{name}_hash"), F.col("code").alias(f"{name}_code"))
+    equal = pairs.where("change = 0").join(side(old_texts, "old"), ["page_id", "old_hash"]).join(side(new_texts, "new"), ["page_id", "new_hash"])
+    equal = equal.select("page_id", "old_hash", "new_hash", edit_share("old_code", "new_code").alias("change")).where(F.col("change") < limit)
+    tie = F.xxhash64("old_hash", "new_hash")
+    found = pairs.where("change > 0").unionByName(equal).select("page_id", "old_hash", "new_hash", F.struct("change", tie.alias("tie"), "old_hash", "new_hash").alias("rank"), F.struct("page_id", "old_hash").alias("a"), F.struct("page_id", "new_hash").alias("b"))
+    updated = kept(one_to_one(found, "a", "b").select("page_id", "old_hash", "new_hash"))
+    n = lambda name, count: by_hash.select("page_id", F.col("sha_256_hash").alias(f"{name}_hash"), count)
+    both = updated.join(n("old", "old_count"), ["page_id", "old_hash"]).join(n("new", "new_count"), ["page_id", "new_hash"]).withColumn("status", F.lit("updated"))
+    none = F.lit(None).cast("string")
+    rest = by_hash.join(updated.select("page_id", F.explode(F.array("old_hash", "new_hash")).alias("sha_256_hash")), key, "left_anti")
+    rest = rest.select("page_id", F.when(F.col("status") == "new", none).otherwise(F.col("sha_256_hash")).alias("old_hash"), F.when(F.col("status") == "removed", none).otherwise(F.col("sha_256_hash")).alias("new_hash"), "old_count", "new_count", "status")
+    return both.select(*rest.columns).unionByName(rest)
+
+
+def live_nodes(pages: DataFrame) -> DataFrame:
+    """(page_id, n: node) of the nodes that are on their page."""
+    return pages.select("page_id", F.explode("nodes").alias("n")).where(~F.coalesce("n.is_removed", F.lit(False)))
+
+
+def update_pages(stored: DataFrame, incoming: DataFrame, nodes: DataFrame, at: Column, strict_counts: bool = False) -> DataFrame:
+    """Stored pages as they are after a run, for the pages that came in; page_id, nodes, totals and dates are rewritten.
+
+    stored: page_id, nodes (array of structs), code_nodes_total, languages, keywords, date_last_updated, and what else is to
+    be kept. incoming: page_id, keywords. nodes: page_id and the fields of a stored node, a row an instance.
+
+    A page without nodes on both sides, or whose nodes are all unchanged, keeps them. Else its nodes are the unchanged
+    ones (with the instances counted now), the updated ones (the old node with new code, hash and date), new ones, the
+    removed ones (marked, without instances), and all that had been removed before. Keywords are replaced if their number
+    differs. strict_counts: pages of equal counts of nodes count as unchanged, whatever their texts.
+    """
+    fields = [f.name for f in stored.schema["nodes"].dataType.elementType]
+    live = live_nodes(stored.join(incoming.select("page_id"), "page_id", "left_semi")).select("page_id", "n.*")
+    one = F.when(F.col("instances_on_page") > 1, F.col("instances_on_page")).otherwise(1)
+    counts = live.groupBy("page_id").agg(F.sum(one).alias("old_n")).join(nodes.groupBy("page_id").agg(F.count(F.lit(1)).alias("new_n")), "page_id", "full")
+    touched = counts.select("page_id", F.coalesce("old_n", F.lit(0)).alias("old_n"), F.coalesce("new_n", F.lit(0)).alias("new_n")).where(F.col("old_n") != F.col("new_n")) if strict_counts else counts.select("page_id")
+    touched = kept(touched.select("page_id"))
+    old_all, new_all = live.join(touched, "page_id", "left_semi"), nodes.join(touched, "page_id", "left_semi")
+    diff = kept(diff_nodes(old_all, new_all))
+    one_each = lambda df, name: df.groupBy("page_id", F.col("sha_256_hash").alias(f"{name}_hash")).agg(F.min_by(F.struct(*fields), F.struct("date_added", "category", "language")).alias(name))
+    joined = diff.join(one_each(old_all, "old"), ["page_id", "old_hash"], "left").join(one_each(new_all.select("page_id", *fields), "new"), ["page_id", "new_hash"], "left")
+    count = F.col("new_count").cast("long")
+    old, new = F.col("old"), F.col("new")
+    node = (
+        F.when(F.col("status") == "unchanged", old.withField("instances_on_page", count))
+        .when(F.col("status") == "updated", old.withField("code", new["code"]).withField("sha_256_hash", new["sha_256_hash"]).withField("date_updated", at).withField("instances_on_page", count))
+        .when(F.col("status") == "new", new.withField("date_added", at).withField("instances_on_page", count))
+        .otherwise(old.withField("is_removed", F.lit(True)).withField("date_removed", at).withField("instances_on_page", F.lit(0).cast("long")))
+    )
+    made = joined.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("status", F.coalesce("old_hash", "new_hash").alias("h"), node.alias("n")))).alias("made"), F.sum("new_count").alias("total"), F.max((F.col("status") != "unchanged") | (F.col("old_count") != F.col("new_count"))).alias("changed"))  # a page's nodes
+    made = made.where("changed").drop("changed")
+    arriving = incoming.select("page_id", F.col("keywords").alias("new_keywords"))
+    out = stored.join(arriving, "page_id", "left").join(made, "page_id", "left")
+    gone = F.filter(F.coalesce("nodes", F.array().cast(stored.schema["nodes"].dataType)), lambda n: F.coalesce(n["is_removed"], F.lit(False)))
+    new_words = F.col("new_keywords").isNotNull() & (F.size("new_keywords") > 0) & keywords_changed(F.col("keywords"), F.col("new_keywords"))
+    is_made = F.col("made").isNotNull()
+    cast = lambda c, name: c.cast(stored.schema[name].dataType)
+    values = {
+        "nodes": F.when(is_made, F.concat(F.transform("made", lambda m: m["n"]), gone)).otherwise(F.col("nodes")),
+        "code_nodes_total": F.when(is_made, cast(F.col("total"), "code_nodes_total")).otherwise(F.col("code_nodes_total")),
+        "keywords": F.when(new_words, F.col("new_keywords")).otherwise(F.col("keywords")),
+        "date_last_updated": F.when(is_made | new_words, cast(at, "date_last_updated")).otherwise(F.col("date_last_updated")),
+    }
+    return out.withColumns(values).select(*stored.columns)
+
+
+def move_pages(stored: DataFrame, moves: DataFrame, at: Column, site: Column) -> DataFrame:
+    """Stored pages with the moved ones (old_id, new_id) under their new id, URL and date; the old ids are gone."""
+    joined = stored.join(moves, stored["page_id"] == moves["old_id"], "left")
+    moved = F.col("new_id").isNotNull()
+    values = {"page_id": F.when(moved, F.col("new_id")).otherwise(F.col("page_id"))}
+    if "page_url" in stored.columns:
+        values["page_url"] = F.when(moved, key_url(F.col("new_id"), site)).otherwise(F.col("page_url"))
+    if "date_last_updated" in stored.columns:
+        values["date_last_updated"] = F.when(moved, at.cast(stored.schema["date_last_updated"].dataType)).otherwise(F.col("date_last_updated"))
+    return joined.withColumns(values).select(*stored.columns)
+
+
+def page_states(stored: DataFrame, incoming: DataFrame, moves: DataFrame) -> DataFrame:
+    """classify_pages with the pages of moves (old_id, new_id) as moved, under their new id; their old ids are left out."""
+    states = classify_pages(stored, incoming).join(moves.select(F.col("old_id").alias("page_id")), "page_id", "left_anti")
+    to = moves.select(F.col("new_id").alias("page_id"), F.lit(True).alias("moved"))
+    return states.join(to, "page_id", "left").select("page_id", F.when(F.col("moved"), "moved").otherwise(F.col("status")).alias("status"))
 
 
 def existing_page_status(old_count: Column, new_count: Column, changed: Column | None = None) -> Column:
@@ -149,6 +241,29 @@ def keywords_changed(old: Column, new: Column) -> Column:
     return F.coalesce(F.size(old), F.lit(0)) != F.coalesce(F.size(new), F.lit(0))
 
 
+#: Messages of a change by its kind; {page}, {old}, {new} and {n} are filled in.
+# The wording of the log.
+MESSAGES = {
+    "page created": "Page created: Page ID: {page}, {n} new code examples",
+    "page removed": "Page removed: Page ID: {page}",
+    "page updated": "Page updated: Page ID: {page}",
+    "page moved": "Page moved: Old page ID: {old}, new page ID: {page}",
+    "keywords updated": "Keywords updated: Page ID: {page}",
+    "examples created": "Code example created: Page ID: {page}, {n} new code examples added",
+    "examples updated": "Code example updated: Page ID: {page}, {n} code examples updated",
+    "examples removed": "Code example removed: Page ID: {page}, {n} code examples removed",
+    "usage added": "Applied usage example added: Page ID: {page}, {n} new applied usage examples added",
+    "code count": "Code node count change: Page ID: {page}, was {old}, now {new}",
+}
+
+
 def change_messages(changes: DataFrame) -> DataFrame:
-    """One line of a log a change: (project, kind, page_id, count) as text."""
-    return changes.select("project", F.format_string("%s: Page ID: %s, %d %s", F.col("kind"), F.col("page_id"), F.col("count"), F.when(F.col("count") == 1, "change").otherwise("changes")).alias("message"))
+    """(project, message) of changes (project, kind, page_id, old, new, n); a kind that isn't known has its name and page."""
+    message = F.concat_ws(": Page ID: ", "kind", "page_id")
+    for kind, template in MESSAGES.items():
+        values = {"page": F.col("page_id"), "old": F.col("old"), "new": F.col("new"), "n": F.col("n")}
+        filled = F.lit(template)
+        for name, value in values.items():
+            filled = F.replace(filled, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+        message = F.when(F.col("kind") == kind, filled).otherwise(message)
+    return changes.select("project", message.alias("message"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.operators.cdc import _kept
+from pagequarry.operators.ranks import kept
 
 
 def closure(edges: DataFrame, roots: DataFrame, terminal: str | None = None) -> DataFrame:
@@ -15,30 +15,29 @@ def closure(edges: DataFrame, roots: DataFrame, terminal: str | None = None) ->
     a cycle ends by itself. terminal: a suffix of nodes from which no edge is followed.
     """
     links = edges.select("source", "target").distinct()
-    frontier = _kept(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
-    seen = frontier
+    frontier = kept(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("depth", F.lit(0)))
+    seen = frontier  # a union of frontiers, none of which is written again
     while True:
         if terminal is not None:
             frontier = frontier.where(~F.col("node").endswith(terminal) | (F.col("depth") == 0))
         step = frontier.join(links, F.col("node") == F.col("source")).select("root", F.col("target").alias("node"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = _kept(step.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
+        frontier = kept(step.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
         if not frontier.limit(1).count():
             return seen
-        seen = _kept(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
 
 
-def include_paths(edges: DataFrame, roots: DataFrame, max_depth: int = 200) -> DataFrame:
+def include_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(path, node, depth, is_cut): every path from the roots; a node that its own path already holds is a leaf (cut)."""
     links = edges.select("source", "target")
-    frontier = _kept(roots.select(F.array("node").alias("path"), "node", F.lit(0).alias("depth"), F.lit(False).alias("is_cut")))
+    frontier = kept(roots.select(F.array("node").alias("path"), "node", F.lit(0).alias("depth"), F.lit(False).alias("is_cut")))
     found = frontier
-    for _ in range(max_depth):
+    while True:
         step = frontier.where(~F.col("is_cut")).join(links, F.col("node") == F.col("source"))
-        frontier = _kept(step.select(F.concat("path", F.array("target")).alias("path"), F.col("target").alias("node"), (F.col("depth") + 1).alias("depth"), F.array_contains("path", F.col("target")).alias("is_cut")))
+        frontier = kept(step.select(F.concat("path", F.array("target")).alias("path"), F.col("target").alias("node"), (F.col("depth") + 1).alias("depth"), F.array_contains("path", F.col("target")).alias("is_cut")))
         if not frontier.limit(1).count():
-            break
+            return found
         found = found.unionByName(frontier)
-    return found
 
 
 def include_stats(paths: DataFrame) -> DataFrame:
@@ -46,9 +45,15 @@ def include_stats(paths: DataFrame) -> DataFrame:
     return paths.agg(F.countDistinct("node").alias("files"), F.count_if(F.col("depth") > 0).alias("edges"), F.max("depth").alias("max_depth"))
 
 
-def usages(edges: DataFrame, target: str) -> DataFrame:
-    """Edges that lead to a file directly."""
-    return edges.where(F.col("target") == target)
+def usages(edges: DataFrame, target: str, directive: str | None = None) -> DataFrame:
+    """Edges that lead to a file directly, of one type of directive if one is named."""
+    found = edges.where(F.col("target") == target)
+    return found if directive is None else found.where(F.col("directive") == directive)
+
+
+def usages_by_file(found: DataFrame) -> DataFrame:
+    """(source, directive, usages) of usages, counted anew after whatever filter."""
+    return found.groupBy("source", "directive").agg(F.count(F.lit(1)).alias("usages"))
 
 
 def pages_using(edges: DataFrame, target: str, page_suffix: str = ".txt") -> DataFrame:

@@ -9,7 +9,8 @@ from pagequarry.functions import rst
 from pagequarry.functions import scalars as S
 from pagequarry.functions import vocabulary as V
 from pagequarry.operators.catalog import instances
-from pagequarry.operators.cdc import one_to_one
+from pagequarry.operators.cdc import matched_by_word
+from pagequarry.operators.includes import resolve_includes
 
 
 def code_nodes(pages: DataFrame, words: V.RuleWords = V.RuleWords()) -> DataFrame:
@@ -43,6 +44,12 @@ def languages_array(nodes: DataFrame, languages: list[str] = V.LANGUAGES) -> Dat
     return sums.select("page_id", F.array(*entries).alias("languages"))
 
 
+def empty_languages(languages: list[str] = V.LANGUAGES) -> Column:
+    """The language array of a page without code: every language with zeros."""
+    zero = F.lit(0).cast("long")
+    return F.array(*[F.create_map(F.lit(x), F.struct(zero.alias("literal_includes"), zero.alias("io_code_block"), zero.alias("total"))) for x in languages])
+
+
 def new_pages(nodes: DataFrame, pages: DataFrame, at: Column) -> DataFrame:
     """Pages as they are stored first: unique nodes, language array, totals. pages: page_id and what else is to be kept."""
     unique = unique_with_counts(nodes)
@@ -65,10 +72,8 @@ def inconsistent_pages(pages: DataFrame) -> DataFrame:
 def log_moves(removed: DataFrame, created: DataFrame) -> DataFrame:
     """(project, old_id, new_id) of pages that a run's log shows as removed and created with equal counts of examples and a
     common part of their ids; one to one. Both: project, page_id, count."""
-    parts = lambda df, name: df.select("project", "count", F.col("page_id").alias(name), F.explode(F.array_distinct(F.split("page_id", r"\|"))).alias("part"))
-    pairs = parts(removed, "old_id").join(parts(created, "new_id"), ["project", "count", "part"]).groupBy("project", "old_id", "new_id").agg(F.count(F.lit(1)).alias("shared"))
-    keyed = pairs.withColumns({"rank": F.struct(-F.col("shared"), "project", "old_id", "new_id"), "a": F.struct("project", "old_id"), "b": F.struct("project", "new_id")})
-    return one_to_one(keyed, "a", "b").select("project", "old_id", "new_id")
+    parts = lambda df: df.select("project", "count", "page_id", F.explode(F.array_distinct(F.split("page_id", r"\|"))).alias("word"))
+    return matched_by_word(parts(removed), parts(created), "page_id", ["project", "count"]).select("project", "old_id", "new_id")
 
 
 def usage_without_moves(usage: DataFrame, moves: DataFrame) -> DataFrame:
@@ -83,16 +88,47 @@ def extraction_report(examples: DataFrame) -> DataFrame:
 
 
 def procedure_totals(procedures: DataFrame) -> DataFrame:
-    """Procedures and their variations by kind, and over all where the kind is null."""
-    return procedures.rollup("kind").agg(F.count(F.lit(1)).alias("procedures"), F.sum(F.size("variations")).alias("variations"))
+    """Procedures and their variations by kind, and over all where the kind is null; those of one tab set or tutorial under
+    one heading count as one procedure."""
+    group = F.when(F.col("tab_group").isNull(), F.col("line")).otherwise(-F.col("tab_group"))
+    logical = procedures.groupBy("path", "title", "kind", group.alias("at")).agg(F.sum(F.size("variations")).alias("n"))
+    return logical.rollup("kind").agg(F.count(F.lit(1)).alias("procedures"), F.sum("n").alias("variations"))
+
+
+def procedures_by_heading(procedures: DataFrame) -> DataFrame:
+    """(path, title, procedures, steps, variations): what each heading of a file holds."""
+    return procedures.groupBy("path", "title").agg(F.count(F.lit(1)).alias("procedures"), F.sum("steps").alias("steps"), F.sum(F.size("variations")).alias("variations"))
+
+
+def procedures_of_selection(procedures: DataFrame, selection: str) -> DataFrame:
+    return procedures.where(F.array_contains("variations", selection))
 
 
 def distinct_procedures(procedures: DataFrame) -> DataFrame:
-    """Procedures of equal content under one heading: how often, and all their variations in order."""
+    """Procedures of equal content under one heading: where first, and all their variations in order."""
     rows = procedures.select("path", "title", "hash", "line", F.explode("variations").alias("v"))
     return rows.groupBy("path", "title", "hash").agg(F.min("line").alias("line"), F.array_sort(F.collect_set("v")).alias("variations"))
 
 
+def example_files(examples: DataFrame, preserve_dirs: bool = False) -> DataFrame:
+    """(path, content) of the file that each example is written to. examples: path, directive, index, sub, language, content."""
+    name = S.output_name(F.col("path"), F.col("directive"), F.col("index"), F.col("sub"), F.col("language"))
+    folder = F.regexp_extract("path", "^(.*/)?[^/]*$", 1)
+    return examples.select(F.concat(folder, name).alias("path") if preserve_dirs else name.alias("path"), "content")
+
+
+def procedure_files(texts: DataFrame) -> DataFrame:
+    """(path, content) of the file that each variation of a procedure is written to: slug of title and variation, and the
+    beginning of the content's hash. texts: from procedure_texts."""
+    name = F.concat_ws("-", F.nullif(S.slug(F.col("title")), F.lit("")), F.nullif(S.slug(F.col("variation")), F.lit("")), F.substring("hash", 1, 6))
+    return texts.select(F.concat(name, F.lit(".rst")).alias("path"), "content").distinct()
+
+
 def included_examples(examples: DataFrame, files: DataFrame) -> DataFrame:
-    """Examples that include a file, with its content. examples: includes; files: path, content."""
-    return examples.where(F.col("includes").isNotNull()).join(files.select(F.col("path").alias("includes"), F.col("content").alias("included")), "includes", "left")
+    """Examples with the part of a file that they include, where they include one; those whose file or tag is missing are
+    left out. examples: from example_table; files: path, content."""
+    own = examples.where(F.col("includes").isNull())
+    edges = examples.where(F.col("includes").isNotNull()).withColumnsRenamed({"path": "source", "includes": "ref"})
+    found = resolve_includes(edges, files).where(F.col("target").isNotNull()).join(files.select(F.col("path").alias("target"), F.col("content").alias("file")), "target")
+    parts = rst.included_parts(found).where(F.col("content").isNotNull())
+    return own.unionByName(parts.withColumnsRenamed({"source": "path", "ref": "includes"}).select(*own.columns))

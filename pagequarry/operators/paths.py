@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import difflib
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagequarry.functions import scalars as S
 
-#: Rules are compiled into one expression each; that is meant for a configuration, not for data.
-MAX_RULES = 2000
-
-
 def valid_pattern(pattern: str) -> bool:
     try:
         re.compile(pattern)
@@ -62,9 +60,10 @@ def rule_target(path: Column, rule: dict) -> Column:
 
 
 def apply_rules(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """(path, ..., workflow, rule_idx, target) by the first rule of each workflow that holds; no join, one expression."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    """(path, ..., workflow, rule_idx, target) by the first rule of each workflow that holds; no join, one expression.
+
+    Rules are a configuration, not data: each becomes an expression of the plan.
+    """
     flows: dict[str, list[tuple[int, dict]]] = {}
     for i, r in enumerate(rules):
         flows.setdefault(r.get("workflow", ""), []).append((r.get("idx", i), r))
@@ -77,9 +76,26 @@ def apply_rules(files: DataFrame, rules: list[dict]) -> DataFrame:
     return found.select(*files.columns, "m.workflow", "m.rule_idx", "m.target")
 
 
-def uploads(matched: DataFrame) -> DataFrame:
-    """Files queued by (workflow): how many, and their targets in order."""
-    return matched.groupBy("workflow").agg(F.count(F.lit(1)).alias("files"), F.sort_array(F.collect_list("target")).alias("targets"))
+def uploads(matched: DataFrame, *by: str) -> DataFrame:
+    """Files queued by the columns `by` (repo and branch; workflow if none are named): how many, and their targets in order.
+
+    A queue is one commit, so its targets belong together.
+    """
+    return matched.groupBy(*(by or ("workflow",))).agg(F.count(F.lit(1)).alias("files"), F.sort_array(F.collect_list("target")).alias("targets"))
+
+
+def deprecations(known: DataFrame, removed: DataFrame, at: Column) -> DataFrame:
+    """known (filename, repo, branch, deleted_on) with an entry for each target of removed (target, repo, branch) added."""
+    new = removed.select(F.col("target").alias("filename"), "repo", "branch", at.alias("deleted_on"))
+    return known.unionByName(new)
+
+
+def without_excluded(found: DataFrame, globs: list[str], column: str = "source") -> DataFrame:
+    """Rows whose path in column matches none of the globs."""
+    out = F.lit(False)
+    for g in globs:
+        out = out | F.rlike(F.col(column), F.lit(S.glob_pattern(g)))
+    return found.where(~out)
 
 
 def search(files: DataFrame, needle: str, whole: bool = True, ignore_case: bool = True) -> DataFrame:
@@ -119,13 +135,14 @@ def page_counts(rows: DataFrame) -> DataFrame:
     return counts.select("project", "version", F.when(F.col("g") == 0, 0).when(F.col("g") == 1, 1).otherwise(2).alias("level"), "count")
 
 
-def tested_examples(files: DataFrame, products: DataFrame, without_outputs: bool = False) -> DataFrame:
+def tested_examples(files: DataFrame, products: DataFrame, without_outputs: bool = False, special: dict[str, str] | None = None) -> DataFrame:
     """(product, count) of files content/code-examples/tested/<language>/<product>/*, by the products known.
 
-    products: product, extensions (array). Files named *output* don't count with without_outputs.
+    products: product, extensions (array). Files named *output* don't count with without_outputs. special: languages whose
+    files count for a product of their own, whatever the folder beneath.
     """
     parts = F.split("path", "/")
-    rows = files.where(F.col("path").startswith("content/code-examples/tested/") & (F.size(parts) > 5)).select("path", parts[4].alias("product"), S.file_extension(F.col("path")).alias("ext"))
+    rows = files.where(F.col("path").startswith("content/code-examples/tested/") & (F.size(parts) > 5)).select("path", F.coalesce(S.lookup(parts[3], special) if special else F.lit(None).cast("string"), parts[4]).alias("product"), S.file_extension(F.col("path")).alias("ext"))
     if without_outputs:
         rows = rows.where(~F.element_at(F.split("path", "/"), -1).contains("output"))
     known = rows.join(products, "product").where(F.array_contains("extensions", F.col("ext")) | F.col("extensions").isNull())
@@ -150,26 +167,12 @@ def comparison_totals(compared: DataFrame) -> DataFrame:
     return compared.agg(*[F.count_if(F.col("status") == s).alias(s.replace(" ", "_")) for s in ("matches", "differs", "not found")])
 
 
-@F.udf(T.StringType())
-def unified_diff(a: str, b: str) -> str:
-    """Unified diff of two texts; runs on the few pairs that differ."""
-    import difflib
+def unified_diffs(pairs: DataFrame) -> DataFrame:
+    """(path, diff) of the pairs (path, a, b) of texts that differ."""
 
-    return "\n".join(difflib.unified_diff((a or "").split("\n"), (b or "").split("\n"), "a", "b", lineterm=""))
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            texts = [difflib.unified_diff((x or "").split("\n"), (y or "").split("\n"), "a", "b", lineterm="") for x, y in zip(part["a"], part["b"], strict=True)]
+            yield pd.DataFrame({"path": part["path"], "diff": ["\n".join(t) for t in texts]})
 
-
-def resolve_includes(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Edges (source, ref, ...) with the file that a reference stands for, null if there is none.
-
-    Candidates are the path from the source directory of the source's tree, and the path from the file's own folder, each
-    as it is and with .rst and .txt; the first that exists is taken.
-    """
-    root = F.regexp_extract("source", r"^(.*?/source)/", 1)
-    folder = F.regexp_replace("source", "/[^/]*$", "")
-    bare = F.regexp_replace("ref", "^/", "")
-    bases = F.array(F.concat_ws("/", root, bare), F.concat_ws("/", folder, bare))
-    tries = F.flatten(F.transform(bases, lambda b: F.array(b, F.concat(b, F.lit(".rst")), F.concat(b, F.lit(".txt")))))
-    keyed = edges.withColumn("edge", F.xxhash64("source", "ref"))
-    tried = keyed.select("source", "ref", F.posexplode(tries).alias("rank", "target")).distinct()
-    hits = tried.join(files.select(F.col("path").alias("target")).distinct(), "target").groupBy("source", "ref").agg(F.min_by("target", "rank").alias("target"))
-    return edges.join(hits, ["source", "ref"], "left")
+    return pairs.where(~F.col("a").eqNullSafe(F.col("b"))).select("path", "a", "b").mapInPandas(run, "path string, diff string")

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import scalars as S
 from pagequarry.functions import vocabulary as V
 from pagequarry.operators import catalog, cdc, deps, events, graph, ingest, paths, updates
 from pagequarry.plans import fixtures as X
+from pagequarry.plans.registry import ORACLES, QUERIES, query
 from pagequarry.sources import sinks
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
 NODES = "WITH " + X.cte("nodes", X.NODES, "documents")
 LIVE = NODES + ", live AS (SELECT * FROM nodes WHERE coalesce(is_removed, false) = false)"
 CODED = LIVE + ", coded AS (SELECT * FROM live WHERE code IS NOT NULL AND code <> '')"
@@ -28,16 +23,6 @@ SINCE = f"DATE '{X.AS_OF}' - INTERVAL 7 DAY"
 INST = "CASE WHEN instances_on_page <> 0 THEN instances_on_page ELSE 1 END"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- counts --------------------------------------------------------------------------------------------------------
 
 
@@ -289,21 +274,24 @@ def audit_of_rule(spark, sf_dir):
     return events.events_of_rule(X.audit(spark, sf_dir), "rule 7", 20).select("event_id", "event_type", "rule_name")
 
 
-@query(AUDIT + f", last AS (SELECT duration_ms FROM audit WHERE duration_ms IS NOT NULL ORDER BY ts DESC, event_id LIMIT 1000) SELECT (SELECT CAST(count(*) AS BIGINT) FROM audit) AS received, (SELECT CAST(count(*) AS BIGINT) FROM audit WHERE {OK}) AS processed, round(avg(duration_ms), 6) AS avg_ms, CAST(min(duration_ms) AS BIGINT) AS min_ms, CAST(max(duration_ms) AS BIGINT) AS max_ms FROM last")
+@query(AUDIT + f""", last AS (SELECT duration_ms AS d FROM audit WHERE duration_ms IS NOT NULL ORDER BY ts DESC, event_id LIMIT 1000), c AS (SELECT CAST(count(*) AS BIGINT) AS received, CAST(count(*) FILTER ({OK}) AS BIGINT) AS processed, CAST(count(*) FILTER (NOT {OK}) AS BIGINT) AS failed FROM audit),
+t AS (SELECT round(avg(d), 6) AS avg_ms, min(d) AS min_ms, max(d) AS max_ms, quantile_cont(d, 0.5) AS p50, quantile_cont(d, 0.95) AS p95, quantile_cont(d, 0.99) AS p99 FROM last)
+SELECT c.*, t.*, processed * 100.0::DOUBLE / received AS success_rate, failed * 100.0::DOUBLE / received AS error_rate, avg_ms AS approx_p50, avg_ms * 1.5 AS approx_p95, avg_ms * 2 AS approx_p99 FROM c, t""")
 def request_metrics(spark, sf_dir):
-    return events.processing_metrics(X.audit(spark, sf_dir)).select("received", "processed", "avg_ms", "min_ms", "max_ms")
+    rounded = lambda df: df.withColumns({c: F.round(c, 6) for c in ("p50", "p95", "p99")})
+    return rounded(events.processing_metrics(X.audit(spark, sf_dir)))
 
 
 # --- change detection ----------------------------------------------------------------------------------------------
 
-SNAP = "WITH d AS (SELECT doc_id, sha256(trim(text)) AS h FROM documents), o AS (SELECT h, count(*) AS n FROM d WHERE doc_id % 3 <> 0 GROUP BY 1), i AS (SELECT h, count(*) AS n FROM d WHERE doc_id % 3 <> 1 GROUP BY 1)"
+SNAP = NODES + ", o AS (SELECT page_id, sha_256_hash AS h, count(*) AS n FROM nodes WHERE node_id % 3 <> 0 GROUP BY ALL), i AS (SELECT page_id, sha_256_hash AS h, count(*) AS n FROM nodes WHERE node_id % 3 <> 1 GROUP BY ALL)"
 
 
-@query(SNAP + " SELECT coalesce(o.h, i.h) AS sha_256_hash, CAST(coalesce(o.n, 0) AS BIGINT) AS old_count, CAST(coalesce(i.n, 0) AS BIGINT) AS new_count, CASE WHEN o.h IS NULL THEN 'new' WHEN i.h IS NULL THEN 'removed' ELSE 'unchanged' END AS status FROM o FULL JOIN i ON o.h = i.h")
+@query(SNAP + " SELECT page_id, h AS sha_256_hash, CAST(coalesce(o.n, 0) AS BIGINT) AS old_count, CAST(coalesce(i.n, 0) AS BIGINT) AS new_count, CASE WHEN o.n IS NULL THEN 'new' WHEN i.n IS NULL THEN 'removed' ELSE 'unchanged' END AS status FROM o FULL JOIN i USING (page_id, h)")
 def node_diff(spark, sf_dir):
-    rows = X.nodes(spark, sf_dir).withColumn("page_id", F.lit("all"))
+    rows = X.nodes(spark, sf_dir)
     third = F.col("node_id") % 3
-    return cdc.classify_nodes(rows.where(third != 0), rows.where(third != 1)).drop("page_id")
+    return cdc.classify_nodes(rows.where(third != 0), rows.where(third != 1))
 
 
 @query()
@@ -320,11 +308,24 @@ def page_status(spark, sf_dir):
     return cdc.classify_pages(keys.where(third != 0), keys.where(third != 1).withColumn("deleted", F.col("page_id") % 7 == 0))
 
 
-@query("SELECT 'old|part-' || p_partkey || '|page-x' || p_partkey AS old_id, 'new|part-' || p_partkey || '|page-x' || p_partkey AS new_id FROM part")
+#: Moves between rows of `sides` (g: what has to agree, w: a rare word, id, is_old), all of which share one common word.
+#: First every row whose rare word is on both sides takes that one, and the others take the common one; then what is left.
+MOVES = """, live AS (SELECT *, EXISTS (SELECT 1 FROM sides t WHERE t.g = s.g AND t.w = s.w AND t.is_old <> s.is_old) AS own FROM sides s),
+r AS (SELECT *, row_number() OVER (PARTITION BY g, own, CASE WHEN own THEN w END, is_old ORDER BY id) AS r FROM live),
+p1 AS (SELECT o.g, o.id AS old_id, n.id AS new_id FROM r o JOIN r n ON o.is_old AND NOT n.is_old AND o.g = n.g AND o.own = n.own AND (NOT o.own OR o.w = n.w) AND o.r = n.r),
+q AS (SELECT *, row_number() OVER (PARTITION BY g, is_old ORDER BY id) AS r FROM sides WHERE id NOT IN (SELECT old_id FROM p1 UNION SELECT new_id FROM p1)),
+m AS (SELECT * FROM p1 UNION ALL SELECT o.g, o.id, n.id FROM q o JOIN q n ON o.is_old AND NOT n.is_old AND o.g = n.g AND o.r = n.r)"""
+PAGES_MOVED = "WITH sides AS (SELECT (p_size, p_partkey % 2) AS g, p_partkey // 5 AS w, 'a|old|guide-w' || (p_partkey // 5) || '-o' || p_partkey AS id, true AS is_old FROM part WHERE p_partkey % 5 < 3 UNION ALL SELECT (p_size, p_partkey % 2), p_partkey // 5, 'a|new|guide-w' || (p_partkey // 5) || '-n' || p_partkey, false FROM part WHERE p_partkey % 5 > 0)"
+LOG_MOVED = "WITH sides AS (SELECT ('p' || (p_partkey % 3), p_size) AS g, p_brand AS w, 'x|' || p_brand || '|k' || p_partkey AS id, p_partkey % 2 = 0 AS is_old FROM part)"
+
+
+@query(PAGES_MOVED + MOVES + " SELECT old_id, new_id FROM m")
 def page_moves(spark, sf_dir):
+    """Rare words first, then what is left by the word that all names share."""
     part = X.table(spark, sf_dir, "part")
-    side = lambda name: part.select(F.concat(F.lit(f"{name}|part-"), "p_partkey", F.lit("|page-x"), "p_partkey").alias("page_id"), F.col("p_size").cast("long").alias("code_count"), (F.col("p_partkey") % 5).alias("literal_count"), F.lit(0).cast("long").alias("io_count"))
-    return cdc.page_moves(side("old"), side("new"), parent=False)
+    k = F.col("p_partkey")
+    side = lambda kind, which: part.where(which).select(F.concat(F.lit(f"a|{kind}|guide-w"), F.floor(k / 5).cast("string"), F.lit("-" + kind[0]), k.cast("string")).alias("page_id"), F.col("p_size").cast("long").alias("code_count"), (k % 2).alias("literal_count"), F.lit(0).cast("long").alias("io_count"))
+    return cdc.page_moves(side("old", k % 5 < 3), side("new", k % 5 > 0), parent=False)
 
 
 # --- graphs --------------------------------------------------------------------------------------------------------
@@ -401,10 +402,10 @@ def count_tested_examples(spark, sf_dir):
     return paths.tested_examples(files, known)
 
 
-@query("SELECT url, split_part(url, '/', -1) AS last, regexp_extract(split_part(url, '/', -1), '(\\.[^./]*)$', 1) AS ext FROM pages")
+@query("SELECT url, split_part(rtrim(url, '/'), '/', -1) AS last, regexp_extract(split_part(rtrim(url, '/'), '/', -1), '(\\.[^./]*)$', 1) AS ext FROM pages")
 def url_parts(spark, sf_dir):
-    url = F.col("url")
-    return X.table(spark, sf_dir, "pages").select("url", F.element_at(F.split(url, "/"), -1).alias("last"), S.file_extension(F.element_at(F.split(url, "/"), -1)).alias("ext"))
+    last = S.last_segment(F.col("url"))
+    return X.table(spark, sf_dir, "pages").select("url", last.alias("last"), S.file_extension(last).alias("ext"))
 
 
 @query("SELECT p_name AS name, CAST(p_size % 3 AS VARCHAR) || '.' || (p_partkey % 4) || '.' || (p_partkey % 5) AS current, CASE WHEN p_partkey % 9 = 0 THEN '1.2' ELSE CAST(p_size % 2 AS VARCHAR) || '.' || (p_partkey % 3) || '.' || (p_partkey % 7) END AS latest, CASE WHEN p_partkey % 9 = 0 THEN 'unknown' WHEN p_size % 3 <> p_size % 2 THEN 'major' WHEN p_partkey % 4 <> p_partkey % 3 THEN 'minor' WHEN p_partkey % 5 <> p_partkey % 7 THEN 'patch' ELSE 'none' END AS update_type FROM part")
@@ -416,16 +417,6 @@ def update_types(spark, sf_dir):
     return rows.withColumn("update_type", S.update_type(F.col("current"), F.col("latest")))
 
 
-RULE_SQL = "CASE WHEN starts_with(text, 'import ') OR starts_with(text, 'from ') THEN 'Usage example' WHEN contains(CASE WHEN strlen(text) > 50 THEN substr(text, 1, 50) ELSE text END, 'License') THEN 'Usage example' WHEN contains(substr(text, 1, 50), 'warning') OR contains(substr(text, 1, 50), 'deprecated') OR contains(substr(text, 1, 50), '_id') THEN 'Example return object' ELSE 'Uncategorized' END"
-
-
-@query(f"SELECT doc_id, {RULE_SQL} AS category FROM documents WHERE strlen(text) = length(text) AND NOT regexp_matches(text, '\\$[a-zA-Z]{{2,}}: ?')")
-def rule_categories(spark, sf_dir):
-    docs = X.table(spark, sf_dir, "documents").where((F.octet_length("text") == F.length("text")) & ~F.rlike(F.col("text"), F.lit(r"\$[a-zA-Z]{2,}: ?")))
-    words = V.RuleWords(usage_prefixes=("import ", "from "), command_prefixes=(), usage_strings=("License",), command_strings=())
-    return docs.select("doc_id", S.rule_category(F.col("text"), F.col("lang"), words).alias("category"))
-
-
 #: The head: the longest prefix of whole characters within 50 bytes. Then the stage rule, anywhere in the text.
 HEAD_SQL = "substr(text, 1, len(list_filter(range(1, 51), lambda i: i <= length(text) AND strlen(substr(text, 1, i)) <= 50)))"
 STAGE_SQL = r"(?s)\$[a-zA-Z]{2,}: ?(.*?<.+?>)?"
@@ -435,14 +426,19 @@ STAGE_SQL = r"(?s)\$[a-zA-Z]{2,}: ?(.*?<.+?>)?"
 SELECT doc_id, CASE WHEN starts_with(text, 'import ') OR starts_with(text, 'from ') OR contains(head, 'License') THEN 'Usage example' WHEN contains(head, 'warning') OR contains(head, 'deprecated') OR contains(head, '_id') THEN 'Example return object'
  WHEN regexp_extract(text, '{STAGE_SQL}', 1) <> '' THEN 'Syntax example' WHEN regexp_matches(text, '{STAGE_SQL}') THEN 'Usage example' ELSE 'Uncategorized' END AS category FROM h""")
 def rule_categories_of_all(spark, sf_dir):
-    """rule_categories over every document: heads of several bytes a character, and the stage rule."""
+    """Over every document: heads of several bytes a character, and the stage rule."""
     words = V.RuleWords(usage_prefixes=("import ", "from "), command_prefixes=(), usage_strings=("License",), command_strings=())
     return X.table(spark, sf_dir, "documents").select("doc_id", S.rule_category(F.col("text"), F.col("lang"), words).alias("category"))
 
 
+@query(ORACLES["rule_categories_of_all"])
+def rule_categories(spark, sf_dir):
+    return rule_categories_of_all(spark, sf_dir)
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_field(spark, sf_dir):
-    return X.table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    return X.table(spark, sf_dir, "events").select("event_id", S.json_field(F.col("props"), "k", "bigint").alias("k"))
 
 
 @query(NODES + " SELECT page_id, CAST(sum(length(code)) AS BIGINT) AS chars FROM nodes WHERE page_id <> 'summaries' GROUP BY 1")
@@ -456,7 +452,7 @@ def page_chars(spark, sf_dir):
 @query("SELECT l_returnflag AS category, l_linestatus AS language, CAST(count(*) AS BIGINT) AS count, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS pages FROM lineitem WHERE l_shipdate >= DATE '1995-01-01' GROUP BY ALL")
 def line_category_language(spark, sf_dir):
     lines = X.table(spark, sf_dir, "lineitem").where("l_shipdate >= DATE '1995-01-01'")
-    return lines.groupBy(F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("language")).agg(F.count(F.lit(1)).alias("count"), F.countDistinct("l_orderkey").alias("pages"))
+    return catalog.counts_and_pages(lines.select(F.col("l_returnflag").alias("category"), F.col("l_linestatus").alias("language"), F.col("l_orderkey").alias("page_id")), "category", "language")
 
 
 # --- ingest --------------------------------------------------------------------------------------------------------
@@ -481,11 +477,12 @@ def run_counters(spark, sf_dir):
     return ingest.run_counters(rows)
 
 
-@query("SELECT 'p' || (p_partkey % 3) AS project, 'old|x' || p_partkey AS old_id, 'new|x' || p_partkey AS new_id FROM part")
+@query(LOG_MOVED + MOVES + " SELECT g[1] AS project, old_id, new_id FROM m")
 def log_moves(spark, sf_dir):
+    """All ids share the part x, some the brand as well."""
     part = X.table(spark, sf_dir, "part")
-    side = lambda name: part.select(F.concat(F.lit("p"), F.col("p_partkey") % 3).alias("project"), F.concat(F.lit(f"{name}|x"), "p_partkey").alias("page_id"), F.col("p_size").alias("count"))
-    return ingest.log_moves(side("old"), side("new"))
+    side = lambda rest: part.where(F.col("p_partkey") % 2 == rest).select(F.concat(F.lit("p"), (F.col("p_partkey") % 3).cast("string")).alias("project"), F.concat(F.lit("x|"), "p_brand", F.lit("|k"), F.col("p_partkey").cast("string")).alias("page_id"), F.col("p_size").alias("count"))
+    return ingest.log_moves(side(0), side(1))
 
 
 @query(NODES + " SELECT 'language' AS kind, language AS key, CAST(count(*) AS BIGINT) AS count FROM nodes GROUP BY 2 UNION ALL SELECT 'directive', category, count(*) FROM nodes GROUP BY 2 UNION ALL SELECT 'file', page_id, count(*) FROM nodes GROUP BY 2")
@@ -498,3 +495,7 @@ def manifests(spark, sf_dir):
     name = F.when(F.col("p_name").startswith("p"), "package.json").otherwise("pom.xml")
     files = X.table(spark, sf_dir, "part").select(F.concat(F.lit("d/"), F.when(F.col("p_partkey") % 4 == 0, "node_modules/").otherwise(""), F.col("p_partkey").cast("string"), F.lit("/"), name).alias("path"))
     return deps.manifests(files).groupBy("filename", "type").agg(F.count(F.lit(1)).alias("count"))
+
+
+# The other catalogues register themselves.
+from pagequarry.plans import cdc_queries, scalar_queries, source_queries, tree_queries  # noqa: E402, F401

@@ -29,12 +29,15 @@ def page_keys(pages_: DataFrame) -> DataFrame:
 def page_stream(spark: SparkSession, path: str) -> DataFrame:
     """Pages of JSON lines {type, data}: page_id, github_username, deleted, and the tree as JSON text.
 
-    Lines of other types are passed over. A last line without a line end counts like any other.
+    Each line is parsed once. Lines of other types are passed over. A last line without a line end counts like any other.
     """
-    lines = spark.read.text(path)
-    parsed = lines.select(F.get_json_object("value", "$.type").alias("type"), "value").where("type = 'page'")
-    field = lambda x: F.get_json_object("value", f"$.data.{x}")
-    return parsed.select(field("page_id").alias("page_id"), field("github_username").alias("github_username"), F.coalesce(field("deleted").cast("boolean"), F.lit(False)).alias("deleted"), field("ast").alias("ast"))
+    return pages_of_lines(spark.read.text(path))
+
+
+def pages_of_lines(lines_: DataFrame) -> DataFrame:
+    """page_stream over lines (value)."""
+    parsed = lines_.select(F.from_json("value", "type string, data struct<page_id:string,github_username:string,deleted:boolean,ast:string>").alias("j")).where("j.type = 'page'")
+    return parsed.select("j.data.page_id", "j.data.github_username", F.coalesce("j.data.deleted", F.lit(False)).alias("deleted"), "j.data.ast")
 
 
 def pages_by_author(pages_: DataFrame, order: list[str], scope: str | None = None) -> DataFrame:
@@ -79,7 +82,7 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("content", "\n")).alias("i", "line")).select("path", (F.col("i") + 1).alias("line_no"), "line")
 
 
-#: Kinds of log lines by pattern; the first group is the page, the second a number if there is one.
+# Kinds of log lines by pattern; the first group is the page, the second a number if there is one.
 LOG_LINES = {"removed": r"Page removed: Page ID: (\S+)", "new_page": r"Page created: Page ID: ([^,\s]+)", "examples_created": r"Code example created: Page ID: ([^,\s]+), (\d+)", "examples_removed": r"Code example removed: Page ID: ([^,\s]+), (\d+)", "usage_added": r"Applied usage example added: Page ID: ([^,\s]+), (\d+)"}
 
 
@@ -122,3 +125,34 @@ def with_defaults(layers: list[dict]) -> dict:
             elif v is not None:
                 out[k] = v
     return out
+
+
+def resolved(value, documents: dict[str, dict], path: str = ""):
+    """A configuration with every {"$ref": name} replaced by that document, whose own references count as well.
+
+    What stands beside a reference lies over the document. A reference to a document above it is an error.
+    """
+    if isinstance(value, list):
+        return [resolved(v, documents, path) for v in value]
+    if not isinstance(value, dict):
+        return value
+    own = {k: resolved(v, documents, path) for k, v in value.items() if k != "$ref"}
+    if "$ref" not in value:
+        return own
+    name = value["$ref"]
+    if f"|{name}|" in path or name not in documents:
+        raise ValueError(f"cannot resolve {name}")
+    return with_defaults([resolved(documents[name], documents, f"{path}|{name}|"), own])
+
+
+def changed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, status, additions, deletions) of the stored answers of a paged query on a pull request's files."""
+    node = "struct<path:string,changeType:string,additions:int,deletions:int>"
+    schema = f"data struct<repository:struct<pullRequest:struct<files:struct<edges:array<struct<node:{node}>>>>>>"
+    rows = spark.read.schema(schema).json(path).select(F.explode("data.repository.pullRequest.files.edges").alias("e"))
+    return rows.select("e.node.path", F.lower("e.node.changeType").alias("status"), "e.node.additions", "e.node.deletions")
+
+
+def summary_of(summaries_: DataFrame, collection: str) -> DataFrame:
+    """(version, total_page_count, total_code_count, last_updated_at_utc) of a collection's summary, a row a version."""
+    return summaries_.where(F.col("collection") == collection).select(F.explode("version").alias("version", "s")).select("version", "s.*")

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from pagequarry.operators.ranks import ranked
 
-def numbered_feedback(rows: DataFrame) -> DataFrame:
-    """entry_number, docs_property, url and comment in the order of property, url and comment.
 
-    The number is a rank within the property plus the rows of all properties before it, so no row count has to pass
-    through one task; properties are few.
-    """
-    order = ["url", "comment", "id"]
-    own = F.row_number().over(Window.partitionBy("docs_property").orderBy(*order))
-    sizes = rows.groupBy("docs_property").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("docs_property", (F.sum("n").over(Window.orderBy("docs_property")) - F.col("n")).alias("before"))
-    joined = rows.withColumn("own", own).join(before, "docs_property")
-    return joined.select((F.col("before") + F.col("own")).alias("entry_number"), "docs_property", "url", "comment")
+def numbered_feedback(rows: DataFrame) -> DataFrame:
+    """entry_number, docs_property, url and comment in the order of property, url, comment and id."""
+    out = ranked(rows.select("docs_property", "url", "comment", "id"), [], ["docs_property", "url", "comment", "id"])
+    return out.select((F.col("rank") + 1).alias("entry_number"), "docs_property", "url", "comment")
 
 
 def write_csv(report: DataFrame, path: str) -> None:
@@ -40,6 +33,51 @@ def oldest(labels: list[str], keep: int) -> list[str]:
     return sorted(labels)[: max(0, len(labels) - keep)]
 
 
+def rotate(labels: list[str], today: str, keep: int) -> tuple[str, list[str]]:
+    """The label of today's copy, and those of earlier ones that go once it is there."""
+    label = f"backup_{today}"
+    return label, oldest(sorted({*labels, label}), keep)
+
+
+def audit_row(rows: DataFrame, at: Column) -> DataFrame:
+    """Audit rows as they are appended: stamped, and an error never counts as a success."""
+    return rows.withColumns({"ts": at, "success": F.when(F.col("event_type") == "error", False).otherwise(F.col("success"))})
+
+
+def write_files(rows: DataFrame, root: str, dry_run: bool = False) -> DataFrame:
+    """Write each row (path, content) to the file root/path, from the executors; returns (path, bytes) of all of them.
+
+    root is any URI that pyarrow knows. Names are the rows' own, so a task that runs again writes the same files; two rows
+    of one path are an error. dry_run writes nothing.
+    """
+    if rows.groupBy("path").count().where("count > 1").limit(1).count():
+        raise ValueError("two rows of one path")
+
+    def put(part) -> None:
+        from pyarrow.fs import FileSystem
+
+        fs, base = FileSystem.from_uri(root)
+        for row in part:
+            name = f"{base}/{row['path']}"
+            fs.create_dir(name.rpartition("/")[0], recursive=True)
+            with fs.open_output_stream(name) as out:
+                out.write((row["content"] or "").encode())
+
+    if not dry_run:
+        rows.select("path", "content").foreachPartition(put)
+    return rows.select("path", F.coalesce(F.octet_length("content"), F.lit(0)).alias("bytes"))
+
+
+def usage_paths(found: DataFrame) -> DataFrame:
+    """Paths of usages, each once."""
+    return found.select(F.col("source").alias("value")).distinct()
+
+
+def usage_lines(found: DataFrame) -> DataFrame:
+    """Usages as lines for people: directive, file and line."""
+    return found.select(F.format_string("[%s] %s:%d", "directive", "source", "line").alias("value"))
+
+
 def usage_json(rows: DataFrame) -> DataFrame:
     """Rows as JSON text, one a row."""
     return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))

@@ -143,10 +143,42 @@ def test_edges_and_procedures(spark):
 
 
 def test_markers_variables_and_trees(spark):
-    assert [rst.next_marker(m) for m in ("1", "9", "a", "z", "#")] == ["2", "10", "b", "aa", "#"]
-    assert rst.replacement("ref: x\nreplacement:\n  name: 'value'\n", "name") == "value"
+    assert [rst.next_marker(m) for m in ("1", "9", "a", "z", "Z")] == ["2", "10", "b", "aa", "AA"]
+    yaml = spark.createDataFrame([("f", "ref: x\nreplacement:\n  name: 'value'\n  other: b c\nlast: 1\n")], "path string, content string")
+    assert sorted(tuple(r)[1:] for r in rst.replacement_table(yaml).collect()) == [("name", "value"), ("other", "b c")]
     tree = '{"type":"root","children":[{"type":"code","lang":"js","value":"1"},{"type":"section","children":[{"type":"code","value":"2"}]},{"type":"code","lang":"py","value":"3"}]}'
     assert [n["value"] for n in rst.ast_nodes(tree, kind="code")] == ["1", "2", "3"]
     assert rst.ast_nodes("not json") == []
     pages = spark.createDataFrame([("p", tree)], "path string, content string")
     assert [r["language"] for r in rst.code_node_table(pages).collect()] == ["js", "", "py"]
+
+
+def test_lists_and_their_markers():
+    text = "1. a\n\n   in a\n#. b\n\n7. c\nafter\n\nx. one\n"
+    found = rst.procedures(text)
+    assert [[s["title"] for s in p["steps"]] for p in found] == [["a", "2. b", "c"], ["one"]]
+    assert found[0]["steps"][0]["content"] == "in a"
+    steps, kind, after = rst.list_steps(["y. a", "#. b", "#. c"], 0)
+    assert ([s["title"] for s in steps], kind, after) == (["a", "z. b", "aa. c"], "lettered", 3)
+
+
+def test_steps_hold_variations_and_lists():
+    text = ".. procedure::\n\n   .. step:: S\n\n      General.\n\n      .. tabs::\n\n         .. tab:: A\n            :tabid: a\n\n            In a.\n\n      1. sub\n      2. sub\n\n      .. selected-content::\n         :selections: x, y\n\n         For x.\n"
+    step = rst.procedures(text)[0]["steps"][0]
+    assert step["content"] == "General.\n\n1. sub\n2. sub"
+    assert step["variations"] == [("tabs", {"a": "In a."}), ("selected-content", {"x, y": "For x."})]
+    assert [(k, len(s)) for k, s in step["subs"]] == [("numbered", 2)]
+    assert rst.procedures(text)[0]["variations"] == ["a"]
+    assert rst.procedure_text(rst.procedures(text)[0], "a").endswith("      2. sub\n\n      In a.\n")
+
+
+def test_a_tutorials_own_procedure_comes_first():
+    step = "      .. step:: S\n\n         .. selected-content::\n            :selections: b\n\n            B\n\n         .. selected-content::\n            :selections: a\n\n            A\n"
+    found = rst.procedures(f"T\n==\n\n.. composable-tutorial::\n   :options: o\n\n   .. procedure::\n\n{step}\n")
+    assert [(p["kind"], p["title"], p["variations"], p["group"]) for p in found] == [("tutorial", "T", ["a", "b"], 4)]
+    assert rst.procedures("no procedures\n") == [] == rst.procedures("")
+
+
+def test_equal_procedures_share_their_hash():
+    make = lambda title, text: rst.procedures(f"{title}\n=====\n\n.. procedure::\n\n   .. step:: S\n\n      {text}\n")[0]["hash"]
+    assert make("A", "x") == make("B", "x") != make("A", "y")

@@ -1,5 +1,8 @@
 import datetime
+import difflib
+import json
 import os
+import random
 import re
 import subprocess
 import sys
@@ -7,7 +10,8 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.operators import catalog, cdc, deps, graph, paths, reports, updates
+from pagequarry.operators import catalog, cdc, deps, graph, includes, paths, ranks, reports, updates
+from pagequarry.plans import cdc_queries
 from pagequarry.plans import fixtures as X
 from pagequarry.sources import readers, sinks
 from pagequarry.streaming import audit
@@ -19,14 +23,14 @@ def test_node_diff_rows(spark):
     old = [("p", "h1", "print(1)"), ("p", "h1", "print(1)"), ("p", "h2", "aaaaaaaaaabbbbbbbbbb"), ("p", "h3", "gone gone gone")]
     new = [("p", "h1", "print(1)"), ("p", "h4", "aaaaaaaaaabbbbbbbbbbcc"), ("p", "h5", "x")]
     schema = "page_id string, sha_256_hash string, code string"
-    got = {(r["old_hash"], r["new_hash"], r["status"]) for r in cdc.diff_nodes(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)).collect()}
-    assert got == {("h1", "h1", "unchanged"), ("h2", "h4", "updated"), ("h3", None, "removed"), (None, "h5", "new")}
+    got = {tuple(r)[1:] for r in cdc.diff_nodes(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)).collect()}
+    assert got == {("h1", "h1", 2, 1, "unchanged"), ("h2", "h4", 1, 1, "updated"), ("h3", None, 1, 0, "removed"), (None, "h5", 0, 1, "new")}
 
 
 @pytest.mark.parametrize(("old", "new", "near"), [("abcdefghij" * 10, "abcdefghij" * 10 + "k", True), ("abcdefghij" * 10, "abcdefghij" * 12, True), ("abcdefghij" * 10, "abcdefghij" * 13, False), ("abcde" * 4, "abcdX" + "abcde" * 3, True), ("aaaa", "bbbb", False)])
 def test_similarity(spark, old, new, near):
-    df = spark.createDataFrame([(old, new)], "old_code string, new_code string")
-    assert bool(cdc.similar(df).count()) == near
+    side = lambda h, c: spark.createDataFrame([("p", h, c)], "page_id string, sha_256_hash string, code string")
+    assert ("updated" in {r["status"] for r in cdc.diff_nodes(side("a", old), side("b", new)).collect()}) == near
 
 
 def test_matching_is_one_to_one_and_ignores_order(spark):
@@ -36,6 +40,36 @@ def test_matching_is_one_to_one_and_ignores_order(spark):
     assert len({a for a, _ in got[0]}) == len(got[0]) == len({b for _, b in got[0]})
 
 
+def test_ranks_and_matching_of_one_large_group(spark):
+    """Ten thousand pages of equal counts that share one word: all are matched, in few rounds."""
+    rows = spark.range(10_000)
+    side = lambda kind: rows.select(F.concat(F.lit("a|tutorial-"), F.lit(kind), F.col("id").cast("string")).alias("page_id"), *[F.lit(1).alias(c) for c in ("code_count", "literal_count", "io_count")])
+    got = cdc.page_moves(side("x"), side("y")).collect()
+    assert len(got) == len({r["old_id"] for r in got}) == len({r["new_id"] for r in got}) == 10_000
+    ranked = ranks.ranked(spark.range(1000).select((F.col("id") % 3).alias("k"), (F.col("id") % 50).alias("v"), "id").repartition(7), ["k"], ["v", "id"]).collect()
+    for k in range(3):
+        own = sorted((r["v"], r["id"], r["rank"]) for r in ranked if r["k"] == k)
+        assert [r[2] for r in own] == list(range(len(own)))
+    assert ranks.ranked(spark.range(0), [], ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_edit_share_against_a_plain_version(spark, seed):
+    rng = random.Random(seed)
+    pairs = []
+    for _ in range(60):
+        a = [rng.choice("abcd") for _ in range(rng.randint(1, 60))]
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 3)):
+            b[rng.randrange(len(b))] = rng.choice("abcdxyz")
+        pairs.append(("".join(a), "".join(b)))
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(cdc.edit_share("a", "b")).collect()]
+    for (a, b), share in zip(pairs, got, strict=True):
+        same = sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+        best = (len(a) - same) / len(a)
+        assert (share < cdc.MAX_CHANGE) >= (best < cdc.MAX_CHANGE)  # trimming equal ends never makes a match worse
+
+
 def test_include_paths_cut_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("c", "d.txt"), ("d.txt", "e.txt")], "source string, target string")
     rows = graph.include_paths(edges, spark.createDataFrame([("a",)], "node string")).collect()
@@ -66,7 +100,7 @@ def test_version_comparison(spark):
 def test_includes_resolve(spark):
     edges = spark.createDataFrame([("c/p/source/x/a.txt", "/inc/b"), ("c/p/source/x/a.txt", "near.rst"), ("c/p/source/x/a.txt", "none")], "source string, ref string")
     files = spark.createDataFrame([("c/p/source/inc/b.rst",), ("c/p/source/x/near.rst",)], "path string")
-    assert {r["ref"]: r["target"] for r in paths.resolve_includes(edges, files).collect()} == {"/inc/b": "c/p/source/inc/b.rst", "near.rst": "c/p/source/x/near.rst", "none": None}
+    assert {r["ref"]: r["target"] for r in includes.resolve_includes(edges, files).collect()} == {"/inc/b": "c/p/source/inc/b.rst", "near.rst": "c/p/source/x/near.rst", "none": None}
 
 
 def test_current_versions_only(spark):
@@ -112,6 +146,44 @@ def test_readers(spark, tmp_path):
     assert readers.with_defaults([{"a": 1, "n": {"x": 1, "y": 2}}, {"a": None, "n": {"y": 3}}]) == {"a": 1, "n": {"x": 1, "y": 3}}
 
 
+def test_configuration_and_stored_answers(spark, tmp_path):
+    documents = {"base": {"repo": "r", "opts": {"a": 1, "b": 2}}, "own": {"$ref": "base", "opts": {"b": 3}}, "loop": {"$ref": "loop"}}
+    assert readers.resolved({"flows": [{"$ref": "own", "name": "x"}]}, documents) == {"flows": [{"repo": "r", "opts": {"a": 1, "b": 3}, "name": "x"}]}
+    for bad in ("loop", "absent"):
+        with pytest.raises(ValueError):
+            readers.resolved({"$ref": bad}, documents)
+    answer = lambda *nodes: json.dumps({"data": {"repository": {"pullRequest": {"files": {"edges": [{"node": n} for n in nodes]}}}}})
+    node = lambda p, t: {"path": p, "changeType": t, "additions": 1, "deletions": 2}
+    (tmp_path / "answers.json").write_text(answer(node("a", "ADDED"), node("b", "DELETED")) + "\n" + answer(node("c", "MODIFIED")))
+    assert sorted(tuple(r) for r in readers.changed_files(spark, str(tmp_path / "answers.json")).collect()) == [("a", "added", 1, 2), ("b", "deleted", 1, 2), ("c", "modified", 1, 2)]
+
+
+def test_files_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("x/a.txt", "é1"), ("b.txt", None)], "path string, content string")
+    sinks.write_files(rows, f"file://{tmp_path}/dry", dry_run=True)
+    assert not (tmp_path / "dry").exists()
+    for _ in range(2):
+        assert sorted(tuple(r) for r in sinks.write_files(rows, f"file://{tmp_path}/out").collect()) == [("b.txt", 0), ("x/a.txt", 3)]
+    assert (tmp_path / "out/x/a.txt").read_text() == "é1" and (tmp_path / "out/b.txt").read_text() == ""
+    with pytest.raises(ValueError):
+        sinks.write_files(rows.unionByName(rows), f"file://{tmp_path}/out")
+
+
+def test_unified_diffs(spark):
+    rows = spark.createDataFrame([("p", "a\nb", "a\nc"), ("q", "a", "a"), ("r", None, "x")], "path string, a string, b string")
+    got = {r["path"]: r["diff"].split("\n")[3:] for r in paths.unified_diffs(rows).collect()}
+    assert got == {"p": [" a", "-b", "+c"], "r": ["-", "+x"]}
+
+
+def test_strict_counts_leave_pages_of_equal_counts(spark):
+    stored, incoming, nodes = cdc_queries._snapshots(spark, SF)
+    at = F.lit("2025-06-02").cast("date")
+    same = stored.where("page_id = 'pg2'")
+    five = nodes.where("page_id = 'pg2'").limit(5)
+    changed = lambda strict: cdc.update_pages(same, incoming, five, at, strict).first()["date_last_updated"].month == 6
+    assert changed(False) and not changed(True)
+
+
 def test_sinks_and_reports(spark, tmp_path):
     df = spark.createDataFrame([("a", 2), ("b", 5)], "key string, count long")
     sinks.append(df, str(tmp_path / "m"), "key")
@@ -119,6 +191,10 @@ def test_sinks_and_reports(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).count() == 4
     assert reports.table_text(reports.by_count(df, "key"), ["key"]) == "key  count\n---  -----\na    2\nb    5"
     assert sinks.oldest(["backup_2025-03-01", "backup_2025-01-01"], 1) == ["backup_2025-01-01"]
+    assert sinks.rotate(["backup_2025-03-01", "backup_2025-01-01"], "2025-04-01", 2) == ("backup_2025-04-01", ["backup_2025-01-01"])
+    feedback = spark.range(500).select((F.col("id") % 3).cast("string").alias("docs_property"), F.lit("u").alias("url"), F.lit("c").alias("comment"), "id")
+    numbered = sorted((r["entry_number"], r["docs_property"]) for r in sinks.numbered_feedback(feedback).collect())
+    assert [n for n, _ in numbered] == list(range(1, 501)) and [p for _, p in numbered] == sorted(p for _, p in numbered)
 
 
 def test_stream_agrees_with_batch(spark, tmp_path):
