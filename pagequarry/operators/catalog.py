@@ -23,6 +23,13 @@ def explode_nodes(pages: DataFrame) -> DataFrame:
     return pages.select(*held, F.explode("nodes").alias("node")).select(*held, "node.*")
 
 
+def explode_matching(pages: DataFrame, test) -> DataFrame:
+    """The nodes for which test (a function of a node's column) holds, one a row; pages without any go before they are exploded."""
+    held = [c for c in pages.columns if c != "nodes"]
+    some = pages.where(F.exists("nodes", lambda n: F.coalesce(test(n), F.lit(False))))
+    return some.select(*held, F.explode(F.filter("nodes", test)).alias("node")).select(*held, "node.*")
+
+
 def not_summary(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.where(F.col(key) != "summaries")
 
@@ -169,8 +176,9 @@ def mean_of_lengths(lengths: DataFrame) -> DataFrame:
 def one_liners(nodes: DataFrame, short: int = 80) -> DataFrame:
     """(collection, count) of live usage examples below `short`, with a row `total` that is there even if it is 0."""
     rows = with_code(live(nodes)).where((F.col("category") == V.USAGE) & (F.length("code") < short))
-    total = rows.agg(F.count(F.lit(1)).alias("count")).select(F.lit("total").alias("collection"), "count")
-    return count_by(rows, "collection").unionByName(total)
+    keyed = rows.select(F.explode(F.array("collection", F.lit("total"))).alias("collection"), F.lit(1).alias("n"))
+    none = nodes.sparkSession.createDataFrame([("total", 0)], "collection string, n int")
+    return keyed.unionByName(none).groupBy("collection").agg(F.sum("n").alias("count"))
 
 
 def recent_activity(nodes: DataFrame, as_of: str, days: int = 7) -> DataFrame:

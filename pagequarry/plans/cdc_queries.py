@@ -134,3 +134,10 @@ def inconsistent_pages(spark, sf_dir):
     page = F.substring("page_id", 3, 20).cast("long")
     live = stored.withColumn("nodes", F.filter("nodes", lambda n: ~n["is_removed"])).where(page % 4 != 1)
     return ingest.inconsistent_pages(live.withColumn("code_nodes_total", F.when(page % 3 == 0, F.lit(100).cast("long")).otherwise(F.col("code_nodes_total"))))
+
+
+@query("WITH " + X.cte("nodes", X.NODES, "documents") + " SELECT page_id, CAST(count(*) AS BIGINT) AS count FROM nodes WHERE category = 'Usage example' AND length(code) > 3000 GROUP BY 1")
+def long_usage_examples(spark, sf_dir):
+    """Nodes of nested pages by a test on the array's elements."""
+    long = lambda n: (n["category"] == "Usage example") & (F.length(n["code"]) > 3000)
+    return catalog.count_by(catalog.explode_matching(X.pages(spark, sf_dir), long), "page_id")
