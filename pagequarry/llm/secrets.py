@@ -103,11 +103,12 @@ def text_evidence(token: Column, k: Column) -> Column:
 
 def normal_tail(z: Column) -> Column:
     """P(Z > z) for a standard normal variable (Zelen and Severo's polynomial, error under 1e-7)."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-a * a / 2) * 0.3989422804014327 * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+    def of(x):
+        poly = x["t"] * (0.319381530 + x["t"] * (-0.356563782 + x["t"] * (1.781477937 + x["t"] * (-1.821255978 + x["t"] * 1.330274429))))
+        return let(F.exp(-x["z"] * x["z"] / 2) * 0.3989422804014327 * poly, lambda tail: F.when(x["z"] >= 0, tail).otherwise(1 - tail))
+
+    return let(let(z, lambda v: F.struct(v.alias("z"), (1 / (1 + 0.2316419 * F.abs(v))).alias("t"))), of)
 
 
 def spans_of(text: Column, pattern: str, least: Column | None = None) -> Column:
@@ -140,30 +141,35 @@ def battery(token: Column) -> Column:
     """Struct of a candidate: n, p_text (evidence against written text), p_even, p_runs and p_serial (against uniform draws)."""
     alphabet = F.coalesce(*[F.when(F.rlike(token, F.lit(f"^[{a.replace('-', '')}{'-' if '-' in a else ''}]+$")), F.lit(a)) for a in ALPHABETS])
 
-    def tests(x):
+    def sums(x):
+        """Everything that the tests need, each worked out once."""
         t, a = x["t"], x["a"]
         n, k = F.length(t).cast("double"), F.length(a).cast("double")
-        counts = F.transform(F.split(a, ""), lambda c: n - F.length(F.replace(t, c, F.lit(""))))
-        chi = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c) * k / n - n
+        counts = F.transform(F.split(a, ""), lambda c: F.length(t) - F.length(F.replace(t, c, F.lit(""))))
+        half = F.floor(F.length(a) / 2).cast("int")
+        bits = F.call_function("translate", t, a, F.concat(F.repeat(F.lit("0"), half), F.repeat(F.lit("1"), F.length(a) - half)))
+        values = F.transform(F.split(t, ""), lambda c: F.instr(a, c) - 1 - (k - 1) / 2)
+        products = lambda v: F.aggregate(F.zip_with(v, F.slice(v, 2, F.length(t)), lambda u, w: u * F.coalesce(w, F.lit(0.0))), F.lit(0.0), lambda s, y: s + y)
+        return F.struct(
+            t.alias("t"), n.alias("n"), k.alias("k"), F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c).alias("squares"), let(values, products).alias("products"),
+            let(bits, lambda b: F.struct((n - F.length(F.replace(b, F.lit("1"), F.lit("")))).alias("ones"), F.length(F.regexp_replace(b, "0+|1+", "x")).cast("double").alias("runs"))).alias("b"),
+        )
+
+    def tests(x):
+        n, k, ones, runs = x["n"], x["k"], x["b"]["ones"], x["b"]["runs"]
+        chi = x["squares"] * k / n - n
         # Text's chi-squared is about normal with this mean and variance (non-central, k - 1 degrees, n * DELTA).
         mean, var = k - 1 + n * DELTA, 2 * (k - 1) + 4 * n * DELTA
-        p_flat = F.when(F.rlike(t, F.lit("[0-9]")), normal_tail((mean - chi) / F.sqrt(var))).otherwise(F.lit(1.0))
-        p_text = F.least(F.lit(1.0), 2 * F.least(p_flat, text_evidence(t, k)))
+        p_flat = F.when(F.rlike(x["t"], F.lit("[0-9]")), normal_tail((mean - chi) / F.sqrt(var))).otherwise(F.lit(1.0))
+        p_text = F.least(F.lit(1.0), 2 * F.least(p_flat, text_evidence(x["t"], k)))
         p_even = normal_tail((chi - (k - 1)) / F.sqrt(2 * (k - 1)))
-        half = F.floor(k / 2).cast("int")
-        bits = F.call_function("translate", t, a, F.concat(F.repeat(F.lit("0"), half), F.repeat(F.lit("1"), k.cast("int") - half)))
-        ones = n - F.length(F.replace(bits, F.lit("1"), F.lit("")))
-        zeros = n - ones
-        runs = F.length(F.regexp_replace(bits, "0+|1+", "x")).cast("double")
-        want = 2 * ones * zeros / n + 1
+        want = 2 * ones * (n - ones) / n + 1
         spread = F.sqrt(F.greatest((want - 1) * (want - 2) / (n - 1), F.lit(1e-9)))
-        p_runs = F.when((ones == 0) | (zeros == 0), F.lit(0.0)).otherwise(2 * normal_tail(F.abs(runs - want) / spread))
-        values = F.transform(F.split(t, ""), lambda c: F.instr(a, c) - 1 - (k - 1) / 2)
-        products = F.zip_with(values, F.slice(values, 2, F.length(t)), lambda u, v: u * F.coalesce(v, F.lit(0.0)))
-        serial = F.aggregate(products, F.lit(0.0), lambda s, v: s + v) / (F.sqrt(n - 1) * (k * k - 1) / 12)
+        p_runs = F.when((ones == 0) | (ones == n), F.lit(0.0)).otherwise(2 * normal_tail(F.abs(runs - want) / spread))
+        serial = x["products"] / (F.sqrt(n - 1) * (k * k - 1) / 12)
         return F.struct(n.alias("n"), p_text.alias("p_text"), p_even.alias("p_even"), p_runs.alias("p_runs"), (2 * normal_tail(F.abs(serial))).alias("p_serial"))
 
-    return let(F.struct(token.alias("t"), alphabet.alias("a")), tests)
+    return let(let(F.struct(token.alias("t"), alphabet.alias("a")), sums), tests)
 
 
 def discoveries(candidates: Column, fdr: float = FDR, level: float = ORDER_LEVEL) -> Column:
