@@ -172,8 +172,8 @@ def judge(docs: DataFrame, max_class_distance: float = MAX_CLASS_DISTANCE, max_w
         own = out.where(~known).join(F.broadcast(rare) if n_rare <= MAX_BROADCAST else rare, "lang", "left")
         own = own.withColumn("near", F.when(F.col("rw").isNotNull(), F.array_min(F.array_compact(F.array("near", measure(F.col("rw"), F.col("rc"), F.col("lang")))))).otherwise(F.col("near"))).withColumn("judged", F.col("rw").isNotNull()).select(*out.columns, "judged")
         out = out.where(known).withColumn("judged", F.lit(True)).unionByName(own)
-        # Then what nothing has accepted: all references in one row.
-        out = out.crossJoin(F.broadcast(rare.agg(F.collect_list(F.struct("lang", "rw", "rc")).alias("rare"))))
+        # Then what nothing has accepted: all references as one value, of a row a language.
+        out = out.withColumn("rare", rare.agg(F.collect_list(F.struct("lang", "rw", "rc"))).scalar())
         every = F.array_min(F.array_append(F.transform("rare", lambda r: measure(r["rw"], r["rc"], r["lang"])), F.col("near")))
         out = out.withColumn("near", F.when(F.col("judged") & ~F.col("base_failed") & ~F.coalesce(accepts(F.col("near")), F.lit(False)), every).otherwise(F.col("near")))
     else:

@@ -8,12 +8,12 @@ and the ids are written in ascending order of doc_id. The format is a folder of
   checkpoints (bit offset of every STEP-th token, unsigned 32 bits) and payload (codes, highest bit first).
 
 Every block decodes on its own. Decoding is driven by one table of 2^MAX_BITS entries (or more, up to 2^25, where the ids in
-use are more than that) and runs all stretches between
-checkpoints of many blocks in step. Code lengths come from the counts of all ids of the corpus, at most MAX_BITS long
-by package-merge.
+use are more than that) and runs all stretches between checkpoints of many blocks in step. Code lengths come from the counts
+of all ids of the corpus, at most MAX_BITS long by package-merge.
 
-Null texts count as empty: their only id is END. Rows that repeat a doc_id stay rows of their own, in a fixed order. An
-empty table gives an empty folder and no rows. Special tokens' strings in a text are encoded as the tokenizer does.
+Null texts count as empty: their only id is END. Rows that repeat a doc_id stay rows of their own, in a fixed order; null
+ids come first. Extra columns are left out. An empty table gives an empty folder and no rows. Special tokens' strings in a
+text are encoded as the tokenizer does.
 """
 
 from __future__ import annotations
