@@ -31,6 +31,8 @@ MAX_COPIES, GRAIN, BINS, PASSES, Z_MAX, MAX_STEPS = 3, 1000, 2048, 4, 8.0, 200
 TOLERANCE = 1e-4
 #: Tables of sources up to this length, counted first, are broadcast; of longer ones only the hot sources are.
 BROADCAST_SOURCES = 100_000
+#: Tables of up to this many sources, counted first, are written by one task, as are their BINS bins a source.
+ONE_TASK_SOURCES = 1000
 WEIGHTS = (1, 2, 3)
 
 
@@ -42,6 +44,11 @@ def attach(rows: DataFrame, table: DataFrame) -> DataFrame:
     return join_hot(rows, table, "skey", "many", counted["rows"])
 
 
+def stage_sources(table: DataFrame, label: str, n_sources: int) -> DataFrame:
+    """A table of sources, or of their bins, staged; many tasks for a few rows would only cost."""
+    return stage(table.coalesce(1) if n_sources <= ONE_TASK_SOURCES else table, label)
+
+
 def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES) -> DataFrame:
     """sums (skey, total, ...) with weight and target: weights repeat over the sources by code point, null last.
 
@@ -70,6 +77,7 @@ def solve(by_size: DataFrame, sources: DataFrame, tolerance: float = TOLERANCE,
     none, all_ = F.col("target") <= 0, F.col("target") >= MAX_COPIES * F.col("total")
     x = F.when(none, -60.0).when(all_, 60.0).otherwise(0.0)
     state = stage(sources.withColumns({"x": x, "lo": F.lit(-60.0), "hi": F.lit(60.0), "solved": none | all_}), "mix-duals")
+    n_sources = state.count()
     for _ in range(max_steps):
         if not state.where(~F.col("solved")).limit(1).count():
             return state
@@ -83,7 +91,7 @@ def solve(by_size: DataFrame, sources: DataFrame, tolerance: float = TOLERANCE,
         moved = joined.withColumn("hi", F.when(off > 0, F.col("x")).otherwise(F.col("hi"))).withColumn("lo", F.when(off > 0, F.col("lo")).otherwise(F.col("x")))
         newton = F.when(F.col("h") > 0, F.col("x") - off / F.col("h"))
         step = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
-        state = stage(moved.withColumn("x", F.when(F.col("near"), F.col("x")).otherwise(step)).withColumn("solved", F.col("near")).select(*state.columns), "mix-duals")
+        state = stage_sources(moved.withColumn("x", F.when(F.col("near"), F.col("x")).otherwise(step)).withColumn("solved", F.col("near")).select(*state.columns), "mix-duals", n_sources)
     raise ArithmeticError(f"duals unsolved after {max_steps} steps")
 
 
@@ -124,18 +132,19 @@ def rounded_large(large: DataFrame) -> DataFrame:
 def edges(small: DataFrame, need: DataFrame) -> DataFrame:
     """skey, many, edge: the priority p up to which the rows of small (skey, size, p) fit into need (skey, many, need) words."""
     state = stage(need.withColumns({"lo": F.lit(0.0), "width": F.lit(64.0), "got": F.lit(0.0)}), "mix-edges")
+    n_sources = state.count()
     for _ in range(PASSES):  # each narrows the place BINS-fold
         at = attach(small.where((F.col("size") > 0) & F.col("p").isNotNull()).select("skey", "size", "p"), state.where("width > 1e-12").select("skey", "many", "lo", "width"))
         place = F.floor((F.col("p") - F.col("lo")) / F.col("width") * BINS)
         inside = at.where((F.col("p") >= F.col("lo")) & (F.col("p") < F.col("lo") + F.col("width")))
-        bins = inside.groupBy("skey", F.least(place, F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.sum("size").alias("s"))
+        bins = stage_sources(inside.groupBy("skey", F.least(place, F.lit(BINS - 1)).cast("int").alias("bin")).agg(F.sum("size").alias("s")), "mix-bins", n_sources)
         upto = F.col("got") + F.sum("s").over(Window.partitionBy("skey").orderBy("bin"))  # BINS rows a source at most
         found = bins.join(state, "skey").withColumn("upto", upto).groupBy("skey").agg(F.min(F.when(F.col("upto") > F.col("need"), F.col("bin"))).alias("bin"), F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))).alias("upto"))
         joined = state.join(found.withColumn("seen", F.lit(True)), "skey", "left")
         beyond = F.col("seen") & F.col("bin").isNull()
         lo = F.when(beyond, F.col("lo") + F.col("width")).otherwise(F.col("lo") + F.coalesce(F.col("width") * F.col("bin") / BINS, F.lit(0.0)))
         width = F.when(beyond, 0.0).when(F.col("seen"), F.col("width") / BINS).otherwise(F.col("width"))
-        state = stage(joined.select("skey", "many", "need", lo.alias("lo"), width.alias("width"), F.coalesce("upto", "got").alias("got")), "mix-edges")
+        state = stage_sources(joined.select("skey", "many", "need", lo.alias("lo"), width.alias("width"), F.coalesce("upto", "got").alias("got")), "mix-edges", n_sources)
     return state.select("skey", "many", F.col("lo").alias("edge"))
 
 

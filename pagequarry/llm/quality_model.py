@@ -46,7 +46,7 @@ def features(words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
     return np.concatenate((one, shape, two, np.full(int(same.sum()), SAME)))
 
 
-def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS) -> np.ndarray:
+def train(rows: list[tuple[bytes | bytearray, int]], epochs: int = EPOCHS) -> np.ndarray:
     """Weights of the features, and the intercept as the last, from (indexes as unsigned 32-bit integers, label). The
     rows' order counts."""
     size = (1 << BITS) + 1
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_char
         return np.zeros((1 << BITS) + 1)
     mixed = mix(np.array([r[0] for r in found], dtype=np.int64).astype(np.uint64))
     order = sorted(range(len(found)), key=lambda k: (int(mixed[k]), found[k][2]))
-    return train([(bytes(found[k][2]), int(found[k][1])) for k in order])
+    return train([(found[k][2], int(found[k][1])) for k in order])
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", into: str = "score") -> DataFrame:
