@@ -50,6 +50,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, many: str, total: int, how: str = "inner", hot: int = 1000) -> DataFrame:
     """left joined with right, which has a row a key and in `many` the number of rows that left has of it, of `total`.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import decontamination, html_text, language_id, mixing, near_dedup, quality_model, quality_rules, secrets, sharding, token_ids
+from pagequarry.llm import decontamination, html_text, importance, language_id, mixing, near_dedup, quality_model, quality_rules, secrets, sharding, token_ids, vectors
 from pagequarry.llm.common import read_table
 
 
@@ -63,8 +63,16 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_crc_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.digest(*vectors.cluster(read_table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ring_shards, op2_divergence_rules, op3_ftrl_quality, op4_hyperminhash, op5_randomness_secrets, op6_entropy_mixing, op7_html_layout, op8_huffman_ids, op9_zstd_language, op10_template_decontamination)}
+    return {f.__name__: f for f in (op1_ring_shards, op2_divergence_rules, op3_ftrl_quality, op4_hyperminhash, op5_randomness_secrets, op6_entropy_mixing, op7_html_layout, op8_huffman_ids, op9_zstd_language, op10_template_decontamination, op11_crc_importance, op13_hamerly_clusters)}
 
 
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -79,5 +87,21 @@ r AS (SELECT doc_id AS id, doc_id AS m FROM documents UNION SELECT r.id, links.y
 SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r.m) AS component_id, d.doc_id = min(r.m) AS kept FROM documents d JOIN r ON r.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
 
 
+def clusters_sql(k: int = vectors.CLUSTERS, rounds: int = vectors.ROUNDS, seed: int = vectors.SEED, dimensions: int = vectors.DIMENSIONS) -> str:
+    """Every round as two tables: each vector's nearest centroid by all distances, then the centroids' means rounded down."""
+    steps = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, list_transform(embedding, lambda x: CAST(floor({vectors.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimensions} AND len(embedding) = {dimensions})",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS c, q FROM (SELECT sha256('{seed}:' || vec_id) AS h, q FROM v ORDER BY h LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"d{r} AS MATERIALIZED (SELECT v.i, c{r}.c, CAST(list_sum(list_transform(list_zip(v.q, c{r}.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{r})")
+        steps.append(f"a{r} AS MATERIALIZED (SELECT i, c, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, c) = 1)")
+        if r < rounds:
+            steps.append(f"x{r} AS (SELECT a.c, p.p, CAST(floor(sum(v.q[p.p]) / count(*)) AS BIGINT) AS m FROM a{r} a JOIN v ON v.i = a.i, (SELECT unnest(range(1, {dimensions + 1})) AS p) p GROUP BY a.c, p.p)")
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.q, o.q) AS q FROM c{r} o LEFT JOIN (SELECT c, list(m ORDER BY p) AS q FROM x{r} GROUP BY c) n ON n.c = o.c)")
+    last = f"SELECT v.vec_id, a.c AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.q, ',')) AS centroid_sha256 FROM a{rounds} a JOIN v ON v.i = a.i JOIN c{rounds} k ON k.c = a.c"
+    return "WITH " + ",\n".join(steps) + "\n" + last
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_hyperminhash": NEAR_DUPLICATES}
+    return {"op4_hyperminhash": NEAR_DUPLICATES, "op13_hamerly_clusters": clusters_sql()}
