@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import decontamination, html_text, importance, language_id, mixing, near_dedup, quality_model, quality_rules, secrets, sharding, token_ids, vectors
+from pagequarry.llm import decontamination, html_text, importance, language_id, mixing, near_dedup, quality_model, quality_rules, secrets, sharding, token_counts, token_ids, vectors
 from pagequarry.llm.common import read_table
 
 
@@ -67,12 +67,16 @@ def op11_crc_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(read_table(spark, sf_dir, "documents"))
+
+
 def op13_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.digest(*vectors.cluster(read_table(spark, sf_dir, "embeddings")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ring_shards, op2_divergence_rules, op3_ftrl_quality, op4_hyperminhash, op5_randomness_secrets, op6_entropy_mixing, op7_html_layout, op8_huffman_ids, op9_zstd_language, op10_template_decontamination, op11_crc_importance, op13_hamerly_clusters)}
+    return {f.__name__: f for f in (op1_ring_shards, op2_divergence_rules, op3_ftrl_quality, op4_hyperminhash, op5_randomness_secrets, op6_entropy_mixing, op7_html_layout, op8_huffman_ids, op9_zstd_language, op10_template_decontamination, op11_crc_importance, op12_transducer_counts, op13_hamerly_clusters)}
 
 
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
