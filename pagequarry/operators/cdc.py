@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
-import os
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from pagequarry.functions.edits import edit_counts
 from pagequarry.functions.scalars import key_url
 from pagequarry.operators.ranks import kept, ranked
 
@@ -86,28 +81,23 @@ def one_to_one(pairs: DataFrame, a: str, b: str) -> DataFrame:
         left = kept(left.join(fixed.select(a), a, "left_anti").join(fixed.select(b), b, "left_anti"))
 
 
-@F.pandas_udf(T.DoubleType())
-def edit_share(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Share of the old text's bytes that an edit script to the new one deletes; 1 if it deletes all.
-
-    For texts of equal length. Equal ends are taken off first. Where even the bytes that both have, in whatever order,
-    leave MAX_CHANGE or more of the text, that bound stands for the share.
-    """
+def edit_share(old: Column | str, new: Column | str, limit: float = MAX_CHANGE) -> Column:
+    """Share of the old text's bytes that a shortest edit script to the new one deletes; 1 if that is all, if it is `limit`
+    or more, or if a text is empty or null. It decides between texts of equal length."""
+    old, new = (F.col(c) if isinstance(c, str) else c for c in (old, new))
+    size = F.octet_length(old)
+    deleted = edit_counts(old, new, limit)["deleted"]
+    return F.when((size > 0) & (F.octet_length(new) > 0) & (deleted < size), deleted / size).otherwise(F.lit(1.0))
 
-    def one(a: str, b: str) -> float:
-        x, y = a.encode(), b.encode()
-        n, head, tail = len(x), 0, 0
-        head = len(os.path.commonprefix([x, y]))
-        x, y = x[head:], y[head:]
-        tail = len(os.path.commonprefix([x[::-1], y[::-1]]))
-        x, y = x[: len(x) - tail], y[: len(y) - tail]
-        most = head + tail + (Counter(x) & Counter(y)).total()
-        if most == 0 or (n - most) / n >= MAX_CHANGE:
-            return 1.0 if most == 0 else (n - most) / n
-        same = head + tail + sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
-        return 1.0 if same == 0 else (n - same) / n
 
-    return pd.Series([one(a, b) if a and b else 1.0 for a, b in zip(old, new, strict=True)])
+def change_share(old: Column, new: Column, limit: float = MAX_CHANGE) -> Column:
+    """Share of a text that changed: the difference of both lengths in bytes over the old length or, for equal lengths, what a
+    shortest edit script deletes. 1 where nothing is left of the old text or the share is `limit` or more."""
+    size, other = F.octet_length(old), F.octet_length(new)
+    net = F.abs(other - size) / size
+    shared = F.arrays_overlap(F.split(old, ""), F.split(new, ""))
+    uneven = F.when((size > 0) & shared & (net < limit), net).otherwise(F.lit(1.0))
+    return F.when(size == other, edit_share(old, new, limit)).otherwise(uneven)
 
 
 def classify_nodes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -143,7 +133,7 @@ def diff_nodes(stored: DataFrame, incoming: DataFrame, limit: float = MAX_CHANGE
     pairs = pairs.where(change < limit).select("page_id", "old_hash", "new_hash", change.alias("change"))
     side = lambda df, name: df.select("page_id", F.col("sha_256_hash").alias(f"{name}_hash"), F.col("code").alias(f"{name}_code"))
     equal = pairs.where("change = 0").join(side(old_texts, "old"), ["page_id", "old_hash"]).join(side(new_texts, "new"), ["page_id", "new_hash"])
-    equal = equal.select("page_id", "old_hash", "new_hash", edit_share("old_code", "new_code").alias("change")).where(F.col("change") < limit)
+    equal = equal.select("page_id", "old_hash", "new_hash", edit_share("old_code", "new_code", limit).alias("change")).where(F.col("change") < limit)
     tie = F.xxhash64("old_hash", "new_hash")
     found = pairs.where("change > 0").unionByName(equal).select("page_id", "old_hash", "new_hash", F.struct("change", tie.alias("tie"), "old_hash", "new_hash").alias("rank"), F.struct("page_id", "old_hash").alias("a"), F.struct("page_id", "new_hash").alias("b"))
     updated = kept(one_to_one(found, "a", "b").select("page_id", "old_hash", "new_hash"))

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,14 +162,3 @@ def compare_versions(files: DataFrame, path: str, versions: list[str], base: str
 
 def comparison_totals(compared: DataFrame) -> DataFrame:
     return compared.agg(*[F.count_if(F.col("status") == s).alias(s.replace(" ", "_")) for s in ("matches", "differs", "not found")])
-
-
-def unified_diffs(pairs: DataFrame) -> DataFrame:
-    """(path, diff) of the pairs (path, a, b) of texts that differ."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            texts = [difflib.unified_diff((x or "").split("\n"), (y or "").split("\n"), "a", "b", lineterm="") for x, y in zip(part["a"], part["b"], strict=True)]
-            yield pd.DataFrame({"path": part["path"], "diff": ["\n".join(t) for t in texts]})
-
-    return pairs.where(~F.col("a").eqNullSafe(F.col("b"))).select("path", "a", "b").mapInPandas(run, "path string, diff string")

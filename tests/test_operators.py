@@ -10,7 +10,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.operators import catalog, cdc, deps, graph, includes, paths, ranks, reports, updates
+from pagequarry.operators import catalog, cdc, deps, graph, includes, linediff, paths, ranks, reports, updates
 from pagequarry.plans import cdc_queries
 from pagequarry.plans import fixtures as X
 from pagequarry.sources import readers, sinks
@@ -171,7 +171,7 @@ def test_files_are_written(spark, tmp_path):
 
 def test_unified_diffs(spark):
     rows = spark.createDataFrame([("p", "a\nb", "a\nc"), ("q", "a", "a"), ("r", None, "x")], "path string, a string, b string")
-    got = {r["path"]: r["diff"].split("\n")[3:] for r in paths.unified_diffs(rows).collect()}
+    got = {r["path"]: r["diff"].split("\n")[3:] for r in linediff.unified_diffs(rows).collect()}
     assert got == {"p": [" a", "-b", "+c"], "r": ["-", "+x"]}
 
 
