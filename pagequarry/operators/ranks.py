@@ -37,3 +37,23 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], into: str = "rank")
     same = [F.col(k).eqNullSafe(F.col(own)) for k, own in named.items()]
     joined = rows.join(before, same).drop(*named.values())
     return joined.withColumn(into, F.col("__before") + F.col("__at") - F.col("__first")).drop("__at", "__part", "__first", "__before")
+
+
+def filled_forward(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
+    """df with each null of `values` replaced by the last value before it among rows of equal keys, in the columns of order.
+
+    A scan in two passes, so that one key's rows spread over many tasks: rows are dealt to ranges of keys and order; each
+    range fills what it can and says what it leaves behind, a row a range and key; what a range leaves is carried into later
+    ranges of its key, to where they have no value yet. order should tell rows of a key apart; ties are filled in any order.
+    Where there is no value before, null stays. keys may be empty, and null is a key like others.
+    """
+    by = [*keys, *order]
+    rows = kept(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33)))
+    left = rows.groupBy("__part", *keys).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("__at"))).alias(f"__left_{v}") for v in values])
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    named = {k: f"__own_{k}" for k in ("__part", *keys)}
+    carried = left.withColumns({f"__in_{v}": F.last(f"__left_{v}", ignorenulls=True).over(earlier) for v in values}).withColumnsRenamed(named)
+    inside = Window.partitionBy("__part", *keys).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)  # rows of one range
+    own = rows.withColumns({v: F.last(v, ignorenulls=True).over(inside) for v in values})
+    joined = own.join(carried, [F.col(k).eqNullSafe(F.col(name)) for k, name in named.items()])
+    return joined.withColumns({v: F.coalesce(v, F.col(f"__in_{v}")) for v in values}).select(*df.columns)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from pagequarry.operators.ranks import filled_forward, ranked
 
 LANGUAGE_COUNTS = "struct<literal_includes:bigint,io_code_block:bigint,total:bigint>"
 NODE = "struct<code:string,language:string,file_extension:string,category:string,sha_256_hash:string,llm_categorized:boolean,date_added:timestamp,date_updated:timestamp,date_removed:timestamp,is_removed:boolean,instances_on_page:bigint>"
@@ -82,17 +83,25 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(F.split("content", "\n")).alias("i", "line")).select("path", (F.col("i") + 1).alias("line_no"), "line")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no from 1, line) of text files of any size: splits are read by different tasks and numbered by ranges."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    return ranked(rows, ["path"], ["block", "at"]).select("path", (F.col("rank") + 1).alias("line_no"), "line")
+
+
 # Kinds of log lines by pattern; the first group is the page, the second a number if there is one.
 LOG_LINES = {"removed": r"Page removed: Page ID: (\S+)", "new_page": r"Page created: Page ID: ([^,\s]+)", "examples_created": r"Code example created: Page ID: ([^,\s]+), (\d+)", "examples_removed": r"Code example removed: Page ID: ([^,\s]+), (\d+)", "usage_added": r"Applied usage example added: Page ID: ([^,\s]+), (\d+)"}
+# Fixed value: the line that names the project of those after it.
+LOG_PROJECT = r"Project changes for (.+)$"
 
 
 def run_log(log_lines: DataFrame) -> DataFrame:
     """(path, line_no, project, kind, page_id, count) of a run's log: each line belongs to the project named last before it.
 
-    The state runs along one file; files are the unit of distribution.
+    Lines that say nothing are dropped first. The state runs along one file, but a file's lines spread over ranges, and only
+    the last project of each range is carried on (`filled_forward`).
     """
-    project = F.nullif(F.regexp_extract("line", r"Project changes for (.+)$", 1), F.lit(""))
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    project = F.nullif(F.regexp_extract("line", LOG_PROJECT, 1), F.lit(""))
     kind, page, count = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
     for k, p in LOG_LINES.items():
         hit = F.rlike(F.col("line"), F.lit(p))
@@ -100,8 +109,9 @@ def run_log(log_lines: DataFrame) -> DataFrame:
         page = F.when(hit, F.regexp_extract("line", p, 1)).otherwise(page)
         if r"(\d+)" in p:
             count = F.when(hit, F.regexp_extract("line", p, 2)).otherwise(count)
-    rows = log_lines.withColumns({"project": F.last(project, ignorenulls=True).over(w), "kind": kind, "page_id": page, "count": count.cast("long")})
-    return rows.where(F.col("kind").isNotNull()).select("path", "line_no", "project", "kind", "page_id", "count")
+    rows = log_lines.select("path", "line_no", project.alias("project"), kind.alias("kind"), page.alias("page_id"), count.cast("long").alias("count"))
+    known = rows.where(F.col("kind").isNotNull() | F.col("project").isNotNull())
+    return filled_forward(known, ["path"], ["line_no"], ["project"]).where(F.col("kind").isNotNull())
 
 
 def feedback(spark: SparkSession, path: str) -> DataFrame:
