@@ -150,24 +150,51 @@ def live_nodes(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode("nodes").alias("n")).where(~F.coalesce("n.is_removed", F.lit(False)))
 
 
+def _instances(node: Column) -> Column:
+    return F.when(node > 1, node).otherwise(1)
+
+
+def _hash_parts(h: Column) -> list[Column]:
+    """Two numbers of 60 bits of a hash in hexadecimal digits."""
+    return [F.coalesce(F.conv(F.substring(h, at, 15), 16, 10), F.lit("0")).cast("decimal(38,0)") for at in (1, 16)]
+
+
+def changed_pages(stored: DataFrame, nodes: DataFrame, strict_counts: bool = False) -> DataFrame:
+    """(page_id, old_n, new_n) of the pages whose live nodes, with their instances, differ from the incoming ones.
+
+    stored: page_id, nodes. nodes: page_id, sha_256_hash; a row an instance. Each side is summed to a digest a page that
+    doesn't depend on order: the number of instances and the sums of two parts of their hashes. Stored nodes are summed
+    within their array; nothing is exploded, and only digests are shuffled. strict_counts: numbers alone decide.
+    """
+    number = "decimal(38,0)"
+    alive = F.filter(F.coalesce("nodes", F.array().cast(stored.schema["nodes"].dataType)), lambda n: ~F.coalesce(n["is_removed"], F.lit(False)))
+    total = lambda part: F.aggregate(alive, F.lit(0).cast(number), lambda s, n: (s + part(n) * _instances(n["instances_on_page"])).cast(number))
+    one = F.lit(1).cast(number)
+    old = stored.select("page_id", total(lambda n: one).cast("long").alias("old_n"), F.array(*[total(lambda n, i=i: _hash_parts(n["sha_256_hash"])[i]) for i in (0, 1)]).alias("old_sums"))
+    sums = nodes.groupBy("page_id").agg(F.count(F.lit(1)).alias("new_n"), *[F.sum(p).cast(number).alias(f"s{i}") for i, p in enumerate(_hash_parts(F.col("sha_256_hash")))])
+    new = sums.select("page_id", "new_n", F.array("s0", "s1").alias("new_sums"))
+    zeros = F.array(F.lit(0).cast(number), F.lit(0).cast(number))
+    both = old.join(new, "page_id", "full").select("page_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("old_n", "new_n")], *[F.coalesce(c, zeros).alias(c) for c in ("old_sums", "new_sums")])
+    differ = F.col("old_n") != F.col("new_n")
+    return both.where(differ if strict_counts else differ | (F.col("old_sums") != F.col("new_sums"))).select("page_id", "old_n", "new_n")
+
+
 def update_pages(stored: DataFrame, incoming: DataFrame, nodes: DataFrame, at: Column, strict_counts: bool = False) -> DataFrame:
     """Stored pages as they are after a run, for the pages that came in; page_id, nodes, totals and dates are rewritten.
 
     stored: page_id, nodes (array of structs), code_nodes_total, languages, keywords, date_last_updated, and what else is to
     be kept. incoming: page_id, keywords. nodes: page_id and the fields of a stored node, a row an instance.
 
-    A page without nodes on both sides, or whose nodes are all unchanged, keeps them. Else its nodes are the unchanged
+    A page without nodes on both sides, or whose nodes are all unchanged, keeps them, and they are not looked at one by one
+    (`changed_pages`). Else its nodes are the unchanged
     ones (with the instances counted now), the updated ones (the old node with new code, hash and date), new ones, the
     removed ones (marked, without instances), and all that had been removed before. Keywords are replaced if their number
     differs. strict_counts: pages of equal counts of nodes count as unchanged, whatever their texts.
     """
     fields = [f.name for f in stored.schema["nodes"].dataType.elementType]
-    live = live_nodes(stored.join(incoming.select("page_id"), "page_id", "left_semi")).select("page_id", "n.*")
-    one = F.when(F.col("instances_on_page") > 1, F.col("instances_on_page")).otherwise(1)
-    counts = live.groupBy("page_id").agg(F.sum(one).alias("old_n")).join(nodes.groupBy("page_id").agg(F.count(F.lit(1)).alias("new_n")), "page_id", "full")
-    touched = counts.select("page_id", F.coalesce("old_n", F.lit(0)).alias("old_n"), F.coalesce("new_n", F.lit(0)).alias("new_n")).where(F.col("old_n") != F.col("new_n")) if strict_counts else counts.select("page_id")
-    touched = kept(touched.select("page_id"))
-    old_all, new_all = live.join(touched, "page_id", "left_semi"), nodes.join(touched, "page_id", "left_semi")
+    touched = kept(changed_pages(stored.join(incoming.select("page_id"), "page_id", "left_semi"), nodes, strict_counts).select("page_id"))
+    old_all = live_nodes(stored.join(touched, "page_id", "left_semi")).select("page_id", "n.*")
+    new_all = nodes.join(touched, "page_id", "left_semi")
     diff = kept(diff_nodes(old_all, new_all))
     one_each = lambda df, name: df.groupBy("page_id", F.col("sha_256_hash").alias(f"{name}_hash")).agg(F.min_by(F.struct(*fields), F.struct("date_added", "category", "language")).alias(name))
     joined = diff.join(one_each(old_all, "old"), ["page_id", "old_hash"], "left").join(one_each(new_all.select("page_id", *fields), "new"), ["page_id", "new_hash"], "left")

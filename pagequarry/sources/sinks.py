@@ -1,4 +1,4 @@
-"""Sinks: reports as CSV, metrics and audit rows appended, snapshots copied to dated folders."""
+"""Sinks: reports as CSV, metrics and audit rows appended, files and usages."""
 
 from __future__ import annotations
 
@@ -22,23 +22,6 @@ def append(rows: DataFrame, path: str, *by: str) -> None:
     rows.write.mode("append").partitionBy(*by).parquet(path)
 
 
-def copy_snapshot(tables: dict[str, DataFrame], path: str, label: str) -> None:
-    """Every table under path/label."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{label}/{name}")
-
-
-def oldest(labels: list[str], keep: int) -> list[str]:
-    """Dated labels (backup_YYYY-MM-DD) beyond the latest `keep`, oldest first."""
-    return sorted(labels)[: max(0, len(labels) - keep)]
-
-
-def rotate(labels: list[str], today: str, keep: int) -> tuple[str, list[str]]:
-    """The label of today's copy, and those of earlier ones that go once it is there."""
-    label = f"backup_{today}"
-    return label, oldest(sorted({*labels, label}), keep)
-
-
 def audit_row(rows: DataFrame, at: Column) -> DataFrame:
     """Audit rows as they are appended: stamped, and an error never counts as a success."""
     return rows.withColumns({"ts": at, "success": F.when(F.col("event_type") == "error", False).otherwise(F.col("success"))})

@@ -190,8 +190,6 @@ def test_sinks_and_reports(spark, tmp_path):
     sinks.append(df, str(tmp_path / "m"), "key")
     assert spark.read.parquet(str(tmp_path / "m")).count() == 4
     assert reports.table_text(reports.by_count(df, "key"), ["key"]) == "key  count\n---  -----\na    2\nb    5"
-    assert sinks.oldest(["backup_2025-03-01", "backup_2025-01-01"], 1) == ["backup_2025-01-01"]
-    assert sinks.rotate(["backup_2025-03-01", "backup_2025-01-01"], "2025-04-01", 2) == ("backup_2025-04-01", ["backup_2025-01-01"])
     feedback = spark.range(500).select((F.col("id") % 3).cast("string").alias("docs_property"), F.lit("u").alias("url"), F.lit("c").alias("comment"), "id")
     numbered = sorted((r["entry_number"], r["docs_property"]) for r in sinks.numbered_feedback(feedback).collect())
     assert [n for n, _ in numbered] == list(range(1, 501)) and [p for _, p in numbered] == sorted(p for _, p in numbered)
