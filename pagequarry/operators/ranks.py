@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+_cleared: set[str] = set()
+
+
+def _clear_at_end(spark: SparkSession, folder: str) -> str:
+    if folder not in _cleared:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _cleared.add(folder)
+    return folder
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, deleted when the driver ends; a temporary one only in local mode."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not named:
+        import tempfile
+
+        named = f"file://{tempfile.gettempdir()}"
+    return _clear_at_end(spark, f"{named.rstrip('/')}/pagequarry-tables-{sc.applicationId}")
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, by a checkpoint in the folder of spark.checkpoint.dir; a temporary one only in local mode."""
-    sc = df.sparkSession.sparkContext
+    """df with its lineage cut, by a checkpoint in a folder of the application's own that is deleted when the driver ends."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="pagequarry-")
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(own_folder(spark))
+    _clear_at_end(spark, sc.getCheckpointDir())
     return df.checkpoint()
 
 

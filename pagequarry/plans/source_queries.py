@@ -10,15 +10,15 @@ from pagequarry.plans.registry import query
 from pagequarry.sources import readers
 
 
-def _page_lines(spark, sf_dir):
-    """Lines of JSON as a service sends them; every fifth is no page."""
+def _page_lines(spark, sf_dir, page="doc_id"):
+    """Lines of JSON (value) of each doc_id as a service sends them; every fifth is no page. page: its number."""
     k = F.col("doc_id")
     code = F.struct(F.lit("code").alias("type"), F.col("lang").alias("lang"), F.concat(F.lit(" "), "text").alias("value"))
     section = F.struct(F.lit("section").alias("type"), F.array(code).alias("children"))
     ast = F.concat(F.lit('{"type":"root","children":['), F.to_json(section), F.lit(","), F.to_json(code), F.lit("]}"))
     who = F.when(k % 3 == 0, '"bot"').when(k % 3 == 1, '"man"').otherwise("null")
-    line = F.concat(F.lit('{"type":"'), F.when(k % 5 == 0, "asset").otherwise("page"), F.lit('","data":{"page_id":"p'), k.cast("string"), F.lit('","github_username":'), who, F.lit(',"deleted":'), F.when(k % 7 == 0, "true").otherwise("false"), F.lit(',"ast":'), ast, F.lit("}}"))
-    return X.table(spark, sf_dir, "documents").select(line.alias("value"))
+    line = F.concat(F.lit('{"type":"'), F.when(k % 5 == 0, "asset").otherwise("page"), F.lit('","data":{"page_id":"p'), F.expr(page).cast("string"), F.lit('","github_username":'), who, F.lit(',"deleted":'), F.when(k % 7 == 0, "true").otherwise("false"), F.lit(',"ast":'), ast, F.lit("}}"))
+    return X.table(spark, sf_dir, "documents").select("doc_id", line.alias("value"))
 
 
 @query("SELECT 'p' || doc_id AS page_id, CASE doc_id % 3 WHEN 0 THEN 'bot' WHEN 1 THEN 'man' END AS github_username, doc_id % 7 = 0 AS deleted FROM documents WHERE doc_id % 5 <> 0")
