@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def recent_events(events: DataFrame, limit: int) -> DataFrame:
@@ -47,6 +48,16 @@ def processing_metrics(events: DataFrame, samples: int = 1000) -> DataFrame:
     return counters.join(times).withColumns(rates | approx)
 
 
+def last_samples(events: DataFrame, samples: int = 1000) -> DataFrame:
+    """By rule, durations of its last `samples` events with one: how many, mean, extremes and percentiles. Each task drops
+    what can't be among them before rules come together."""
+    w = Window.partitionBy("rule_name").orderBy(F.desc("ts"), "event_id")
+    known = events.where(F.col("duration_ms").isNotNull()).select(F.coalesce("rule_name", F.lit("")).alias("rule_name"), "ts", "event_id", "duration_ms")
+    last = known.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= samples)
+    d = F.col("duration_ms")
+    return last.groupBy("rule_name").agg(F.count(F.lit(1)).alias("samples"), F.avg(d).alias("avg_ms"), F.min(d).alias("min_ms"), F.max(d).alias("max_ms"), *[F.expr(f"percentile(duration_ms, {p})").alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)])
+
+
 def audit_rows(events: DataFrame) -> DataFrame:
     """Events as they are appended: errors are never successes."""
     return events.withColumn("success", F.when(F.col("event_type") == "error", False).otherwise(F.col("success")))

@@ -282,6 +282,12 @@ def request_metrics(spark, sf_dir):
     return rounded(events.processing_metrics(X.audit(spark, sf_dir)))
 
 
+@query(AUDIT + ", n AS (SELECT *, row_number() OVER (PARTITION BY rule_name ORDER BY ts DESC, event_id) AS i FROM audit WHERE duration_ms IS NOT NULL) SELECT rule_name, CAST(count(*) AS BIGINT) AS samples, round(avg(duration_ms), 6) AS avg_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, round(quantile_cont(duration_ms, 0.5), 6) AS p50, round(quantile_cont(duration_ms, 0.95), 6) AS p95, round(quantile_cont(duration_ms, 0.99), 6) AS p99 FROM n WHERE i <= 100 GROUP BY 1")
+def rule_durations(spark, sf_dir):
+    found = events.last_samples(X.audit(spark, sf_dir), 100)
+    return found.withColumns({c: F.round(c, 6) for c in ("avg_ms", "p50", "p95", "p99")})
+
+
 # --- change detection ----------------------------------------------------------------------------------------------
 
 SNAP = NODES + ", o AS (SELECT page_id, sha_256_hash AS h, count(*) AS n FROM nodes WHERE node_id % 3 <> 0 GROUP BY ALL), i AS (SELECT page_id, sha_256_hash AS h, count(*) AS n FROM nodes WHERE node_id % 3 <> 1 GROUP BY ALL)"
