@@ -248,15 +248,21 @@ def part_of(text: Column, needle: str, ignore_case: bool = True) -> Column:
     return F.lower(text).contains(needle.lower()) if ignore_case else text.contains(needle)
 
 
-def fill_path(template: str, path: Column, variables: Mapping[str, Column] | None = None) -> Column:
+def fill_path(template: str | Column, path: Column, variables: Mapping[str, Column] | None = None) -> Column:
     """A path template with ${path}, ${filename}, ${dir}, ${ext} and own variables filled in; null if any is left."""
+    out = fill_names(template, path, variables)
+    return F.when(~out.contains("${"), out)
+
+
+def fill_names(template: str | Column, path: Column, variables: Mapping[str, Column] | None = None) -> Column:
+    """fill_path, with what is left as it stands."""
     name = F.element_at(F.split(path, "/"), -1)
     folder = F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("."))
     values = {"path": path, "filename": name, "dir": folder, "ext": F.regexp_replace(file_extension(path), r"^\.", "")} | dict(variables or {})
-    out = F.lit(template)
+    out = F.lit(template) if isinstance(template, str) else template
     for key, value in values.items():
         out = F.replace(out, F.lit("${" + key + "}"), value)
-    return F.when(~out.contains("${"), out)
+    return out
 
 
 def fill_message(template: str, values: Mapping[str, Column]) -> Column:

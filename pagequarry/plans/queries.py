@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import scalars as S
 from pagequarry.functions import vocabulary as V
-from pagequarry.operators import catalog, cdc, deps, events, graph, ingest, paths, updates
+from pagequarry.operators import catalog, cdc, deps, events, graph, ingest, paths, rules, updates
 from pagequarry.plans import fixtures as X
 from pagequarry.plans.registry import ORACLES, QUERIES, query
 from pagequarry.sources import sinks
@@ -392,6 +392,22 @@ def path_rules(spark, sf_dir):
     return paths.apply_rules(X.audit(spark, sf_dir).select(F.col("source_path").alias("path")).distinct(), RULES)
 
 
+@query(
+    AUDIT
+    + r""", f AS (SELECT DISTINCT source_path AS path FROM audit), u AS (SELECT DISTINCT user_id FROM events)
+ SELECT path, 'w' || (n % 3) AS workflow, CAST(CASE WHEN n % 2 = 0 THEN 2 * n ELSE 2 * n + 1 END AS INTEGER) AS rule_idx, CASE WHEN n % 2 = 0 THEN 'moved/' || n || substr(path, 9 + length(CAST(n AS VARCHAR)) + 1) ELSE 'typed/' || split_part(path, '/', 3) || '.' || n END AS target
+ FROM (SELECT path, CAST(split_part(path, '/', 2) AS BIGINT) AS n FROM f) WHERE n % 2 = 0 OR path NOT LIKE '%view%'"""
+)
+def path_rules_of_table(spark, sf_dir):
+    """Two rules a user, as a table: its folder is moved, or else its files, but for views, are renamed by a pattern."""
+    users = X.table(spark, sf_dir, "events").select("user_id").distinct()
+    n, text = F.col("user_id"), F.col("user_id").cast("string")
+    none = F.array().cast("array<string>")
+    move = users.where(n % 2 == 0).select(F.concat(F.lit("w"), (n % 3).cast("string")).alias("workflow"), (2 * n).cast("int").alias("idx"), F.lit("move").alias("kind"), F.concat(F.lit("examples/"), text).alias("pattern"), F.concat(F.lit("moved/"), text).alias("target"), none.alias("excludes"))
+    named = users.select(F.concat(F.lit("w"), (n % 3).cast("string")).alias("workflow"), (2 * n + 1).cast("int").alias("idx"), F.lit("regex").alias("kind"), F.concat(F.lit("^examples/"), text, F.lit(r"/(?P<name>\w+\.py)$")).alias("pattern"), F.concat(F.lit("typed/${name}."), text).alias("target"), F.array(F.lit("view")).alias("excludes"))
+    return rules.apply(X.audit(spark, sf_dir).select(F.col("source_path").alias("path")).distinct(), rules.compiled(move.unionByName(named)))
+
+
 TREE = "concat('content/p', {k} % 7, CASE WHEN {k} % 3 = 0 THEN '/current' WHEN {k} % 3 = 1 THEN '/v' || ({k} % 4) ELSE '' END, '/source/', CASE WHEN {k} % 11 = 0 THEN 'code-examples/' ELSE '' END, 'page', {k}, '.txt')"
 
 
