@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import scalars as S
 from pagequarry.functions import vocabulary as V
-from pagequarry.operators import catalog, cdc, deps, events, graph, ingest, paths, rules, updates
+from pagequarry.operators import catalog, cdc, deps, events, graph, ingest, paths, rules, trees, updates
+from pagequarry.operators.ranks import own_folder
 from pagequarry.plans import fixtures as X
 from pagequarry.plans.registry import ORACLES, QUERIES, query
-from pagequarry.sources import sinks
+from pagequarry.sources import sinks, text_index
 
 NODES = "WITH " + X.cte("nodes", X.NODES, "documents")
 LIVE = NODES + ", live AS (SELECT * FROM nodes WHERE coalesce(is_removed, false) = false)"
@@ -364,9 +367,40 @@ def usage_totals(spark, sf_dir):
     return graph.usage_totals(X.table(spark, sf_dir, "events").select(F.col("event_type").alias("directive"), F.col("user_id").alias("source")))
 
 
+@query("""WITH k AS (SELECT o_orderkey AS node, CAST(o_orderkey AS VARCHAR) AS t FROM orders WHERE o_orderkey > 0), a AS (SELECT CAST(unnest(list_transform(range(1, length(t) + 1), lambda i: left(t, i))) AS BIGINT) AS node FROM k), s AS (SELECT node, count(*) AS n FROM a GROUP BY 1),
+o AS (SELECT CAST(left(t, 1) AS BIGINT) AS root, node, length(t) - 1 AS depth, row_number() OVER (PARTITION BY left(t, 1) ORDER BY t) - 1 AS enter FROM k) SELECT root, node, CAST(depth AS INTEGER) AS depth, CAST(enter AS BIGINT) AS enter, CAST(enter + n - 1 AS BIGINT) AS leave FROM o JOIN s USING (node)""")
+def include_order(spark, sf_dir):
+    """Depth-first order of nine trees of inclusions, with the range below each file."""
+    edges = _edges(spark, sf_dir).where("target >= 10").withColumn("ordinal", (F.col("target") % 10).cast("int"))
+    roots = spark.createDataFrame([(k,) for k in range(1, 10)], "node long")
+    return trees.numbered(trees.include_tree(edges, roots)).select("root", "node", "depth", "enter", "leave")
+
+
+@query("SELECT DISTINCT CAST(event_id AS VARCHAR) AS source FROM events WHERE event_type = 'view' AND user_id % 10 = 3")
+def users_below_folder(spark, sf_dir):
+    e = X.table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("source"), F.concat(F.lit("d"), (F.col("user_id") % 10).cast("string"), F.lit("/"), "event_type", F.lit("/"), F.col("user_id").cast("string"), F.lit(".rst")).alias("target"))
+    labels = trees.numbered(trees.folder_tree(e.select(F.col("target").alias("path"))))
+    return trees.users_below(labels, e, "d3/view/")
+
+
 # --- paths ---------------------------------------------------------------------------------------------------------
 
 
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])que des([^A-Za-z0-9_]|$)')")
+def indexed_search(spark, sf_dir):
+    """word_search's hits, by an index of three-character pieces that is written first."""
+    files = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    index = text_index.write(files, f"{own_folder(spark)}/index-{uuid.uuid4().hex}", blocks=64)
+    return index.search("que des").select(F.col("id").alias("doc_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), 'ouvre') OR contains(lower(text), 'the w')")
+def indexed_parts(spark, sf_dir):
+    files = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    index = text_index.write(files, f"{own_folder(spark)}/index-{uuid.uuid4().hex}", blocks=64)
+    return index.search("ouvre", whole=False).unionByName(index.search("THE w", whole=False)).select(F.col("id").alias("doc_id")).distinct()
+
+
 @query("SELECT doc_id, regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])que des([^A-Za-z0-9_]|$)') AS found FROM documents")
 def word_search(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select("doc_id", S.whole_word(F.col("text"), "que des").alias("found"))
