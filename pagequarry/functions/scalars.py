@@ -289,6 +289,18 @@ def is_version(name: Column) -> Column:
     return name.isin("current", "manual", "upcoming") | name.startswith("v")
 
 
+def dedent(text: Column, tab: int = 1) -> Column:
+    """A text without the indentation that all its lines share, blank lines aside, which become empty. tab: how many places a
+    tab counts for; as many characters are cut, from lines that have them. Without common indentation the text stays."""
+    lines, blanks = F.split(text, "\n"), F.lit(" \t\r\x0b\x0c")
+    blank = lambda x: F.btrim(x, blanks) == ""
+    lead = lambda x: F.regexp_extract(x, r"^[ \t]*", 0)
+    depth = lambda x: F.length(lead(x)) + (tab - 1) * F.length(F.regexp_replace(lead(x), " ", ""))
+    least = F.array_min(F.transform(F.filter(lines, lambda x: ~blank(x)), depth))
+    cut = lambda n: F.array_join(F.transform(lines, lambda x: F.when(blank(x), "").when(F.length(x) >= n, F.substring(x, n + 1, F.length(x))).otherwise(x)), "\n")
+    return F.when(least > 0, F.element_at(F.transform(F.array(least), cut), 1)).otherwise(text)
+
+
 def emphasized_lines(ranges: Column) -> Column:
     """Line numbers of an array of [low, high] pairs; null if a pair has another size."""
     return F.when(F.forall(ranges, lambda r: F.size(r) == 2), F.flatten(F.transform(ranges, lambda r: F.sequence(r[0], r[1]))))

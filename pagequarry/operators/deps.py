@@ -62,6 +62,24 @@ def nuget_references(files: DataFrame) -> DataFrame:
     return rows.select("path", F.regexp_extract("b", r'Include="([^"]*)"', 1).alias("name"), F.nullif(F.regexp_extract("b", r'Version="([^"]*)"', 1), F.lit("")).alias("version"))
 
 
+# Lines of two package managers' lists of newer versions: name, version in use, latest version.
+LISTED = {"go": r"^(\S+)\s+(v\S+)\s+\[(v[^\]]+)\]", "dotnet": r"^\s*>\s+(\S+)\s+\S+\s+(\S+)\s+(\S+)"}
+
+
+def listed_updates(outputs: DataFrame, tool: str, direct_only: DataFrame | None = None) -> DataFrame:
+    """(path, name, current, latest, update_type) of the lines of a tool's list of newer versions. outputs: path, content.
+
+    direct_only: (path, name) to keep, as go_requirements gives them.
+    """
+    pattern = LISTED[tool]
+    part = lambda i: F.regexp_extract("line", pattern, i)
+    rows = _lines(outputs).where(F.rlike("line", F.lit(pattern))).select("path", part(1).alias("name"), part(2).alias("current"), part(3).alias("latest"))
+    if direct_only is not None:
+        rows = rows.join(direct_only.select("path", "name").distinct(), ["path", "name"], "left_semi")
+    bare = lambda c: F.regexp_replace(c, "^v", "")
+    return rows.withColumn("update_type", update_type(bare("current"), bare("latest")))
+
+
 def updates(current: DataFrame, latest: DataFrame, direct_only: DataFrame | None = None) -> DataFrame:
     """(name, current, latest, update_type) of dependencies that another version is known for.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import scalars as S
+from pagequarry.operators.ranks import ranked
 
 def valid_pattern(pattern: str) -> bool:
     try:
@@ -81,6 +82,14 @@ def uploads(matched: DataFrame, *by: str) -> DataFrame:
     return matched.groupBy(*(by or ("workflow",))).agg(F.count(F.lit(1)).alias("files"), F.sort_array(F.collect_list("target")).alias("targets"))
 
 
+def upload_commits(matched: DataFrame, *by: str, most: int = 1000) -> DataFrame:
+    """uploads in commits of at most `most` files: the columns `by`, commit (from 0), files and targets in order. A queue of
+    any size so spreads over rows."""
+    keys = list(by or ("workflow",))
+    numbered = ranked(matched.select(*keys, "target"), keys, ["target"]).withColumn("commit", F.floor(F.col("rank") / most))
+    return numbered.groupBy(*keys, "commit").agg(F.count(F.lit(1)).alias("files"), F.sort_array(F.collect_list("target")).alias("targets"))
+
+
 def deprecations(known: DataFrame, removed: DataFrame, at: Column) -> DataFrame:
     """known (filename, repo, branch, deleted_on) with an entry for each target of removed (target, repo, branch) added."""
     new = removed.select(F.col("target").alias("filename"), "repo", "branch", at.alias("deleted_on"))
@@ -160,5 +169,17 @@ def compare_versions(files: DataFrame, path: str, versions: list[str], base: str
     return joined.select("version", status.alias("status"))
 
 
+def compare_trees(files: DataFrame, versions: list[str], base: str) -> DataFrame:
+    """(path, version, status) of every path in every version against a base version: matches, differs, not found, or, where
+    the base itself lacks the file, no base. files: path (without the version), version, content."""
+    wanted = F.array(*[F.lit(v) for v in versions])  # the caller's short list
+    held = files.select("path", "version", F.sha2(F.col("content").cast("binary"), 256).alias("h"))
+    grid = held.select("path").distinct().select("path", F.explode(wanted).alias("version"))
+    against = held.where(F.col("version") == base).select("path", F.col("h").alias("b"))
+    joined = grid.join(held, ["path", "version"], "left").join(against, "path", "left")
+    status = F.when(F.col("h").isNull(), "not found").when(F.col("b").isNull(), "no base").when(F.col("h") == F.col("b"), "matches").otherwise("differs")
+    return joined.select("path", "version", status.alias("status"))
+
+
 def comparison_totals(compared: DataFrame) -> DataFrame:
     return compared.agg(*[F.count_if(F.col("status") == s).alias(s.replace(" ", "_")) for s in ("matches", "differs", "not found")])

@@ -554,4 +554,4 @@ def manifests(spark, sf_dir):
 
 
 # The other catalogues register themselves.
-from pagequarry.plans import cdc_queries, edit_queries, run_queries, scalar_queries, source_queries, tree_queries  # noqa: E402, F401
+from pagequarry.plans import cdc_queries, edit_queries, report_queries, run_queries, scalar_queries, source_queries, tree_queries  # noqa: E402, F401

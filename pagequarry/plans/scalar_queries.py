@@ -126,10 +126,11 @@ def latest_versions(spark, sf_dir):
     return catalog.latest_version(rows)
 
 
-@query("SELECT l || '' AS language, 0 AS total FROM (VALUES ('en'), ('de')) v(l)")
+@query("SELECT 'pg' || p_partkey AS page_id, unnest(['en', 'de']) AS language, CAST(0 AS BIGINT) AS total FROM part")
 def empty_languages(spark, sf_dir):
-    entry = F.explode(ingest.empty_languages(["en", "de"]))
-    return spark.range(1).select(entry.alias("m")).select(F.explode("m").alias("language", "s")).select("language", F.col("s.total").alias("total"))
+    """Pages without code, as they are stored: every language with zeros."""
+    pages = X.table(spark, sf_dir, "part").select(F.concat(F.lit("pg"), F.col("p_partkey").cast("string")).alias("page_id"), F.explode(ingest.empty_languages(["en", "de"])).alias("m"))
+    return pages.select("page_id", F.explode("m").alias("language", "s")).select("page_id", "language", F.col("s.total").alias("total"))
 
 
 # --- paths ---------------------------------------------------------------------------------------------------------
@@ -151,10 +152,10 @@ def current_pages(spark, sf_dir):
     return kept.groupBy("project", "version").agg(F.count(F.lit(1)).alias("count"))
 
 
-@query("SELECT 'r' || (o_orderkey % 3) AS repo, CASE WHEN o_orderkey % 2 = 0 THEN 'main' ELSE 'dev' END AS branch, CAST(count(*) AS BIGINT) AS files, string_agg('out/' || o_orderkey, ',' ORDER BY 'out/' || o_orderkey) AS targets FROM orders WHERE o_orderkey < 2000 GROUP BY ALL")
+@query("SELECT 'r' || (o_orderkey % 3) AS repo, CASE WHEN o_orderkey % 2 = 0 THEN 'main' ELSE 'dev' END AS branch, CAST(count(*) AS BIGINT) AS files, string_agg('out/' || o_orderkey, ',' ORDER BY 'out/' || o_orderkey) AS targets FROM orders GROUP BY ALL")
 def upload_queues(spark, sf_dir):
     k = F.col("o_orderkey")
-    rows = X.table(spark, sf_dir, "orders").where(k < 2000).select(F.concat(F.lit("out/"), k.cast("string")).alias("target"), F.concat(F.lit("r"), (k % 3).cast("string")).alias("repo"), F.when(k % 2 == 0, "main").otherwise("dev").alias("branch"))
+    rows = X.table(spark, sf_dir, "orders").select(F.concat(F.lit("out/"), k.cast("string")).alias("target"), F.concat(F.lit("r"), (k % 3).cast("string")).alias("repo"), F.when(k % 2 == 0, "main").otherwise("dev").alias("branch"))
     return paths.uploads(rows, "repo", "branch").withColumn("targets", F.array_join("targets", ","))
 
 
