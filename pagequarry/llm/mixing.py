@@ -2,9 +2,9 @@
 
 Each source s has a target of T_s words. Of all rates w_i in [0, MAX_COPIES] for the documents that meet the targets, the
 ones nearest to 1 in relative entropy are w_i = min(MAX_COPIES, exp(lambda_s * z_i)), where z_i is the document's size
-over its source's mean size in words, cut at Z_MAX: an exponential tilt. The dual is concave in one lambda a source and
-is solved by distributed Newton steps (kept inside a shrinking bracket, since the cap bends it). Targets, duals and
-brackets are tables with a row a source, so the number of sources isn't bounded; the driver sees scalars only.
+over its source's mean size in words: an exponential tilt, worked out as a power so that the cap is its only bound. The dual
+is concave in one lambda a source and is solved by distributed Newton steps, kept inside a bracket that grows by doubling
+until it holds the solution and shrinks from then on, since the cap bends the dual. Targets, duals and brackets are tables with a row a source, so the number of sources isn't bounded; the driver sees scalars only.
 
 The rates are then rounded into whole copies. Documents above 1/GRAIN of their source, of which there are fewer than GRAIN
 a source, are rounded together so that they come as near to their part of the target as they can. For all others a hash
@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from pagequarry.llm.common import join_hot, n_words_of, numbered, stage
 
-MAX_COPIES, GRAIN, BINS, PASSES, Z_MAX, MAX_STEPS = 3, 1000, 2048, 4, 8.0, 200
+MAX_COPIES, GRAIN, BINS, PASSES, MAX_STEPS = 3, 1000, 2048, 4, 200
 #: Relative error of a source's words at which its dual counts as solved.
 TOLERANCE = 1e-4
 #: Tables of sources up to this length, counted first, are broadcast; of longer ones only the hot sources are.
@@ -72,27 +72,38 @@ def solve(by_size: DataFrame, sources: DataFrame, tolerance: float = TOLERANCE,
     """sources (skey, many, total, mean, target) with the dual x. by_size: (skey, size, n), the documents of each size.
 
     Every step sums the words taken at x and their derivative over all sizes and moves the x of each source that isn't
-    solved yet, by Newton or, where that leaves its bracket, to the bracket's middle.
+    solved yet: by Newton, if that stays in its bracket; else to the bracket's middle or, where one end is still open, twice
+    as far. After max_steps, the last x stands; by then a bracket has been halved beyond what doubles tell apart.
     """
     none, all_ = F.col("target") <= 0, F.col("target") >= MAX_COPIES * F.col("total")
-    x = F.when(none, -60.0).when(all_, 60.0).otherwise(0.0)
-    state = stage(sources.withColumns({"x": x, "lo": F.lit(-60.0), "hi": F.lit(60.0), "solved": none | all_}), "mix-duals")
+    open_end = F.lit(None).cast("double")
+    state = stage(sources.withColumns({"x": F.lit(0.0), "lo": open_end, "hi": open_end, "solved": none | all_}), "mix-duals")
     n_sources = state.count()
     for _ in range(max_steps):
         if not state.where(~F.col("solved")).limit(1).count():
-            return state
-        z = F.least(F.col("size") / F.col("mean"), F.lit(Z_MAX))
-        w = F.exp(F.col("x") * z)
+            break
         at = attach(by_size, state.where(~F.col("solved")).select("skey", "many", "mean", "x"))
+        power = F.col("x") * F.col("size") / F.col("mean")
         words = F.col("n") * F.col("size")
-        sums = at.groupBy("skey").agg(F.sum(words * F.least(w, F.lit(float(MAX_COPIES)))).alias("g"), F.sum(F.when(w < MAX_COPIES, words * z * w).otherwise(0.0)).alias("h"))
+        sums = at.groupBy("skey").agg(F.sum(words * capped_rate(power)).alias("g"), F.sum(F.when(power < LOG_MOST, words * F.col("size") / F.col("mean") * F.exp(power)).otherwise(0.0)).alias("h"))
         off = F.col("g") - F.col("target")
         joined = state.join(sums, "skey", "left").withColumn("near", F.col("solved") | F.coalesce(F.abs(off) <= tolerance * F.col("target"), F.lit(True)))
         moved = joined.withColumn("hi", F.when(off > 0, F.col("x")).otherwise(F.col("hi"))).withColumn("lo", F.when(off > 0, F.col("lo")).otherwise(F.col("x")))
         newton = F.when(F.col("h") > 0, F.col("x") - off / F.col("h"))
-        step = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
+        reach = F.greatest(F.lit(1.0), F.abs("x"))
+        inside = (newton > F.coalesce("lo", F.col("x") - 2 * reach)) & (newton < F.coalesce("hi", F.col("x") + 2 * reach))
+        further = F.when(F.col("hi").isNull(), F.col("x") + reach).when(F.col("lo").isNull(), F.col("x") - reach).otherwise((F.col("lo") + F.col("hi")) / 2)
+        step = F.when(inside, newton).otherwise(further)
         state = stage_sources(moved.withColumn("x", F.when(F.col("near"), F.col("x")).otherwise(step)).withColumn("solved", F.col("near")).select(*state.columns), "mix-duals", n_sources)
-    raise ArithmeticError(f"duals unsolved after {max_steps} steps")
+    return state
+
+
+#: The power at which a rate reaches the cap.
+LOG_MOST = float(np.log(MAX_COPIES))
+
+
+def capped_rate(power: Column) -> Column:
+    return F.when(power < LOG_MOST, F.exp(power)).otherwise(float(MAX_COPIES))
 
 
 def hashed(*key: Column) -> Column:
@@ -157,7 +168,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     sources = targets(sums, weights).withColumn("mean", F.col("total") / F.greatest("filled", F.lit(1)))
     duals = solve(by_size.where("size > 0"), sources.select("skey", "many", "total", "mean", "target"))
 
-    rate = F.least(F.lit(float(MAX_COPIES)), F.exp(F.col("x") * F.least(F.col("size") / F.greatest("mean", F.lit(1e-9)), F.lit(Z_MAX))))
+    rate = capped_rate(F.col("x") * F.col("size") / F.greatest("mean", F.lit(1e-9)))
     rated = attach(rows, duals.select("skey", "many", "total", "mean", "target", "x")).withColumn("rate", F.when(F.col("target") <= 0, 0.0).when(F.col("target") >= MAX_COPIES * F.col("total"), float(MAX_COPIES)).otherwise(rate))
     rated = rated.withColumn("u", hashed(F.col("doc_id"), F.col("text_hash"))).drop("mean", "x")
     is_large = F.col("size") * GRAIN > F.col("total")
