@@ -159,10 +159,11 @@ def judge(docs: DataFrame, max_class_distance: float = MAX_CLASS_DISTANCE, max_w
     frequent = [r["lang"] for r in refs]
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = measured.withColumn("base_failed", failed)
-    # Distances to a reference, and the greater of both as parts of their limits.
-    measure = lambda w, c, lang: let(F.struct(js_distance_words(F.col("hist"), F.col("n_words"), w).alias("w"), js_distance_classes(F.col("classes"), F.col("n_chars"), c).alias("c")), lambda x: F.struct(F.greatest(x["w"] / max_word_distance, x["c"] / max_class_distance).alias("far"), x["w"].alias("w"), x["c"].alias("c"), lang.alias("lang")))
     accepts = lambda near: ((F.col("n_words") < min_words) | (near["w"] <= max_word_distance)) & ((F.col("n_chars") < min_chars) | (near["c"] <= max_class_distance))
-    nearest = F.array_min(F.array(*[measure(r["words"], r["classes"], F.lit(r["lang"])) for r in refs])) if refs else F.lit(None).cast("struct<far:double,w:double,c:double,lang:string>")
+    # Distances to a reference, whether it refuses the text, and the greater of both distances as parts of their limits. One
+    # reference that accepts is enough, so the nearest is the nearest of those that do, if any does.
+    measure = lambda w, c, lang: let(F.struct(js_distance_words(F.col("hist"), F.col("n_words"), w).alias("w"), js_distance_classes(F.col("classes"), F.col("n_chars"), c).alias("c")), lambda x: F.struct((~accepts(x)).alias("refused"), F.greatest(x["w"] / max_word_distance, x["c"] / max_class_distance).alias("far"), x["w"].alias("w"), x["c"].alias("c"), lang.alias("lang")))
+    nearest = F.array_min(F.array(*[measure(r["words"], r["classes"], F.lit(r["lang"])) for r in refs])) if refs else F.lit(None).cast("struct<refused:boolean,far:double,w:double,c:double,lang:string>")
     out = out.withColumn("near", nearest)
     rare = table.where(~F.col("lang").isin(frequent) & (F.col("rows") >= MIN_REFERENCE_ROWS) & (F.col("chars") >= MIN_REFERENCE_CHARS)).select("lang", F.col("words").alias("rw"), F.col("classes").alias("rc"))
     n_rare = rare.count()
