@@ -55,7 +55,12 @@ IMPLIED = {
 }
 #: End tags don't reach across these.
 SCOPE = frozenset("table td th caption html template".split())
-TAG = re.compile(r"""<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>)""")
+#: Where markup begins, and a tag from there on: quotes count after an equals sign only.
+MARK = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|/?[A-Za-z])")
+TAG = re.compile(r"""<(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>=]|=\s*+(?:"[^"]*"|'[^']*'|(?!["'])))*+)>""")
+#: A tag whose quotes never end.
+BROKEN_TAG = re.compile(r"<(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>[^>]*)>")
+COMMENT_END = re.compile(r"--!?>")
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 BLANK = re.compile(r"[ \t\n\r\f]+")
 PROPERTY = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
@@ -102,20 +107,24 @@ def parse(html: str) -> Node:
         if k is not None:
             del stack[k:]
 
+    last = html.rfind(">") + 1  # no tag ends after it
     while True:
-        m = TAG.search(html, at)
-        if not m:
+        m = MARK.search(html, at)
+        if not m or (m.start() >= last and not m["comment"]):
             break
         add_text(unescape(html[at : m.start()]))
         at = m.end()
         if m["comment"]:
-            end = html.find("-->", at)
-            at = len(html) if end < 0 else end + 3
+            short = 1 if html.startswith(">", at) else 2 if html.startswith("->", at) else 0
+            end = None if short else COMMENT_END.search(html, at)
+            at = at + short if short else end.end() if end else len(html)
             continue
         if m["other"]:
             end = html.find(">", at)
             at = len(html) if end < 0 else end + 1
             continue
+        m = TAG.match(html, m.start(), last) or BROKEN_TAG.match(html, m.start(), last)
+        at = m.end()
         name = m["name"].lower()
         if m["close"]:
             if name == "br":
@@ -216,15 +225,20 @@ class Selector:
         return True
 
     def matches(self, node: Node, above: list[Node]) -> bool:
-        def rest(i: int, k: int) -> bool:
-            """Whether steps i on match at ancestors below k, given what ties step i - 1 to them."""
-            if i == len(self.steps):
-                return True
-            if self.steps[i - 1][0] == ">":
-                return k > 0 and self.fits(self.steps[i][1], above[k - 1]) and rest(i + 1, k - 1)
-            return any(self.fits(self.steps[i][1], above[j]) and rest(i + 1, j) for j in range(k - 1, -1, -1))
-
-        return self.fits(self.steps[0][1], node) and rest(1, len(above))
+        """Compounds tied by ">" are a chain; of every further chain the nearest place decides, as it leaves the most above."""
+        at, k = 0, len(above) + 1
+        while at < len(self.steps):
+            size = 1
+            while self.steps[at + size - 1][0] == ">" and at + size < len(self.steps):
+                size += 1
+            chain = [parts for _, parts in self.steps[at : at + size]]
+            for j in range(k - 1, size - 2, -1) if at else (k - 1,):
+                if j - size + 1 >= 0 and all(self.fits(parts, above[j - i] if j - i < len(above) else node) for i, parts in enumerate(chain)):
+                    break
+            else:
+                return False
+            at, k = at + size, j - size + 1
+        return True
 
 
 class Sheet:
@@ -337,23 +351,25 @@ def span(cell: Node, name: str, most: int) -> int:
     return min(max(1, int(n[:6])), most) if n.isascii() and n.isdigit() else 1
 
 
-def column_widths(rows: list[list[str]]) -> list[int]:
-    """Width of the widest cell of each column; less for the widest where the blanks would outgrow the text."""
+def column_widths(rows: list[list[list[str]]]) -> list[int]:
+    """Width of the widest line of each column's cells, the last of a row aside, which needs no blanks after it; less for the
+    widest where the blanks would outgrow the text."""
     widths = [0] * max(map(len, rows), default=0)
-    text = 0
+    text = height = 0
     for r in rows:
-        for i, c in enumerate(r):
-            widths[i] = max(widths[i], len(c))
-            text += len(c)
+        for i, lines in enumerate(r):
+            widths[i] = max(widths[i], *map(len, lines)) if i < len(r) - 1 and lines else widths[i]
+            text += sum(map(len, lines))
+        height += max(map(len, r), default=0)
     limit = PAD_FACTOR * text + 10_000
-    while widths and sum(widths) * len(rows) > limit and max(widths) > 1:
+    while widths and sum(widths) * height > limit and max(widths) > 1:
         most = max(widths) // 2
         widths = [min(w, most) for w in widths]
     return widths
 
 
 def render_table(table: Node, w: Writer) -> None:
-    rows: list[list[str]] = []
+    rows: list[list[list[str]]] = []  # the lines of each cell
     spanned: dict[int, int] = {}  # columns taken by cells from above, and for how many more rows
 
     def loose(nodes: list) -> None:
@@ -382,12 +398,12 @@ def render_table(table: Node, w: Writer) -> None:
         return found
 
     def add_row(cells: list[Node]) -> None:
-        line: list[str] = []
+        line: list[list[str]] = []
         begun: dict[int, int] = {}
 
         def skip() -> None:
             while spanned.get(len(line), 0) > 0:
-                line.append("")
+                line.append([])
 
         for c in cells:
             skip()
@@ -398,7 +414,7 @@ def render_table(table: Node, w: Writer) -> None:
             for i in range(across):
                 if down > 1:
                     begun[len(line)] = down - 1
-                line.append("" if i else BLANK.sub(" ", "".join(inner.out)).strip())
+                line.append([] if i or not inner.out else "".join(inner.out).split("\n"))
         for i in list(spanned):
             spanned[i] -= 1
             if spanned[i] <= 0:
@@ -441,9 +457,12 @@ def render_table(table: Node, w: Writer) -> None:
     walk(table)
     widths = column_widths(rows)
     for r in rows:
-        line = "  ".join(c.ljust(widths[i]) if i < len(r) - 1 else c for i, c in enumerate(r)).rstrip()
-        if line:
-            w.put(line)
+        for k in range(max(map(len, r), default=0)):
+            line = "  ".join((c[k] if k < len(c) else "").ljust(widths[i] if i < len(r) - 1 else 0) for i, c in enumerate(r)).rstrip()
+            if line:
+                w.put(line)
+            else:
+                w.gap = max(w.gap, 2)
 
 
 def field_text(node: Node) -> str:

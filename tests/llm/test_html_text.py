@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -108,3 +109,65 @@ def test_all_visible_words_come_out_in_order(seed):
     words = (f"w{i}" for i in range(10**6))
     html, seen = make_page(random.Random(seed), words)
     assert re.findall(r"w\d+", H.to_text("<style>.off{display:none}</style>" + html)) == seen
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("a<!-->b<p>rest", "ab\n\nrest"),
+        ("a<!--->b", "ab"),
+        ("a<!-- c --!>b", "ab"),
+        ("a<!-- > -> c -->b", "ab"),
+        ("a<!---->b", "ab"),
+        ("a<!-- open <p>b", "a"),
+        ('<p title="a>b" x=\'>\'>c</p>', "c"),
+        ('<a b"c>d</a>', "d"),
+        ("<a href=\"x'y\">e</a>", "e"),
+        ('f<a title="never>g', "fg"),
+        ("1 < 2 <3", "1 < 2 <3"),
+        ("h<b", "h<b"),
+    ],
+)
+def test_comments_and_quotes_end_as_browsers_end_them(html, want):
+    assert H.to_text(html) == want
+
+
+def test_selectors_of_many_ancestors():
+    """Chains and descendants against a search of all choices, and in time that doesn't grow with the choices."""
+    def plain(steps, node, above):
+        def rest(i, k):
+            if i == len(steps):
+                return True
+            if steps[i - 1][0] == ">":
+                return k > 0 and H.Selector.fits(steps[i][1], above[k - 1]) and rest(i + 1, k - 1)
+            return any(H.Selector.fits(steps[i][1], above[j]) and rest(i + 1, j) for j in range(k))
+
+        return H.Selector.fits(steps[0][1], node) and rest(1, len(above))
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        s = H.Selector("".join(rng.choice("ab*") + rng.choice([" ", " > ", ">"]) for _ in range(rng.randint(0, 5))) + rng.choice("ab"))
+        path = [H.Node(rng.choice("abc"), {}) for _ in range(rng.randint(1, 7))]
+        assert s.matches(path[-1], path[:-1]) == plain(s.steps, path[-1], path[:-1])
+    began = time.time()
+    H.to_text("<style>.nope div div div div div div div p{display:none}</style>" + "<div>" * 200 + "<p>x" * 100)
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a x='", '<a x="', "<!--", "<", "</", "<b>", "<a =", "<td>", "<a x=\"'", "&", "<p x=>", "<!-- --!"])
+def test_hostile_pages_take_linear_time(part):
+    def seconds(n):
+        began = time.time()
+        H.to_text(part * (n // len(part)))
+        return time.time() - began
+
+    seconds(20_000)
+    assert seconds(400_000) < 6
+
+
+def test_cells_keep_their_lines():
+    page = "<table><tr><td><p>one</p><p>two</p><ul><li>x<li>y</ul></td><td>side<br>by</td></tr><tr><td>short</td><td>end</td></tr></table>after"
+    assert H.to_text(page).split("\n") == ["one    side", "       by", "two", "", "- x", "- y", "short  end", "", "after"]
+    layout = "<table><tr><td><h1>Title</h1><p>First paragraph.</p><pre>a\n  b</pre><table><tr><td>k</td><td>v</td></tr><tr><td>long key</td><td>w</td></tr></table></td></tr></table>"
+    text = H.to_text(layout)
+    assert "First paragraph." in text.split("\n") and "  b" in text.split("\n") and "k         v" in text.split("\n") and "long key  w" in text.split("\n")
