@@ -1,6 +1,7 @@
-"""Parsing of reStructuredText: directives with options and content, code examples, include edges, procedures.
+"""Procedures of reStructuredText, files of YAML steps and syntax trees.
 
 Plain functions over one file's text, and table functions over DataFrames of (path, content) that run them batch by batch.
+Directives, examples and references are expressions (`directives`).
 """
 
 from __future__ import annotations
@@ -44,90 +45,6 @@ def dedent(lines: list[str]) -> str:
     return "\n".join(x[least:] if x.strip() else "" for x in lines)
 
 
-def parse_directives(text: str, kinds: tuple[str, ...] = ("literalinclude", "code-block", "io-code-block")) -> list[dict]:
-    """Directives in order: kind, argument, options, content, line, and nested input and output of io-code-block."""
-    lines, out, i = text.split("\n"), [], 0
-    while i < len(lines):
-        m = DIRECTIVE.match(lines[i].strip())
-        if not m or m[1] not in kinds:
-            i += 1
-            continue
-        options, content, j = block_of(lines, i, indent_of(lines[i]))
-        found = {"kind": m[1], "argument": m[2].strip(), "options": options, "content": dedent(content).strip(), "line": i + 1, "parts": []}
-        if m[1] == "io-code-block":
-            found["parts"] = parse_directives("\n".join(content), ("input", "output"))
-        out.append(found)
-        i = j
-    return out
-
-
-def included_part(content: str, options: dict[str, str]) -> str | None:
-    """What a literalinclude takes of a file, None if a tag that it names is missing."""
-    if (tag := options.get("start-after")) is not None:
-        at = content.find(tag)
-        if at < 0:
-            return None
-        end = content.find("\n", at)
-        content = "" if end < 0 else content[end + 1 :]
-    if (tag := options.get("end-before")) is not None:
-        at = content.find(tag)
-        if at < 0:
-            return None
-        content = content[: max(0, content.rfind("\n", 0, at))]
-    if "dedent" in options:
-        content = dedent(content.split("\n"))
-    return content.strip()
-
-
-def code_examples(text: str) -> list[dict]:
-    """Examples of a file: directive, index (from 1, by directive), language, content, sub (input or output).
-
-    A literalinclude carries the path that it includes in `includes`, for a join with the files. Parts of an
-    io-code-block that name a file are passed over; their index is used up.
-    """
-    out: list[dict] = []
-    seen: dict[str, int] = {}
-    for d in parse_directives(text):
-        seen[d["kind"]] = index = seen.get(d["kind"], 0) + 1
-        if d["kind"] == "io-code-block":
-            for part in d["parts"]:
-                if not part["argument"]:
-                    out.append({"directive": d["kind"], "index": index, "sub": part["kind"], "language": part["options"].get("language", ""), "content": part["content"], "includes": None, "options": {}})
-        elif d["kind"] == "literalinclude":
-            out.append({"directive": d["kind"], "index": index, "sub": "", "language": d["options"].get("language", ""), "content": "", "includes": d["argument"], "options": d["options"]})
-        else:
-            out.append({"directive": d["kind"], "index": index, "sub": "", "language": d["argument"] or d["options"].get("language", ""), "content": d["content"], "includes": None, "options": d["options"]})
-    return out
-
-
-def include_edges(text: str) -> list[dict]:
-    """References of a file to others: directive, ref, line. Entries of a toctree count; so do input and output, but only
-    within an io-code-block."""
-    out: list[dict] = []
-    lines = text.split("\n")
-    inside: tuple[int, int] | None = None  # lines of the io-code-block at hand
-    for i, line in enumerate(lines):
-        m = DIRECTIVE.match(line.strip())
-        if not m:
-            continue
-        kind, argument = m[1], m[2].strip()
-        if kind == "io-code-block":
-            inside = (i, block_of(lines, i, indent_of(line))[2])
-        elif kind in ("include", "literalinclude", "figure", "image") and argument:
-            out.append({"directive": kind, "ref": argument, "line": i + 1})
-        elif kind in ("input", "output") and argument and inside and inside[0] < i < inside[1]:
-            out.append({"directive": "io-code-block", "ref": argument, "line": i + 1})
-        elif kind == "toctree":
-            j = i + 1
-            while j < len(lines) and (not lines[j].strip() or indent_of(lines[j]) > indent_of(line)):
-                name = lines[j].strip()
-                if name and not name.startswith(":"):
-                    inner = re.match(r".*<([^>]+)>$", name)
-                    out.append({"directive": "toctree", "ref": inner[1] if inner else name, "line": j + 1})
-                j += 1
-    return out
-
-
 def content_hash(steps: list[dict]) -> str:
     """Of titles, contents, variations and sub-procedures of all steps: tells whether two procedures are the same."""
     parts: list[str] = []
@@ -378,28 +295,6 @@ def _table(files: DataFrame, schema: str, rows) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, schema)
 
 
-def example_table(files: DataFrame) -> DataFrame:
-    row = lambda e: (e["directive"], e["index"], e["sub"], e["language"], e["content"], e["includes"], json.dumps(e["options"], sort_keys=True))
-    return _table(files, "path string, directive string, index int, sub string, language string, content string, includes string, options string", lambda c: [row(e) for e in code_examples(c)])
-
-
-def included_parts(examples: DataFrame) -> DataFrame:
-    """examples (options as JSON, file: what they include) with their content; null where a tag is missing."""
-    columns = [f for f in examples.schema if f.name not in ("content", "file")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", content string"
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            texts = [included_part(t, json.loads(o)) for t, o in zip(part["file"], part["options"], strict=True)]
-            yield part[[f.name for f in columns]].assign(content=texts)
-
-    return examples.select(*[f.name for f in columns], "file").mapInPandas(run, schema)
-
-
-def edge_table(files: DataFrame) -> DataFrame:
-    return _table(files, "source string, directive string, ref string, line int", lambda c: [(e["directive"], e["ref"], e["line"]) for e in include_edges(c)])
-
-
 def procedure_table(files: DataFrame) -> DataFrame:
     """Procedures of files whose includes are expanded; n_subs counts sub-procedures of steps."""
     row = lambda p: (p["kind"], p["title"], p["line"], len(p["steps"]), sum(len(s.get("subs", ())) for s in p["steps"]), p["group"], p["variations"], p["hash"])
@@ -411,16 +306,6 @@ def procedure_texts(files: DataFrame) -> DataFrame:
     return _table(files, "path string, line int, title string, variation string, hash string, content string", lambda c: [(p["line"], p["title"], v, p["hash"], procedure_text(p, v)) for p in procedures(c) for v in p["variations"] or [""]])
 
 
-def replacement_table(files: DataFrame) -> DataFrame:
-    """(path, name, value) of the template variables that files set under `replacement:`."""
-
-    def found(text: str) -> list[tuple[str, str]]:
-        block = re.search(r"(?m)^replacement:[ \t]*\n((?:[ \t]+.*\n?|\n)*)", text)
-        return re.findall(r"(?m)^[ \t]+([\w-]+):[ \t]*[\"']?(.*?)[\"']?[ \t]*$", block[1]) if block else []
-
-    return _table(files, "path string, name string, value string", found)
-
-
 def rendered_step_files(files: DataFrame) -> DataFrame:
     """Files of YAML steps (path, content) with their content as a procedure directive."""
     return _table(files, "path string, content string", lambda c: [(rendered_steps(c),)])

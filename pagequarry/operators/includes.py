@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions import rst
+from pagequarry.functions import directives, rst
 from pagequarry.functions.scalars import is_version
 from pagequarry.operators.graph import closure
 from pagequarry.operators.ranks import kept
@@ -59,7 +59,7 @@ def resolve_includes(edges: DataFrame, files: DataFrame) -> DataFrame:
     refs = edges.select("source", "ref").distinct().withColumn("path", F.col("ref"))
     if "content" in files.columns:
         name = F.trim(F.regexp_extract("ref", r"^\{\{(.*)\}\}$", 1))
-        values = rst.replacement_table(files.where(F.col("content").contains("replacement:")))
+        values = directives.replacement_table(files.where(F.col("content").contains("replacement:")))
         named = refs.withColumn("name", name).join(values.select(F.col("path").alias("source"), "name", "value"), ["source", "name"], "left")
         refs = named.select("source", "ref", F.coalesce("value", "path").alias("path"))
     root = F.coalesce(F.concat(source_dir(F.col("source")), F.lit("/")), F.lit(""))
@@ -112,7 +112,7 @@ def expand_includes(files: DataFrame, roots: DataFrame | None = None) -> DataFra
 
 def followed(files: DataFrame, roots: DataFrame) -> DataFrame:
     """Files (path, content) that roots (path) are or reach through include directives; each once."""
-    edges = resolve_includes(rst.edge_table(files).where("directive = 'include'").select("source", "ref"), files)
+    edges = resolve_includes(directives.edge_table(files).where("directive = 'include'").select("source", "ref"), files)
     links = edges.where(F.col("target").isNotNull()).select("source", "target")
     reached = closure(links, roots.select(F.col("path").alias("node"))).select(F.col("node").alias("path")).distinct()
     return files.join(reached, "path", "left_semi")

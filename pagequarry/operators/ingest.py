@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions import rst
+from pagequarry.functions import directives, rst
 from pagequarry.functions import scalars as S
 from pagequarry.functions import vocabulary as V
 from pagequarry.operators.catalog import instances
@@ -130,5 +130,5 @@ def included_examples(examples: DataFrame, files: DataFrame) -> DataFrame:
     own = examples.where(F.col("includes").isNull())
     edges = examples.where(F.col("includes").isNotNull()).withColumnsRenamed({"path": "source", "includes": "ref"})
     found = resolve_includes(edges, files).where(F.col("target").isNotNull()).join(files.select(F.col("path").alias("target"), F.col("content").alias("file")), "target")
-    parts = rst.included_parts(found).where(F.col("content").isNotNull())
+    parts = found.withColumn("content", directives.included_part(F.col("file"), F.col("options"))).where(F.col("content").isNotNull())
     return own.unionByName(parts.withColumnsRenamed({"source": "path", "ref": "includes"}).select(*own.columns))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagequarry.functions import rst
+from pagequarry.functions import directives, rst
 from pagequarry.functions import scalars as S
 from pagequarry.operators import graph, includes, ingest, paths
 from pagequarry.plans import fixtures as X
@@ -89,7 +89,7 @@ DOCS = f"WITH d AS (SELECT doc_id AS k, doc_id % 7 AS a, doc_id % 3 AS b, doc_id
 @query(DOCS + " SELECT path, 'code-block' AS directive, 1 AS index, '' AS sub, 'js' AS language, 'let x = ' || k || ';' || chr(10) || '  y' AS content FROM d UNION ALL SELECT path, 'literalinclude', 1, '', 'python', 'part ' || b || chr(10) || '  more' FROM d UNION ALL SELECT path, 'io-code-block', 1, 'input', 'sh', 'run ' || k FROM d")
 def code_examples(spark, sf_dir):
     """Examples of all pages with what they include; an output that names a file is passed over."""
-    found = ingest.included_examples(rst.example_table(_pages(spark, sf_dir)), _files(spark, sf_dir))
+    found = ingest.included_examples(directives.example_table(_pages(spark, sf_dir)), _files(spark, sf_dir))
     return found.select("path", "directive", "index", "sub", "language", "content")
 
 
@@ -105,13 +105,13 @@ REFS = "SELECT path AS source, 'include' AS directive, '/includes/i' || a || '.r
 @query(DOCS + " " + REFS)
 def reference_edges(spark, sf_dir):
     """An output outside of an io-code-block is no reference."""
-    return rst.edge_table(_pages(spark, sf_dir))
+    return directives.edge_table(_pages(spark, sf_dir))
 
 
 @query(DOCS + f", r AS ({REFS}) SELECT source, ref, CASE WHEN ref LIKE '/includes/steps/%' THEN '{ROOT}includes/steps-s' || right(split_part(ref, '.', 1), 1) || '.yaml' WHEN ref LIKE '/includes/%' THEN '{ROOT}' || substr(ref, 2) WHEN ref LIKE '/t%' AND CAST(substr(ref, 3) AS INTEGER) = 5 THEN '{ROOT}t5.txt' END AS target FROM r")
 def resolved_references(spark, sf_dir):
     files = _files(spark, sf_dir).unionByName(spark.createDataFrame([(ROOT + "t5.txt", "x")], "path string, content string"))
-    return includes.resolve_includes(rst.edge_table(_pages(spark, sf_dir)).select("source", "ref"), files)
+    return includes.resolve_includes(directives.edge_table(_pages(spark, sf_dir)).select("source", "ref"), files)
 
 
 @query(f"SELECT doc_id AS k, CASE doc_id % 4 WHEN 0 THEN '{ROOT}includes/extracts-all.yaml' WHEN 1 THEN '{ROOT}includes/i1.rst' WHEN 2 THEN '{ROOT}includes/c2.py' END AS target FROM documents")
@@ -219,7 +219,7 @@ def followed_files(spark, sf_dir):
 
 
 def _usages(spark, sf_dir):
-    edges = rst.edge_table(_pages(spark, sf_dir))
+    edges = directives.edge_table(_pages(spark, sf_dir))
     return includes.resolve_includes(edges, _files(spark, sf_dir))
 
 
@@ -243,7 +243,7 @@ def usage_paths(spark, sf_dir):
 @query(DOCS + " SELECT path AS page, CASE WHEN a = 4 THEN 1 ELSE 2 END AS depth FROM d WHERE a IN (3, 4)")
 def pages_using(spark, sf_dir):
     """Pages that use a file directly or through another one."""
-    edges = rst.edge_table(_files(spark, sf_dir))
+    edges = directives.edge_table(_files(spark, sf_dir))
     found = includes.resolve_includes(edges, _files(spark, sf_dir)).where(F.col("target").isNotNull())
     return graph.pages_using(found.select("source", "target"), ROOT + "includes/i4.rst")
 

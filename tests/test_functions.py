@@ -3,10 +3,12 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from pagequarry.functions import rst
+from pagequarry.functions import directives, rst
 from pagequarry.functions import scalars as S
 from pagequarry.functions import vocabulary as V
 
+from . import plain_rst
+
 
 def values(spark, column, rows, schema="a string"):
     return [r[0] for r in spark.createDataFrame([(x,) if not isinstance(x, tuple) else x for x in rows], schema).select(column).collect()]
@@ -117,35 +119,35 @@ Do it
 
 
 def test_directives_and_examples():
-    found = rst.parse_directives(RST)
+    found = plain_rst.parse_directives(RST)
     assert [d["kind"] for d in found] == ["code-block", "literalinclude", "io-code-block", "code-block"]
     assert found[0]["content"] == "x = 1\n  y" and found[0]["options"] == {"copyable": "false"} and found[0]["line"] == 4
-    got = [(e["directive"], e["index"], e["sub"], e["language"], e["content"]) for e in rst.code_examples(RST)]
+    got = [(e["directive"], e["index"], e["sub"], e["language"], e["content"]) for e in plain_rst.code_examples(RST)]
     assert got == [("code-block", 1, "", "python", "x = 1\n  y"), ("literalinclude", 1, "", "js", ""), ("io-code-block", 1, "input", "sh", "run"), ("code-block", 2, "", "js", "z")]
 
 
 def test_included_parts():
     text = "a\n// start\n    b\n      c\n// end\nd"
-    assert rst.included_part(text, {"start-after": "start", "end-before": "// end", "dedent": ""}) == "b\n  c"
-    assert rst.included_part(text, {"start-after": "nowhere"}) is None
-    assert rst.included_part(text, {}) == text
+    assert plain_rst.included_part(text, {"start-after": "start", "end-before": "// end", "dedent": ""}) == "b\n  c"
+    assert plain_rst.included_part(text, {"start-after": "nowhere"}) is None
+    assert plain_rst.included_part(text, {}) == text
 
 
 def test_edges_and_procedures(spark):
-    got = [(e["directive"], e["ref"]) for e in rst.include_edges(RST)]
+    got = [(e["directive"], e["ref"]) for e in plain_rst.include_edges(RST)]
     assert got == [("literalinclude", "/includes/a.js"), ("io-code-block", "/out.txt"), ("include", "/steps/one.rst"), ("toctree", "/index"), ("toctree", "/guide")]
     p = rst.procedures(RST)
     assert [(x["kind"], x["title"], [s["title"] for s in x["steps"]]) for x in p] == [("directive", "Do it", ["First", "Second"]), ("ordered-list", "Do it", ["one", "two"])]
     assert p == rst.procedures(RST) and p[0]["variations"] == [""]
     files = spark.createDataFrame([("a.rst", RST), ("b.rst", None)], "path string, content string")
-    assert rst.example_table(files).count() == 4 and rst.edge_table(files).count() == 5
+    assert directives.example_table(files).count() == 4 and directives.edge_table(files).count() == 5
     assert sorted(r["steps"] for r in rst.procedure_table(files).collect()) == [2, 2]
 
 
 def test_markers_variables_and_trees(spark):
     assert [rst.next_marker(m) for m in ("1", "9", "a", "z", "Z")] == ["2", "10", "b", "aa", "AA"]
     yaml = spark.createDataFrame([("f", "ref: x\nreplacement:\n  name: 'value'\n  other: b c\nlast: 1\n")], "path string, content string")
-    assert sorted(tuple(r)[1:] for r in rst.replacement_table(yaml).collect()) == [("name", "value"), ("other", "b c")]
+    assert sorted(tuple(r)[1:] for r in directives.replacement_table(yaml).collect()) == [("name", "value"), ("other", "b c")]
     tree = '{"type":"root","children":[{"type":"code","lang":"js","value":"1"},{"type":"section","children":[{"type":"code","value":"2"}]},{"type":"code","lang":"py","value":"3"}]}'
     assert [n["value"] for n in rst.ast_nodes(tree, kind="code")] == ["1", "2", "3"]
     assert rst.ast_nodes("not json") == []

@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from pagequarry.functions import rst
+from pagequarry.functions import directives, rst
 from pagequarry.operators import includes
 from pagequarry.plans import tree_queries as T
 
@@ -47,5 +47,5 @@ def test_missing_tags_and_files_leave_examples_out(spark):
     files = spark.createDataFrame([(page, text), ("a/source/c.py", "x = 1\n")], "path string, content string")
     from pagequarry.operators import ingest
 
-    found = ingest.included_examples(rst.example_table(files.where(F.col("path") == page)), files).collect()
+    found = ingest.included_examples(directives.example_table(files.where(F.col("path") == page)), files).collect()
     assert [(r["index"], r["content"], r["language"]) for r in found] == [(3, "x = 1", "py")]
