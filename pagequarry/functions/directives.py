@@ -85,9 +85,13 @@ def plain_dedent(text: Column) -> Column:
 
 def directive_table(files: DataFrame, kinds: list[str] = KINDS) -> DataFrame:
     """(path, kind, argument, at, options, block) of the directives of files (path, content); a null content has none."""
-    rows = files.where(F.col("content").isNotNull()).select("path", lines_of(F.split("content", "\n")).alias("lines"))
-    rows = rows.select("path", "lines", found(F.col("lines"), kinds).alias("found")).where(F.size("found") > 0)
-    return rows.select("path", F.explode(with_blocks(F.col("lines"), F.col("found"))).alias("d")).select("path", "d.*")
+    texts = files.where(F.col("content").contains(".. ")).select("path", "content")
+    return texts.select("path", F.explode(blocks_of(F.split("content", "\n"), kinds)).alias("d")).select("path", "d.*")
+
+
+def blocks_of(lines: Column, kinds: list[str]) -> Column:
+    """Directives of an array of lines with their blocks; the lines are looked at once."""
+    return let(lines_of(lines), lambda x: with_blocks(x, found(x, kinds)))
 
 
 def example_table(files: DataFrame) -> DataFrame:
@@ -99,16 +103,14 @@ def example_table(files: DataFrame) -> DataFrame:
     w = Window.partitionBy("path", "kind").orderBy("at")  # one text's directives
     rows = directive_table(files).withColumn("index", F.row_number().over(w))
     language = lambda o: F.coalesce(F.try_element_at(o, F.lit("language")), F.lit(""))
-    none = F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
-    head = ["path", F.col("kind").alias("directive"), "index"]
-    single = rows.where("kind <> 'io-code-block'").select(
-        *head, F.lit("").alias("sub"), F.when(F.col("kind") == "literalinclude", language(F.col("options"))).otherwise(F.coalesce(F.nullif("argument", F.lit("")), language(F.col("options")))).alias("language"),
-        F.when(F.col("kind") == "literalinclude", "").otherwise(content_of(F.col("block"))).alias("content"), F.when(F.col("kind") == "literalinclude", F.col("argument")).alias("includes"), "options",
-    )
-    io = rows.where("kind = 'io-code-block'").withColumn("lines", lines_of(F.col("block")))
-    io = io.withColumn("found", found(F.col("lines"), ["input", "output"])).select(*head, F.explode(with_blocks(F.col("lines"), F.col("found"))).alias("p")).where("p.argument = ''")
-    parts = io.select("path", "directive", "index", F.col("p.kind").alias("sub"), language(F.col("p.options")).alias("language"), content_of(F.col("p.block")).alias("content"), F.lit(None).cast("string").alias("includes"), none.alias("options"))
-    return single.unionByName(parts)
+    kind, none = F.col("kind"), F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>"))
+    item = lambda *values: F.struct(*[v.alias(n) for n, v in zip(("sub", "language", "content", "includes", "options"), values, strict=True)])
+    empty, null = F.lit(""), F.lit(None).cast("string")
+    own = item(empty, F.coalesce(F.nullif("argument", empty), language(F.col("options"))), content_of(F.col("block")), null, F.col("options"))
+    included = item(empty, language(F.col("options")), empty, F.col("argument"), F.col("options"))
+    parts = F.transform(F.filter(blocks_of(F.col("block"), ["input", "output"]), lambda p: p["argument"] == ""), lambda p: item(p["kind"], language(p["options"]), content_of(p["block"]), null, none))
+    items = F.when(kind == "io-code-block", parts).when(kind == "literalinclude", F.array(included)).otherwise(F.array(own))
+    return rows.select("path", kind.alias("directive"), "index", F.explode(items).alias("i")).select("path", "directive", "index", "i.*")
 
 
 def included_part(content: Column, options: Column) -> Column:
