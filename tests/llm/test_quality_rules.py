@@ -78,6 +78,29 @@ def test_distances_agree_with_a_plain_version(spark, rows):
         assert r["class_distance"] == pytest.approx(jsd([*c, max(0, 1 - sum(c))], ref["classes"]), abs=1e-5)
 
 
+def test_one_accepting_reference_is_enough(spark):
+    """The verdict is that of a loop over all references, also where the nearest by one measure refuses."""
+    rng = random.Random(3)
+    pools = {"aa": [f"{c}{d}" for c in "abcd" for d in "efgh"], "bb": [f"{c}{d}" for c in "aBcD" for d in "eFgH"], "cc": [f"{c}{d}" for c in "ab.," for d in "xyzw"]}
+    rows = []
+    for i in range(240):
+        lang = rng.choice(list(pools))
+        noise = rng.choice([0.0, 0.2, 0.4, 0.6])
+        words = [rng.choice(pools[rng.choice(list(pools))]) if rng.random() < noise else rng.choice(pools[lang]) for _ in range(rng.randint(50, 120))]
+        rows.append((i, " ".join(words), lang))
+    df = spark.createDataFrame(rows, SCHEMA)
+    words = Q.common_words(df)
+    measured = Q.base_measures(df, words)
+    refs = Q.references(measured, Q.reference_table(measured, words))
+    assert len(refs) == 3
+    far = measured.select("doc_id", "n_words", "n_chars", F.array(*[F.struct(Q.js_distance_words(F.col("hist"), F.col("n_words"), r["words"]).alias("w"), Q.js_distance_classes(F.col("classes"), F.col("n_chars"), r["classes"]).alias("c")) for r in refs]).alias("d"))
+    limits = {"max_word_distance": 0.45, "max_class_distance": 0.12}
+    ok = lambda r, d: (r["n_words"] < Q.MIN_WORDS or d["w"] <= limits["max_word_distance"]) and (r["n_chars"] < Q.MIN_CHARS or d["c"] <= limits["max_class_distance"])
+    want = {r["doc_id"]: any(ok(r, d) for d in r["d"]) for r in far.collect()}
+    got = {r["doc_id"]: r["kept"] for r in Q.judge(df, **limits).where("NOT base_failed").collect()}
+    assert got == {i: want[i] for i in got} and {True, False} == set(got.values())
+
+
 def test_words_of_many_languages(spark):
     """Ids are found by hash whatever the number of words, and words common to several languages count in each."""
     rng = random.Random(1)
