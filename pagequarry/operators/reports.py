@@ -10,6 +10,23 @@ from pagequarry.operators.ranks import ranked
 
 MAX_ROWS = 10_000
 
+# Wording of the reports, and headings and widths of their columns.
+WORDING = {
+    "counts of": " Counts for: ",
+    "total by": "Total code examples by ",
+    "lengths": "Minimum, median, and maximum code character count, and one-line count, by collection.",
+    "mean": "Aggregate ",
+    "short": "Total one-line count across collections: ",
+    "changes": "Recently Updated Pages in Collection ",
+    "mismatches": "Pages with Node/Lang array count mismatch in Collection ",
+}
+SHARE_COLUMNS = [("count", "Count", 15), ("share", "% of Total", 18)]
+LENGTH_COLUMNS = [("collection", "Project", 25), ("min_length", "Min", 10), ("median_length", "Med", 10), ("max_length", "Max", 10), ("short_count", "One line", 10)]
+CHANGE_COLUMNS = [("page_id", "Page ID", 70), ("added", "Added", 15), ("updated", "Updated", 15), ("removed", "Removed", 15)]
+USAGE_COLUMNS = [("product", "Product", 30), ("sub_product", "Sub Product", 30), ("page_id", "Page ID", 70), ("count", "Count", 15)]
+PRODUCT_COLUMNS = [("product", "Product", 30), ("product_count", "Count", 18), ("sub_product", "Sub-product", 25), ("count", "Count", 18)]
+MISMATCH_COLUMNS = [("page_id", "Page Ids", 70)]
+
 
 def table_text(df: DataFrame, order: list[str], limit: int = MAX_ROWS) -> str:
     """The first rows in the order given as a text table; a last line tells if there are more."""
@@ -65,47 +82,43 @@ def _share(rows: DataFrame, groups: tuple[str, ...]) -> DataFrame:
 def count_table(counts: DataFrame, label: str, heading: str, width: int = 30) -> DataFrame:
     """Counts (key, count) with shares of their sum, greatest first; a key `total` isn't listed."""
     rows = _share(counts.where(F.col("key") != "total"), ())
-    above = [F.lit(label), F.concat(F.lit("Total code examples by "), F.lit(heading), F.lit(": "), F.sum("count").cast("string"))]
-    return bordered(rows, [("key", heading, width), ("count", "Count", 15), ("share", "% of Total", 18)], [-F.col("count"), F.col("key")], above=above)
+    above = [F.lit(label), F.concat(F.lit(WORDING["total by"]), F.lit(heading), F.lit(": "), F.sum("count").cast("string"))]
+    return bordered(rows, [("key", heading, width), *SHARE_COLUMNS], [-F.col("count"), F.col("key")], above=above)
 
 
 def nested_count_tables(counts: DataFrame, label: str, heading: str, *groups: str, width: int = 30) -> DataFrame:
     """A count_table for each value of one group column or each pair of two."""
     rows = _share(counts, groups)
     name = F.concat_ws(" - ", *groups)
-    above = [F.concat(F.lit(f"{label} Counts for: "), name), F.concat(F.lit("Total code examples by "), F.col(groups[-1]), F.lit(": "), F.sum("count").cast("string"))]
-    return bordered(rows, [("key", heading, width), ("count", "Count", 15), ("share", "% of Total", 18)], [-F.col("count"), F.col("key")], groups, above)
+    above = [F.concat(F.lit(label + WORDING["counts of"]), name), F.concat(F.lit(WORDING["total by"]), F.col(groups[-1]), F.lit(": "), F.sum("count").cast("string"))]
+    return bordered(rows, [("key", heading, width), *SHARE_COLUMNS], [-F.col("count"), F.col("key")], groups, above)
 
 
 def length_table(lengths: DataFrame) -> DataFrame:
     """Code lengths by collection (catalog.code_lengths) with the means of each, rounded down, and all short ones."""
     mean = lambda c: F.floor(F.avg(c)).cast("string")
-    below = [F.concat(F.lit(f"Aggregate {n}: "), mean(c)) for n, c in (("min", "min_length"), ("median", "median_length"), ("max", "max_length"))]
-    below.append(F.concat(F.lit("Total one-line count across collections: "), F.sum("short_count").cast("string")))
-    columns = [("collection", "Project", 25), ("min_length", "Min", 10), ("median_length", "Med", 10), ("max_length", "Max", 10), ("short_count", "One line", 10)]
-    return bordered(lengths, columns, [F.col("collection")], above=[F.lit("Minimum, median, and maximum code character count, and one-line count, by collection.")], below=below)
+    below = [F.concat(F.lit(f"{WORDING['mean']}{n}: "), mean(c)) for n, c in (("min", "min_length"), ("median", "median_length"), ("max", "max_length"))]
+    below.append(F.concat(F.lit(WORDING["short"]), F.sum("short_count").cast("string")))
+    return bordered(lengths, LENGTH_COLUMNS, [F.col("collection")], above=[F.lit(WORDING["lengths"])], below=below)
 
 
 def change_tables(changes: DataFrame) -> DataFrame:
     """Pages changed (collection, page_id, added, updated, removed) by collection."""
-    columns = [("page_id", "Page ID", 70), ("added", "Added", 15), ("updated", "Updated", 15), ("removed", "Removed", 15)]
-    return bordered(changes, columns, [F.col("page_id")], ("collection",), [F.concat(F.lit("Recently Updated Pages in Collection "), F.col("collection"))])
+    return bordered(changes, CHANGE_COLUMNS, [F.col("page_id")], ("collection",), [F.concat(F.lit(WORDING["changes"]), F.col("collection"))])
 
 
 def page_usage_tables(pages: DataFrame, kind: str = "Applied Usage Example") -> DataFrame:
     """New examples by page (collection, product, sub_product, page_id, count), a table a collection with its sum below."""
-    columns = [("product", "Product", 30), ("sub_product", "Sub Product", 30), ("page_id", "Page ID", 70), ("count", "Count", 15)]
     above = [F.concat(F.lit(f"Total new {kind} Counts by Page in Collection "), F.col("collection"))]
     below = [F.concat(F.lit(f"Total new {kind.lower()} counts in collection "), F.col("collection"), F.lit(": "), F.sum("count").cast("string"))]
-    return bordered(pages, columns, [F.col("page_id")], ("collection",), above, below)
+    return bordered(pages, USAGE_COLUMNS, [F.col("page_id")], ("collection",), above, below)
 
 
 def product_table(products: DataFrame) -> DataFrame:
     """Counts by product and sub-product (product, product_count, sub_product, count): by product, "None" last within it."""
-    columns = [("product", "Product", 30), ("product_count", "Count", 18), ("sub_product", "Sub-product", 25), ("count", "Count", 18)]
-    return bordered(products, columns, [F.col("product"), F.col("sub_product") == "None", F.col("sub_product")], below=[F.concat(F.lit("Total: "), F.sum("count").cast("string"))])
+    return bordered(products, PRODUCT_COLUMNS, [F.col("product"), F.col("sub_product") == "None", F.col("sub_product")], below=[F.concat(F.lit("Total: "), F.sum("count").cast("string"))])
 
 
 def mismatch_tables(pages: DataFrame) -> DataFrame:
     """Pages (collection, page_id) whose nodes and language counts disagree, by collection."""
-    return bordered(pages, [("page_id", "Page Ids", 70)], [F.col("page_id")], ("collection",), [F.concat(F.lit("Pages with Node/Lang array count mismatch in Collection "), F.col("collection"))])
+    return bordered(pages, MISMATCH_COLUMNS, [F.col("page_id")], ("collection",), [F.concat(F.lit(WORDING["mismatches"]), F.col("collection"))])
