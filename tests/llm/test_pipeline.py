@@ -92,11 +92,11 @@ def test_empty_documents(spark):
 
 def test_names_of_queries():
     numbers = sorted(int(n[2:].split("_")[0]) for n in Q.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert [n for n, _ in P.STAGES] and P.ORACLE_SQL is None
 
 
-@pytest.mark.parametrize("name", ["op1_ring_shards", "op7_html_layout"])
+@pytest.mark.parametrize("name", ["op1_ring_shards", "op7_html_layout", "op11_crc_importance", "op12_transducer_counts"])
 def test_queries_return_every_row(spark, name):
     table = "pages" if "html" in name else "documents"
     assert Q.queries()[name](spark, SF).count() == read_table(spark, SF, table).count()
