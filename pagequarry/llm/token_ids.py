@@ -18,6 +18,7 @@ text are encoded as the tokenizer does.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -53,6 +54,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # A task has one core; the library's own threads would only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -85,16 +88,12 @@ class Encoder:
         split = [[] if not t else [t] if any(c in t for c in ODD_BLANKS) else t.split() for t in texts]
         if len(self.known) > MAX_CACHED:
             self.known, self.older = {}, self.known
-        new = []
-        for w in {w for words in split for w in words}:
-            if w not in self.known:
-                if (e := self.older.get(w)) is None:
-                    new.append(w)
-                else:
-                    self.known[w] = e
-        self.learn(new)
-        known = self.known
-        return [b"".join([known[w] for w in words]) + end for words in split]
+        new = set().union(*split).difference(self.known)
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.known.update(again)
+        self.learn([w for w in new if w not in again])
+        of = self.known.__getitem__
+        return [b"".join(map(of, words)) + end for words in split]
 
 
 def encoder(path: str) -> Encoder:
