@@ -18,26 +18,29 @@ text are encoded as the tokenizer does.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
-import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagequarry.llm.common import shared_dir, stage
+from pagequarry.llm.common import chunks, shared_dir, stage
 
 END, MAX_BITS, STEP, BLOCK_TOKENS = 2, 16, 256, 65_536
-#: Words remembered in each of two generations of a worker's cache, about 150 bytes each.
-MAX_CACHED = 600_000
-#: A character that stands between words encoded together; words that hold it are encoded alone.
+#: Pieces remembered in each of two generations of a worker's cache, about 150 bytes each, and the most bytes of them.
+MAX_CACHED, MAX_CACHED_BYTES = 600_000, 50_000_000
+#: A character that stands between pieces encoded together; pieces that hold it are encoded alone.
 BETWEEN, TOGETHER = "\x7f", 64
-#: Python's blanks that the tokenizer's pattern doesn't take for blanks.
-ODD_BLANKS = "\x1c\x1d\x1e\x1f"
+#: Bytes of text looked at at once.
+CHUNK = 4_000_000
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -47,10 +50,70 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Classes of bytes: blanks, letters, digits, other ASCII signs, the apostrophe, and whatever is left to the tokenizer.
+_BLANK, _LETTER, _DIGIT, _SIGN, _APOSTROPHE, _FOREIGN = range(6)
+_CLASS = np.full(256, _FOREIGN, dtype=np.uint8)
+_CLASS[:128] = _SIGN
+_CLASS[[9, 10, 11, 12, 13, 32]] = _BLANK
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[39] = _APOSTROPHE
+#: By the classes of two neighbours (8 * first + second): whether the tokenizer's pattern always ends a match between them.
+_CUT = np.zeros(256, dtype=bool)
+for _a, _seconds in {_LETTER: (_DIGIT, _SIGN, _APOSTROPHE), _DIGIT: (_LETTER, _DIGIT, _SIGN, _APOSTROPHE), _SIGN: (_LETTER, _DIGIT)}.items():
+    _CUT[[8 * _a + _b for _b in _seconds]] = True
+_STARTS, _ENDS = _CUT.copy(), _CUT.copy()
+_STARTS[8 * _BLANK + 1 : 8 * _BLANK + 6] = True
+_ENDS[[8 * c + _BLANK for c in range(1, 6)]] = True
+_CLASS, _STARTS, _ENDS = _CLASS.tobytes(), _STARTS.tobytes(), _ENDS.tobytes()  # tables of bytes.translate
+_BLANKS = b"\t\n\x0b\x0c\r "
+_AT_BLANK = re.compile(rb"[\t-\r ]")
+#: Pieces that are one match of the tokenizer's pattern, whatever stands beside them.
+_ONE_MATCH = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: What a tokenizer must do with texts for these cuts to hold.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRETOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def pieces(blob: bytes, specials: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Where the pieces of a UTF-8 text start, their lengths, and the pieces themselves one after another.
+
+    The tokenizer joins nothing across a piece's ends. A-Z and the capitals of Latin-1 are lower-cased unless something
+    follows that might combine with them. Words that hold one of `specials` are one piece, as they are.
+    """
+    text = b" " + blob + b" "
+    buf = np.frombuffer(text, dtype=np.uint8)
+    kind = np.frombuffer(bytearray(text.translate(_CLASS)), dtype=np.uint8)
+    latin = np.flatnonzero(buf == 0xC3) + 1
+    latin = latin[(buf[latin] != 0x97) & (buf[latin] != 0xB7)]  # the signs of multiplication and division
+    kind[latin - 1] = kind[latin] = _LETTER
+    blanks = np.flatnonzero(kind == _BLANK) if any(s in blob for s in specials) else None
+    for special in specials:
+        at = blob.find(special)
+        while at >= 0:
+            i = int(np.searchsorted(blanks, at + 1))
+            kind[blanks[i - 1] + 1 : blanks[i]] = _FOREIGN
+            at = blob.find(special, int(blanks[i]) - 1)
+    plain = kind != _FOREIGN
+    capital = (buf - np.uint8(65) < 26) & plain
+    capital[:-1] &= plain[1:]
+    low = buf | capital.view(np.uint8) << 5
+    latin = latin[(buf[latin] < 0x9F) & plain[latin] & plain[latin + 1]]
+    low[latin] += 32
+    pair = (kind[:-1] << 3 | kind[1:]).tobytes()
+    starts, ends = (np.flatnonzero(np.frombuffer(pair.translate(table), dtype=bool)) for table in (_STARTS, _ENDS))
+    return starts, ends - starts, low.tobytes().translate(None, _BLANKS)
+
+
 class Encoder:
-    """Ids of whole texts as bytes of little-endian unsigned integers of `width` bytes.
+    """Ids of whole texts as unsigned integers of `width` bytes.
 
-    The tokenizer never joins what blanks separate, so each distinct word is encoded once and remembered.
+    Texts are cut where this tokenizer's pattern always ends a match (`pieces`), and each distinct piece is encoded once and
+    remembered. Texts of a tokenizer that normalizes or splits in another way are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -60,40 +123,114 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.kind = f"<u{self.width}"
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
+        rules = json.loads(self.tokenizer.to_str())
+        added = rules["added_tokens"]
+        parts = [(rules[k] or {}).get(inside) for k, inside in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        plain = not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or not a["content"] or _AT_BLANK.search(a["content"].encode()) for a in added)
+        self.cuts = parts == [_NORMALIZERS, _PRETOKENIZERS] and plain and not rules["truncation"] and not rules["padding"]
+        self.specials = tuple(a["content"].encode() for a in added)
         mark = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-
-    def learn(self, words: list[str]) -> None:
-        """Encode words that aren't known, many at once: a call costs more than a word does."""
-        kind = f"<u{self.width}"
-        alone = [w for w in words if self.mark is None or BETWEEN in w]
-        rest = [w for w in words if not (self.mark is None or BETWEEN in w)]
-        for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype=kind).tobytes()
-        groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
-        for i in range(0, len(groups), 256):
-            some = groups[i : i + 256]
-            for group, e in zip(some, self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(g) for g in some], add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, dtype=kind)
-                cuts = np.flatnonzero(ids == self.mark)
-                data, begin = ids.tobytes(), 0
-                for w, end in zip(group, [*(int(c) for c in cuts), len(ids)], strict=True):
-                    self.known[w] = data[begin * self.width : end * self.width]
-                    begin = end + 1
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        end = np.array([END], dtype=f"<u{self.width}").tobytes()
-        split = [[] if not t else [t] if any(c in t for c in ODD_BLANKS) else t.split() for t in texts]
-        if len(self.known) > MAX_CACHED:
-            self.known, self.older = {}, self.known
-        new = set().union(*split).difference(self.known)
-        again = {w: self.older[w] for w in new if w in self.older}
-        self.known.update(again)
-        self.learn([w for w in new if w not in again])
-        of = self.known.__getitem__
-        return [b"".join(map(of, words)) + end for words in split]
+        #: Ids that end a match, if the model marks them.
+        self.last = np.zeros(1 << 8 * self.width if self.width == 2 else self.tokenizer.get_vocab_size(), dtype=bool)
+        suffix = rules["model"].get("end_of_word_suffix")
+        if suffix:
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, some: list[bytes], ids: np.ndarray, begins: list[int], ends: list[int]) -> None:
+        data, w = ids.tobytes(), self.width
+        for piece, b, e in zip(some, begins, ends, strict=True):
+            self.known[piece] = data[w * b : w * e]
+        self.held += sum(map(len, some)) + len(data)
+
+    def learn(self, new: list[bytes]) -> None:
+        """Encode pieces that aren't known, many at once: a call costs more than a piece does."""
+        single, mixed, alone = [], [], []
+        for piece in new:
+            if piece.isalpha() and piece.islower() or _ONE_MATCH.fullmatch(piece):  # bytes: ASCII only
+                single.append(piece)
+            elif self.mark is None or BETWEEN.encode() in piece:
+                alone.append(piece)
+            else:
+                mixed.append(piece)
+        for i in range(0, len(single), 256 * TOGETHER):
+            groups = [single[j : j + TOGETHER] for j in range(i, min(i + 256 * TOGETHER, len(single)), TOGETHER)]
+            for group, ids in zip(groups, self._batch([b" ".join(g).decode() for g in groups]), strict=True):
+                ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+                if len(ends) == len(group) and ends[-1] == len(ids):
+                    self._keep(group, ids, [0, *ends[:-1]], ends)
+                else:  # a model without marks
+                    mixed += group
+        for i in range(0, len(mixed), 256 * TOGETHER):
+            groups = [mixed[j : j + TOGETHER] for j in range(i, min(i + 256 * TOGETHER, len(mixed)), TOGETHER)]
+            for group, ids in zip(groups, self._batch([f" {BETWEEN} ".join(p.decode() for p in g) for g in groups]), strict=True):
+                cuts = np.flatnonzero(ids == self.mark).tolist()
+                self._keep(group, ids, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)])
+        for piece, ids in zip(alone, self._batch([p.decode() for p in alone]), strict=True):
+            self._keep([piece], ids, [0], [len(ids)])
+
+    def _ids(self, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all blobs one after another, and where each blob's end."""
+        starts, lengths, data = pieces(b" ".join(blobs), self.specials)
+        if not len(starts):
+            return np.empty(0, dtype=self.kind), np.zeros(len(blobs), dtype=np.int64)
+        offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+        found = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        _, bounds, held = found.dictionary.buffers()
+        bounds, held = np.frombuffer(bounds, dtype=np.int32)[: len(found.dictionary) + 1].tolist(), held.to_pybytes()
+        distinct = [held[b:e] for b, e in pairwise(bounds)]
+        if len(self.known) > MAX_CACHED or self.held > MAX_CACHED_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
+        new = []
+        for piece in distinct:
+            if piece not in self.known:
+                ids = self.older.get(piece)
+                if ids is None:
+                    new.append(piece)
+                else:
+                    self.known[piece] = ids
+                    self.held += len(piece) + len(ids)
+        self.learn(new)
+        values = [self.known[p] for p in distinct]
+        pool = np.frombuffer(b"".join(values), dtype=self.kind)
+        sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.width
+        which = found.indices.to_numpy()
+        n = sizes[which]
+        upto = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (upto - n), n)
+        at += np.arange(len(at))
+        ends = np.cumsum([len(b) + 1 for b in blobs])
+        return pool[at], np.concatenate(([0], upto))[np.searchsorted(starts, ends - 1)]
+
+    def encode(self, blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Number of ids of each text (UTF-8), END included, and all their ids; for some texts at a time."""
+        for begin, end in chunks(blobs, CHUNK):
+            some = blobs[begin:end]
+            if not self.cuts:
+                found = self._batch([b.decode() for b in some])
+                ids, ends = np.concatenate(found), np.cumsum([len(x) for x in found])
+            elif len(some) == 1:
+                ids = np.concatenate([self._ids([part])[0] for part in slices(some[0])])
+                ends = np.array([len(ids)])
+            else:
+                ids, ends = self._ids(some)
+            yield np.diff(ends, prepend=0) + 1, np.insert(ids, ends, END)
+
+
+def slices(blob: bytes, size: int | None = None) -> Iterator[bytes]:
+    """A long text in parts of about `size` bytes that blanks separate."""
+    begin, size = 0, size or CHUNK
+    while blank := _AT_BLANK.search(blob, begin + size):
+        yield blob[begin : blank.start()]
+        begin = blank.end()
+    yield blob[begin:]
 
 
 def encoder(path: str) -> Encoder:
@@ -105,16 +242,17 @@ def encoder(path: str) -> Encoder:
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n (ids with END) and ids (bytes) of every row of docs."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for part in parts:
-            texts = [t if isinstance(t, str) else None for t in part["text"].tolist()]
-            for i in range(0, len(texts), 256):
-                ids = e.encode(texts[i : i + 256])
-                yield pd.DataFrame({"doc_id": part["doc_id"].iloc[i : i + 256], "n": [len(x) // e.width for x in ids], "ids": ids})
-
-    found = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, "doc_id string, n long, ids binary")
-    return found.withColumn("doc_id", F.col("doc_id").cast("long"))  # a null among numbers would make pandas round them
+            done = 0
+            for n, ids in e.encode(part.column(1).cast(pa.binary()).fill_null(b"").to_pylist()):
+                offsets = np.concatenate(([0], np.cumsum(n) * e.width)).astype(np.int32)
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(done, len(n)), pa.array(n), packed], names=["doc_id", "n", "ids"])
+                done += len(n)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, ids binary")
 
 
 # --- the code -----------------------------------------------------------------------------------------------------

@@ -76,3 +76,48 @@ def test_empty_table_and_null_ids(spark):
     assert K.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = K.round_trip(spark.createDataFrame([(None, "a", 1), (2**60 + 1, "b", 1)], SCHEMA + ", n int")).orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [None, 2**60 + 1]
+
+
+def by_text(e, texts):
+    """Lists of ids of texts, as the encoder gives them."""
+    out = []
+    for n, ids in e.encode([t.encode() for t in texts]):
+        ends = np.cumsum(n)
+        assert ends[-1] == len(ids)
+        out += [ids[b - a : b].tolist() for a, b in zip(n, ends, strict=True)]
+    return out
+
+
+def whole(e, texts):
+    return [e.tokenizer.encode(t, add_special_tokens=False).ids + [K.END] for t in texts]
+
+
+def test_words_are_encoded_once_whatever_their_case_and_signs(monkeypatch):
+    e, learned = K.Encoder(K.tokenizer_path()), []
+    learn = e.learn
+    monkeypatch.setattr(e, "learn", lambda new: (learned.extend(new), learn(new)))
+    texts = ["Straße, (straße) STRAßE!", "straße*** 77straße", "ÉTÉ été. Été;"]
+    assert by_text(e, texts) == whole(e, texts)
+    assert sorted(learned) == sorted(p.encode() for p in ("straße", ",", "(", ")", "!", "***", "7", "été", ".", ";"))
+
+
+ODD = [*"aAsStTjJ'09,.<|>!\x7f \t\n\x0b\x1c\x1f\x00\x85\xa0éÉß×ÿÞ̧́̌̀ΣσİıſK²º　漢\U0001f600ͅ", "'s", "'RE", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", "</w>", "don't"]
+
+
+@given(st.lists(st.lists(st.sampled_from(ODD), max_size=30).map("".join), min_size=1, max_size=8), st.sampled_from([1, 9, 4_000_000]))
+@settings(max_examples=300, deadline=None)
+def test_pieces_and_slices_change_no_ids(texts, size):
+    e = K.encoder(K.tokenizer_path())
+    assert e.cuts
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(K, "CHUNK", size)
+        m.setattr(K, "MAX_CACHED", 50)
+        assert by_text(e, texts) == whole(e, texts)
+
+
+def test_tokenizers_that_join_blanks_get_whole_texts():
+    import public_tokenizers
+
+    e = K.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["Hello,  the world", "", "a\n\n  b c"]
+    assert by_text(e, texts) == whole(e, texts)
