@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -188,17 +187,19 @@ class Encoder:
         distinct = [held[b:e] for b, e in pairwise(bounds)]
         if len(self.known) > MAX_CACHED or self.held > MAX_CACHED_BYTES:
             self.known, self.older, self.held = {}, self.known, 0
+        values = [*map(self.known.get, distinct)]
+        missing = [i for i, v in enumerate(values) if v is None]
         new = []
-        for piece in distinct:
-            if piece not in self.known:
-                ids = self.older.get(piece)
-                if ids is None:
-                    new.append(piece)
-                else:
-                    self.known[piece] = ids
-                    self.held += len(piece) + len(ids)
+        for i in missing:
+            ids = self.older.get(distinct[i])
+            if ids is None:
+                new.append(distinct[i])
+            else:
+                self.known[distinct[i]] = ids
+                self.held += len(distinct[i]) + len(ids)
         self.learn(new)
-        values = [self.known[p] for p in distinct]
+        for i in missing:
+            values[i] = self.known[distinct[i]]
         pool = np.frombuffer(b"".join(values), dtype=self.kind)
         sizes = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // self.width
         which = found.indices.to_numpy()
@@ -247,8 +248,7 @@ def tokenize(docs: DataFrame, path: str) -> DataFrame:
         for part in parts:
             done = 0
             for n, ids in e.encode(part.column(1).cast(pa.binary()).fill_null(b"").to_pylist()):
-                offsets = np.concatenate(([0], np.cumsum(n) * e.width)).astype(np.int32)
-                packed = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                packed = _bytes_of(ids, np.concatenate(([0], np.cumsum(n))))
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(done, len(n)), pa.array(n), packed], names=["doc_id", "n", "ids"])
                 done += len(n)
 
@@ -297,22 +297,24 @@ class Codebook:
         spans = np.int64(1) << (most - self.lengths[symbols])
         firsts = np.cumsum(spans) - spans
         self.codes[symbols] = (firsts >> (most - self.lengths[symbols])).astype(np.uint32)
-        self.table = np.zeros(1 << most, dtype=np.uint32)
-        self.table[: int(spans.sum())] = np.repeat(symbols, spans)
-        self.bits = np.ones(1 << most, dtype=np.int64)
-        self.bits[: int(spans.sum())] = np.repeat(self.lengths[symbols], spans)
+        self.table = np.ones(1 << most, dtype=np.uint32)  # 256 * id + bits
+        self.table[: int(spans.sum())] = np.repeat(symbols << 8 | self.lengths[symbols], spans)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
         """Checkpoints and payload of a block."""
+        if not len(ids):
+            return b"", b""
         n = self.lengths[ids]
         ends = np.cumsum(n)
         at = ends - n
-        value = self.codes[ids] << (32 - n - (at & 7)).astype(np.uint32)
-        size = int(ends[-1] + 7) >> 3 if len(ids) else 0
-        total = np.zeros(size + 4)
-        for k, shift in enumerate((24, 16, 8, 0) if self.most > 17 else (24, 16, 8)):
-            total[k : k + size] += np.bincount(at >> 3, weights=(value >> np.uint32(shift)) & np.uint32(255), minlength=size)[:size]
-        return at[::STEP].astype("<u4").tobytes(), total[:size].astype(np.uint8).tobytes()
+        value = self.codes[ids].astype(np.uint64) << (64 - n - (at & 31)).astype(np.uint64)
+        word = at >> 5  # some code starts in every 32 bits, as none is longer than 25
+        firsts = np.flatnonzero(np.diff(word, prepend=-1))
+        sums = np.add.reduceat(value, firsts)  # codes share no bits
+        packed = np.zeros(len(sums) + 1, dtype=np.uint32)
+        packed[:-1] = sums >> np.uint64(32)
+        packed[1:] |= sums.astype(np.uint32)
+        return at[::STEP].astype("<u4").tobytes(), packed.astype(">u4").tobytes()[: int(ends[-1] + 7) >> 3]
 
     def decode(self, blocks: list[tuple[int, bytes, bytes]]) -> list[np.ndarray]:
         """Ids of blocks (n_tokens, checkpoints, payload)."""
@@ -320,18 +322,18 @@ class Codebook:
             return []
         data = np.frombuffer(b"".join(b[2] for b in blocks) + bytes(STEP * self.most // 8 + 8), dtype=np.uint8).astype(np.uint32)
         window = data[:-3] << np.uint32(24) | data[1:-2] << np.uint32(16) | data[2:-1] << np.uint32(8) | data[3:]
-        spare, mask = 32 - self.most, np.uint32((1 << self.most) - 1)
+        spare = np.uint32(32 - self.most)
         starts = np.cumsum([0] + [8 * len(b[2]) for b in blocks[:-1]])
         pos = np.concatenate([np.frombuffer(b[1], dtype="<u4").astype(np.int64) + s for b, s in zip(blocks, starts, strict=True)])
-        out = np.empty((len(pos), STEP), dtype=np.uint32)
+        out = np.empty((STEP, len(pos)), dtype=np.uint32)
         for k in range(STEP):
-            v = (window[pos >> 3] >> (spare - (pos & 7)).astype(np.uint32)) & mask
-            out[:, k] = self.table[v]
-            pos += self.bits[v]
+            out[k] = found = self.table[window[pos >> 3] << (pos & 7).astype(np.uint32) >> spare]
+            pos += found & np.uint32(255)
+        out >>= np.uint32(8)
         ids, row = [], 0
         for n, marks, _ in blocks:
             rows = len(marks) // 4
-            ids.append(out[row : row + rows].ravel()[:n])
+            ids.append(out[:, row : row + rows].T.ravel()[:n])
             row += rows
         return ids
 
@@ -339,21 +341,39 @@ class Codebook:
 # --- files --------------------------------------------------------------------------------------------------------
 
 _BLOCKS = "part int, seq long, doc_ids binary, doc_lens binary, n_tokens long, checkpoints binary, payload binary"
+_BLOCK_TYPES = {"part": pa.int32(), "seq": pa.int64(), "doc_ids": pa.binary(), "doc_lens": pa.binary(), "n_tokens": pa.int64(), "checkpoints": pa.binary(), "payload": pa.binary()}
+
+
+def _joined(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in a column of bytes one after another, and where each row's begin and end; without a copy."""
+    column = column.cast(pa.binary())
+    _, bounds, data = column.buffers()
+    if not len(column) or data is None:
+        return np.empty(0, dtype=kind), np.zeros(len(column) + 1, dtype=np.int64)
+    bounds = np.frombuffer(bounds, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    values = np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]].view(kind)
+    return values, (bounds - bounds[0]) // values.itemsize
+
+
+def _bytes_of(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A column of bytes: values from each of bounds to the next."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
 
 def write(tokens: DataFrame, path: str, width: int = 2, vocabulary: int = 1 << 16) -> None:
     """Write tokens (doc_id, n, ids) in ascending order of doc_id into the folder `path`."""
     kind = f"<u{width}"
 
-    def tally(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, dtype=np.int64)
         for part in parts:
-            for i in range(0, len(part), 512):
-                total += np.bincount(np.frombuffer(b"".join(part["ids"].iloc[i : i + 512]), dtype=kind), minlength=vocabulary)
+            ids, _ = _joined(part.column(0), kind)
+            for i in range(0, len(ids), 1 << 20):
+                total += np.bincount(ids[i : i + (1 << 20)], minlength=vocabulary)
         used = np.flatnonzero(total)
-        yield pd.DataFrame({"id": used, "n": total[used]})
+        yield pa.RecordBatch.from_pydict({"id": used, "n": total[used]})
 
-    counted = tokens.select("ids").mapInPandas(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row an id of the vocabulary
+    counted = tokens.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # a row an id of the vocabulary
     counts = np.zeros(vocabulary, dtype=np.int64)
     counts[counted["id"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy(dtype=np.int64)
     lengths = code_lengths(counts)
@@ -361,41 +381,51 @@ def write(tokens: DataFrame, path: str, width: int = 2, vocabulary: int = 1 << 1
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     shared = spark.sparkContext.broadcast(lengths)
 
-    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Codebook(shared.value)
-        part_id, seq, held, ids, lens = 0, 0, 0, [], []
+        part_id, seq, held = 0, 0, 0
+        open_: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # doc_ids, numbers of ids and ids of the block that isn't full
         blocks: list[tuple] = []
 
         def close() -> None:
             nonlocal seq, held
-            n = np.array(lens, dtype="<u4")
-            marks, payload = book.encode(np.frombuffer(b"".join(x[1] for x in ids), dtype=kind).astype(np.int64))
-            keys = np.array([np.iinfo(np.int64).min if pd.isna(x[0]) else int(x[0]) for x in ids], dtype="<i8")
-            blocks.append((part_id, seq, keys.tobytes(), n.tobytes(), int(n.sum()), marks, payload))
+            keys, n, ids = (np.concatenate(x) for x in zip(*open_, strict=True))
+            marks, payload = book.encode(ids)
+            blocks.append((part_id, seq, keys.astype("<i8").tobytes(), n.astype("<u4").tobytes(), len(ids), marks, payload))
             seq, held = seq + 1, 0
-            ids.clear()
-            lens.clear()
+            open_.clear()
+
+        def done() -> pa.RecordBatch:
+            columns = zip(_BLOCK_TYPES.items(), zip(*blocks, strict=True), strict=True)
+            found = pa.RecordBatch.from_arrays([pa.array(x, type=t) for (_, t), x in columns], names=list(_BLOCK_TYPES))
+            blocks.clear()
+            return found
 
-        names = ["part", "seq", "doc_ids", "doc_lens", "n_tokens", "checkpoints", "payload"]
         for part in parts:
-            for row in part.itertuples(index=False):
-                part_id = row.part
-                ids.append((row.doc_id, row.ids))
-                lens.append(row.n)
-                held += row.n
+            if not len(part):
+                continue
+            part_id = part.column(0)[0].as_py()
+            keys = part.column(1).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            ids, upto = _joined(part.column(2), kind)
+            begin = 0
+            while begin < len(keys):
+                end = min(len(keys), int(np.searchsorted(upto, upto[begin] + BLOCK_TOKENS - held)))
+                end = max(end, begin + 1)
+                open_.append((keys[begin:end], np.diff(upto[begin : end + 1]), ids[upto[begin] : upto[end]]))
+                held += int(upto[end] - upto[begin])
+                begin = end
                 if held >= BLOCK_TOKENS:
                     close()
+            open_[:] = [tuple(x.copy() for x in some) for some in open_]  # else they keep the whole batch
             if blocks:
-                yield pd.DataFrame(blocks, columns=names)
-                blocks.clear()
-        if ids:
+                yield done()
+        if open_:
             close()
-        if blocks:
-            yield pd.DataFrame(blocks, columns=names)
+            yield done()
 
     tie = F.xxhash64("ids")
     ordered = tokens.withColumn("tie", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
-    ordered.withColumn("part", F.spark_partition_id()).select("part", F.col("doc_id").cast("string"), "n", "ids").mapInPandas(pack, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ordered.withColumn("part", F.spark_partition_id()).select("part", "doc_id", "ids").mapInArrow(pack, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -403,21 +433,34 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     lengths = np.frombuffer(spark.read.schema("lengths binary").parquet(f"{path}/codebook").first()[0], dtype=np.uint8)
     shared = spark.sparkContext.broadcast(lengths)
 
-    def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Codebook(shared.value)
         for part in parts:
-            for i in range(0, len(part), 16):
-                some = part.iloc[i : i + 16]
-                for row, ids in zip(some.itertuples(index=False), book.decode([(r.n_tokens, r.checkpoints, r.payload) for r in some.itertuples(index=False)]), strict=True):
-                    keys, lens = np.frombuffer(row.doc_ids, dtype="<i8"), np.frombuffer(row.doc_lens, dtype="<u4").astype(np.int64)
-                    ends = np.cumsum(lens)
-                    data = ids.astype("<u4").tobytes()
-                    null = keys == np.iinfo(np.int64).min
-                    yield pd.DataFrame({"part": row.part, "seq": row.seq, "nth": np.arange(len(keys)), "doc_id": pd.array(keys, dtype="Int64").copy() if not null.any() else pd.array(np.where(null, 0, keys), dtype="Int64"), "is_null": null, "at": ends - lens, "n": lens, "ids": [data[4 * (e - n) : 4 * e] for e, n in zip(ends, lens, strict=True)]})
+            begin, sizes = 0, part.column(4).to_numpy()
+            while begin < len(part):
+                upto = np.cumsum(sizes[begin : begin + 16])
+                n = max(1, int(np.searchsorted(upto, 32 * BLOCK_TOKENS)))  # fewer blocks at once if they are large
+                some = part.slice(begin, min(n, len(upto)))
+                begin += len(some)
+                ids = np.concatenate(book.decode([*zip(*(some.column(k).to_pylist() for k in (4, 5, 6)), strict=True)])).astype("<u4")
+                keys, docs = _joined(some.column(2), "<i8")
+                lens = _joined(some.column(3), "<u4")[0].astype(np.int64)
+                docs = np.diff(docs)  # numbers of documents
+                ends = np.concatenate(([0], np.cumsum(lens)))
+                first = np.repeat(np.cumsum(docs) - docs, docs)
+                columns = {
+                    "part": np.repeat(some.column(0).to_numpy(), docs),
+                    "seq": np.repeat(some.column(1).to_numpy(), docs),
+                    "nth": np.arange(len(keys)) - first,
+                    "doc_id": pa.array(keys, mask=keys == np.iinfo(np.int64).min),
+                    "at": ends[:-1] - ends[first],
+                    "n": lens,
+                    "ids": _bytes_of(ids, ends),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
 
     blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
-    found = blocks.mapInPandas(unpack, "part int, seq long, nth long, doc_id long, is_null boolean, at long, n long, ids binary")
-    return found.withColumn("doc_id", F.when(~F.col("is_null"), F.col("doc_id"))).drop("is_null")
+    return blocks.mapInArrow(unpack, "part int, seq long, nth long, doc_id long, at long, n long, ids binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:

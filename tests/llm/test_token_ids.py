@@ -121,3 +121,29 @@ def test_tokenizers_that_join_blanks_get_whole_texts():
     e = K.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
     texts = ["Hello,  the world", "", "a\n\n  b c"]
     assert by_text(e, texts) == whole(e, texts)
+
+
+def test_blocks_over_small_batches_hold_whole_documents_in_order(spark, monkeypatch):
+    """Blocks end with the document that fills them, wherever the batches between Spark and Python end."""
+    monkeypatch.setattr(K, "BLOCK_TOKENS", 40)
+    docs = spark.createDataFrame([(None if i == 3 else i, "word " * (i * 7 % 31)) for i in range(200)], SCHEMA).coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "3")
+        path = f"{K.shared_dir(spark)}/small-batches"
+        tokens = K.tokenize(docs, K.tokenizer_path())
+        K.write(tokens, path)
+        rows = K.read(spark, path).orderBy("part", "seq", "nth").collect()
+    finally:
+        spark.conf.set(name, before)
+    want = sorted((-1 if i == 3 else i, i * 7 % 31) for i in range(200))
+    assert [(-1 if r["doc_id"] is None else r["doc_id"], r["n"] - 1) for r in rows] == want
+    assert all(len(r["ids"]) == 4 * r["n"] and r["ids"][-4:] == b"\x02\0\0\0" for r in rows)
+    blocks = {}
+    for r in rows:
+        blocks.setdefault((r["part"], r["seq"]), []).append(r)
+    for (part, seq), some in blocks.items():
+        assert [r["at"] for r in some] == [sum(x["n"] for x in some[:k]) for k in range(len(some))]
+        assert sum(r["n"] for r in some[:-1]) < 40
+        assert sum(r["n"] for r in some) >= 40 or (part, seq + 1) not in blocks
