@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions.edits import edit_counts
 from pagequarry.functions.scalars import key_url
-from pagequarry.operators.ranks import kept, ranked
+from pagequarry.operators.ranks import kept, ranked, staged
 
 MAX_CHANGE = 0.30
+#: Pairs that an item may be expected to have in a band of changes, and the steps by which a band may be smaller than the limit.
+PAIRS_AN_ITEM, BANDS = 8, 10
 
 
 def classify_pages(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -111,6 +116,98 @@ def classify_nodes(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return joined.select("page_id", "sha_256_hash", F.coalesce("old_count", F.lit(0)).alias("old_count"), F.coalesce("new_count", F.lit(0)).alias("new_count"), status.alias("status"))
 
 
+def _characters(code: Column) -> dict[str, Column]:
+    """The characters of a text: two numbers with a bit for each of ASCII, and the others as an array."""
+    held = F.array_distinct(F.split(code, ""))
+    bits = lambda lo: F.aggregate(F.filter(held, lambda c: (F.ascii(c) >= lo) & (F.ascii(c) < lo + 64)), F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) - lo)))
+    return {"low": bits(0), "high": bits(64), "others": F.filter(held, lambda c: F.ascii(c) >= 128)}
+
+
+def _order(change: Column, old_hash: Column, new_hash: Column) -> Column:
+    """Change, then a hash of the pair, as one number, which aggregates hold without sorting their rows."""
+    wide = "decimal(38,0)"
+    tie = F.xxhash64(old_hash, new_hash).cast(wide) + F.lit(Decimal(1 << 63)).cast(wide)
+    return ((change * float(1 << 62)).cast("long").cast("decimal(19,0)") * F.lit(Decimal(1 << 64)) + tie).cast(wide)
+
+
+def _classes(change: float):
+    """Classes of sizes: sizes that differ by less than `change` of the old one are in classes of which the new one's lies
+    two below to one above the old one's."""
+    width = math.log(1 + change * 1.001)
+    return lambda size: F.floor(F.log(size.cast("double")) / F.lit(width))
+
+
+def _band(live: DataFrame, done: float, limit: float) -> float:
+    """The largest change over `done`, of some steps up to limit, below which items have PAIRS_AN_ITEM pairs or so, on average;
+    else the smallest one. 0 if items of one side only are left."""
+    steps = [x for x in (limit / 4**k for k in range(BANDS)) if x > done]
+    sizes = live.groupBy("page_id", "bytes").agg(F.count_if("is_old").alias("n"), F.count_if(~F.col("is_old")).alias("m"))
+    tried = F.explode(F.array(*[F.struct(F.lit(k).alias("step"), _classes(x)(F.col("bytes")).alias("class")) for k, x in enumerate(steps)]))
+    near = sizes.select("page_id", "n", "m", tried.alias("t")).groupBy("t.step", "page_id", "t.class").agg(F.sum("n").cast("double").alias("n"), F.sum("m").cast("double").alias("m"))
+    found = {r["step"]: r for r in near.groupBy("step").agg(F.sum(2 * F.col("n") * F.col("m")).alias("pairs"), F.sum("n").alias("n"), F.sum("m").alias("m")).collect()}
+    if not found or not found[0]["n"] or not found[0]["m"]:
+        return 0
+    return next((x for k, x in enumerate(steps) if found[k]["pairs"] <= PAIRS_AN_ITEM * (found[k]["n"] + found[k]["m"])), steps[-1])
+
+
+def _side(live: DataFrame, old: bool) -> DataFrame:
+    name = "old" if old else "new"
+    return live.where(F.col("is_old") == old).select("page_id", *[F.col(c).alias(f"{name}_{c}") for c in live.columns if c not in ("page_id", "is_old")])
+
+
+def _shared() -> Column:
+    """Whether both texts of a pair have a character in common."""
+    bits = lambda name: F.col(f"old_{name}").bitwiseAND(F.col(f"new_{name}")) != 0
+    return bits("low") | bits("high") | F.arrays_overlap("old_others", "new_others")
+
+
+def _uneven_pairs(live: DataFrame, change: float) -> DataFrame:
+    """(old_id, new_id, order) of pairs of unequal lengths below a change. They are made from lengths and are nowhere kept."""
+    of = _classes(change)
+    near = _side(live, False).withColumn("class", F.explode(F.array(*[of(F.col("new_bytes")) + i for i in (-1, 0, 1, 2)])))
+    pairs = _side(live, True).withColumn("class", of(F.col("old_bytes"))).join(near, ["page_id", "class"])
+    found = F.abs(F.col("new_bytes") - F.col("old_bytes")) / F.col("old_bytes")
+    return pairs.where((F.col("new_bytes") != F.col("old_bytes")) & (found < change) & _shared()).select("old_id", "new_id", _order(found, F.col("old_sha_256_hash"), F.col("new_sha_256_hash")).alias("order"))
+
+
+def _even_pairs(texts: DataFrame, live: DataFrame, change: float) -> DataFrame:
+    """(old_id, new_id, order) of pairs of equal lengths below a change; a text goes once to where its length is."""
+    key = ["page_id", "bytes"]
+    ids = live.groupBy(*key).agg(F.count_if("is_old").alias("n"), F.count_if(~F.col("is_old")).alias("m")).where("n > 0 AND m > 0").select(*key)
+    left = texts.join(live.select("id"), "id", "left_semi").join(ids, key, "left_semi")
+    pairs = _side(left, True).withColumnRenamed("old_bytes", "bytes").join(_side(left, False).withColumnRenamed("new_bytes", "bytes"), key).where(_shared())
+    found = pairs.withColumn("change", edit_share("old_code", "new_code", change)).where(F.col("change") < change)
+    return found.select("old_id", "new_id", _order(F.col("change"), F.col("old_sha_256_hash"), F.col("new_sha_256_hash")).alias("order"))
+
+
+def similar_nodes(texts: DataFrame, limit: float = MAX_CHANGE) -> DataFrame:
+    """(old_id, new_id): texts of a page matched one to one, most similar first.
+
+    texts: id, page_id, sha_256_hash, is_old, code, bytes, low, high, others. Pairs are looked at in bands of changes, least
+    first, so that most items are matched before pairs are many: a band ends when no two items left are that similar. In each
+    round the pairs that are first on both sides are fixed. A round makes its pairs anew and keeps the first one an item only,
+    so what is written grows with the items, whatever the number of pairs; of equal lengths, those below the band's change.
+    """
+    live, done, change = kept(texts.drop("code")), None, 0.0
+    while change < limit and (change := _band(live, change, limit)):
+        even = kept(_even_pairs(texts, live, change))
+        some = even.limit(1).count() > 0
+        while True:
+            pairs = _uneven_pairs(live, change)
+            if some:
+                ids = lambda old, name: live.where(F.col("is_old") == old).select(F.col("id").alias(name))  # noqa: E731, B023
+                pairs = pairs.unionByName(even.join(ids(True, "old_id"), "old_id", "left_semi").join(ids(False, "new_id"), "new_id", "left_semi").select(*pairs.columns))
+            seen = F.explode(F.array(F.struct(F.lit(True).alias("is_old"), F.col("old_id").alias("id"), F.col("new_id").alias("other"), "order"), F.struct(F.lit(False).alias("is_old"), F.col("new_id").alias("id"), F.col("old_id").alias("other"), "order")))
+            first = pairs.select(seen.alias("s")).groupBy("s.is_old", "s.id").agg(F.min_by("s.other", "s.order").alias("other"))
+            both = first.groupBy(F.when(F.col("is_old"), F.col("id")).otherwise(F.col("other")).alias("old_id"), F.when(F.col("is_old"), F.col("other")).otherwise(F.col("id")).alias("new_id"))
+            fixed = kept(both.count().where("count = 2").select("old_id", "new_id"))
+            if not fixed.limit(1).count():
+                break
+            done = fixed if done is None else done.unionByName(fixed)
+            live = kept(live.join(fixed.select(F.explode(F.array("old_id", "new_id")).alias("id")), "id", "left_anti"))
+    return done if done is not None else live.select(F.col("id").alias("old_id"), F.col("id").alias("new_id")).limit(0)
+
+
 def diff_nodes(stored: DataFrame, incoming: DataFrame, limit: float = MAX_CHANGE) -> DataFrame:
     """(page_id, old_hash, new_hash, old_count, new_count, status): unchanged, updated, new or removed, a row a hash or pair.
 
@@ -121,22 +218,12 @@ def diff_nodes(stored: DataFrame, incoming: DataFrame, limit: float = MAX_CHANGE
     """
     by_hash = kept(classify_nodes(stored, incoming))
     key = ["page_id", "sha_256_hash"]
-    texts = lambda df, status: df.join(by_hash.where(F.col("status") == status), key, "left_semi").groupBy(*key).agg(F.min("code").alias("code"))
-    old_texts, new_texts = texts(stored, "removed"), texts(incoming, "new")
-    facts = lambda df, name: df.select("page_id", F.col("sha_256_hash").alias(f"{name}_hash"), F.octet_length("code").alias(f"{name}_bytes"), F.array_distinct(F.split("code", "")).alias(f"{name}_chars"))
-    # Lengths that differ by the limit or more can't be similar: the join looks at neighbouring length classes only.
-    size = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1)).cast("double")) / F.log(F.lit(1 + limit)))
-    near = facts(new_texts, "new").withColumn("class", F.explode(F.array(*[size("new_bytes") + i for i in (-1, 0, 1, 2)])))
-    pairs = facts(old_texts, "old").withColumn("class", size("old_bytes")).join(near, ["page_id", "class"])
-    pairs = pairs.where(F.arrays_overlap("old_chars", "new_chars") & (F.col("old_bytes") > 0))
-    change = F.abs(F.col("new_bytes") - F.col("old_bytes")) / F.col("old_bytes")
-    pairs = pairs.where(change < limit).select("page_id", "old_hash", "new_hash", change.alias("change"))
-    side = lambda df, name: df.select("page_id", F.col("sha_256_hash").alias(f"{name}_hash"), F.col("code").alias(f"{name}_code"))
-    equal = pairs.where("change = 0").join(side(old_texts, "old"), ["page_id", "old_hash"]).join(side(new_texts, "new"), ["page_id", "new_hash"])
-    equal = equal.select("page_id", "old_hash", "new_hash", edit_share("old_code", "new_code", limit).alias("change")).where(F.col("change") < limit)
-    tie = F.xxhash64("old_hash", "new_hash")
-    found = pairs.where("change > 0").unionByName(equal).select("page_id", "old_hash", "new_hash", F.struct("change", tie.alias("tie"), "old_hash", "new_hash").alias("rank"), F.struct("page_id", "old_hash").alias("a"), F.struct("page_id", "new_hash").alias("b"))
-    updated = kept(one_to_one(found, "a", "b").select("page_id", "old_hash", "new_hash"))
+    texts = lambda df, status: df.join(by_hash.where(F.col("status") == status), key, "left_semi").groupBy(*key).agg(F.min("code").alias("code")).withColumn("is_old", F.lit(status == "removed"))
+    one_each = texts(stored, "removed").unionByName(texts(incoming, "new")).where("code <> ''")
+    one_each = staged(one_each.withColumns({"id": F.monotonically_increasing_id(), "bytes": F.octet_length("code"), **_characters(F.col("code"))}))
+    facts = one_each.drop("code")
+    named = lambda name: facts.select(F.col("id").alias(f"{name}_id"), *(["page_id"] if name == "old" else []), F.col("sha_256_hash").alias(f"{name}_hash"))
+    updated = kept(similar_nodes(one_each, limit).join(named("old"), "old_id").join(named("new"), "new_id").select("page_id", "old_hash", "new_hash"))
     n = lambda name, count: by_hash.select("page_id", F.col("sha_256_hash").alias(f"{name}_hash"), count)
     both = updated.join(n("old", "old_count"), ["page_id", "old_hash"]).join(n("new", "new_count"), ["page_id", "new_hash"]).withColumn("status", F.lit("updated"))
     none = F.lit(None).cast("string")

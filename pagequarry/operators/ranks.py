@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,6 +43,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """df written as compressed Parquet into the application's own folder and read back: kept, in less space."""
+    spark = df.sparkSession
+    path = f"{own_folder(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], into: str = "rank") -> DataFrame:
     """df with the rank (from 0) of each row among those of equal keys, by the columns of order.
 
