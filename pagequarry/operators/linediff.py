@@ -3,11 +3,14 @@
 A text's lines are numbered from 0. Lines that stand exactly once on both sides of a pair are candidates; the longest chain
 of them that rises on both sides are the anchors (patience diff). Between anchors lie gaps, which don't know each other: each
 is a row, and its own longest common subsequence is found in whatever task it lands. A pair of long texts so spreads over
-lines first and gaps later; only the numbers of its anchors and edits, and its two texts, are ever in one row.
+lines first and gaps later; only the numbers of its anchors and edits, and its two texts, are ever in one row. A pair of up
+to LINES lines takes the same steps where its row is, and its texts are neither written nor dealt.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.functions.edits import common_head
-from pagequarry.operators.ranks import kept
+from pagequarry.operators.ranks import staged
 
 EDITS = "array<struct<a:int,a_end:int,b:int,b_end:int>>"
 #: Cells of a table of common lengths that a gap may take; a larger gap is halved at the best place first.
 CELLS = 1 << 22
+#: Lines of both texts of a pair up to which it is one unit of work.
+LINES = 50_000
 
 
 def rising(at: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -28,7 +33,7 @@ def rising(at: np.ndarray, to: np.ndarray) -> np.ndarray:
     top_values: list[int] = []
     before = np.full(len(at), -1)
     for i, v in enumerate(to.tolist()):
-        p = int(np.searchsorted(top_values, v)) if not top_values or v < top_values[-1] else len(top_values)
+        p = bisect_left(top_values, v) if not top_values or v < top_values[-1] else len(top_values)
         before[i] = tops[p - 1] if p else -1
         if p == len(tops):
             tops.append(i)
@@ -95,6 +100,30 @@ def gap_edits(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def pair_edits(a: list[str], b: list[str]) -> list[tuple[int, int, int, int]]:
+    """Edits that make the lines b of a: anchors first, then each gap between them."""
+
+    def once(lines: list[str]) -> dict[str, int]:
+        at: dict[str, int] = {}
+        for i, line in enumerate(lines):
+            at[line] = -1 if line in at else i
+        return {line: i for line, i in at.items() if i >= 0}
+
+    if a == b:
+        return []
+    there = once(b)
+    found = [(i, there[line]) for line, i in once(a).items() if line in there]
+    chain = rising(np.array([i for i, _ in found]), np.array([j for _, j in found])).tolist()
+    out, i, j = [], 0, 0
+    for p, q in [found[k] for k in chain] + [(len(a), len(b))]:
+        if p > i and q > j:
+            out += [(x + i, x_end + i, y + j, y_end + j) for x, x_end, y, y_end in gap_edits(a[i:p], b[j:q])]
+        elif p > i or q > j:
+            out.append((i, p, j, q))
+        i, j = p + 1, q + 1
+    return out
+
+
 def anchors(pairs: DataFrame) -> DataFrame:
     """(path, anchors): places (a, b), in order, of lines that stand once on both sides and keep their order. pairs: path, a,
     b (arrays of lines). A path without any is left out."""
@@ -113,19 +142,44 @@ def anchors(pairs: DataFrame) -> DataFrame:
 def line_edits(pairs: DataFrame) -> DataFrame:
     """(path, edits) of the pairs (path, a, b: arrays of lines): edits (a, a_end, b, b_end), in order, say that lines a to
     a_end of the one are replaced by lines b to b_end of the other. No edits for equal texts. Paths are unique."""
-    pairs = pairs.select("path", "a", "b")
+    return with_edits(pairs).select("path", "edits")
+
+
+def with_edits(pairs: DataFrame) -> DataFrame:
+    """(path, a, b, edits) of the pairs of line_edits. lines: the number of lines of both texts, if pairs has that column;
+    it tells whether any pair is longer than LINES without looking at texts."""
+
+    @F.pandas_udf(EDITS)
+    def here(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[] if x is None or y is None else _structs(pair_edits(list(x), list(y))) for x, y in zip(a, b, strict=True)])
+
+    lines = F.col("lines") if "lines" in pairs.columns else F.size("a") + F.size("b")
+    long = F.coalesce(lines > LINES, F.lit(False))
+    near = pairs.where(~long).select("path", "a", "b", here("a", "b").alias("edits"))
+    if not pairs.where(long).select("path").limit(1).count():
+        return near
+    far = staged(pairs.where(long).select("path", "a", "b"))
+    return near.unionByName(far.join(_spread_edits(far), "path"))
+
+
+def _structs(edits: list[tuple[int, int, int, int]]) -> list[dict[str, int]]:
+    return [dict(zip(("a", "a_end", "b", "b_end"), e, strict=True)) for e in edits]
+
+
+def _spread_edits(pairs: DataFrame) -> DataFrame:
+    """line_edits of long texts: by lines, then by gaps."""
     ends = F.array(F.struct(F.size("a").alias("a"), F.size("b").alias("b")))
     marks = F.concat(F.coalesce("anchors", F.array().cast("array<struct<a:int,b:int>>")), ends)
     edge = lambda i, side: F.when(i == 0, F.lit(0)).otherwise(F.element_at("marks", F.greatest(i, F.lit(1)))[side] + 1)
     gap = lambda m, i: F.struct(edge(i, "a").alias("a"), m["a"].alias("a_end"), edge(i, "b").alias("b"), m["b"].alias("b_end"))
-    held = kept(pairs.join(anchors(pairs), "path", "left").withColumn("marks", marks).withColumn("gaps", F.filter(F.transform("marks", gap), lambda g: (g["a"] < g["a_end"]) | (g["b"] < g["b_end"]))).drop("anchors", "marks"))
+    held = staged(pairs.join(anchors(pairs), "path", "left").withColumn("marks", marks).withColumn("gaps", F.filter(F.transform("marks", gap), lambda g: (g["a"] < g["a_end"]) | (g["b"] < g["b_end"]))).drop("anchors", "marks"))
     both = lambda g: (g["a"] < g["a_end"]) & (g["b"] < g["b_end"])
     cut = lambda side, g: F.slice(side, g[side] + 1, g[f"{side}_end"] - g[side])
     rows = held.select("path", F.explode(F.transform(F.filter("gaps", both), lambda g: F.struct(g.alias("g"), cut("a", g).alias("x"), cut("b", g).alias("y")))).alias("r")).select("path", "r.*")
 
     @F.pandas_udf(EDITS)
     def within(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("a", "a_end", "b", "b_end"), e, strict=True)) for e in gap_edits(list(p), list(q))] for p, q in zip(x, y, strict=True)])
+        return pd.Series([_structs(gap_edits(list(p), list(q))) for p, q in zip(x, y, strict=True)])
 
     # Gaps are dealt anew, so that those of one text don't stay together.
     found = rows.repartition("path", F.col("g.a")).select("path", "g", within("x", "y").alias("e"))
@@ -171,8 +225,8 @@ def unified(path_a: Column, path_b: Column, a: Column, b: Column, edits: Column,
 
 
 def unified_diffs(pairs: DataFrame, context: int = 3) -> DataFrame:
-    """(path, diff) of the pairs (path, a, b) of texts that differ; a null text counts as empty. Paths are unique."""
+    """(path, diff) of the pairs (path, a, b) of texts that differ; a null text counts as empty. Paths are unique.
+    lines: as for with_edits."""
     lines = lambda side: F.split(F.coalesce(side, F.lit("")), "\n")
-    rows = kept(pairs.where(~F.col("a").eqNullSafe(F.col("b"))).select("path", lines("a").alias("a"), lines("b").alias("b")))
-    edited = rows.join(line_edits(rows), "path")
-    return edited.select("path", unified(F.lit("a"), F.lit("b"), F.col("a"), F.col("b"), F.col("edits"), context).alias("diff"))
+    rows = pairs.where(~F.col("a").eqNullSafe(F.col("b"))).select("path", lines("a").alias("a"), lines("b").alias("b"), *[c for c in pairs.columns if c == "lines"])
+    return with_edits(rows).select("path", unified(F.lit("a"), F.lit("b"), F.col("a"), F.col("b"), F.col("edits"), context).alias("diff"))

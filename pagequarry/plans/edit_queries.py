@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions.edits import edit_counts
 from pagequarry.operators import cdc, linediff
-from pagequarry.operators.ranks import kept
 from pagequarry.plans import fixtures as X
 from pagequarry.plans.registry import query
 
@@ -42,20 +41,23 @@ v AS (SELECT 'edited ' || doc_id AS path, a, CASE WHEN doc_id % 3 = 0 THEN list_
 
 
 def _versions(spark, sf_dir):
-    d = X.table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("a"))
+    """(path, a, b, lines): texts go through the join as they are, and the number of lines of both is known without them."""
+    d = X.table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("n", F.size(F.split("text", "\n")))
     i = lambda k: k + 1
     edit = lambda x, k: F.when(i(k) % 7 == 3, F.array().cast("array<string>")).when(i(k) % 5 == 2, F.array(x, x)).when(i(k) % 11 == 4, F.array(F.concat(F.lit("new "), i(k).cast("string")), x)).otherwise(F.array(x))
+    a = d.select("doc_id", F.split("text", "\n").alias("a"))
     b = F.flatten(F.transform("a", edit))
-    edited = d.select(F.concat(F.lit("edited "), F.col("doc_id").cast("string")).alias("path"), "a", F.when(F.col("doc_id") % 3 == 0, F.reverse(b)).otherwise(b).alias("b"))
-    following = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
-    return edited.unionByName(d.join(following, "doc_id").select(F.concat(F.lit("next "), F.col("doc_id").cast("string")).alias("path"), "a", "b"))
+    edited = a.select(F.concat(F.lit("edited "), F.col("doc_id").cast("string")).alias("path"), "a", F.when(F.col("doc_id") % 3 == 0, F.reverse(b)).otherwise(b).alias("b"))
+    edited = edited.withColumn("lines", F.size("a") + F.size("b"))
+    following = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"), F.col("n").alias("m"))
+    pairs = d.join(following, "doc_id").select(F.concat(F.lit("next "), F.col("doc_id").cast("string")).alias("path"), F.split("text", "\n").alias("a"), F.split("next", "\n").alias("b"), (F.col("n") + F.col("m")).alias("lines"))
+    return edited.unionByName(pairs)
 
 
 @query(VERSIONS + " SELECT path, sha256(array_to_string(b, chr(10))) AS made, CAST(len(b) - len(a) AS BIGINT) AS net, a = b AS same FROM v")
 def line_diffs_replayed(spark, sf_dir):
     """What the edits of each pair make of its first text: the second one."""
-    rows = kept(_versions(spark, sf_dir))
-    edited = rows.join(linediff.line_edits(rows), "path")
+    edited = linediff.with_edits(_versions(spark, sf_dir))
     made = F.array_join(linediff.replayed(F.col("a"), F.col("b"), F.col("edits")), "\n")
     net = F.aggregate("edits", F.lit(0).cast("long"), lambda n, e: n + (e["b_end"] - e["b"]) - (e["a_end"] - e["a"]))
     return edited.select("path", F.sha2(made.cast("binary"), 256).alias("made"), net.alias("net"), (F.size("edits") == 0).alias("same"))
@@ -64,7 +66,7 @@ def line_diffs_replayed(spark, sf_dir):
 @query(VERSIONS + " SELECT CAST(count(*) FILTER (a <> b) AS BIGINT) AS differ, CAST(sum(len(b) - len(a)) AS BIGINT) AS net FROM v")
 def unified_diff_totals(spark, sf_dir):
     """Pairs that differ, and lines added less lines taken away, counted in the text of their unified diffs."""
-    rows = _versions(spark, sf_dir).select("path", F.array_join("a", "\n").alias("a"), F.array_join("b", "\n").alias("b"))
+    rows = _versions(spark, sf_dir).select("path", F.array_join("a", "\n").alias("a"), F.array_join("b", "\n").alias("b"), "lines")
     lines = F.slice(F.split("diff", "\n"), 3, 1 << 30)
     signs = linediff.unified_diffs(rows).select("path", F.size(F.filter(lines, lambda x: x.startswith("+"))).alias("plus"), F.size(F.filter(lines, lambda x: x.startswith("-"))).alias("minus"))
     return signs.agg(F.count(F.lit(1)).alias("differ"), F.sum(F.col("plus") - F.col("minus")).cast("long").alias("net"))
