@@ -145,18 +145,21 @@ def line_edits(pairs: DataFrame) -> DataFrame:
     return with_edits(pairs).select("path", "edits")
 
 
-def with_edits(pairs: DataFrame) -> DataFrame:
+def _long(pairs: DataFrame) -> Column:
+    return F.coalesce((F.col("lines") if "lines" in pairs.columns else F.size("a") + F.size("b")) > LINES, F.lit(False))
+
+
+def with_edits(pairs: DataFrame, any_long: bool | None = None) -> DataFrame:
     """(path, a, b, edits) of the pairs of line_edits. lines: the number of lines of both texts, if pairs has that column;
-    it tells whether any pair is longer than LINES without looking at texts."""
+    it tells whether any pair is longer than LINES without looking at texts. any_long: that is known already."""
 
     @F.pandas_udf(EDITS)
     def here(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([[] if x is None or y is None else _structs(pair_edits(list(x), list(y))) for x, y in zip(a, b, strict=True)])
 
-    lines = F.col("lines") if "lines" in pairs.columns else F.size("a") + F.size("b")
-    long = F.coalesce(lines > LINES, F.lit(False))
+    long = _long(pairs)
     near = pairs.where(~long).select("path", "a", "b", here("a", "b").alias("edits"))
-    if not pairs.where(long).select("path").limit(1).count():
+    if not (pairs.where(long).select("path").limit(1).count() if any_long is None else any_long):
         return near
     far = staged(pairs.where(long).select("path", "a", "b"))
     return near.unionByName(far.join(_spread_edits(far), "path"))
@@ -229,4 +232,6 @@ def unified_diffs(pairs: DataFrame, context: int = 3) -> DataFrame:
     lines: as for with_edits."""
     lines = lambda side: F.split(F.coalesce(side, F.lit("")), "\n")
     rows = pairs.where(~F.col("a").eqNullSafe(F.col("b"))).select("path", lines("a").alias("a"), lines("b").alias("b"), *[c for c in pairs.columns if c == "lines"])
-    return with_edits(rows).select("path", unified(F.lit("a"), F.lit("b"), F.col("a"), F.col("b"), F.col("edits"), context).alias("diff"))
+    # Before the texts are compared, numbers alone tell.
+    any_long = pairs.where(_long(pairs)).select("path").limit(1).count() > 0 if "lines" in pairs.columns else None
+    return with_edits(rows, any_long).select("path", unified(F.lit("a"), F.lit("b"), F.col("a"), F.col("b"), F.col("edits"), context).alias("diff"))
