@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequarry.operators.ranks import filled_forward, ranked
+from pagequarry.operators.ranks import filled_forward, ranked, staged
 
 LANGUAGE_COUNTS = "struct<literal_includes:bigint,io_code_block:bigint,total:bigint>"
 NODE = "struct<code:string,language:string,file_extension:string,category:string,sha_256_hash:string,llm_categorized:boolean,date_added:timestamp,date_updated:timestamp,date_removed:timestamp,is_removed:boolean,instances_on_page:bigint>"
@@ -66,16 +69,87 @@ def projects(spark: SparkSession, path: str, ignored: list[str]) -> DataFrame:
     return rows.select("project", F.when(F.size("branches") == 1, "main").otherwise(F.element_at(F.split(url, "/"), -1)).alias("version"), url.alias("url"))
 
 
-def file_tree(spark: SparkSession, path: str, extensions: tuple[str, ...] = (".rst", ".txt", ".md"), recursive: bool = True) -> DataFrame:
-    """(path, content) of text files below a folder, paths relative to it."""
-    pattern = "*"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(path)
-    name = F.lower("path")
+#: Files read by a task, about, and files and bytes that are handed on at a time.
+TASK_FILES, BATCH_FILES, BATCH_BYTES = 20_000, 1_000, 8_000_000
+
+
+def _hidden(name: str, is_folder: bool) -> bool:
+    """Names that Spark's readers pass over."""
+    if is_folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name
+
+
+def _listed(level: DataFrame, base: str) -> DataFrame:
+    """(path, is_folder) of what stands in the folders (path, relative to base) of level, by tasks, in batches."""
+
+    def run(batches):
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                names, folders = [], []
+                with os.scandir(f"{base}/{folder}") as entries:
+                    for e in entries:
+                        is_folder = e.is_dir()
+                        if not _hidden(e.name, is_folder) and (is_folder or e.is_file()):
+                            names.append(f"{folder}/{e.name}" if folder else e.name)
+                            folders.append(is_folder)
+                        if len(names) == BATCH_FILES:
+                            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(folders, pa.bool_())], ["path", "is_folder"])
+                            names, folders = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(folders, pa.bool_())], ["path", "is_folder"])
+
+    return staged(level.repartition(level.sparkSession.sparkContext.defaultParallelism, "path").mapInArrow(run, "path string, is_folder boolean"))
+
+
+def _contents(files: DataFrame, base: str) -> DataFrame:
+    """(path, content as bytes) of files (path, relative to base)."""
+
+    def run(batches):
+        names, held, size = [], [], 0
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                with open(f"{base}/{name}", "rb") as f:
+                    held.append(f.read())
+                names.append(name)
+                size += len(held[-1])
+                if size >= BATCH_BYTES or len(names) == BATCH_FILES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.binary())], ["path", "content"])
+                    names, held, size = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(held, pa.binary())], ["path", "content"])
+
+    return files.mapInArrow(run, "path string, content binary")
+
+
+def _of_kind(path: Column, extensions: tuple[str, ...]) -> Column:
     keep = F.lit(not extensions)
     for e in extensions:
-        keep = keep | name.endswith(e)
+        keep = keep | F.lower(path).endswith(e)
+    return keep
+
+
+def file_tree(spark: SparkSession, path: str, extensions: tuple[str, ...] = (".rst", ".txt", ".md"), recursive: bool = True) -> DataFrame:
+    """(path, content) of text files below a folder, paths relative to it.
+
+    A folder in a file system that all tasks have at the same place (file:) is listed by tasks, a level at a time, and only
+    numbers of files reach the driver. Other stores go through Spark's own index, which holds every file in the driver and
+    leaves empty ones out.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getUri().getScheme() == "file" and fs.exists(at) and fs.getFileStatus(at).isDirectory():
+        base = fs.makeQualified(at).toUri().getPath().rstrip("/")
+        found, level = None, spark.createDataFrame([("",)], "path string")
+        while found is None or recursive and level.limit(1).count():
+            entries = _listed(level, base)
+            files, level = entries.where("NOT is_folder").select("path"), entries.where("is_folder").select("path")
+            found = files if found is None else found.unionByName(files)
+        if recursive or not level.where("path LIKE '%=%'").limit(1).count():  # else folders are parts of a table
+            found = found.where(_of_kind(F.concat(F.lit(f"{base}/"), "path"), extensions))
+            tasks = max(spark.sparkContext.defaultParallelism, found.count() // TASK_FILES + 1)
+            return _contents(found.repartition(tasks), base).select("path", F.decode("content", "UTF-8").alias("content"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*").load(path)
     root = path.rstrip("/").split(":", 1)[-1].lstrip("/")
-    return files.where(keep).select(F.regexp_replace(F.col("path"), rf"^[a-z0-9]+:/*{root}/", "").alias("path"), F.decode("content", "UTF-8").alias("content"))
+    return files.where(_of_kind(F.col("path"), extensions)).select(F.regexp_replace(F.col("path"), rf"^[a-z0-9]+:/*{root}/", "").alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
 def lines(files: DataFrame) -> DataFrame:
