@@ -15,6 +15,8 @@ from pagequarry.operators.ranks import kept, ranked, staged
 MAX_CHANGE = 0.30
 #: Pairs that an item may be expected to have in a band of changes, and the steps by which a band may be smaller than the limit.
 PAIRS_AN_ITEM, BANDS = 8, 10
+#: Items left that a task of a round holds: rounds over few items leave few files.
+TASK_ITEMS = 20_000
 
 
 def classify_pages(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -137,17 +139,18 @@ def _classes(change: float):
     return lambda size: F.floor(F.log(size.cast("double")) / F.lit(width))
 
 
-def _band(live: DataFrame, done: float, limit: float) -> float:
+def _band(live: DataFrame, done: float, limit: float) -> tuple[float, int]:
     """The largest change over `done`, of some steps up to limit, below which items have PAIRS_AN_ITEM pairs or so, on average;
-    else the smallest one. 0 if items of one side only are left."""
+    else the smallest one. 0 if items of one side only are left. Then the number of items."""
     steps = [x for x in (limit / 4**k for k in range(BANDS)) if x > done]
     sizes = live.groupBy("page_id", "bytes").agg(F.count_if("is_old").alias("n"), F.count_if(~F.col("is_old")).alias("m"))
     tried = F.explode(F.array(*[F.struct(F.lit(k).alias("step"), _classes(x)(F.col("bytes")).alias("class")) for k, x in enumerate(steps)]))
     near = sizes.select("page_id", "n", "m", tried.alias("t")).groupBy("t.step", "page_id", "t.class").agg(F.sum("n").cast("double").alias("n"), F.sum("m").cast("double").alias("m"))
     found = {r["step"]: r for r in near.groupBy("step").agg(F.sum(2 * F.col("n") * F.col("m")).alias("pairs"), F.sum("n").alias("n"), F.sum("m").alias("m")).collect()}
     if not found or not found[0]["n"] or not found[0]["m"]:
-        return 0
-    return next((x for k, x in enumerate(steps) if found[k]["pairs"] <= PAIRS_AN_ITEM * (found[k]["n"] + found[k]["m"])), steps[-1])
+        return 0, 0
+    items = int(found[0]["n"] + found[0]["m"])
+    return next((x for k, x in enumerate(steps) if found[k]["pairs"] <= PAIRS_AN_ITEM * items), steps[-1]), items
 
 
 def _side(live: DataFrame, old: bool) -> DataFrame:
@@ -189,7 +192,11 @@ def similar_nodes(texts: DataFrame, limit: float = MAX_CHANGE) -> DataFrame:
     so what is written grows with the items, whatever the number of pairs; of equal lengths, those below the band's change.
     """
     live, done, change = kept(texts.drop("code")), None, 0.0
-    while change < limit and (change := _band(live, change, limit)):
+    while change < limit:
+        change, items = _band(live, change, limit)
+        if not items:
+            break
+        tasks = items // TASK_ITEMS + 1
         even = kept(_even_pairs(texts, live, change))
         some = even.limit(1).count() > 0
         while True:
@@ -198,13 +205,13 @@ def similar_nodes(texts: DataFrame, limit: float = MAX_CHANGE) -> DataFrame:
                 ids = lambda old, name: live.where(F.col("is_old") == old).select(F.col("id").alias(name))  # noqa: E731, B023
                 pairs = pairs.unionByName(even.join(ids(True, "old_id"), "old_id", "left_semi").join(ids(False, "new_id"), "new_id", "left_semi").select(*pairs.columns))
             seen = F.explode(F.array(F.struct(F.lit(True).alias("is_old"), F.col("old_id").alias("id"), F.col("new_id").alias("other"), "order"), F.struct(F.lit(False).alias("is_old"), F.col("new_id").alias("id"), F.col("old_id").alias("other"), "order")))
-            first = pairs.select(seen.alias("s")).groupBy("s.is_old", "s.id").agg(F.min_by("s.other", "s.order").alias("other"))
+            first = pairs.select(seen.alias("s")).groupBy("s.is_old", "s.id").agg(F.min_by("s.other", "s.order").alias("other")).coalesce(tasks)
             both = first.groupBy(F.when(F.col("is_old"), F.col("id")).otherwise(F.col("other")).alias("old_id"), F.when(F.col("is_old"), F.col("other")).otherwise(F.col("id")).alias("new_id"))
-            fixed = kept(both.count().where("count = 2").select("old_id", "new_id"))
+            fixed = kept(both.count().where("count = 2").select("old_id", "new_id").coalesce(tasks))
             if not fixed.limit(1).count():
                 break
             done = fixed if done is None else done.unionByName(fixed)
-            live = kept(live.join(fixed.select(F.explode(F.array("old_id", "new_id")).alias("id")), "id", "left_anti"))
+            live = kept(live.join(fixed.select(F.explode(F.array("old_id", "new_id")).alias("id")), "id", "left_anti").coalesce(tasks))
     return done if done is not None else live.select(F.col("id").alias("old_id"), F.col("id").alias("new_id")).limit(0)
 
 
